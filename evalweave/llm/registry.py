@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evalweave.llm.common import table
+from evalweave.llm.jaccard_join import jaccard_groups
 from evalweave.llm.mixing import mix_sources, mix_sql
 from evalweave.llm.pieces import digests, encode_pieces
 from evalweave.llm.token_files import token_files
@@ -20,6 +21,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -30,7 +35,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op4_token_files, op6_sentencepiece)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_jaccard_join, op4_token_files, op6_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
