@@ -12,6 +12,7 @@ from evalweave.llm.common import scratch, table
 from evalweave.llm.jaccard_join import jaccard_groups
 from evalweave.llm.language_id import identify
 from evalweave.llm.learned_partitions import search
+from evalweave.llm.licenses import licenses_sql, scan_licenses
 from evalweave.llm.maxscore import top_k, top_k_sql
 from evalweave.llm.mixing import mix_sources, mix_sql
 from evalweave.llm.pieces import digests, encode_pieces
@@ -23,6 +24,10 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -63,8 +68,8 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_jaccard_join, op4_token_files, op5_language_id, op6_sentencepiece, op7_sharding, op8_exact_top_k, op9_learned_partitions, op10_url_lists)}
+    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_jaccard_join, op4_token_files, op5_language_id, op6_sentencepiece, op7_sharding, op8_exact_top_k, op9_learned_partitions, op10_url_lists)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mix_sql(), "op8_exact_top_k": top_k_sql(), "op10_url_lists": lists_sql()}
+    return {"op1_license_scan": licenses_sql(), "op2_mix_sources": mix_sql(), "op8_exact_top_k": top_k_sql(), "op10_url_lists": lists_sql()}
