@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
-from evalweave.functions import hashing, maths, text
-from evalweave.operators import audits, greedy, joins, metrics, policies, probes, resampling, selection
+from evalweave.functions import hashing, maths, relations, text
+from evalweave.operators import audits, evidence, greedy, joins, masks, metrics, policies, probes, resampling, selection
 from evalweave.sources import annotations, tables
 from evalweave.streaming.resume import run_incremental, shard
 
@@ -230,11 +230,64 @@ def test_logistic_descent_matches_numpy(spark):
     assert np.allclose(w, v) and abs(b - c) < 1e-9
 
 
-def test_probe_profile(spark):
-    sample = spark.createDataFrame([("s", "left_of", "cup", "box", [0.0], [1.0]), ("t", "near", "a", "b", None, None)], "id string, relation string, subject string, object string, subject_bbox array<double>, object_bbox array<double>")
-    got = probes.expand_probes(sample, probes.relation_table(spark)).collect()
+def test_probe_expansion(spark):
+    kind = "id string, relation string, answer boolean, subject string, object string, subject_bbox array<double>, object_bbox array<double>"
+    sample = spark.createDataFrame([("s", "left_of", True, "cup", "box", [0.0], [1.0]), ("t", "near", True, "a", "b", None, None), ("u", "above", False, "a", "b", None, None)], kind)
+    table = relations.relation_table(spark)
+    got = probes.expand_probes(sample, table).collect()
+    at = {(r.id, r.probe): r for r in got}
     assert sorted(r.probe for r in got if r.id == "s") == sorted("orig text_only contra crop subject_masked object_masked flip_mapped flip_unmapped inverse_role role_reversal".split())
-    assert {r.probe_relation for r in got if r.id == "s" and r.probe == "flip_mapped"} == {"right_of"} and {r.probe_count for r in got if r.id == "t"} == {5}
+    assert at["s", "flip_mapped"].probe_relation == "right_of" and at["s", "flip_unmapped"].probe_relation == "left_of" and not at["s", "flip_unmapped"].target and at["s", "inverse_role"].subject == "box"
+    assert {r.probe_count for r in got if r.id == "t"} == {5} and at["t", "flip_unmapped"].probe_relation == "far" and at["u", "vertical_flip_mapped"].probe_relation == "below" and at["u", "contra"].target
+    assert at["s", "orig"].question == "Is the cup left of the box?" and table.count() == 14
+    graph = evidence.graph_candidates(sample.select("id", "relation"), table).collect()
+    assert sorted((r.role, r.candidate) for r in graph if r.id == "u") == [("anti", "below"), ("claim", "above")]
+    assert evidence.relation_candidates(sample.select("id", "relation"), table).where("id = 'u'").count() == 6
+    assert evidence.swap_roles(sample, [("subject", "object")]).where("id = 's'").first().subject == "box"
+
+
+def test_captions_and_focus(spark):
+    df = spark.createDataFrame([("The cat is to the behind of a box.",), ('"A cup to the top of the table"',), ("no such thing",)], "c string")
+    got = [r[0] and tuple(r[0]) for r in df.select(relations.parse_caption(F.col("c"))).collect()]
+    assert got == [("behind", "cat", "box"), ("above", "cup", "table"), None]
+    names = spark.createDataFrame([("To the left side of",), ("on top of",), ("far away from",), ("facing",)], "t string").select(relations.normal_relation(F.col("t"))).collect()
+    assert [r[0] for r in names] == ["left_of", "above", "far", "facing"]
+    q = spark.createDataFrame([("What is the Total-Amount of the total-amount for 7 x?",), ("is it?",)], "q string").select(relations.focus_terms(F.col("q"))).collect()
+    assert [r[0] for r in q] == [["Total-Amount", "7"], ["is it?"]]
+
+
+def test_claim_evidence(spark):
+    rows = [("s", "claim", 2.0, 0.5, 0.0, "yes"), ("s", "anti", 1.0, None, 0.0, "yes"), ("s", "anti", 0.2, 0.0, 0.0, "yes"), ("s", "support", -1.0, 1.0, 0.5, "yes"), ("s", "support", None, 1.0, 0.5, "yes"), ("t", "claim", 1.0, 0.0, 0.0, "no")]
+    got = {r.sample_id: r for r in evidence.claim_evidence(spark.createDataFrame(rows, "sample_id string, role string, img double, text double, weight double, predicted string")).collect()}
+    assert abs(got["s"].pair_margin - 0.5) < 1e-12 and abs(got["s"].evidence_margin + 0.5) < 1e-12 and abs(got["s"].evidence_risk - 0.5) < 1e-12
+    assert got["t"].pair_margin == 1.0 and got["t"].evidence_margin == 0.0 and not got["t"].has_contrast
+    filled = evidence.fill_missing_role(spark.createDataFrame(rows, "sample_id string, role string, img double, text double, weight double, predicted string"), "anti", "claim")
+    assert filled.where("sample_id = 't' and role = 'anti'").count() == 1 and filled.count() == 7
+
+
+def test_masks(spark):
+    df = spark.createDataFrame([("s", [1, 2, 5, 9], [2, 3], 12)], "id string, k array<int>, e array<int>, n int")
+    assert one(df.select(masks.runs(F.col("k")))) == 3 and one(df.select(masks.gaps(F.col("k")))) == [1, 3, 4]
+    got = {r.variant: r.indices for r in masks.deletion_variants(df, "id", "k", "e", "n").collect()}
+    assert got["delete_evidence"] == [1, 5, 9] and len(got["delete_control"]) == 3 and 2 in got["delete_control"] and got["restore_evidence"] == [1, 2, 3, 5, 9] and len(got["restore_control"]) == 5 and 3 not in got["restore_control"]
+    b = df.select("id", bx.box(F.lit(0.4), F.lit(0.4), F.lit(0.6), F.lit(0.6)).alias("b"))
+    r = masks.random_region(b, "id", "b").first()
+    assert r.region_iou <= 0.1 and abs((r.region.x2 - r.region.x1) - 0.2) < 1e-12
+    grid = spark.range(1).select(masks.grid_of(F.lit(12), F.lit(1.4)).alias("g")).first().g
+    assert tuple(grid) == (3, 4)
+    cells = spark.range(1).select(F.lit(1).alias("k"), F.explode(bx.token_grid(4, 4)).alias("box")).withColumn("i", F.monotonically_increasing_id())
+    region = spark.range(1).select(F.lit(1).alias("k"), F.lit(0).alias("r"), bx.box(F.lit(0.1), F.lit(0.1), F.lit(0.4), F.lit(0.2)).alias("box"))
+    hits = masks.spatial_overlaps(cells, region, "k", "i", "r").collect()
+    assert len(hits) == 2 and abs(sum(h.area for h in hits) - 0.03) < 1e-12
+    with pytest.raises(ValueError, match="blank"):
+        masks.require_blank(df, ["id"])
+    again = masks.replay_mismatches(df.withColumn("v", F.lit(1.0)), df.withColumn("v", F.lit(2.0)), "n", "id", "k", "v").first()
+    assert (again.n, again.masks_differ, again.values_differ) == (1, 0, 1)
+    t = spark.createDataFrame([("s", r, c, [1.0, float(c)]) for r in range(2) for c in range(2)], "s string, r int, c int, v array<double>")
+    assert abs(masks.local_uniqueness(t, "s", "r", "c", "v").first().uniqueness - (1 - 1 / math.sqrt(2)) / 2) < 1e-9
+
+
+def test_probe_profile(spark):
     losses = [("s", "orig", 0.2, 1.2, 1), ("s", "orig", 0.1, 2.1, 2), ("s", "flip_mapped", 1.0, 0.5, 3), ("s", "prompt_sc_1", 0.0, 1.0, 4), ("s", "prompt_sc_2", 1.0, 0.0, 5), ("u", "crop", 0.0, 1.0, 6)]
     scores = probes.score_probes(spark.createDataFrame([(*r, "no") for r in losses], "sample_id string, probe string, yes_loss double, no_loss double, ord int, target_answer string"))
     r = probes.sample_profile(scores).collect()
