@@ -68,3 +68,16 @@ def tercile_strata(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     third = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1) * 3 / F.col("_n"))
     stratum = F.when(low < high, F.when(F.col(value) <= low, "low").when(F.col(value) <= high, "middle").otherwise("high")).otherwise(F.element_at(F.array(F.lit("low"), F.lit("middle"), F.lit("high")), third.cast("int") + 1))
     return joined.withColumn("stratum", stratum).drop("_q", "_n")
+
+
+def trajectories(rows: DataFrame, key: str, budget: str, correct: Column, low: float, high: float) -> DataFrame:
+    """Keys seen at both budgets by what became of them: kept right, repaired, broken or persistently wrong."""
+    at = lambda b: F.max(F.when(F.col(budget) == b, correct.cast("int")))
+    wide = rows.groupBy(key).agg(at(low).alias("_a"), at(high).alias("_b")).dropna(subset=["_a", "_b"])
+    state = F.when((F.col("_a") == 1) & (F.col("_b") == 1), "kept").when(F.col("_b") == 1, "repaired").when(F.col("_a") == 1, "broken").otherwise("persistent")
+    return wide.select(key, state.alias("state"))
+
+
+def conditional_means(rows: DataFrame, by: list[str], values: list[str], condition: Column) -> DataFrame:
+    """Counts, and means over the rows that meet the condition; 0 where none does."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(condition).alias("n_condition"), *[F.coalesce(F.avg(F.when(condition, F.col(v))), F.lit(0.0)).alias(v) for v in values])

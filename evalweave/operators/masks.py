@@ -62,10 +62,12 @@ def random_region(rows: DataFrame, sample: str, box: str, most: float = 0.1, tri
     """A box of the same size elsewhere: the first try whose IoU is small enough, else the try of least IoU."""
     b = F.col(box)
     w, h = b["x2"] - b["x1"], b["y2"] - b["y1"]
+    # column by column, so that each hashed number is made once
     t = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda k: F.struct(k.alias("k"), (uniform(seed, F.col(sample), k, "x") * (1 - w)).alias("x"), (uniform(seed, F.col(sample), k, "y") * (1 - h)).alias("y")))
-    made = F.transform(t, lambda s: F.struct(bx.iou(bx.box(s["x"], s["y"], s["x"] + w, s["y"] + h), b).alias("iou"), s["k"].alias("k"), bx.box(s["x"], s["y"], s["x"] + w, s["y"] + h).alias("region")))
-    best = F.coalesce(F.get(F.filter(made, lambda m: m["iou"] <= most), F.lit(0)), F.array_min(made))
-    return rows.select("*", best.alias("_m")).select(*rows.columns, F.col("_m.region").alias("region"), F.col("_m.iou").alias("region_iou"))
+    tried = rows.withColumn("_t", t)
+    tried = tried.withColumn("_m", F.transform("_t", lambda s: F.struct(bx.iou(bx.box(s["x"], s["y"], s["x"] + w, s["y"] + h), b).alias("iou"), s["k"].alias("k"), bx.box(s["x"], s["y"], s["x"] + w, s["y"] + h).alias("region"))))
+    best = F.coalesce(F.get(F.filter("_m", lambda m: m["iou"] <= most), F.lit(0)), F.array_min("_m"))
+    return tried.withColumn("_m", best).select(*rows.columns, F.col("_m.region").alias("region"), F.col("_m.iou").alias("region_iou"))
 
 
 def spatial_overlaps(boxes: DataFrame, regions: DataFrame, key: str, box_id: str, region_id: str, cells: int = 8) -> DataFrame:

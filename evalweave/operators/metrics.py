@@ -200,3 +200,35 @@ def screen_features(rows: DataFrame, features: list[str], label: str, by: list[s
     scored = scored.withColumn("strength", F.greatest("auc", 1 - F.col("auc")))
     place = F.row_number().over(_window(by).orderBy(F.desc("strength"), "feature"))
     return scored.withColumn("place", place).where(F.col("place") <= top).select(*by, "feature", "auc", "strength", "place")
+
+
+def tail_rate(rows: DataFrame, score: str, label: str, order: str, by: list[str], fraction: float, top: bool = True) -> DataFrame:
+    """Mean label of the highest (lowest) fraction of the scores, at least one row; the size rounds half to even."""
+    first = F.col(score).desc() if top else F.col(score).asc()
+    ranked = rows.withColumn("_n", F.count(F.lit(1)).over(_window(by))).withColumn("_rn", F.row_number().over(_window(by).orderBy(first, order)))
+    kept = ranked.where(F.col("_rn") <= F.greatest(F.lit(1), F.bround(F.col("_n") * fraction)))
+    return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("tail"), F.avg(F.col(label).cast("double")).alias("rate"))
+
+
+def quantiles(rows: DataFrame, value: str, by: list[str], q: float) -> DataFrame:
+    """The four definitions in use: linear, sorted[int(q n)], sorted[int(q (n - 1))], sorted[round-half-even(q (n - 1))].
+
+    Only the rows at the wanted places leave the ranked groups.
+    """
+    w = _window(by)
+    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, F.count(F.lit(1)).over(w).alias("_n"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"))
+    n, at = F.col("_n"), lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
+    return ranked.groupBy(*by).agg(
+        F.percentile(value, F.lit(q)).alias("linear"), at(F.least(n - 1, F.floor(n * q))).alias("truncated"), at(F.floor((n - 1) * q)).alias("truncated_inner"), at(F.bround((n - 1) * q)).alias("nearest")
+    )
+
+
+def seed_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.stddev_pop(value).alias("sd"))
+
+
+def risk_table(rows: DataFrame, risks: list[str], error: str, order: str, by: list[str]) -> DataFrame:
+    """The risk of least AURC in each group, ties to the first name, with its metrics."""
+    table = metric_table(rows, risks, error, order, by)
+    place = F.row_number().over(_window(by).orderBy(F.round("aurc", 12), "risk"))
+    return table.withColumn("place", place).where("place = 1").drop("place")

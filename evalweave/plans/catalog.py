@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
 from evalweave.functions import hashing, maths, ranks, text
-from evalweave.operators import audits, greedy, joins, metrics, policies, resampling, selection
+from evalweave.operators import audits, greedy, joins, masks, metrics, policies, resampling, selection
 from evalweave.plans import inputs
 from evalweave.plans.inputs import BOX_ROWS, RUNS, SCORED, TOKENS, table
 
@@ -556,3 +556,117 @@ def orthogonal_greedy(spark, sf):
 @query()
 def anchor_novelty_greedy(spark, sf):
     return greedy.run_selector(inputs.tokens(spark, sf), "anchor_novelty", 8)
+
+
+# further operators
+
+
+@query(f"""with {SCORED}, r as (select lang, toxic, row_number() over (partition by lang order by score desc, id) as rn, count(*) over (partition by lang) as n from scored)
+select lang, count(*) as tail, round(avg(toxic::double), 9) as rate from r where rn <= greatest(1, round_even(n * 0.1::double, 0)) group by lang""")
+def tail_rate_by_lang(spark, sf):
+    return rounded(metrics.tail_rate(inputs.scored(spark, sf), "score", "toxic", "id", ["lang"], 0.1))
+
+
+@query("""with r as (select o_orderpriority as p, o_totalprice as v, count(*) over (partition by o_orderpriority) as n, row_number() over (partition by o_orderpriority order by o_totalprice) - 1 as i from orders)
+select p, round(quantile_cont(v, 0.9), 6) as linear, max(v) filter (i = least(n - 1, floor(n * 0.9::double))) as truncated, max(v) filter (i = floor((n - 1) * 0.9::double)) as truncated_inner, max(v) filter (i = round_even((n - 1) * 0.9::double, 0)) as nearest from r group by p""")
+def quantile_definitions(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("v"))
+    return rounded(metrics.quantiles(rows, "v", ["p"], 0.9), 6)
+
+
+@query("""with c as (select user_id, event_type, avg(value) as v from events group by 1, 2) select event_type, count(*) as n, round(avg(v), 9) as mean, round(min(v), 9) as least, round(max(v), 9) as most, round(stddev_pop(v), 7) as sd from c group by 1""")
+def seed_summary(spark, sf):
+    cells = resampling.cluster_means(table(spark, sf, "events"), "user_id", "value", ["event_type"])
+    out = rounded(metrics.seed_summary(cells, ["event_type"], "value"))
+    return out.withColumn("sd", F.round("sd", 7))
+
+
+@query(f"""with {SCORED}, long as (select lang, id, quality, 'risk' as risk, risk as value from scored union all select lang, id, quality, 'score', score from scored union all select lang, id, quality, 'margin', margin from scored),
+r as (select *, row_number() over w as rn, sum(1 - quality) over (w rows between unbounded preceding and current row) as e from long window w as (partition by lang, risk order by value, id)), a as (select lang, risk, avg(e::double / rn) as aurc from r group by 1, 2),
+points as (select lang, risk, value, sum(1 - quality) as p, sum(quality) as q from long group by 1, 2, 3), below as (select *, coalesce(sum(q) over (partition by lang, risk order by value rows between unbounded preceding and 1 preceding), 0) as b from points),
+u as (select lang, risk, sum(p)::bigint as positives, sum(q)::bigint as negatives, case when sum(p) > 0 and sum(q) > 0 then sum(p * (b + q / 2.0::double)) / (sum(p)::double * sum(q)::double) else 0.5::double end as auc from below group by 1, 2),
+m as (select a.lang, a.risk, positives, negatives, auc, aurc, row_number() over (partition by a.lang order by round(aurc, 12), a.risk) as place from a join u on u.lang = a.lang and u.risk = a.risk)
+select lang, risk, positives, negatives, round(auc, 9) as auc, round(aurc, 9) as aurc from m where place = 1""")
+def best_risk_by_lang(spark, sf):
+    rows = inputs.scored(spark, sf).withColumn("error", 1 - F.col("quality"))
+    return rounded(metrics.risk_table(rows, ["risk", "score", "margin"], "error", "id", ["lang"]))
+
+
+@query("""with w as (select user_id, max(value) filter (event_type = 'click') as click, max(value) filter (event_type = 'view') as view from events group by 1) select user_id, click, view from w where click is not null and view is not null""")
+def n_way_intersection(spark, sf):
+    return joins.common_runs(table(spark, sf, "events"), "user_id", "event_type", ["click", "view"], "value")
+
+
+@query("""with w as (select user_id, max(value) filter (event_type = 'click') as click, max(value) filter (event_type = 'view') as view from events group by 1), c as (select distinct c_custkey as user_id from customer)
+select user_id, coalesce(click, 0.0) as click, coalesce(view, 0.0) as view from c full outer join w using (user_id)""")
+def n_way_full_outer(spark, sf):
+    canonical = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    return joins.full_runs(canonical, table(spark, sf, "events"), "user_id", "event_type", ["click", "view"], "value", 0.0)
+
+
+@query("""select c_custkey, coalesce(s_acctbal, c_acctbal) as acctbal, case when s_suppkey is null then 'primary' else 'secondary' end as resolution from customer left join supplier on s_suppkey = c_custkey""")
+def override_merge(spark, sf):
+    a = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("acctbal"))
+    b = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("acctbal"))
+    return joins.override(a, b, "c_custkey", ["acctbal"])
+
+
+@query("""with r as (select l_orderkey, l_linenumber, max((l_quantity > 25)::int) as ok from lineitem where l_linenumber in (1, 3) group by 1, 2), w as (select l_orderkey, max(ok) filter (l_linenumber = 1) as a, max(ok) filter (l_linenumber = 3) as b from r group by 1)
+select case when a = 1 and b = 1 then 'kept' when b = 1 then 'repaired' when a = 1 then 'broken' else 'persistent' end as state, count(*) as n from w where a is not null and b is not null group by 1""")
+def cohort_trajectory(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    return audits.trajectories(rows, "l_orderkey", "l_linenumber", F.col("l_quantity") > 25, 1, 3).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with p as (select o_custkey, count(*) filter (o_orderstatus = 'F') as f, count(*) filter (o_orderstatus <> 'F') as o, max(o_totalprice) filter (o_orderstatus = 'F') - max(o_totalprice) filter (o_orderstatus <> 'F') as gap from orders group by 1)
+select o_custkey, round(gap, 6) as gap, gap > 0 as win from p where f = 1 and o = 1""")
+def pair_gap(spark, sf):
+    return rounded(audits.pair_gap(table(spark, sf, "orders"), "o_custkey", F.col("o_orderstatus") == "F", "o_totalprice"), 6)
+
+
+@query("""with k as (select l_orderkey, list_sort(list_distinct(list(l_linenumber::int))) as k from lineitem where l_quantity > 20 group by 1)
+select l_orderkey, len(k)::int as kept, (1 + len(list_filter(range(2, len(k) + 1), lambda i: k[i] - k[i - 1] > 1)))::int as runs, round((k[len(k)] - k[1] + 1)::double / 7, 9) as span from k""")
+def mask_geometry(spark, sf):
+    rows = table(spark, sf, "lineitem").where("l_quantity > 20").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("int"))).alias("k"))
+    return rounded(rows.select("l_orderkey", F.size("k").alias("kept"), masks.runs(F.col("k")).alias("runs"), masks.spread(F.col("k"), F.lit(7))[0]))
+
+
+@query("""with t as (select doc_id, lang, source, row_number() over (partition by lang, source order by doc_id) as turn from documents), p as (select *, row_number() over (partition by lang order by turn, source) as place from t)
+select doc_id, place::int as place, ((place - 1) // 25)::int as batch from p""")
+def interleaved_batches(spark, sf):
+    return selection.batches(table(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang"], "source", [F.col("doc_id")], 25).select("doc_id", "place", "batch")
+
+
+@query("""select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id) as r from events) where r = 1""")
+def first_record_by_id(spark, sf):
+    return selection.first_by_id(table(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query(f"""with {SCORED} select source, count(*) as n, count(*) filter (quality = 1) as n_condition, round(coalesce(avg(score) filter (quality = 1), 0), 9) as score, round(coalesce(avg(risk) filter (quality = 1), 0), 9) as risk from scored group by 1""")
+def conditional_summary(spark, sf):
+    return rounded(audits.conditional_means(inputs.scored(spark, sf), ["source"], ["score", "risk"], F.col("quality") == 1))
+
+
+@query(f"""with {BOX_ROWS}, o as (select a.l_orderkey, a.i as a, b.i as b, (least(a.x2, b.ex2) - greatest(a.x1, b.ex1)) * (least(a.y2, b.ey2) - greatest(a.y1, b.ey1)) as area from box_rows a join box_rows b on a.l_orderkey = b.l_orderkey and least(a.x2, b.ex2) > greatest(a.x1, b.ex1) and least(a.y2, b.ey2) > greatest(a.y1, b.ey1))
+select l_orderkey, count(*) as pairs, round(sum(area), 9) as area from o group by 1""")
+def spatial_overlap_join(spark, sf):
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    l = table(spark, sf, "lineitem").withColumn("i", place)  # noqa: E741
+    x, y, w, h = (F.col("l_partkey") % 50) / 100.0, (F.col("l_suppkey") % 50) / 100.0, F.col("l_quantity") / 100.0, F.lit(0.1) + F.col("l_discount")
+    a = l.select("l_orderkey", F.col("i").alias("a"), bx.box(x, y, x + w, y + h).alias("box"))
+    b = l.select("l_orderkey", F.col("i").alias("b"), bx.box(y, x, y + h, x + w).alias("box"))
+    out = masks.spatial_overlaps(a, b, "l_orderkey", "a", "b", cells=2)
+    return rounded(out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum("area").alias("area")))
+
+
+@query()
+def deletion_variants(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 20, F.col("l_linenumber").cast("int")))).alias("kept"), F.array_sort(F.collect_set(F.when(F.col("l_discount") > 0.05, F.col("l_linenumber").cast("int")))).alias("evidence"), F.lit(10).alias("total"))
+    return masks.deletion_variants(rows, "l_orderkey", "kept", "evidence", "total").select("l_orderkey", "variant", F.array_join("indices", ",").alias("indices"))
+
+
+@query()
+def random_regions(spark, sf):
+    rows = inputs.boxes(spark, sf).select("l_orderkey", F.col("evidence")[0].alias("b")).where("b.x2 - b.x1 < 1 and b.y2 - b.y1 < 1")
+    out = masks.random_region(rows, "l_orderkey", "b")
+    return rounded(out.select("l_orderkey", "region.x1", "region.y1", "region_iou"))
