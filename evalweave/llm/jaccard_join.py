@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import discard, list_column, written
+from evalweave.llm.common import discard, list_column, small_batches, written
 from evalweave.llm.components import connected_components
 from evalweave.llm.shingles import mix, shingle_sets
 
@@ -209,6 +209,7 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see the module."""
+    small_batches(docs.sparkSession)
     made = written(features(docs, id_col, text_col, percent, width), "features")
     main = made.where("main").select("doc_id", "n", "d1", "d2")
     equal = main.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import ragged, steps
+from evalweave.llm.common import ragged, small_batches, steps
 from evalweave.llm.shingles import mix, powers
 
 SAMPLE_DOCS = 2000
@@ -30,7 +30,7 @@ MODEL_ROWS = 1_000_000
 LONGEST = 5
 EVIDENCE = 20
 BITS = 20
-STEP = 1 << 20
+STEP = 1 << 19
 
 _tables: list[np.ndarray] = []
 
@@ -175,6 +175,7 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, id_col, text_col, lang_col)
     counted = rows.mapInArrow(count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     whole = Window.partitionBy("lang", "n")
@@ -192,6 +193,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns of ``docs`` with lang_pred and score."""
+    small_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double")
     known = docs.sparkSession.sparkContext.broadcast(model)

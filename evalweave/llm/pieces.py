@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalweave.llm.common import list_column, steps
+from evalweave.llm.common import list_column, small_batches, steps
 from evalweave.llm.word_cache import WordCache
 
 SPACE = "▁"
@@ -277,6 +277,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_
 
     A column of the same name as an output is replaced.
     """
+    small_batches(docs.sparkSession)
     named = [c for c in (ids_col, decoded_col) if c]
     rest = [f for f in docs.schema.fields if f.name not in named]
     schema = T.StructType([*rest, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
@@ -309,6 +310,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_
 
 def decode_pieces(ids: DataFrame, model_path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """``ids`` with the text of each list of ids; null stays null."""
+    small_batches(ids.sparkSession)
     rest = [f for f in ids.schema.fields if f.name != decoded_col]
     schema = T.StructType([*rest, T.StructField(decoded_col, T.StringType())])
 

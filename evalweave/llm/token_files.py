@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import list_column, scratch, steps
+from evalweave.llm.common import list_column, scratch, small_batches, steps
 
 MANIFEST = "part int, n_docs long, n_tokens long, folder string, width int"
 
@@ -49,6 +49,7 @@ def write_token_files(
 
     The documents are dealt by ranges of doc_id, so that each part is sorted by itself. A part's ids are written step by step: memory holds one step of texts.
     """
+    small_batches(docs.sparkSession)
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     doc_id = F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("a document without doc_id has no place in the files")))
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

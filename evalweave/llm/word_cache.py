@@ -9,7 +9,7 @@ import numpy as np
 from evalweave.llm.common import ragged
 
 #: Words that a cache keeps; what comes after that is encoded anew in each step. Longer words are never kept.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 CACHE_CHARS = 64
 
 
