@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -43,20 +44,23 @@ class WordCache:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rows = list(map(self.cut, texts))
         per_row = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        words = [w for r in rows for w in r]
-        index = self.index
-        fresh = sorted(set(words).difference(index))
-        kept = [w for w in fresh if len(w) <= self.chars][: max(0, self.words - len(index))]
-        if kept:
-            self._store(kept, len(index))
-            index.update(zip(kept, range(len(index), len(index) + len(kept)), strict=True))
-        look, used = index.__getitem__, self.used
-        if len(kept) < len(fresh):
-            passing = sorted(set(fresh).difference(kept))
-            self._store(passing, len(index))
-            also = {w: len(index) + k for k, w in enumerate(passing)}
-            look = lambda w: index[w] if w in index else also[w]
-        at = np.fromiter(map(look, words), dtype=np.int64, count=len(words))
+        words = list(chain.from_iterable(rows))
+        index, used = self.index, self.used
+        at = np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            fresh = sorted({words[i] for i in unknown.tolist()})
+            kept = [w for w in fresh if len(w) <= self.chars][: max(0, self.words - len(index))]
+            if kept:
+                self._store(kept, len(index))
+                index.update(zip(kept, range(len(index), len(index) + len(kept)), strict=True))
+                used = self.used
+            also: dict[str, int] = {}
+            if len(kept) < len(fresh):
+                passing = sorted(set(fresh).difference(kept))
+                self._store(passing, len(index))
+                also = {w: len(index) + k for k, w in enumerate(passing)}
+            at[unknown] = [also[w] if w in also else index[w] for w in (words[i] for i in unknown.tolist())]
         counts = self.count[at]
         flat = self.ids[ragged(self.start[at], counts)]
         self.used = used
