@@ -212,7 +212,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     made = written(features(docs, id_col, text_col, percent, width), "features")
     main = made.where("main").select("doc_id", "n", "d1", "d2")
-    equal = main.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))
+    # a table of its own: the join below then has an exchange on either side, and Spark can split a group of copies
+    equal = written(main.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node")), "equal")
     first = equal.select(F.col("node").alias("doc_id"), "n", "d1", "d2")
     nodes = written(made.join(first, ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2", "band"]).select(F.col("doc_id").alias("node"), "n", "band", "sketch"), "nodes")
     main = written(main.join(equal, ["n", "d1", "d2"], "left").select("doc_id", "n", "node"), "main")
