@@ -5,7 +5,7 @@ ends marked) that ends there and is known gives its log frequencies; the word's
 its score is the posterior of the mean log frequencies, sharpened by at most ``EVIDENCE`` words.
 
 The model is fitted on a bounded sample: about ``SAMPLE_DOCS`` labelled documents a language, chosen by id hash, from documents that are not held out; it keeps the ``GRAMS`` most frequent words
-and n-grams of each length and language, at most ``MODEL_ROWS`` in all, which bounds what is broadcast. Language, source and id are never an input of a prediction.
+and n-grams of each length and language, fewer where there are so many languages that the model would exceed ``MODEL_ROWS``, which bounds what is broadcast. Language, source and id are never an input of a prediction.
 
 Cases: null texts and texts without a letter are "und" with score 0; without any labelled document every text is "und"; a row without lang teaches nothing;
 a row without doc_id counts as held out; ties go to the language that sorts first; repeated rows get equal predictions; other columns are not read.
@@ -80,8 +80,8 @@ class Words:
         return mix(self.spans(at, ends) + mark)
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text): the bounded sample."""
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, int]:
+    """(lang, text) of the bounded sample, and the number of languages."""
     bucket = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where(bucket != 0).where("lang is not null and text is not null")
     counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect())  # languages are few
@@ -89,7 +89,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(share)
     place = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rows.where(place < share).select("lang", "text")
+    return rows.where(place < share).select("lang", "text"), len(counts)
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,18 +176,22 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     small_batches(docs.sparkSession)
-    rows = training_rows(docs, id_col, text_col, lang_col)
+    rows, n_langs = training_rows(docs, id_col, text_col, lang_col)
     counted = rows.mapInArrow(count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     whole = Window.partitionBy("lang", "n")
     place = F.row_number().over(whole.orderBy(F.desc("times"), "gram"))
-    ranked = counted.withColumn("all", F.sum("times").over(whole)).withColumn("place", place).where((F.col("place") <= GRAMS) & ((F.col("times") > 1) | (F.col("n") == 1)))
-    found = ranked.orderBy("place", "lang", "n").limit(MODEL_ROWS).select("lang", "n", "gram", "times", "all").toPandas()
-    langs = sorted(found["lang"].unique())
-    code = found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)
-    totals = np.ones((LONGEST + 1, max(1, len(langs))))
-    totals[found["n"].to_numpy(), code] = found["all"].to_numpy()
-    by_n = {n: np.flatnonzero(found["n"].to_numpy() == n) for n in range(LONGEST + 1)}
-    gram, times = found["gram"].to_numpy(dtype=np.int64).view(np.uint64), found["times"].to_numpy(dtype=np.float64)
+    most = min(GRAMS, MODEL_ROWS // ((LONGEST + 1) * max(1, n_langs)))
+    ranked = counted.withColumn("all", F.sum("times").over(whole)).withColumn("place", place).where((F.col("place") <= most) & ((F.col("times") > 1) | (F.col("n") == 1)))
+    kept = ranked.select("lang", "n", "gram", "times", "all").toArrow()
+    if not kept.num_rows:
+        return Model([], {}, np.ones((LONGEST + 1, 1)))
+    found = {c: kept[c].to_numpy() for c in kept.column_names}
+    langs, code = np.unique(found["lang"].astype(str), return_inverse=True)
+    langs = langs.tolist()
+    totals = np.ones((LONGEST + 1, len(langs)))
+    totals[found["n"], code] = found["all"]
+    by_n = {n: np.flatnonzero(found["n"] == n) for n in range(LONGEST + 1)}
+    gram, times = found["gram"].astype(np.int64).view(np.uint64), found["times"].astype(np.float64)
     return Model(langs, {n: (gram[at], code[at], times[at]) for n, at in by_n.items() if len(at)}, totals)
 
 
