@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.llm.common import written
+
 CUE = "licen[cs]|copyright|rights reserved|public domain|creative commons|permission|redistribut|warrant|cc by|cc0"
 CONFIRM = 0.6
 UNKNOWN = "unknown"
@@ -150,7 +152,8 @@ def classify(distinct: DataFrame) -> DataFrame:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs with cue words, n_confirmed, licenses (families in order, joined by commas), score (of the surest confirmed one, else 0)."""
     ids = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    found = ids.where(F.lower("text").rlike(CUE)).select("doc_id", F.explode(paragraphs(F.col("text"))).alias("p")).distinct()
+    # written once: few lines have a cue, and reading them again is cheaper than scanning every text again
+    found = written(ids.where(F.lower("text").rlike(CUE)).select("doc_id", F.explode(paragraphs(F.col("text"))).alias("p")).distinct(), "paragraphs")
     scored = classify(found.select("p").distinct())
     # a line that a third of all documents hold is a hot key of this join; Spark splits it at run time
     named = found.join(scored, "p", "left").groupBy("doc_id").agg(
