@@ -18,6 +18,8 @@ from evalweave.llm.registry import PIECE_BPE
 
 #: Below this posterior a document's language counts as undecided.
 LEAST_SCORE = 0.5
+#: Near copies share this many of a hundred of their distinct shingles of WIDTH words; op3's 90 and 3 are that query's own contract.
+PERCENT, WIDTH = 80, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of links stays: the one with the smallest doc_id. Documents without doc_id stay; of rows that repeat a doc_id one stays."""
-    groups = written(jaccard_groups(docs), "groups")
+    groups = written(jaccard_groups(docs, percent=PERCENT, width=WIDTH), "groups")
     kept = docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return kept

@@ -36,3 +36,15 @@ def test_stages_keep_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "")
         assert docs.dtypes == awkward(spark).dtypes
+
+
+def test_near_copies_at_five_words_and_eight_in_ten_go(spark):
+    base = [f"w{i}" for i in range(100)]
+    one, two = [w if i != 50 else "x" for i, w in enumerate(base)], [w if i not in (30, 70) else "x" for i, w in enumerate(base)]
+    inner = [w if i not in (20, 50, 80) else "y" for i, w in enumerate(base)]
+    texts = {1: base, 2: one, 3: two, 4: inner, 5: [f"z{i}" for i in range(100)]}
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in texts.items()], DOC)
+    sets = {i: {tuple(t[k : k + 5]) for k in range(96)} for i, t in texts.items()}
+    assert [100 * len(sets[1] & sets[i]) >= 80 * len(sets[1] | sets[i]) for i in (2, 3, 4, 5)] == [True, True, False, False]
+    assert {i: g for i, (_, g) in brute([(i, " ".join(t)) for i, t in texts.items()]).items()}[3] == 3
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 4, 5]
