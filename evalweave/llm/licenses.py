@@ -25,23 +25,24 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.common import written
 
-CUE = "licen[cs]|copyright|rights reserved|public domain|creative commons|permission|redistribut|warrant|cc by|cc0"
+CUE = "licen[cs]|copyright|rights reserved|public domain|creative commons|permission|redistribut|warrant|cc[- ]by|cc0|spdx"
 CONFIRM = 0.6
 UNKNOWN = "unknown"
 
 #: Wording of licence notices, by family.
 TEMPLATES = {
-    "agpl": ["this program is free software licensed under the gnu affero general public license version 3", "you can redistribute it under the terms of the gnu affero general public license"],
-    "apache": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "you may obtain a copy of the license at http www.apache.org licenses license 2.0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license", "use of this source code is governed by a bsd style license"],
-    "cc-by": ["this work is licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0"],
-    "cc-by-nc": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc sa 4.0", "licensed under cc by nc nd 4.0"],
-    "cc-by-sa": ["licensed under cc by sa 4.0", "text is available under the creative commons attribution sharealike license"],
-    "cc0": ["this work is dedicated to the public domain", "to the extent possible under law the author has waived all copyright and related rights to this work cc0 1.0 universal"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gnu general public license version 2 or later gpl license"],
-    "lgpl": ["this library is licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license lgpl license"],
-    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0"],
+    "agpl": ["this program is free software licensed under the gnu affero general public license version 3", "you can redistribute it under the terms of the gnu affero general public license", "spdx license identifier agpl 3.0 or later", "license agpl 3.0", "license agplv3", "licensed under agpl 3.0", "licensed under the agplv3"],
+    "apache": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "you may obtain a copy of the license at http www.apache.org licenses license 2.0", "spdx license identifier apache 2.0", "license apache 2.0", "license apache license 2.0", "licensed under apache 2.0"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license", "use of this source code is governed by a bsd style license", "spdx license identifier bsd 3 clause", "spdx license identifier bsd 2 clause", "license bsd 3 clause", "license bsd 2 clause", "licensed under the bsd 3 clause license", "licensed under bsd 3 clause"],
+    "cc-by": ["this work is licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "this work is licensed under a creative commons attribution 3.0 unported license", "spdx license identifier cc by 4.0", "license cc by 4.0", "licensed under cc by 3.0", "license cc by 3.0", "licensed under the cc by 3.0 license", "licensed under the cc by 4.0 license"],
+    "cc-by-nc": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc sa 4.0", "licensed under cc by nc nd 4.0", "this work is licensed under a creative commons attribution noncommercial 3.0 unported license", "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license", "this work is licensed under a creative commons attribution noncommercial sharealike 3.0 unported license", "this work is licensed under a creative commons attribution noncommercial noderivatives 4.0 international license", "this work is licensed under a creative commons attribution noncommercial noderivatives 3.0 unported license", "spdx license identifier cc by nc 4.0", "license cc by nc 4.0", "license cc by nc sa 4.0"],
+    "cc-by-sa": ["licensed under cc by sa 4.0", "text is available under the creative commons attribution sharealike license", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "this work is licensed under a creative commons attribution sharealike 3.0 unported license", "text is available under the creative commons attribution sharealike 4.0 license", "spdx license identifier cc by sa 4.0", "license cc by sa 4.0", "licensed under cc by sa 3.0"],
+    "cc-by-nd": ["licensed under cc by nd 4.0", "licensed under cc by nd 3.0", "this work is licensed under a creative commons attribution noderivatives 4.0 international license", "this work is licensed under a creative commons attribution noderivatives 3.0 unported license", "this work is licensed under a creative commons attribution noderivs 3.0 unported license", "spdx license identifier cc by nd 4.0", "license cc by nd 4.0"],
+    "cc0": ["this work is dedicated to the public domain", "to the extent possible under law the author has waived all copyright and related rights to this work cc0 1.0 universal", "spdx license identifier cc0 1.0", "license cc0 1.0", "licensed under cc0 1.0", "licensed under the cc0 1.0 license"],
+    "gpl": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gnu general public license version 2 or later gpl license", "spdx license identifier gpl 3.0 or later", "spdx license identifier gpl 2.0 only", "license gpl 3.0", "license gplv3", "licensed under gpl 3.0", "licensed under the gplv3", "license gpl 2.0", "license gplv2"],
+    "lgpl": ["this library is licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license lgpl license", "spdx license identifier lgpl 2.1 or later", "spdx license identifier lgpl 3.0", "license lgpl 2.1", "license lgpl 3.0", "license lgplv3", "licensed under lgpl 3.0", "licensed under the lgpl 2.1 license", "licensed under the lgpl 2.1 or later license"],
+    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "spdx license identifier mit", "license mit", "license mit license", "licensed under mit"],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0", "license mpl 2.0", "licensed under mpl 2.0"],
     "proprietary": ["all rights reserved", "copyright all rights reserved", "no part of this publication may be reproduced without the prior written permission of the publisher"],
 }
 #: Paragraphs with cue words that grant nothing.
@@ -51,6 +52,8 @@ NO_GRANT = [
     "she took poetic license with the story of the war", "the police issued a warrant for his arrest", "civil rights and public services were debated in the city council",
     "the new copyright law was discussed under the terms of an agreement", "the software has a license manager for the terms of use of each version", "the general public was not allowed without permission",
     "the ministry plans to redistribute land to small farmers", "the plate on the license of the old truck was red", "a broadcasting license was granted to the station", "the license fee for television rose again this year",
+    "spdx license identifier zlib", "spdx license identifier unlicense", "spdx license identifier isc", "license zlib", "license see the file", "license unknown", "license none 2.0", "license 3.0 draft",
+    "she renewed her driving license and mit researchers went home", "the apache people asked for permission to fish", "the license plate was by the door",
 ]
 FILLER = "the of and a to in is it for on this that with as are be by from at or file project author team data page text copyright 2019 2021 contributors code site book article notes".split()
 
@@ -67,11 +70,18 @@ def bigrams_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + 2]) for i in range(len(words) - 1)} or set(words)
 
 
+@lru_cache(maxsize=1)
+def naming() -> set[str]:
+    """Words in templates of one or two families: without "sa" a notice of CC BY-SA is one of CC BY."""
+    found = [set().union(*[words_of(s) for s in sentences]) for sentences in TEMPLATES.values()]
+    return {w for w in set().union(*found) if sum(w in f for f in found) <= 2}
+
+
 def variants(sentence: str, rng: random.Random, n: int) -> list[list[str]]:
-    """A notice within other words, with a word dropped now and then."""
+    """A notice within other words, with a word that names no family dropped now and then."""
     out = [words_of(sentence)]
     for _ in range(n):
-        words = [w for w in words_of(sentence) if rng.random() > 0.03]
+        words = [w for w in words_of(sentence) if rng.random() > 0.03 or w in naming()]
         out.append(rng.choices(FILLER, k=rng.randrange(8)) + words + rng.choices(FILLER, k=rng.randrange(12)))
     return out
 

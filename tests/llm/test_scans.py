@@ -28,6 +28,21 @@ def test_licence_families(spark):
     assert [got[i][0] for i in range(8)] == ["mit", "proprietary", "apache,cc-by-nc", "", "", "", "", "gpl"]
 
 
+SHORT = {
+    "agpl": "AGPL-3.0-or-later", "apache": "Apache-2.0", "bsd": "BSD-3-Clause", "cc-by": "CC-BY-4.0", "cc-by-nc": "CC-BY-NC-4.0", "cc-by-nd": "CC-BY-ND-4.0", "cc-by-sa": "CC-BY-SA-4.0",
+    "cc0": "CC0-1.0", "gpl": "GPL-3.0", "lgpl": "LGPL-2.1", "mit": "MIT", "mpl": "MPL-2.0",
+}
+FULL = {"cc-by": "Attribution", "cc-by-sa": "Attribution-ShareAlike", "cc-by-nd": "Attribution-NoDerivatives", "cc-by-nc": "Attribution-NonCommercial-ShareAlike"}
+
+
+def test_full_and_short_notices_of_each_family(spark):
+    notices = [(f, form.format(x)) for f, x in SHORT.items() for form in ("SPDX-License-Identifier: {}", "License: {}", "Licensed under {}.")]
+    notices += [(f, f"This work is licensed under a Creative Commons {x} {v} License.") for f, x in FULL.items() for v in ("4.0 International", "3.0 Unported")]
+    notices += [("gpl", "License: GPLv3"), ("", "SPDX-License-Identifier: Zlib"), ("", "License: ISC"), ("", "MIT gave a license to the startup"), ("cc-by-sa", "CC-BY-SA-4.0")]
+    got = licences(spark, [text for _, text in notices])
+    assert [(text, got[i][0]) for i, (_, text) in enumerate(notices)] == [(text, f) for f, text in notices]
+
+
 def test_licence_rows(spark):
     docs = documents(spark, ["All rights reserved."] * 2)
     docs = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
