@@ -427,6 +427,14 @@ def contamination_collision(spark, sf):
     return joins.collisions(table(spark, sf, "documents"), "doc_id", text.words(F.col("text")), rare)
 
 
+@query(f"""with t as (select distinct unnest({_BENCH}) as token from benchmark), d as (select distinct doc_id, unnest({_BENCH}) as token from documents)
+select doc_id, count(*) as hits from d join t using (token) group by 1""")
+def contamination_collision_all(spark, sf):
+    """Every token of the benchmark; :func:`contamination_collision` takes those of at most two items, as its SQL does."""
+    every = joins.inverted_index(table(spark, sf, "benchmark"), "item_id", text.words(F.col("text")))
+    return joins.collisions(table(spark, sf, "documents"), "doc_id", text.words(F.col("text")), every)
+
+
 @query(f"""with s as (select item_id, {_BENCH} as w from benchmark) select a.item_id as a, b.item_id as b, round(case when len(a.w) + len(b.w) > 0 then len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) else 0 end, 9) as jaccard,
 round(case when len(a.w) > 0 then len(list_intersect(a.w, b.w))::double / len(a.w) else 0 end, 9) as contained from s a join s b on b.item_id = a.item_id + 1""")
 def token_jaccard(spark, sf):

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -58,3 +59,11 @@ def test_the_library_does_not_need_the_corpus_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "evalweave.llm" not in path.read_text(), path
+
+
+def test_every_benchmark_token_counts_as_a_collision(spark, duck):
+    """By hand, without the bound of contamination_collision: frequent tokens count as well."""
+    words = lambda t: set(re.findall("[a-z0-9]+", (t or "").lower()))
+    known = set().union(*[words(t) for (t,) in duck.execute("select text from benchmark").fetchall()])
+    want = {i: len(words(t) & known) for i, t in duck.execute("select doc_id, text from documents").fetchall()}
+    assert {r.doc_id: r.hits for r in catalog.QUERIES["contamination_collision_all"](spark, DATA).collect()} == {i: n for i, n in want.items() if n}
