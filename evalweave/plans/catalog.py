@@ -444,6 +444,14 @@ def token_jaccard(spark, sf):
     return rounded(both.select("a", "b", text.jaccard(F.col("w"), F.col("v")).alias("jaccard"), text.containment(F.col("w"), F.col("v")).alias("contained")))
 
 
+@query(f"""with t as (select distinct item_id, unnest({_BENCH}) as token from benchmark), d as (select distinct doc_id, unnest({_BENCH}) as token from documents), tn as (select item_id, count(*) as n from t group by 1), dn as (select doc_id, count(*) as n from d group by 1),
+s as (select doc_id, item_id, count(*) as shared from d join t using (token) group by 1, 2)
+select s.doc_id, s.item_id, shared, round(shared::double / (dn.n + tn.n - shared), 9) as jaccard, round(shared::double / dn.n, 9) as doc_contained, round(shared::double / tn.n, 9) as item_contained from s join dn on dn.doc_id is not distinct from s.doc_id join tn on tn.item_id = s.item_id""")
+def token_jaccard_documents(spark, sf):
+    """Documents against benchmark items, every pair that shares a token; :func:`token_jaccard` compares adjacent items only, as its SQL does."""
+    return rounded(joins.shared_tokens(table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id", text.words(F.col("text"))))
+
+
 #: Aliases of part types.
 ALIASES = [("brass", "copper alloy"), ("copper", "metal"), ("economy brass", "cheap alloy"), ("nickel", "metal"), ("promo", "offer"), ("standard", "plain"), ("steel", "iron alloy"), ("tin", "metal")]
 
