@@ -244,6 +244,27 @@ def sign_flip_permutation(spark, sf):
     return rounded(resampling.sign_flip(resampling.cluster_means(both, "cluster", "difference", []), "cluster", "value", [], n=100))
 
 
+#: Replicates of the whole queries, and the same in the SQL of the ones that draw 100.
+DRAWS = 1000
+_drawn = lambda name: SQL[name].replace("range(1, 101)", f"range(1, {DRAWS + 1})").replace("/ 101", f"/ {DRAWS + 1}")
+
+
+@query(_drawn("hash_bootstrap_ci"))
+def hash_bootstrap_ci_1000(spark, sf):
+    return rounded(resampling.bootstrap_mean(table(spark, sf, "events"), "user_id", "value", ["event_type"], n=DRAWS))
+
+
+@query(_drawn("two_stage_bootstrap_ci"))
+def two_stage_bootstrap_ci_1000(spark, sf):
+    return rounded(resampling.two_stage_bootstrap(table(spark, sf, "events"), "event_type", "user_id", "value", n=DRAWS))
+
+
+@query(_drawn("sign_flip_permutation"))
+def sign_flip_permutation_1000(spark, sf):
+    both = joins.paired(inputs.run(spark, sf, "left"), inputs.run(spark, sf, "right"), ["cluster", "line"], "value", strict=False)
+    return rounded(resampling.sign_flip(resampling.cluster_means(both, "cluster", "difference", []), "cluster", "value", [], n=DRAWS))
+
+
 @query(f"""with {SCORED}, c as (select source, sum(toxic)::bigint as k, count(*) as n from scored group by 1), z as (select *, k::double / n as p, 1.959963984540054::double as z from c)
 select source, k as successes, n, round(p, 9) as rate, round(greatest(0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4.0::double * n * n)) / (1 + z * z / n)), 9) as low,
   round(least(1, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4.0::double * n * n)) / (1 + z * z / n)), 9) as high from z""")

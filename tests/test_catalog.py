@@ -76,3 +76,9 @@ def test_documents_are_compared_with_every_benchmark_item(spark, duck):
     want = {(d, i): (len(a & b) / len(a | b), len(a & b) / len(a), len(a & b) / len(b)) for d, a in docs.items() for i, b in items.items() if a & b}
     got = {(r.doc_id, r.item_id): (r.jaccard, r.doc_contained, r.item_contained) for r in catalog.QUERIES["token_jaccard_documents"](spark, DATA).collect()}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_inference_with_a_thousand_draws(spark):
+    assert catalog.QUERIES["two_stage_bootstrap_ci_1000"](spark, DATA).first().draws > 900
+    p = catalog.QUERIES["sign_flip_permutation_1000"](spark, DATA).first().p
+    assert abs(p * 1001 - round(p * 1001)) < 1e-5 and "1001" in catalog.SQL["hash_bootstrap_ci_1000"]
