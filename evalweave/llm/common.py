@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a single longer text makes a step of its own.
 STEP_BYTES = 1 << 20
@@ -27,12 +28,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where nobody set it."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where nobody set it, a folder of this machine serves a session in one process; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm.isDefined():
             return jvm.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -54,7 +57,9 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of :func:`written` that nothing reads any more."""
+    """Delete tables of :func:`written` that nothing reads any more, and let Spark's cleaner find the shuffle files that only they needed."""
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
@@ -67,6 +72,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(base: str, taken: list[str]) -> str:
+    """A column name that isn't taken; Spark compares names without case."""
+    low = {c.lower() for c in taken}
+    while base.lower() in low:
+        base += "_"
+    return base
+
+
+def columns(names: list[str]) -> list:
+    """The named columns, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column, each of about ``step_bytes`` at most or one row."""
     n = len(column)

@@ -3,53 +3,67 @@
 A document's set holds its distinct w-word shingles as 64-bit hashes. Two sets of a and b elements link when their
 Jaccard similarity is at least t, that is when they differ in at most (a + b)(1 - t)/(1 + t) elements.
 
-Sketch: every element flips one bit, chosen by its hash. Elements of both sets flip the same bits, so the Hamming distance of two sketches is at
-most the size of the symmetric difference. Size bands: a band of capacity D takes pairs whose sets differ in at most D elements;
-its sketches have D + 1 words of 64 bits, and by the pigeonhole principle two sets within D agree in one word at least. A document's
-sketch is made for its own band and, where partners of smaller size fall in the band below, for that band too. Documents
-join on (band, place, word).
+Sketch: an element's hash names one of P places and one of the 8 bits there, which it flips, and flips further bits of a hash of the place. Elements of both
+sets do the same to both, so the Hamming distance of two sketches is at most the size of the symmetric difference, and a place that no element of the
+difference falls into is equal. Size bands grow by :data:`RATIO`; a band has one P, above what its pairs can differ in. A document is sketched for its own band and, where
+partners of smaller size lie in the band below, for that band too.
+
+Pigeonhole: sets that differ in at most D elements agree in P - D places at least. So, with a band's places in any order that depends on their content alone, the first
+D + 1 places of either set hold one that they share. The order is by the number of elements in a place, the most first: such places are the
+rarest, and places without an element, which everybody shares, come last. Documents join on the hashes of their first D + 1 places.
 
 1. Equal sets are one node from the start, so large groups of copies cost one node.
-2. Words that two nodes share give their pair; words that more share give a star around the smallest node: no bucket emits all of its pairs.
+2. The nodes that share a hash give a star around the smallest: no bucket emits all of its pairs.
    Stars pass the Hamming bound, then the exact sets are compared; components of the links follow.
 3. Buckets that still hold several components are dealt in blocks of at most ``BLOCK`` nodes, block against block, where sketches are compared in arrays; only pairs
    of different components within the Hamming bound leave, and the exact sets decide again. A pair within one component can't change it.
 
 So every link between components is found, whatever the size of a bucket, and links within a component need not be listed.
 
-Cases: null, empty and blank texts have an empty set, which links with nothing; a null doc_id takes no part and keeps a null
-component; rows that repeat a doc_id are one document for the links, each with its own n_shingles; ties don't arise, as a component is named by its
-smallest doc_id; columns besides doc_id and text are not read.
+Cases: null, empty and blank texts have an empty set, which links with nothing; in :func:`jaccard_groups` a null doc_id takes no part and keeps a null
+component, and rows that repeat a doc_id are linked, each with its own n_shingles, whatever their texts; a component is named by its
+smallest doc_id, so ties don't arise; columns besides doc_id and text are not read. More than 60 rounds of joining stars to components, enough for paths of 2**60 links, raise an error.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import discard, list_column, small_batches, written
+from evalweave.llm.common import columns, discard, free_name, list_column, small_batches, written
 from evalweave.llm.components import connected_components
 from evalweave.llm.shingles import mix, shingle_sets
 
 #: Nodes of a bucket that one comparison holds at a time, on either side.
 BLOCK = 1024
-GROWTH = 1.5
+#: Sizes of a band lie within this factor.
+RATIO = 3
+#: Shingles of leaves that one task compares with a star's centre at most, about.
+SALT_SHINGLES = 2_000_000
+#: Elements that a step of sketching holds at a time, or one document.
+STEP_ELEMENTS = 1 << 18
 
 
 class Bands:
-    """Capacities 0, 1, ... growing by :data:`GROWTH`, for a threshold of ``percent`` in a hundred."""
+    """Size bands for a threshold of ``percent`` in a hundred: band k holds sizes from RATIO**k to RATIO**(k + 1) - 1."""
 
     def __init__(self, percent: int):
         if not 50 <= percent <= 100:
             raise ValueError("a threshold between 50 and 100 percent")
-        self.percent, self.capacity = percent, [0]
-        while self.capacity[-1] < 1 << 40:
-            self.capacity.append(max(self.capacity[-1] + 1, math.ceil(self.capacity[-1] * GROWTH)))
+        self.percent = percent
+
+    def of(self, size: int) -> int:
+        k = 0
+        while RATIO ** (k + 1) <= size:
+            k += 1
+        return k
+
+    def top(self, band: int) -> int:
+        return RATIO ** (band + 1) - 1
 
     def most(self, smaller: int) -> int:
         """Elements in which a set of this size and one that links to it, no smaller, can differ."""
@@ -59,97 +73,145 @@ class Bands:
         """The smallest size of a set that links to one of this size."""
         return -(-size * self.percent // 100)
 
-    def of(self, smaller: int) -> int:
-        return int(np.searchsorted(self.capacity, self.most(smaller)))
-
-    def all_of(self, size: int) -> range:
-        """Bands in which a set of this size meets partners: as the larger of the two, and as the smaller."""
-        return range(self.of(self.least(size)), self.of(size) + 1)
-
-
-def parity_sketch(elements: np.ndarray, words: int) -> np.ndarray:
-    """``words`` 64-bit words; each element flips the bit that its hash names."""
-    spread = mix(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    place = ((spread >> np.uint64(32)) * np.uint64(words) >> np.uint64(32)).astype(np.int64)
-    bit = np.uint64(1) << (spread & np.uint64(63))
-    by = np.argsort(place, kind="stable")
-    place, bit = place[by], bit[by]
-    out = np.zeros(words, dtype=np.uint64)
-    if len(place):
-        heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        out[place[heads]] = np.bitwise_xor.reduceat(bit, heads)
-    return out
+    def places(self, band: int) -> int:
+        """More than pairs of this band can differ in, by enough that few sets have too many empty places; a multiple of 8."""
+        return ((self.most(self.top(band)) + 1) * 5 // 4 // 8 + 1) * 8
+
+    def wanted(self, size: int) -> list[tuple[int, int]]:
+        """(band, D + 1) where a set of this size meets sets that differ from it; none where only equal sets link."""
+        own = self.of(size)
+        out = [(own, self.most(size) + 1)] if self.most(size) else []
+        if own and self.least(size) <= self.top(own - 1):
+            differ = (min(self.top(own - 1), size) + size) * (100 - self.percent) // (100 + self.percent)
+            if differ:
+                out.append((own - 1, differ + 1))
+        return out
+
+
+def sketches(sets: list[np.ndarray], asked: list[tuple[int, int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each asked (set, band, places, first): the sketch as bytes, and the hashes of that many places, most elements first."""
+    at = 0
+    while at < len(asked):
+        end, elements = at, 0
+        while end < len(asked) and (end == at or elements + len(sets[asked[end][0]]) <= STEP_ELEMENTS):
+            elements += len(sets[asked[end][0]])
+            end += 1
+        part = asked[at:end]
+        at = end
+        places = np.array([p for _, _, p, _ in part], dtype=np.int64)
+        base = np.cumsum(places) - places
+        size = np.array([len(sets[i]) for i, _, _, _ in part])
+        spread = mix(np.concatenate([sets[i] for i, _, _, _ in part]) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        wide = np.repeat(places.astype(np.uint64), size)
+        slot = ((spread >> np.uint64(32)) * wide >> np.uint64(32)).astype(np.int64) + np.repeat(base, size)
+        flips = (mix(spread) & np.uint64(0xFFFFFFFFFFFFFF00)) | (np.uint64(1) << (spread & np.uint64(7)))
+        total = int(places.sum())
+        word = np.zeros(total, dtype=np.uint64)
+        np.bitwise_xor.at(word, slot, flips)
+        count = np.bincount(slot, minlength=total)
+        within = (np.arange(total) - np.repeat(base, places)).astype(np.uint64)
+        level = np.repeat(np.array([b for _, b, _, _ in part], dtype=np.uint64), places)
+        hashed = mix(mix(word + within * np.uint64(0x9E3779B97F4A7C15)) + level * np.uint64(0xD6E8FEB86659FD93))
+        # the first byte orders places by their elements, the most first
+        key = (np.uint64(255) - np.minimum(count, 255).astype(np.uint64)) << np.uint64(56) | hashed >> np.uint64(8)
+        bits = (word & np.uint64(0xFF)).astype(np.uint8)
+        for (_, _, p, first), b in zip(part, base.tolist(), strict=True):
+            own = key[b : b + p]
+            yield bits[b : b + p], np.sort(own)[:first]
+
+
+def _joined(parts: list[np.ndarray | None], kind: pa.DataType) -> pa.ListArray:
+    """A list column; None is an empty list."""
+    flat = [np.zeros(0, np.int64) if p is None else p for p in parts]
+    return list_column(np.concatenate(flat) if flat else np.zeros(0, np.int64), np.array([len(p) for p in flat], dtype=np.int64), kind)
+
+
+FEATURES = "doc_id long, h1 long, h2 long, n long, d1 long, d2 long, band int, sketch array<long>, keys array<long>, sketch_below array<long>, keys_below array<long>"
+
+
+def text_hashes(text: Column) -> list[Column]:
+    """h1, h2: tell texts apart; a null text is an empty one."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")]
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
-    """doc_id, n, the set's digest (d1, d2) and its sketches: a row per document and band; main marks one row per document."""
+    """A row per document: its text (h1, h2), its set's size n and digest (d1, d2), and sketches and place hashes for its band and the one below; empty lists where it has no use for them."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            ids = batch.column("doc_id")
             for first, sets in shingle_sets(batch.column("text"), width):
-                row, n, d1, d2, level, main, sketch = [], [], [], [], [], [], []
-                for k, own in enumerate(sets):
-                    with np.errstate(over="ignore"):
-                        one = int(mix(own + np.uint64(0x1F)).sum(dtype=np.uint64)) if len(own) else 0
-                        two = int(mix(own ^ np.uint64(0xC3C3C3C3C3C3C3C3)).sum(dtype=np.uint64)) if len(own) else 0
-                    for j, band in enumerate(bands.all_of(len(own)) if len(own) else [0]):
-                        row.append(first + k)
-                        n.append(len(own))
-                        d1.append(one)
-                        d2.append(two)
-                        level.append(band)
-                        main.append(j == 0)
-                        sketch.append(parity_sketch(own, bands.capacity[band] + 1) if len(own) else np.zeros(0, np.uint64))
-                flat = np.concatenate(sketch) if sketch else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": ids.take(pa.array(row, pa.int64())),
-                        "n": pa.array(n, pa.int64()),
-                        "d1": np.array(d1, dtype=np.uint64).view(np.int64),
-                        "d2": np.array(d2, dtype=np.uint64).view(np.int64),
-                        "band": pa.array(level, pa.int32()),
-                        "main": pa.array(main),
-                        "sketch": list_column(flat.view(np.int64), np.array([len(s) for s in sketch], dtype=np.int64), pa.int64()),
-                    }
+                n = np.array([len(own) for own in sets], dtype=np.int64)
+                with np.errstate(over="ignore"):
+                    one = np.array([mix(own + np.uint64(0x1F)).sum(dtype=np.uint64) for own in sets], dtype=np.uint64)
+                    two = np.array([mix(own ^ np.uint64(0xC3C3C3C3C3C3C3C3)).sum(dtype=np.uint64) for own in sets], dtype=np.uint64)
+                band = [bands.of(int(k)) if k else 0 for k in n]
+                asked = [(i, b, bands.places(b), most) for i, k in enumerate(n.tolist()) if k for b, most in bands.wanted(k)]
+                lists: list[list[np.ndarray | None]] = [[None] * len(sets) for _ in range(4)]
+                for (i, b, _, _), (bits, keys) in zip(asked, sketches(sets, asked), strict=True):
+                    at = 0 if b == band[i] else 2
+                    lists[at][i], lists[at + 1][i] = bits.view(np.int64), keys.view(np.int64)
+                part = batch.slice(first, len(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("h1"), part.column("h2"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(band, pa.int32()), *(_joined(x, pa.int64()) for x in lists)],
+                    names=["doc_id", "h1", "h2", "n", "d1", "d2", "band", "sketch", "keys", "sketch_below", "keys_below"],
                 )
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(sketched, "doc_id long, n long, d1 long, d2 long, band int, main boolean, sketch array<long>")
-
-
-def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, elements) for the documents named by ``nodes``, one row each."""
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("node")
-            for first, sets in shingle_sets(batch.column("text"), width):
-                counts = np.array([len(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_pydict({"node": ids.slice(first, len(sets)), "elements": list_column(np.concatenate(sets).view(np.int64), counts, pa.int64())})
-
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    return rows.join(nodes, "node", "left_semi").mapInArrow(listed, "node long, elements array<long>").dropDuplicates(["node"])
+    text = columns([text_col])[0]
+    rows = docs.select(columns([id_col])[0].cast("long").alias("doc_id"), *text_hashes(text), F.coalesce(text, F.lit("")).alias("text"))
+    return rows.mapInArrow(sketched, FEATURES)
 
 
 def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, band) whose sketches allow a link."""
-    side = lambda x: nodes.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    """Pairs (a, b) whose sketches in the pair's band allow a link, with both sizes."""
+    own = nodes.where("size(sketch) > 0").select("node", "band", "n", "sketch")
+    below = nodes.where("size(sketch_below) > 0").select("node", (F.col("band") - 1).alias("band"), "n", F.col("sketch_below").alias("sketch"))
+    every = own.unionByName(below)
+    side = lambda x: every.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     distance = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return both.where(distance * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
+    return both.where(fits).where(distance * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b", "n_a", "n_b")
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
-    """Pairs (a, b) whose exact sets link."""
+def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) whose exact sets link.
+
+    One text of each node in a pair is fetched, and goes to each star that the node is a leaf of; a centre's text goes once to each of the tasks that its leaves are dealt to.
+    """
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(sets_of(docs, ends, id_col, text_col, width), "sets")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("elements").alias(f"e_{x}"))
-    shared = F.size(F.array_intersect("e_a", "e_b"))
-    union = F.size("e_a") + F.size("e_b") - shared
-    links = written(pairs.join(side("a"), "a").join(side("b"), "b").where(shared * 100 >= union * percent).select("a", "b"), "links")
-    discard(sets)
+    ends = nodes.select("node", "h1", "h2").join(ends, "node", "left_semi")
+    text = columns([text_col])[0]
+    rows = docs.select(*text_hashes(text), F.coalesce(text, F.lit("")).alias("text"))
+    # a text that many documents repeat: one of them for each partial sum
+    texts = written(rows.join(ends, ["h1", "h2"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    salts = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / F.lit(SALT_SHINGLES)).cast("int").alias("salts"))
+    leaves = pairs.select("a", "b").join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    right = leaves.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "salt", F.lit(1).alias("leaf"), "b", "text")
+    left = salts.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("leaf"), F.col("a").alias("b"), "text")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b, leaf = (batch.column(c).to_pylist() for c in ("a", "b", "leaf"))
+            found_a, found_b = [], []
+            for first, sets in shingle_sets(batch.column("text"), width):
+                for k, own in enumerate(sets, first):
+                    if not leaf[k]:
+                        centre = own
+                    elif len(centre) and len(own):
+                        at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                        shared = int((centre[at] == own).sum())
+                        if 100 * shared >= percent * (len(centre) + len(own) - shared):
+                            found_a.append(a[k])
+                            found_b.append(b[k])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = left.unionByName(right).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "leaf")
+    links = written(placed.mapInArrow(compared, "a long, b long"), "links")
+    discard(texts)
     return links
 
 
@@ -159,94 +221,144 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
     ``members`` has key, block (of comparison), side, node, n, component, sketch; rows of one comparison are together and hold at most :data:`BLOCK` nodes a side.
     """
 
-    def compare(side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, ...]:
         left = np.flatnonzero(side != 2)
         right = np.flatnonzero(side != 1)
-        found_a, found_b = [], []
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         rows = max(1, (1 << 21) // max(1, len(right) * sketch.shape[1]))
         for at in range(0, len(left), rows):
             part = left[at : at + rows]
             distance = np.bitwise_count(sketch[part, None, :] ^ sketch[None, right, :]).sum(axis=2, dtype=np.int64)
             fits = (distance * (100 + percent) <= (n[part, None] + n[None, right]) * (100 - percent)) & (comp[part, None] != comp[None, right])
+            fits &= np.minimum(n[part, None], n[None, right]) * 100 >= np.maximum(n[part, None], n[None, right]) * percent
             i, j = np.nonzero(fits)
-            found_a.append(node[part[i]])
-            found_b.append(node[right[j]])
+            found_a.append(part[i])
+            found_b.append(right[j])
         a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return np.minimum(a, b), np.maximum(a, b)
+        a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
+        return node[a], node[b], n[a], n[b]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
 
-        def groups(table: pa.Table, final: bool) -> tuple[list[tuple[np.ndarray, np.ndarray]], pa.Table]:
+        def groups(table: pa.Table, final: bool) -> tuple[list[tuple[np.ndarray, ...]], pa.Table]:
             table = table.combine_chunks()
             key, block = table["key"].to_numpy(), table["block"].to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) if len(key) else np.zeros(0, np.int64)
             ends = np.append(cuts[1:], len(key))
             whole = len(cuts) if final else len(cuts) - 1
             out = []
-            columns = {c: table[c].to_numpy() for c in ("side", "node", "n", "component")}
+            named = {c: table[c].to_numpy() for c in ("side", "node", "n", "component")}
             lists = table["sketch"].chunk(0) if table.num_rows else None
             for first, last in zip(cuts[:whole].tolist(), ends[:whole].tolist(), strict=True):
-                if last - first > 1 and len(np.unique(columns["component"][first:last])) > 1:
+                if last - first > 1 and len(np.unique(named["component"][first:last])) > 1:
                     own = lists.slice(first, last - first).flatten().to_numpy().view(np.uint64).reshape(last - first, -1)
-                    out.append(compare(*[columns[c][first:last] for c in ("side", "node", "n", "component")], own))
+                    out.append(compare(*[named[c][first:last] for c in ("side", "node", "n", "component")], own))
             return out, table.slice(int(cuts[whole]) if whole < len(cuts) else table.num_rows)
 
         for batch in batches:
             waiting.append(batch)
             found, rest = groups(pa.Table.from_batches(waiting), False)
             waiting = rest.to_batches()
-            for a, b in found:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            for a, b, n_a, n_b in found:
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "n_a": n_a, "n_b": n_b})
         if waiting:
-            for a, b in groups(pa.Table.from_batches(waiting), True)[0]:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            for a, b, n_a, n_b in groups(pa.Table.from_batches(waiting), True)[0]:
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "n_a": n_a, "n_b": n_b})
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = members.repartition(n, "key", "block").sortWithinPartitions("key", "block")
-    return placed.mapInArrow(compared, "a long, b long").distinct()
+    return placed.mapInArrow(compared, "a long, b long, n_a long, n_b long").distinct()
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; see the module."""
+def linked_sets(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, also: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three written tables: the documents (doc_id, h1, h2, n, node; node is null for an empty set), the nodes (node, low: the smallest doc_id), and (node, component) for nodes with links.
+
+    Documents without doc_id take part if ``also``.
+    """
     small_batches(docs.sparkSession)
     made = written(features(docs, id_col, text_col, percent, width), "features")
-    main = made.where("main").select("doc_id", "n", "d1", "d2")
-    # a table of its own: the join below then has an exchange on either side, and Spark can split a group of copies
-    equal = written(main.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node")), "equal")
-    first = equal.select(F.col("node").alias("doc_id"), "n", "d1", "d2")
-    nodes = written(made.join(first, ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2", "band"]).select(F.col("doc_id").alias("node"), "n", "band", "sketch"), "nodes")
-    main = written(main.join(equal, ["n", "d1", "d2"], "left").select("doc_id", "n", "node"), "main")
+    digest = ["n", "d1", "d2"]
+    each = made.where("n > 0" if also else "n > 0 and doc_id is not null")
+    # copies are summed up before they move: a group of them is one row of each task
+    lists = [F.first(c).alias(c) for c in ("band", "sketch", "keys", "sketch_below", "keys_below")]
+    equal = each.groupBy(*digest).agg(F.min("doc_id").alias("low"), F.min(F.struct("h1", "h2")).alias("h"), *lists)
+    nodes = written(equal.select(F.monotonically_increasing_id().alias("node"), *digest, "low", "h.h1", "h.h2", "band", "sketch", "keys", "sketch_below", "keys_below"), "nodes")
+    main = made.select("doc_id", "h1", "h2", *digest).join(nodes.select("node", *digest), digest, "left")
+    main = written(main.select("doc_id", "h1", "h2", "n", F.when(F.lit(also) | F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "main")
     discard(made)
 
-    # band 0 takes equal sets only, and those are one node
-    words = nodes.where("band > 0").select("node", "band", F.posexplode("sketch").alias("place", "word")).select("node", "band", F.xxhash64("band", "place", "word").alias("key"))
+    words = nodes.select("node", "band", F.explode("keys").alias("key")).unionByName(nodes.select("node", (F.col("band") - 1).alias("band"), F.explode("keys_below").alias("key")))
     shared = words.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("band").alias("band")).where("low <> high")
     shared = written(shared, "shared")
     crowded = shared.where("size > 2").select("key", "low", "size")
     members = written(words.join(crowded, "key"), "members")
     pairs = shared.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"), "band")
     stars = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"), "band")
-    pairs = pairs.unionByName(stars).distinct()
-    candidates = written(within_bound(pairs, nodes, percent), "candidates").distinct()
-    links = exact_links(candidates, docs, id_col, text_col, percent, width)
-    groups = connected_components(links)
+    candidates = written(within_bound(pairs.unionByName(stars).distinct(), nodes, percent).distinct(), "candidates")
     discard(shared)
+    links = exact_links(candidates, nodes, docs, text_col, percent, width)
+    groups = connected_components(links)
+    discard(candidates, links)
 
-    found = members.join(groups, "node", "left").select("key", "band", "node", "size", F.coalesce("component", "node").alias("component"))
+    found = members.join(groups, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
     found = written(found, "found")
-    mixed = found.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.count(F.lit(1)).alias("size")).where("c1 <> c2")
-    mixed = mixed.groupBy("who", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    who = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(20,0)")).alias(f"who{k}") for k in (1, 2)]
+    mixed = found.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("band").alias("band"), *who, F.count(F.lit(1)).alias("size")).where("c1 <> c2")
+    # buckets of the same nodes are compared once
+    mixed = mixed.groupBy("who1", "who2", "first", "last", "band", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     dealt = found.join(mixed, "key").select("key", "band", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     dealt = dealt.select("key", "band", "node", "component", (low.cast("long") * (1 << 31) + high).alias("block"), side.cast("int").alias("side"))
-    more = written(compare_blocks(dealt.join(nodes, ["node", "band"]).select("key", "block", "side", "node", "n", "component", "sketch"), percent), "more")
-    also = exact_links(more, docs, id_col, text_col, percent, width)
-    whole = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(also)
-    final = connected_components(whole)
-    discard(members, found, nodes)
-    out = main.join(final, "node", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    sketch = F.when(F.col("own_band") == F.col("band"), F.col("sketch")).otherwise(F.col("sketch_below"))
+    dealt = dealt.join(nodes.select("node", "n", F.col("band").alias("own_band"), "sketch", "sketch_below"), "node").select("key", "block", "side", "node", "n", "component", sketch.alias("sketch"))
+    more = written(compare_blocks(dealt, percent), "more")
+    discard(members, found)
+    linked = exact_links(more, nodes, docs, text_col, percent, width)
+    final = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked))
+    discard(more, linked)
+    names = written(nodes.select("node", "low"), "names")
+    discard(nodes)
+    return main, names, final
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; see the module."""
+    main, names, linked = linked_sets(docs, percent, width, id_col, text_col)
+    several = main.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b <> high").select("doc_id", "b")
+    several = main.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+    if several.limit(1).count():  # texts of one doc_id
+        linked = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(several))
+    lowest = names.join(linked, "node").groupBy("component").agg(F.min("low").alias("component_id"))
+    named = names.join(linked, "node", "left").join(lowest, "component", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    out = main.join(named, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
+    """One document of each group of links stays: the one with the smallest doc_id (null comes last), among texts of one id by the text's hash; all of its columns are kept.
+
+    Documents without words stay. Rows that repeat both id and text are one document; the one that sorts first stays. Rows that share an id but not a group all stay.
+    """
+    main, names, linked = linked_sets(docs, percent, width, id_col, text_col, also=True)
+    discard(names)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    rows = main.where("node is not null").join(linked, "node", "left").select(F.coalesce("component", "node").alias("component"), row.alias("row"))
+    first = rows.groupBy("component").agg(F.min("row").alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    others = written(rows.join(first, "component").select("row", (F.col("row") == F.col("best")).alias("stays")), "copies")
+    taken = docs.columns
+    h1, h2, none, own = (free_name(c, taken) for c in ("h1", "h2", "none", "own_id"))
+    keys = [c.alias(n) for c, n in zip(text_hashes(columns([text_col])[0]), (h1, h2), strict=True)]
+    doc_id = columns([id_col])[0].cast("long")
+    marked = docs.select(*columns(taken), *keys, doc_id.isNull().alias(none), F.coalesce(doc_id, F.lit(0)).alias(own))
+    key = [F.col("row.none").alias(none), F.coalesce("row.doc_id", F.lit(0)).alias(own), F.col("row.h1").alias(h1), F.col("row.h2").alias(h2)]
+    kept = marked.join(others.where("not stays").select(*key).distinct(), [none, own, h1, h2], "left_anti")
+    again = others.where("stays").select(*key).groupBy(none, own, h1, h2).count().where("count > 1").drop("count")
+    if again.limit(1).count():  # rows that repeat id and text
+        order = Window.partitionBy(none, own, h1, h2).orderBy(*columns(taken))
+        place = free_name("place", kept.columns)
+        one = kept.join(again, [none, own, h1, h2], "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+        kept = kept.join(again, [none, own, h1, h2], "left_anti").unionByName(one)
+    return kept.select(*columns(taken))

@@ -3,12 +3,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evalweave.llm import jaccard_join
 from evalweave.llm.components import connected_components
-from evalweave.llm.jaccard_join import Bands, jaccard_groups, parity_sketch
+from evalweave.llm.jaccard_join import Bands, distinct_documents, jaccard_groups, sketches
+from evalweave.llm.shingles import shingle_sets
 
 from .fixtures import DOC, awkward, empty, prose
 
@@ -19,8 +21,8 @@ def shingles(text, width=3):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
-def brute(rows, percent=90):
-    sets = {i: shingles(t) for i, t in rows if i is not None}
+def brute(rows, percent=90, width=3):
+    sets = {i: shingles(t, width) for i, t in rows if i is not None}
     group = {i: i for i in sets}
     changed = True
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
@@ -65,20 +67,61 @@ def test_crowded_buckets_against_brute_force(spark, monkeypatch, percent):
     assert got == brute(rows, percent)
 
 
-def test_sketches_bound_the_difference_and_bands_meet():
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_sketches_bound_the_difference_and_places_meet(percent):
     rng = np.random.default_rng(0)
-    bands = Bands(90)
-    for _ in range(200):
-        a = rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64)
-        b = np.concatenate([a[: len(a) - len(a) // 20], rng.integers(0, 2**63, len(a) // 25).astype(np.uint64)])
-        words = bands.capacity[bands.of(min(len(a), len(b)))] + 1
-        distance = int(np.bitwise_count(parity_sketch(a, words) ^ parity_sketch(b, words)).sum())
+    bands = Bands(percent)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
+        n, gone = len(a), rng.integers(0, max(1, len(a) // 6) + 1)
+        b = np.unique(np.concatenate([a[: n - gone], rng.integers(0, 2**63, rng.integers(0, max(1, n // 6) + 1)).astype(np.uint64)]))
         difference = len(set(a.tolist()) ^ set(b.tolist()))
-        assert distance <= difference
-        if difference * 19 <= len(a) + len(b):
-            shared = set(bands.all_of(len(a))) & set(bands.all_of(len(b)))
-            assert bands.of(min(len(a), len(b))) in shared and difference <= bands.most(min(len(a), len(b)))
-            assert (parity_sketch(a, words) == parity_sketch(b, words)).any()
+        if not len(b) or not difference or 100 * len(set(a.tolist()) & set(b.tolist())) < percent * len(set(a.tolist()) | set(b.tolist())):
+            continue
+        asked = [(i, band, bands.places(band), most) for i, x in enumerate((a, b)) for band, most in bands.wanted(len(x))]
+        made = {(i, band): out for (i, band, _, _), out in zip(asked, sketches([a, b], asked), strict=True)}
+        band = bands.of(min(len(a), len(b)))
+        distance = int(np.bitwise_count(made[0, band][0] ^ made[1, band][0]).sum())
+        assert distance <= difference and set(made[0, band][1].tolist()) & set(made[1, band][1].tolist())
+
+
+def test_repeated_ids_in_any_order(spark):
+    """Two texts of one doc_id, each with a near copy: all are one group, however the rows lie."""
+    one, two = prose(1, 200), prose(2, 200)
+    near = lambda t: t.replace(" w", " changed w", 1)
+    rows = [(5, one), (5, two), (7, near(one)), (8, near(two)), (5, one), (3, prose(3, 50))]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC).repartition(3)
+        assert {(r.doc_id, r.component_id) for r in jaccard_groups(docs).collect()} == {(5, 5), (7, 5), (8, 5), (3, 3)}
+        kept = distinct_documents(docs, percent=90, width=3).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted([(3, prose(3, 50)), (5, one), (5, two)])
+
+
+def test_distinct_documents_keeps_columns_and_nulls(spark):
+    docs = awkward(spark).withColumn("h1", F.lit(1)).withColumn("none", F.lit(2)).withColumn("own_id", F.lit(3)).withColumn("place", F.lit(4))
+    kept = distinct_documents(docs.unionByName(docs.where("doc_id in (0, 9)")), percent=90, width=3)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["0", "3", "4", "5", "6", "7", "9", "10", "11", "12", "None"])
+    alone = spark.createDataFrame([(None, prose(5, 90), "en", "s", 0), (4, prose(5, 90), "en", "s", 0), (None, prose(6, 90), "en", "s", 0)], DOC)
+    assert sorted(str(r.doc_id) for r in distinct_documents(alone).collect()) == ["4", "None"]
+    assert distinct_documents(empty(spark)).count() == 0
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    """The Thue-Morse word and its complement: equal for every polynomial modulo 2**64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word, "en", "s", 0), (2, other, "en", "s", 0), (3, word.upper(), "en", "s", 0)], DOC)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_groups(docs).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_long_texts_in_pieces():
+    rng = random.Random(1)
+    for text in (prose(9, 4000, 900), "x" * 5000, " " * 3000 + prose(2, 40) + "\t" + "y" * 700 + " z " * 300, "é" * 400 + " " + "A" * 10, " ".join("q" * rng.randrange(1, 200) for _ in range(300))):
+        whole = next(shingle_sets(pa.array([text])))[1][0]
+        for size in (7, 64, 500):
+            assert next(shingle_sets(pa.array([text]), step_bytes=size))[1][0].tolist() == whole.tolist()
 
 
 def test_components(spark):
