@@ -4,11 +4,12 @@ Words are runs of letters and marks, lowered. At each character of an unseen wor
 ends marked) that ends there and is known gives its log frequencies; the word's score is their mean, so that it weighs like a known word. A text's language has the largest sum;
 its score is the posterior of the mean log frequencies, sharpened by at most ``EVIDENCE`` words.
 
-The model is fitted on a bounded sample: about ``SAMPLE_DOCS`` labelled documents a language, chosen by id hash, from documents that are not held out; it keeps the ``GRAMS`` most frequent words
-and n-grams of each length and language, fewer where there are so many languages that the model would exceed ``MODEL_ROWS``, which bounds what is broadcast. Language, source and id are never an input of a prediction.
+The model is fitted on a bounded sample of labelled documents, whole texts, from documents that are not held out: about ``sample_docs`` a language, chosen by id hash, and about ``total_docs`` in all, dealt evenly among
+the languages; that bound is what limits the model, which holds every word and n-gram of the sample and is gathered and broadcast. It stores, for each of them, only the languages that have it; the others' log frequency is one number a
+language and length. Every language takes part, however many there are. Language, source and id are never an input of a prediction.
 
 Cases: null texts and texts without a letter are "und" with score 0; without any labelled document every text is "und"; a row without lang teaches nothing;
-a row without doc_id counts as held out; ties go to the language that sorts first; repeated rows get equal predictions; other columns are not read.
+a row without doc_id counts as held out; ties go to the language that sorts first; repeated rows get equal predictions; other columns are not read, and ride along whatever their names, but for those named as the two outputs, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import ragged, small_batches, steps
+from evalweave.llm.common import columns, free_name, ragged, small_batches, steps
 from evalweave.llm.shingles import mix, powers
 
 SAMPLE_DOCS = 2000
-GRAMS = 20_000
-MODEL_ROWS = 1_000_000
+TOTAL_DOCS = 20_000
 LONGEST = 5
 EVIDENCE = 20
 BITS = 20
@@ -80,16 +80,14 @@ class Words:
         return mix(self.spans(at, ends) + mark)
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, int]:
-    """(lang, text) of the bounded sample, and the number of languages."""
-    bucket = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where(bucket != 0).where("lang is not null and text is not null")
-    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect())  # languages are few
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(share)
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, total_docs: int) -> DataFrame:
+    """(lang, text) of the bounded sample."""
+    doc_id, text, lang = columns([id_col, text_col, lang_col])
+    rows = docs.select(doc_id.alias("id"), text.alias("text"), lang.alias("lang")).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    share = F.greatest(F.lit(1.0), F.least(F.lit(float(sample_docs)), F.lit(float(total_docs)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))) / F.col("n")
     place = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rows.where(place < share).select("lang", "text"), len(counts)
+    return rows.join(counts.select("lang", share.alias("share")), "lang").where(place < F.col("share")).select("lang", "text")
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,24 +114,28 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Sorted gram hashes and log frequencies by length and language; length 0 is whole words."""
+    """Sorted gram hashes and, for each, the languages that have it and by how much its log frequency exceeds the language's for grams it doesn't have; length 0 is whole words."""
 
     def __init__(self, langs: list[str], rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], totals: np.ndarray):
         self.langs = langs
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
+        self.absent = np.zeros((LONGEST + 1, len(langs)))
+        self.tables: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for n in range(LONGEST + 1):
             gram, lang, times = rows.get(n, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)))
-            known, at = np.unique(gram, return_inverse=True)
-            weight = np.full((len(known), len(langs)), 0.5)
-            weight[at, lang] += times
-            weight = np.log(weight / (totals[n][None, :] + 0.5 * max(1, len(known)))).astype(np.float32)
+            by = np.lexsort((lang, gram))
+            gram, lang, times = gram[by], lang[by], times[by]
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+            known = gram[first]
+            self.absent[n] = np.log(0.5 / (totals[n] + 0.5 * max(1, len(known))))
+            self.entries.append((np.append(first, len(gram)).astype(np.int64), lang.astype(np.int32), np.log((times + 0.5) / 0.5)))
             slots = (known >> np.uint64(64 - BITS)).astype(np.int64)
             start = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=1 << BITS))]).astype(np.int32)
-            self.tables.append((known, start, weight, int(np.diff(start).max()) if len(known) else 0))
+            self.tables.append((known, start, int(np.diff(start).max()) if len(known) else 0))
 
     def find(self, n: int, gram: np.ndarray) -> np.ndarray:
         """The row of each gram, -1 where it is unknown."""
-        known, start, _, deepest = self.tables[n]
+        known, start, deepest = self.tables[n]
         out = np.full(len(gram), -1, dtype=np.int64)
         slot = (gram >> np.uint64(64 - BITS)).astype(np.int64)
         first, last = start[slot], start[slot + 1]
@@ -144,68 +146,67 @@ class Model:
             out[live[hit]] = at[hit]
         return out
 
+    def add(self, total: np.ndarray, n: int, row: np.ndarray, text: np.ndarray, weight: np.ndarray) -> None:
+        """Add the weighted log frequencies of known grams to their texts' sums."""
+        count, langs = len(total), len(self.langs)
+        total += np.bincount(text, weights=weight, minlength=count)[:, None] * self.absent[n]
+        starts, lang, more = self.entries[n]
+        size = starts[row + 1] - starts[row]
+        at = ragged(starts[row], size)
+        total += np.bincount(np.repeat(text, size) * langs + lang[at], weights=np.repeat(weight, size) * more[at], minlength=count * langs).reshape(count, langs)
+
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log frequency of each text's words in each language, and the number of words."""
         words = Words(texts)
         row = self.find(0, words.hashes())
-        value = np.zeros((len(row), len(self.langs)), dtype=np.float64)
+        total = np.zeros((len(texts), len(self.langs)))
         known = row >= 0
-        value[known] = self.tables[0][2][row[known]]
+        self.add(total, 0, row[known], words.text[known], np.ones(int(known.sum())))
         unseen = np.flatnonzero(~known)
         if len(unseen):
-            first, last = words.first[unseen], words.last[unseen]
+            first, last, text = words.first[unseen], words.last[unseen], words.text[unseen]
             size = last - first
             ends, owner = ragged(first + 1, size), np.repeat(np.arange(len(unseen)), size)
-            part = np.zeros((len(ends), len(self.langs)), dtype=np.float32)
             left = np.arange(len(ends))
             for n in range(LONGEST, 0, -1):
                 fit = left[ends[left] - n >= first[owner[left]]]
                 found = self.find(n, words.grams(ends[fit], first[owner[fit]], last[owner[fit]], n))
-                hit = found >= 0
-                part[fit[hit]] = self.tables[n][2][found[hit]]
+                hit = fit[found >= 0]
+                self.add(total, n, found[found >= 0], text[owner[hit]], 1.0 / size[owner[hit]])
                 done = np.zeros(len(ends), dtype=bool)
-                done[fit[hit]] = True
+                done[hit] = True
                 left = left[~done[left]]
-            value[unseen] = np.add.reduceat(part, np.cumsum(size) - size, axis=0) / size[:, None]
         count = np.bincount(words.text, minlength=len(texts))
-        total = np.zeros((len(texts), len(self.langs)))
-        for c in range(len(self.langs)):
-            total[:, c] = np.bincount(words.text, weights=value[:, c], minlength=len(texts))
         return total / np.maximum(count, 1)[:, None], count
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, total_docs: int = TOTAL_DOCS) -> Model:
     small_batches(docs.sparkSession)
-    rows, n_langs = training_rows(docs, id_col, text_col, lang_col)
-    counted = rows.mapInArrow(count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
-    whole = Window.partitionBy("lang", "n")
-    place = F.row_number().over(whole.orderBy(F.desc("times"), "gram"))
-    most = min(GRAMS, MODEL_ROWS // ((LONGEST + 1) * max(1, n_langs)))
-    ranked = counted.withColumn("all", F.sum("times").over(whole)).withColumn("place", place).where((F.col("place") <= most) & ((F.col("times") > 1) | (F.col("n") == 1)))
-    kept = ranked.select("lang", "n", "gram", "times", "all").toArrow()
+    rows = training_rows(docs, id_col, text_col, lang_col, sample_docs, total_docs)
+    kept = rows.mapInArrow(count_grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")).toArrow()
     if not kept.num_rows:
-        return Model([], {}, np.ones((LONGEST + 1, 1)))
-    found = {c: kept[c].to_numpy() for c in kept.column_names}
-    langs, code = np.unique(found["lang"].astype(str), return_inverse=True)
-    langs = langs.tolist()
-    totals = np.ones((LONGEST + 1, len(langs)))
-    totals[found["n"], code] = found["all"]
-    by_n = {n: np.flatnonzero(found["n"] == n) for n in range(LONGEST + 1)}
-    gram, times = found["gram"].astype(np.int64).view(np.uint64), found["times"].astype(np.float64)
-    return Model(langs, {n: (gram[at], code[at], times[at]) for n, at in by_n.items() if len(at)}, totals)
-
-
-def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The carried columns of ``docs`` with lang_pred and score."""
+        return Model([], {}, np.ones((LONGEST + 1, 0)))
+    coded = kept["lang"].combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    langs, place = np.unique(np.array(coded.dictionary.to_pylist(), dtype=object).astype(str), return_inverse=True)
+    code = place[coded.indices.to_numpy()]
+    n, gram, times = kept["n"].to_numpy(), kept["gram"].to_numpy().astype(np.int64).view(np.uint64), kept["times"].to_numpy().astype(np.float64)
+    totals = np.bincount(n * len(langs) + code, weights=times, minlength=(LONGEST + 1) * len(langs)).reshape(LONGEST + 1, len(langs))
+    by_n = {k: np.flatnonzero(n == k) for k in range(LONGEST + 1)}
+    return Model(langs.tolist(), {k: (gram[at], code[at], times[at]) for k, at in by_n.items() if len(at)}, totals)
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """The carried columns of ``docs`` with the predicted language and its score."""
     small_batches(docs.sparkSession)
-    kept = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double")
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in (lang_name, score_name)]
+    schema = docs.select(*columns(kept)).schema.add(lang_name, "string").add(score_name, "double")
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known.value
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(batch.num_columns - 1)
             for first, last in steps(texts, STEP):
                 if own.langs:
                     mean, count = own.scores([t or "" for t in texts.slice(first, last - first).to_pylist()])
@@ -216,9 +217,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[s
                     count, best, score = np.zeros(last - first, np.int64), np.zeros(last - first, np.int64), np.zeros(last - first)
                 names = [own.langs[b] if c else "und" for b, c in zip(best.tolist(), count.tolist(), strict=True)]
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(count > 0, score, 0.0))], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(count > 0, score, 0.0))], names=[*kept, lang_name, score_name])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text")).mapInArrow(predicted, schema)
+    return docs.select(*columns(kept), columns([text_col])[0].alias(free_name("text", kept))).mapInArrow(predicted, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -16,11 +16,12 @@ PIECE = public_tokenizers.path("piece_bpe_32k.model")
 def test_pipeline_against_brute_force(spark, tmp_path):
     words = {k: " ".join(v) for k, v in LANGS.items()}
     rows = [(i, f"{words['aa']} n{i} {words['aa']}", "aa", "s1", 0) for i in range(100, 140)] + [(i, f"{words['bb']} m{i}", "bb", "s2", 0) for i in range(200, 230)]
+    rows += [(i, f"{' '.join(words['aa'].split() * 8)} {' '.join(f'o{i // 2}{k}' for k in range(40))} {i}", "aa", "s2", 0) for i in range(300, 310)]
     rows += [(1, "1 2 3", "aa", "s1", 0), (2, None, "bb", "s1", 0), (3, rows[0][1], "aa", "s2", 0), (None, f"{words['aa']} alone", "aa", "s1", 0), (5, rows[1][1], "aa", "s1", 0), (5, rows[1][1], "aa", "s1", 0)]
     spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((str(r.doc_id), r.ids_sha256, r.decoded_sha256, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     spoken = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
-    group = brute([(r[0], r[1]) for r in spoken])
+    group = brute([(r[0], r[1]) for r in spoken], 80, 5)
     kept = {r for r in spoken if r[0] is None or group[r[0]][1] == r[0]}
     assert 3 in {r[0] for r in kept} and 100 not in {r[0] for r in kept} and len([r for r in kept if r[0] == 5]) == 1
     mixed = mix_sources(spark.createDataFrame(sorted(kept, key=str), DOC)).collect()

@@ -84,6 +84,73 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def twin(rows):
+    """A plain scorer on dicts of counts: lang_pred and score of every text."""
+    import math
+    import unicodedata
+    import zlib
+
+    def words(text):
+        out, word = [], ""
+        for c in (text or "").lower() + " ":
+            if unicodedata.category(c)[0] in "LM":
+                word += c
+            else:
+                out, word = out + [word] * any(unicodedata.category(x)[0] == "L" for x in word), ""
+        return out
+
+    def spans(word, n):
+        return [word] if not n else [("^" * (i == n) + word[i - n : i] + "$" * (i == len(word)), i) for i in range(n, len(word) + 1)]
+
+    seen = {n: {} for n in range(6)}
+    for i, text, lang in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 and lang is not None and text is not None:
+            for w in words(text):
+                for n in range(6):
+                    for g in [w] if not n else [g for g, _ in spans(w, n)]:
+                        seen[n].setdefault(g, Counter())[lang] += 1
+    langs = sorted({c for n in seen for g in seen[n].values() for c in g})
+    total = {(n, c): sum(g[c] for g in seen[n].values()) for n in seen for c in langs}
+    log = lambda n, g, c: math.log((seen[n][g][c] + 0.5) / (total[n, c] + 0.5 * len(seen[n])))
+    out = []
+    for _, text, _ in rows:
+        own, sums = words(text), dict.fromkeys(langs, 0.0)
+        for w in own:
+            at = {}
+            for n in range(5, 0, -1) if w not in seen[0] else ():
+                for g, i in spans(w, n):
+                    if i not in at and g in seen[n]:
+                        at[i] = (n, g)
+            for c in langs:
+                sums[c] += log(0, w, c) if w in seen[0] else sum(log(n, g, c) for n, g in at.values()) / len(w)
+        if not own or not langs:
+            out.append(("und", 0.0))
+            continue
+        odds = {c: sums[c] / len(own) * min(len(own), 20) for c in langs}
+        best = max(langs, key=lambda c: odds[c])
+        out.append((best, 1 / sum(math.exp(odds[c] - odds[best]) for c in langs)))
+    return out
+
+
+def test_language_equals_a_plain_scorer(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spoken(spark, 200).collect()] + [(r.doc_id, r.text, r.lang) for r in awkward(spark).where("doc_id is null or doc_id not in (9, 10)").collect()]
+    rows += [(900 + i, t, None) for i, t in enumerate(["kalowexx vynkřek", "Šumé\u0301 12 ŽILO", "İstanbul straße", "q", "́ ", "kalo" * 30])]
+    docs = spark.createDataFrame([(i, t, c, "s", 0) for i, t, c in rows], DOC)
+    got = {(r.doc_id, r.n): (r.lang_pred, r.score) for r in predict(docs.withColumn("n", F.length("text")), fit(docs)).collect()}
+    for (i, text, _), (lang, score) in zip(rows, twin(rows), strict=True):
+        assert got[i, None if text is None else len(text)][0] == lang and abs(got[i, None if text is None else len(text)][1] - score) < 1e-9, text
+
+
+def test_language_many_languages_and_clashing_names(spark):
+    own = ["".join(chr(97 + i // 26**d % 26) for d in range(3)) for i in range(600)]
+    rows = [(i * 20 + k, f"{own[i]}wo {own[i]}rt {k}", f"l{i:03d}", "s", 0) for i in range(600) for k in range(6)]
+    docs = spark.createDataFrame(rows, DOC)
+    for name in ("_text", "text_", "share", "n", "place"):
+        docs = docs.withColumn(name, F.lit(1))
+    got = predict(docs, fit(docs, total_docs=1200)).collect()
+    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.9 and len({r.lang_pred for r in got}) > 580
+
+
 def test_language_awkward(spark):
     model = fit(spoken(spark))
     rows = spark.createDataFrame([(0, None), (1, ""), (2, "123 !!"), (3, "́"), (4, "KALO"), (5, "kalomirawexx"), (6, "x" * 50_000), (7, "wexi " * 40_000)], "doc_id long, text string")
@@ -114,6 +181,17 @@ def test_mixing_rates_and_counts(spark):
     assert all(sorted(r.copy for r in out if r.doc_id == i) == list(range(per_doc.get(i, 0))) for i in (0, 10, 20))
 
 
+def test_mixing_without_ids_and_with_clashing_names(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "en", "s", 0) for i in range(400)], DOC)
+    for name in ("full", "rest_cdf", "full_cdf", "rate", "n", "_source", "_row", "_key", "a b.c"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = mix_sources(docs, epochs=2.0).collect()
+    count = Counter(r.text for r in out)
+    assert abs(len(out) - 800) < 120 and len(set(count.values())) > 3 and out[0]["full"] == "full" and out[0]["a b.c"] == "a b.c"
+    same = spark.createDataFrame([(1, f"text {i}", "en", "s", 0) for i in range(400)], DOC)
+    assert abs(mix_sources(same, epochs=2.0).count() - 800) < 120
+
+
 def test_mixing_awkward(spark):
     got = mix_sources(awkward(spark), epochs=30.0)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy", "shuffle_key"] and got.where("source is null").count() > 0 and got.where("doc_id is null").count() > 0
