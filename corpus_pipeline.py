@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import language_id
-from evalweave.llm.common import discard, table, written
-from evalweave.llm.jaccard_join import jaccard_groups
+from evalweave.llm.common import columns, discard, free_name, table, written
+from evalweave.llm.jaccard_join import distinct_documents
 from evalweave.llm.mixing import mix_sources
 from evalweave.llm.pieces import digests, encode_pieces
 from evalweave.llm.registry import PIECE_BPE
@@ -22,28 +22,25 @@ LEAST_SCORE = 0.5
 PERCENT, WIDTH = 80, 5
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; those without letters or without a likely language go."""
-    known = language_id.predict(docs, language_id.fit(docs))
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score: float = LEAST_SCORE) -> DataFrame:
+    """Documents in a language that the model knows; those without letters or without a likely language go, null and empty texts with them."""
+    lang, score = (free_name(c, docs.columns) for c in ("lang_pred", "score"))
+    known = language_id.predict(docs, language_id.fit(docs), lang_name=lang, score_name=score)
+    return known.where((F.col(lang) != "und") & (F.col(score) >= least_score)).select(*columns(docs.columns))
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of links stays: the one with the smallest doc_id. Documents without doc_id stay; of rows that repeat a doc_id one stays."""
-    groups = written(jaccard_groups(docs, percent=PERCENT, width=WIDTH), "groups")
-    kept = docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """One document of each group of links stays, as :func:`evalweave.llm.jaccard_join.distinct_documents` says; documents that share an id but not a group all stay."""
+    return distinct_documents(docs, percent=percent, width=width)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at the square root of their size, each document repeated by its Poisson count, shuffled."""
-    return mix_sources(docs).select(*docs.columns)
+    """Sources at the square root of their size, each document repeated by its Poisson count, shuffled. A null source is one of its own; an empty table stays empty."""
+    return mix_sources(docs, copy_name=free_name("copy", docs.columns), key_name=free_name("shuffle_key", docs.columns)).select(*columns(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with an end id, and digests of the ids and of what they decode to."""
+    """Token ids with an end id, and digests of the ids and of what they decode to; a null or empty text is its end id alone."""
     rows = encode_pieces(docs.select("doc_id", "source", "text"), PIECE_BPE, decoded_col="decoded")
     return rows.select("doc_id", "source", "ids", *digests(rows))
 
