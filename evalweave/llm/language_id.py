@@ -5,7 +5,7 @@ ends marked) that ends there and is known gives its log frequencies; the word's
 its score is the posterior of the mean log frequencies, sharpened by at most ``EVIDENCE`` words.
 
 The model is fitted on a bounded sample of labelled documents, whole texts, from documents that are not held out: about ``sample_docs`` a language, chosen by id hash, and about ``total_docs`` in all, dealt evenly among
-the languages; that bound is what limits the model, which holds every word and n-gram of the sample and is gathered and broadcast. It stores, for each of them, only the languages that have it; the others' log frequency is one number a
+the languages, but ``LEAST_DOCS`` of each or all that it has; that bound is what limits the model, which holds every word and n-gram of the sample and is gathered and broadcast. It stores, for each of them, only the languages that have it; the others' log frequency is one number a
 language and length. Every language takes part, however many there are. Language, source and id are never an input of a prediction.
 
 Cases: null texts and texts without a letter are "und" with score 0; without any labelled document every text is "und"; a row without lang teaches nothing;
@@ -27,6 +27,7 @@ from evalweave.llm.shingles import mix, powers
 
 SAMPLE_DOCS = 2000
 TOTAL_DOCS = 20_000
+LEAST_DOCS = 8
 LONGEST = 5
 EVIDENCE = 20
 BITS = 20
@@ -85,7 +86,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     doc_id, text, lang = columns([id_col, text_col, lang_col])
     rows = docs.select(doc_id.alias("id"), text.alias("text"), lang.alias("lang")).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).where("lang is not null and text is not null")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
-    share = F.greatest(F.lit(1.0), F.least(F.lit(float(sample_docs)), F.lit(float(total_docs)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))) / F.col("n")
+    share = F.greatest(F.lit(float(LEAST_DOCS)), F.least(F.lit(float(sample_docs)), F.lit(float(total_docs)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))) / F.col("n")
     place = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return rows.join(counts.select("lang", share.alias("share")), "lang").where(place < F.col("share")).select("lang", "text")
 
