@@ -3,7 +3,7 @@
 A document's set holds its distinct w-word shingles as 64-bit hashes. Two sets of a and b elements link when their
 Jaccard similarity is at least t, that is when they differ in at most (a + b)(1 - t)/(1 + t) elements.
 
-Sketch: an element's hash names one of P places and one of the 8 bits there, which it flips, and flips further bits of a hash of the place. Elements of both
+Sketch: an element's hash names one of P places and one of the 16 bits there, which it flips, and flips further bits of a hash of the place. Elements of both
 sets do the same to both, so the Hamming distance of two sketches is at most the size of the symmetric difference, and a place that no element of the
 difference falls into is equal. Size bands grow by :data:`RATIO`; a band has one P, above what its pairs can differ in. A document is sketched for its own band and, where
 partners of smaller size lie in the band below, for that band too.
@@ -15,8 +15,9 @@ rarest, and places without an element, which everybody shares, come last. Docume
 1. Equal sets are one node from the start, so large groups of copies cost one node.
 2. The nodes that share a hash give a star around the smallest: no bucket emits all of its pairs.
    Stars pass the Hamming bound, then the exact sets are compared; components of the links follow.
-3. Buckets that still hold several components are dealt in blocks of at most ``BLOCK`` nodes, block against block, where sketches are compared in arrays; only pairs
-   of different components within the Hamming bound leave, and the exact sets decide again. A pair within one component can't change it.
+3. Buckets that still hold several components are dealt in blocks of at most ``BLOCK`` nodes, block against block, where sketches are compared in arrays. First only a forest of the likeliest links between
+   components leaves a block, the exact sets decide, and components grow, until that adds no link or :data:`FORESTS` times.
+   Then all pairs of different components within the Hamming bound leave, and the exact sets decide again. A pair within one component can't change it.
 
 So every link between components is found, whatever the size of a bucket, and links within a component need not be listed.
 
@@ -35,11 +36,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import columns, discard, free_name, list_column, small_batches, written
-from evalweave.llm.components import connected_components
+from evalweave.llm.components import _forest, connected_components
 from evalweave.llm.shingles import mix, shingle_sets
 
 #: Nodes of a bucket that one comparison holds at a time, on either side.
 BLOCK = 1024
+#: Rounds that offer only a forest of likely links; what they leave is left to the last round, which offers everything.
+FORESTS = 4
+#: Pairs that a task remembers having offered, as a pair meets in many buckets.
+SEEN_PAIRS = 1 << 20
 #: Sizes of a band lie within this factor.
 RATIO = 3
 #: Shingles of leaves that one task compares with a star's centre at most, about.
@@ -104,7 +109,7 @@ def sketches(sets: list[np.ndarray], asked: list[tuple[int, int, int, int]]) ->
         spread = mix(np.concatenate([sets[i] for i, _, _, _ in part]) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
         wide = np.repeat(places.astype(np.uint64), size)
         slot = ((spread >> np.uint64(32)) * wide >> np.uint64(32)).astype(np.int64) + np.repeat(base, size)
-        flips = (mix(spread) & np.uint64(0xFFFFFFFFFFFFFF00)) | (np.uint64(1) << (spread & np.uint64(7)))
+        flips = (mix(spread) & np.uint64(0xFFFFFFFFFFFF0000)) | (np.uint64(1) << (spread & np.uint64(15)))
         total = int(places.sum())
         word = np.zeros(total, dtype=np.uint64)
         np.bitwise_xor.at(word, slot, flips)
@@ -114,7 +119,7 @@ def sketches(sets: list[np.ndarray], asked: list[tuple[int, int, int, int]]) ->
         hashed = mix(mix(word + within * np.uint64(0x9E3779B97F4A7C15)) + level * np.uint64(0xD6E8FEB86659FD93))
         # the first byte orders places by their elements, the most first
         key = (np.uint64(255) - np.minimum(count, 255).astype(np.uint64)) << np.uint64(56) | hashed >> np.uint64(8)
-        bits = (word & np.uint64(0xFF)).astype(np.uint8)
+        bits = (word & np.uint64(0xFFFF)).astype(np.uint16)
         for (_, _, p, first), b in zip(part, base.tolist(), strict=True):
             own = key[b : b + p]
             yield bits[b : b + p], np.sort(own)[:first]
@@ -215,8 +220,31 @@ def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: s
     return links
 
 
-def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within the Hamming bound.
+def likely_forest(comp: np.ndarray, a: np.ndarray, b: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Which of the pairs make a forest over the components: each component's best pair, again and again (Boruvka's method)."""
+    order = np.argsort(worth, kind="stable")
+    left, right = (np.unique(comp, return_inverse=True)[1][x][order] for x in (a, b))
+    label, kept = np.arange(int(max(left.max(initial=0), right.max(initial=0))) + 1), []
+    live = np.arange(len(order))
+    while len(live):
+        u, v = label[left[live]], label[right[live]]
+        cross = u != v
+        live, u, v = live[cross], u[cross], v[cross]
+        if not len(live):
+            break
+        ends = np.empty(2 * len(live), dtype=np.int64)
+        ends[0::2], ends[1::2] = u, v
+        best = np.unique(np.unique(ends, return_index=True)[1] // 2)
+        kept.append(live[best])
+        node, root = _forest(u[best], v[best])
+        move = np.arange(len(label))
+        move[node] = root
+        label = move[label]
+    return order[np.concatenate(kept)] if kept else np.zeros(0, np.int64)
+
+
+def compare_blocks(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of different components within the Hamming bound, or in each comparison a ``forest`` of those whose difference, as their sketches let expect it, allows a link.
 
     ``members`` has key, block (of comparison), side, node, n, component, sketch; rows of one comparison are together and hold at most :data:`BLOCK` nodes a side.
     """
@@ -224,22 +252,31 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
     def compare(side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, ...]:
         left = np.flatnonzero(side != 2)
         right = np.flatnonzero(side != 1)
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        rows = max(1, (1 << 21) // max(1, len(right) * sketch.shape[1]))
+        found_a, found_b, worth = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        rows, bits = max(1, (1 << 21) // max(1, len(right) * sketch.shape[1])), 64.0 * sketch.shape[1]
         for at in range(0, len(left), rows):
             part = left[at : at + rows]
             distance = np.bitwise_count(sketch[part, None, :] ^ sketch[None, right, :]).sum(axis=2, dtype=np.int64)
-            fits = (distance * (100 + percent) <= (n[part, None] + n[None, right]) * (100 - percent)) & (comp[part, None] != comp[None, right])
+            both = n[part, None] + n[None, right]
+            fits = (distance * (100 + percent) <= both * (100 - percent)) & (comp[part, None] != comp[None, right])
             fits &= np.minimum(n[part, None], n[None, right]) * 100 >= np.maximum(n[part, None], n[None, right]) * percent
             i, j = np.nonzero(fits)
+            if forest:
+                likely = -bits / 2 * np.log(np.maximum(1e-9, 1 - 2 * distance[i, j] / bits)) / both[i, j]
+                i, j, likely = (x[likely * (100 + percent) <= 100 - percent] for x in (i, j, likely))
+                worth.append(likely)
             found_a.append(part[i])
             found_b.append(right[j])
         a, b = np.concatenate(found_a), np.concatenate(found_b)
+        if forest:
+            kept = likely_forest(comp, a, b, np.concatenate(worth))
+            a, b = a[kept], b[kept]
         a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
         return node[a], node[b], n[a], n[b]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
+        seen: set[tuple[int, int]] = set()
 
         def groups(table: pa.Table, final: bool) -> tuple[list[tuple[np.ndarray, ...]], pa.Table]:
             table = table.combine_chunks()
@@ -256,21 +293,46 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
                     out.append(compare(*[named[c][first:last] for c in ("side", "node", "n", "component")], own))
             return out, table.slice(int(cuts[whole]) if whole < len(cuts) else table.num_rows)
 
+        def fresh(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            for columns_ in found:
+                if len(seen) > SEEN_PAIRS:
+                    seen.clear()
+                before = len(seen)
+                rows = [r for r in zip(*(c.tolist() for c in columns_), strict=True) if r[:2] not in seen and not seen.add(r[:2])]
+                if len(seen) > before:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "n_a", "n_b"])
+
         for batch in batches:
             waiting.append(batch)
             found, rest = groups(pa.Table.from_batches(waiting), False)
             waiting = rest.to_batches()
-            for a, b, n_a, n_b in found:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "n_a": n_a, "n_b": n_b})
+            yield from fresh(found)
         if waiting:
-            for a, b, n_a, n_b in groups(pa.Table.from_batches(waiting), True)[0]:
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b, "n_a": n_a, "n_b": n_b})
+            yield from fresh(groups(pa.Table.from_batches(waiting), True)[0])
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = members.repartition(n, "key", "block").sortWithinPartitions("key", "block")
     return placed.mapInArrow(compared, "a long, b long, n_a long, n_b long").distinct()
 
 
+def mixed_blocks(members: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, dealt to comparisons of blocks."""
+    found = written(members.join(groups, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")), "found")
+    who = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(20,0)")).alias(f"who{k}") for k in (1, 2)]
+    mixed = found.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("band").alias("band"), *who, F.count(F.lit(1)).alias("size")).where("c1 <> c2")
+    # buckets of the same nodes are compared once
+    mixed = mixed.groupBy("who1", "who2", "first", "last", "band", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    dealt = found.join(mixed, "key").select("key", "band", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select("key", "band", "node", "component", (low.cast("long") * (1 << 31) + high).alias("block"), side.cast("int").alias("side"))
+    sketch = F.when(F.col("own_band") == F.col("band"), F.col("sketch")).otherwise(F.col("sketch_below"))
+    dealt = written(dealt.join(nodes.select("node", "n", F.col("band").alias("own_band"), "sketch", "sketch_below"), "node").select("key", "block", "side", "node", "n", "component", sketch.alias("sketch")), "dealt")
+    discard(found)
+    return dealt
+
+
 def linked_sets(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, also: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three written tables: the documents (doc_id, h1, h2, n, node; node is null for an empty set), the nodes (node, low: the smallest doc_id), and (node, component) for nodes with links.
 
@@ -300,28 +362,24 @@ def linked_sets(docs: DataFrame, percent: int, width: int, id_col: str, text_col
     links = exact_links(candidates, nodes, docs, text_col, percent, width)
     groups = connected_components(links)
     discard(candidates, links)
-
-    found = members.join(groups, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
-    found = written(found, "found")
-    who = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(20,0)")).alias(f"who{k}") for k in (1, 2)]
-    mixed = found.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("band").alias("band"), *who, F.count(F.lit(1)).alias("size")).where("c1 <> c2")
-    # buckets of the same nodes are compared once
-    mixed = mixed.groupBy("who1", "who2", "first", "last", "band", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-    dealt = found.join(mixed, "key").select("key", "band", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select("key", "band", "node", "component", (low.cast("long") * (1 << 31) + high).alias("block"), side.cast("int").alias("side"))
-    sketch = F.when(F.col("own_band") == F.col("band"), F.col("sketch")).otherwise(F.col("sketch_below"))
-    dealt = dealt.join(nodes.select("node", "n", F.col("band").alias("own_band"), "sketch", "sketch_below"), "node").select("key", "block", "side", "node", "n", "component", sketch.alias("sketch"))
-    more = written(compare_blocks(dealt, percent), "more")
-    discard(members, found)
-    linked = exact_links(more, nodes, docs, text_col, percent, width)
-    final = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked))
-    discard(more, linked)
+    forests = FORESTS
+    while True:
+        dealt = mixed_blocks(members, nodes, groups)
+        more = written(compare_blocks(dealt, percent, forests > 0), "more")
+        some = more.limit(1).count() > 0
+        if some:
+            links = exact_links(more, nodes, docs, text_col, percent, width)
+            some = links.limit(1).count() > 0
+            if some:
+                groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        discard(dealt, more)
+        if not forests:
+            break
+        forests = forests - 1 if some else 0  # without a new link the next round offers everything
+    discard(members)
     names = written(nodes.select("node", "low"), "names")
     discard(nodes)
-    return main, names, final
+    return main, names, groups
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import columns, free_name, ragged, small_batches, steps
+from evalweave.llm.common import columns, free_name, ragged, small_batches, steps, written
 from evalweave.llm.shingles import mix, powers
 
 SAMPLE_DOCS = 2000
 TOTAL_DOCS = 20_000
 LEAST_DOCS = 8
+#: Languages up to which their table, one row a language, is broadcast.
+BROADCAST_LANGS = 10_000
 LONGEST = 5
 EVIDENCE = 20
 BITS = 20
@@ -85,10 +87,12 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     """(lang, text) of the bounded sample."""
     doc_id, text, lang = columns([id_col, text_col, lang_col])
     rows = docs.select(doc_id.alias("id"), text.alias("text"), lang.alias("lang")).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")  # a row a language
     share = F.greatest(F.lit(float(LEAST_DOCS)), F.least(F.lit(float(sample_docs)), F.lit(float(total_docs)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))) / F.col("n")
     place = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rows.join(counts.select("lang", share.alias("share")), "lang").where(place < F.col("share")).select("lang", "text")
+    shares = counts.select("lang", share.alias("share"))
+    shares = F.broadcast(shares) if counts.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS else shares
+    return rows.join(shares, "lang").where(place < F.col("share")).select("lang", "text")
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
