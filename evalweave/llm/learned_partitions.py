@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by learned partitions.
 
 Fit, on a bounded sample (``sample`` rows of smallest id hash): the exact neighbour graph of the sample, its balanced partition into
-``parts`` parts that cuts few edges, and a small classifier that learns, for a vector, over which parts its neighbours spread. Index: the classifier puts every row
-into its most probable part. Search: a query goes to its ``probes`` most probable parts, and to further ones until they hold k rows besides its own, and every row there is ranked by its true
+parts that cuts few edges, and a small classifier that learns, for a vector, over which parts its neighbours spread. Index: the classifier puts every row
+into its most probable part. Search: a query goes to a ``share`` of the parts, its most probable ones, and to further ones until they hold k rows besides its own, and every row there is ranked by its true
 inner product in double precision, summed from the first component to the last.
 
-Parts are dealt in blocks of bounded size, so a part that gathers a third of all rows is many tasks.
+There are about :data:`PART_ROWS` rows a part, but no more parts than the sample can teach; a part is dealt in shards of bounded size, so a part that gathers a third of all rows is many tasks. Equal vectors of a shard are compared once.
 
-Cases: vectors null, empty, zero or with null, NaN or infinite components take no part; so do vectors whose length isn't the most common one of
-the sample; a repeated vec_id is a candidate row each time and one query, with the smallest of its vectors; ties go to the smaller vec_id; fewer candidates than k all come back; empty input gives no row. Other columns are not read.
+Cases: vectors null, empty, zero or with null, NaN or infinite components take no part; a shorter vector counts as 0 on the missing
+components, and the classifier looks at the components that the longest vector of the sample has; a repeated vec_id is a candidate row each time and one query, with the smallest of its vectors;
+a query's own id is never a candidate; ties go to the smaller vec_id, however many rows tie; fewer candidates than k all come back; empty input gives no row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,15 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.blocks import best, block_of, compare, usable
-from evalweave.llm.common import list_column, written
+from evalweave.llm.blocks import ask, best, matrix, shard_rows, usable
+from evalweave.llm.common import discard, list_column, ragged, written
 
 SAMPLE = 4096
-PARTS = 32
-PROBES = 26
+#: Parts: about one for so many rows, between the least and the most that the sample can teach.
+PART_ROWS = 2048
+LEAST_PARTS, MOST_PARTS = 32, 128
+#: Share of the parts that a query goes to.
+SHARE = 26 / 32
 NEIGHBOURS = 10
-BLOCK_ROWS = 4096
-QUERY_ROWS = 1024
+#: Queries that are ranked at a time.
+QUERY_ROWS = 256
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -115,7 +119,7 @@ class Router:
         return out
 
 
-def fit(x: np.ndarray, parts: int = PARTS, seed: int = 0) -> Router:
+def fit(x: np.ndarray, parts: int = LEAST_PARTS, seed: int = 0) -> Router:
     rng = np.random.default_rng(seed)
     near = neighbour_graph(x, NEIGHBOURS)
     label = balanced_parts(near, parts, rng)
@@ -126,63 +130,87 @@ def fit(x: np.ndarray, parts: int = PARTS, seed: int = 0) -> Router:
     return Router(x, target / target.sum(axis=1, keepdims=True), rng)
 
 
-def dense(lists: pa.Array, width: int) -> np.ndarray:
-    return lists.flatten().to_numpy().reshape(-1, width)
+def distinct_rows(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct vectors, where each one's ids begin, and the ids, ascending within a vector."""
+    odd = np.random.default_rng(0).integers(0, 1 << 63, x.shape[1]).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    hashed = (np.ascontiguousarray(x).view(np.uint64) * odd).sum(axis=1, dtype=np.uint64)
+    by = np.lexsort((ids, hashed))
+    x, ids, hashed = x[by], ids[by], hashed[by]
+    fresh = np.ones(len(ids), dtype=bool)
+    fresh[1:] = (hashed[1:] != hashed[:-1]) | (x[1:] != x[:-1]).any(axis=1)
+    return x[fresh], np.append(np.flatnonzero(fresh), len(ids)), ids
+
+
+def nearest(ready: tuple[np.ndarray, ...], asked: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of the k best rows of a shard for each of some queries, no id of which has more than ``own`` rows."""
+    x, starts, ids = ready
+    wanted = k + own  # so many vectors hold k ids besides the query's own
+    rough = q @ x.T
+    if len(x) > wanted:
+        least = np.partition(rough, len(x) - wanted, axis=1)[:, -wanted]
+        slack = 1e-12 * np.sqrt((x**2).sum(axis=1).max(initial=0.0)) * np.sqrt((q**2).sum(axis=1))
+        at, near = np.nonzero(rough >= (least - slack)[:, None])
+    else:
+        at, near = (z.ravel() for z in np.indices(rough.shape))
+    score = np.zeros(len(at))
+    for d in range(x.shape[1]):
+        score += x[near, d] * q[at, d]
+    size = np.minimum(starts[near + 1] - starts[near], wanted)
+    found, at, score = ids[ragged(starts[near], size)], np.repeat(at, size), np.repeat(score, size)
+    other = found != asked[at]
+    found, at, score = found[other], at[other], score[other]
+    by = np.lexsort((found, -score, at))
+    found, at, score = found[by], at[by], score[by]
+    place = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+    top = place < k
+    return asked[at[top]], found[top], score[top]
 
 
 def search(
-    vectors: DataFrame, every: int = 20, k: int = 20, parts: int = PARTS, probes: int = PROBES, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, every: int = 20, k: int = 20, parts: int | None = None, share: float = SHARE, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col, nonzero=True)
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toPandas()["v"]
-    empty = "query_id long, rank int, vec_id long, score double"
+    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toArrow()["v"].combine_chunks()
+    taken = taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken
+    schema = "query_id long, rank int, vec_id long, score double"
     if not len(taken):
-        return spark.createDataFrame([], empty)
-    lengths = taken.map(len)
-    width = int(lengths.mode().iloc[0])
-    router = fit(np.stack(taken[lengths == width].to_list()), parts)
+        return spark.createDataFrame([], schema)
+    known = matrix(taken)
+    n, width = rows.count(), known.shape[1]
+    parts = max(LEAST_PARTS, min(MOST_PARTS, n // PART_ROWS)) if parts is None else parts
+    probes = max(1, round(share * parts))
+    router = fit(known, parts)
 
     def routed(batches):
         for batch in batches:
             if batch.num_rows:
-                order = np.argsort(-router.odds(dense(batch.column("v"), width)), axis=1, kind="stable").astype(np.int32)
+                order = np.argsort(-router.odds(matrix(batch.column("v"), width)), axis=1, kind="stable").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, list_column(order.ravel(), np.full(len(order), parts), pa.int32())], names=["vec_id", "v", "parts"])
 
-    index = written(rows.where(F.size("v") == width).mapInArrow(routed, "vec_id long, v array<double>, parts array<int>"), "index")
+    index = written(rows.mapInArrow(routed, "vec_id long, v array<double>, parts array<int>"), "index")
     sizes = dict(index.groupBy(F.col("parts")[0].alias("p")).count().collect())  # one row a part
-    size_of = F.array(*[F.lit(int(sizes.get(p, 0))) for p in range(parts)])
-    blocks_of = F.array(*[F.lit(max(1, -(-int(sizes.get(p, 0)) // BLOCK_ROWS))) for p in range(parts)])
-    filed = index.select("vec_id", "v", F.col("parts")[0].alias("part"))
-    filed = filed.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), blocks_of[F.col("part")]).cast("int"))
-    queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "parts")).alias("s")).select("vec_id", "s.v", "s.parts")
-    n_queries = queries.count()
-    held = F.aggregate(F.slice("parts", 1, F.col("at")), F.lit(0).cast("long"), lambda acc, p: acc + size_of[p])
+    held = shard_rows(n, spark.sparkContext.defaultParallelism)
+    blocks = [max(1, -(-int(sizes.get(p, 0)) // held)) for p in range(parts)]
+    first = [sum(blocks[:p]) for p in range(parts)]
+    literal = lambda values: F.array(*[F.lit(int(v)) for v in values])
+    size_of, blocks_of, first_of = literal([sizes.get(p, 0) for p in range(parts)]), literal(blocks), literal(first)
+    part = F.col("parts")[0]
+    filed = index.select("vec_id", "v", (first_of[part] + F.pmod(F.xxhash64("vec_id", "v"), blocks_of[part])).cast("int").alias("shard"))
+    queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "parts")).alias("s"), F.count(F.lit(1)).alias("own")).select("vec_id", "s.v", "s.parts", "own")
+    before = F.aggregate(F.slice("parts", 1, F.col("at")), F.lit(0).cast("long"), lambda acc, p: acc + size_of[p])
     # the number of parts before this one: probe it while those are few or hold too little
-    wanted = queries.select("vec_id", "v", "parts", F.posexplode("parts").alias("at", "part")).where((F.col("at") < probes) | (held < k + 1))
-    q_blocks = max(1, -(-n_queries // QUERY_ROWS))
-    wanted = wanted.select("vec_id", "v", "part", block_of(n_queries, QUERY_ROWS, "vec_id").alias("qblock"), F.explode(F.sequence(F.lit(0), blocks_of[F.col("part")] - 1)).alias("block"))
-    filed = filed.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def rank(block: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if block.num_rows and asked.num_rows:
-            ids, x = block["vec_id"].to_numpy(), dense(block["v"].chunk(0), width)
-            own, q = asked["vec_id"].to_numpy(), dense(asked["v"].chunk(0), width)
-            norms = np.sqrt((x**2).sum(axis=1).max()) * np.sqrt((q**2).sum(axis=1))
-            for at in range(0, len(q), 256):
-                rough = q[at : at + 256] @ x.T
-                rough[own[at : at + 256, None] == ids[None, :]] = -np.inf
-                for i, s in enumerate(rough):
-                    least = np.partition(s, len(s) - k)[-k] if len(s) > k else -np.inf
-                    near = np.flatnonzero((s >= least - 1e-12 * norms[at + i]) & (s > -np.inf))
-                    exact = np.zeros(len(near))
-                    for d in range(width):
-                        exact += x[near, d] * q[at + i, d]
-                    top = np.lexsort((ids[near], -exact))[:k]
-                    out.append((np.full(len(top), own[at + i]), ids[near[top]], exact[top]))
-        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
-
-    return best(compare(filed, wanted, ["part", "block", "qblock"], rank, "query_id long, vec_id long, score double"), k)
+    wanted = queries.select("vec_id", "v", "parts", "own", F.posexplode("parts").alias("at", "part")).where((F.col("at") < probes) | (before < k + F.col("own")))
+    wanted = wanted.select("vec_id", "v", "own", F.explode(F.sequence(first_of[F.col("part")], first_of[F.col("part")] + blocks_of[F.col("part")] - 1)).alias("shard"))
+
+    def rank(ready: tuple[np.ndarray, ...], asked: np.ndarray, lists: pa.ListArray, own: np.ndarray):
+        q = matrix(lists, ready[0].shape[1])
+        for at in range(0, len(q), QUERY_ROWS):
+            most = int(own[at : at + QUERY_ROWS].max())
+            found = nearest(ready, asked[at : at + QUERY_ROWS], q[at : at + QUERY_ROWS], most, k)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    out = written(best(ask(filed, wanted, sum(blocks), distinct_rows, rank, "query_id long, vec_id long, score double"), k), "nearest")
+    discard(index)
+    return out

@@ -70,6 +70,42 @@ def test_search_recall_and_exact_scores(spark):
     assert hits / total >= 0.9 and set(got) == set(range(0, 1500, 20))
 
 
+def test_search_lengths_repeats_and_long_ties(spark):
+    """With every part probed the search is exact: vectors of several lengths, repeated ids, more ties than k."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=5 if i % 3 else 3).tolist(), 0) for i in range(300)] + [(40, [1.0] * 5, 0)] * 30 + [(i, [2.0, 1.0, 1.0, 1.0, 1.0], 0) for i in range(400, 500)] + [(20, rng.normal(size=7).tolist(), 0)]
+    rows += [(300, [0.0] * 5, 0), (301, [], 0), (302, [math.nan], 0)]
+    x = np.zeros((len(rows) - 3, 7))
+    for i, (_, v, _) in enumerate(rows[:-3]):
+        x[i, : len(v)] = v
+    ids = np.array([r[0] for r in rows[:-3]])
+    got = {}
+    for r in search(spark.createDataFrame(rows, VEC).repartition(5), share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    for q, found in got.items():
+        own = min((rows[i][1], x[i].tolist()) for i in np.flatnonzero(ids == q))[1]
+        score = np.zeros(len(ids))
+        for d in range(7):
+            score += x[:, d] * own[d]
+        want = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        assert [r[1] for r in sorted(found)] == ids[want].tolist() and np.allclose([r[2] for r in sorted(found)], score[want])
+
+
+def test_search_recall_on_the_given_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    table = df.select("vec_id", "embedding").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_list()).astype(np.float64)
+    got, hits, total = {}, 0, 0
+    for r in search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        want = [int(ids[j]) for j in np.lexsort((ids, -s)) if j != i][:20]
+        hits, total = hits + len(got[int(ids[i])] & set(want)), total + len(want)
+    assert hits / total >= 0.9, hits / total
+
+
 def test_search_small_tables(spark):
     assert search(spark.createDataFrame([], VEC)).count() == 0
     few = spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(5)], VEC)
