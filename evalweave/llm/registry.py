@@ -18,7 +18,7 @@ from evalweave.llm.mixing import mix_sources, mix_sql
 from evalweave.llm.pieces import digests, encode_pieces
 from evalweave.llm.shards import shard_documents
 from evalweave.llm.token_files import token_files
-from evalweave.llm.url_lists import apply_lists, fetch_day, list_events, lists_sql
+from evalweave.llm.url_lists import apply_lists, fetch_day, lists_sql, page_events
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,7 +64,7 @@ def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", fetch_day(F.col("page_id")).alias("fetch_day"))
-    return apply_lists(pages, list_events(spark)).withColumn("fetch_day", F.col("fetch_day").cast("string"))
+    return apply_lists(pages, page_events(pages)).withColumn("fetch_day", F.col("fetch_day").cast("string"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

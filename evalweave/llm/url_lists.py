@@ -8,7 +8,7 @@ fills a partition. Only distinct (url, fetch time) pairs enter the join, and onl
 
 Cases: a null url or fetch time matches nothing and is kept, as is a url without a host; scheme, user, port, query, fragment and a trailing dot of the host are no part of a key, hosts compare
 in lower case, paths as they are; events of the same list, key and day: "remove" wins; repeated events and repeated captures count once each; an empty list keeps all; other
-columns ride along, ``lists``, ``entries`` and ``keep`` of the input are replaced.
+columns ride along whatever their names; ``lists``, ``entries`` and ``keep`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -16,29 +16,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalweave.llm.common import columns, written
+
 #: Intervals up to which a list is broadcast.
 BROADCAST_INTERVALS = 20_000
 EVENTS = "list string, key string, day date, action string"
 
-#: The dated lists that the registered query applies.
-LISTS = [
-    ("adult", "adult-x.example.com", "2024-01-01", "add"),
-    ("feeds", "tionsh.example.net/fr", "2024-03-01", "add"),
-    ("feeds", "tionsh.example.net/fr", "2024-05-01", "remove"),
-    ("feeds", "tiontion.example.com", "2024-02-15", "add"),
-    ("parked", "example.org/en", "2024-08-01", "add"),
-    ("parked", "example.org/en", "2024-09-01", "remove"),
-    ("spam", "spam-farm.example.org", "2024-01-10", "add"),
-    ("spam", "spam-farm.example.org", "2024-06-01", "remove"),
-    ("spam", "spam-farm.example.org", "2024-07-01", "add"),
-    ("spam", "tionble.example.com", "2024-04-01", "add"),
-]
-
-
-def list_events(spark: SparkSession, rows: list[tuple[str, str, str, str]] = LISTS) -> DataFrame:
+LISTS = ("adult", "feeds", "parked", "spam")
+
+
+def list_events(spark: SparkSession, rows: list[tuple[str, str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "list string, key string, day string, action string").withColumn("day", F.col("day").cast("date"))
 
 
+def page_events(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """Dated events made from all hosts and first path segments of a table of pages, so that lists grow with it.
+
+    The digest of a key says everything: three keys of eight are listed, from some day of 2024; half of those are removed later and half of these added again; one key of four is also on the list "watch".
+    """
+    url = columns([url_col])[0]
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    first = F.filter(F.split(path, "/"), lambda s: s != "")[0]
+    hosts = pages.select(host_of(url).alias("host"), first.alias("first")).where("host is not null").distinct()
+    parent = F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1)  # where two labels are left
+    keys = hosts.select(F.explode(F.array(F.col("host"), parent, F.concat_ws("/", "host", "first"))).alias("key")).where("key <> ''").distinct()
+    number = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("int")
+    start = F.lit("2024-01-01").cast("date")
+    named = keys.select("key", F.md5(F.col("key").cast("binary")).alias("h"))
+    named = named.select("key", "h", F.element_at(F.array(*map(F.lit, LISTS)), number(1, 2) % len(LISTS) + 1).alias("own"), F.date_add(start, number(4, 4) % 366).alias("added"))
+    named = named.withColumn("removed", F.date_add("added", 1 + number(9, 2) % 90)).withColumn("again", F.date_add("removed", 1 + number(12, 2) % 60))
+    event = lambda when, name, day, action: F.when(when, F.struct(name.alias("list"), F.col("key"), day.alias("day"), F.lit(action).alias("action")))
+    listed, gone, back = number(3, 1) < 6, number(8, 1) < 8, number(11, 1) < 8
+    events = [
+        event(listed, F.col("own"), F.col("added"), "add"), event(listed & gone, F.col("own"), F.col("removed"), "remove"), event(listed & gone & back, F.col("own"), F.col("again"), "add"),
+        event(number(14, 1) < 4, F.lit("watch"), F.date_add(start, number(15, 4) % 366), "add"),
+    ]
+    return named.select(F.explode(F.array_compact(F.array(*events))).alias("e")).select("e.*")
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """(list, key, valid_from, valid_to): half-open; valid_to is null while the entry is in force."""
     days = events.where("list is not null and key is not null and day is not null").groupBy("list", "key", "day").agg(F.max(F.when(F.col("action") == "remove", 1).otherwise(0)).alias("removed"))
@@ -66,16 +81,19 @@ def keys_of(url: Column) -> Column:
 def apply_lists(captures: DataFrame, events: DataFrame, url_col: str = "url", time_col: str = "fetch_day") -> DataFrame:
     """``captures`` with the lists and entries in force at fetch time, and whether to keep the page."""
     valid = intervals(events)
+    valid = written(valid, "intervals")
     few = valid.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
     valid = F.broadcast(valid) if few else valid
     kept = [c for c in captures.columns if c not in ("lists", "entries", "keep")]
-    asked = captures.select(F.col(f"`{url_col}`").alias("u"), F.col(f"`{time_col}`").alias("t")).where("u is not null and t is not null")
+    asked = captures.select(columns([url_col])[0].alias("u"), columns([time_col])[0].alias("t")).where("u is not null and t is not null").distinct()
     asked = asked.select("u", "t", F.explode(keys_of(F.col("u"))).alias("key"))
     found = asked.join(valid, "key").where((F.col("valid_from") <= F.col("t")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))
     found = found.groupBy("u", "t").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set(F.concat_ws(":", "list", "key"))).alias("entries"))
-    rows = captures.select(*[F.col(f"`{c}`") for c in kept])
-    rows = rows.join(found, (rows[f"`{url_col}`"] == found["u"]) & (rows[f"`{time_col}`"] == found["t"]), "left")
-    return rows.select(*[rows[f"`{c}`"] for c in kept], F.coalesce(F.array_join("lists", ","), F.lit("")).alias("lists"), F.coalesce(F.array_join("entries", ","), F.lit("")).alias("entries"), F.col("lists").isNull().alias("keep"))
+    # the capture's own columns stay together, so that no name of theirs meets one of the plan's
+    rows = captures.select(F.struct(*columns(kept)).alias("_row"), columns([url_col])[0].alias("_u"), columns([time_col])[0].alias("_t"))
+    rows = rows.join(found, (F.col("_u") == F.col("u")) & (F.col("_t") == F.col("t")), "left")
+    own = [F.col("_row").getField(c).alias(c) for c in kept]
+    return rows.select(*own, F.coalesce(F.array_join("lists", ","), F.lit("")).alias("lists"), F.coalesce(F.array_join("entries", ","), F.lit("")).alias("entries"), F.col("lists").isNull().alias("keep"))
 
 
 def fetch_day(page_id: Column) -> Column:
@@ -85,17 +103,30 @@ def fetch_day(page_id: Column) -> Column:
 
 def lists_sql() -> str:
     """DuckDB SQL for the registered query."""
-    values = ", ".join(f"('{a}', '{b}', date '{c}', '{d}')" for a, b, c, d in LISTS)
+    number = lambda at, n: f"('0x' || substr(h, {at}, {n}))::int"
+    lists = "[" + ", ".join(f"'{x}'" for x in LISTS) + "]"
     scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
     return f"""
-with events(list, key, day, action) as (values {values}),
-days as (select list, key, day, max(case when action = 'remove' then 1 else 0 end) as removed from events group by list, key, day),
-spans as (select list, key, day as valid_from, lead(day) over (partition by list, key order by day) as valid_to, removed from days),
-captures as (select page_id, url, date '2024-01-01' + (((page_id % 366) + 366) % 366)::int as fetch_day from pages),
+with captures as (select page_id, url, date '2024-01-01' + (((page_id % 366) + 366) % 366)::int as fetch_day from pages),
 parsed as (
   select *, regexp_matches(url, '{scheme}') as fine,
     lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '{scheme}', ''), '^([^/?#]*)', 1), '^.*@', ''), '\\.?(:[0-9]*)?$', '')) as host,
     regexp_extract(url, '{scheme}[^/?#]*([^?#]*)', 1) as path from captures),
+hosts as (select distinct host, list_filter(string_split(path, '/'), lambda s: s <> '')[1] as first from parsed where fine and host <> ''),
+keys as (
+  select host as key from hosts union select regexp_extract(host, '^[^.]+\\.([^.]+\\..+)$', 1) from hosts
+  union select host || coalesce('/' || first, '') from hosts),
+named as (select key, md5(key) as h from keys where key <> ''),
+dated as (select *, {lists}[{number(1, 2)} % {len(LISTS)} + 1] as own, date '2024-01-01' + {number(4, 4)} % 366 as added from named),
+gone as (select *, added + 1 + {number(9, 2)} % 90 as removed from dated),
+again as (select *, removed + 1 + {number(12, 2)} % 60 as back from gone),
+events as (
+  select own as list, key, added as day, 'add' as action from again where {number(3, 1)} < 6
+  union all select own, key, removed, 'remove' from again where {number(3, 1)} < 6 and {number(8, 1)} < 8
+  union all select own, key, back, 'add' from again where {number(3, 1)} < 6 and {number(8, 1)} < 8 and {number(11, 1)} < 8
+  union all select 'watch', key, date '2024-01-01' + {number(15, 4)} % 366, 'add' from again where {number(14, 1)} < 4),
+days as (select list, key, day, max(case when action = 'remove' then 1 else 0 end) as removed from events group by list, key, day),
+spans as (select list, key, day as valid_from, lead(day) over (partition by list, key order by day) as valid_to, removed from days),
 hit as (
   select p.page_id, p.url, p.fetch_day, s.list, s.key from parsed p join spans s
     on s.removed = 0 and s.valid_from <= p.fetch_day and (s.valid_to is null or p.fetch_day < s.valid_to) and p.fine and p.host <> ''

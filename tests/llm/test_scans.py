@@ -9,7 +9,7 @@ from evalweave.llm.language_id import fit, identify, predict
 from evalweave.llm.licenses import CONFIRM, CUE, TEMPLATES, bigrams_of, scan_licenses, template_list, trained, words_of
 from evalweave.llm.mixing import mix_sources, rates
 from evalweave.llm.shards import ShardedTable, shard_documents
-from evalweave.llm.url_lists import apply_lists, host_of, intervals, list_events
+from evalweave.llm.url_lists import apply_lists, host_of, intervals, list_events, page_events
 
 from .fixtures import DOC, awkward, empty, prose
 
@@ -227,13 +227,48 @@ def test_sharding_versions_and_tiers(spark, tmp_path):
 def test_sharding_commits_once(spark, tmp_path):
     t = ShardedTable(spark, f"file://{tmp_path}/t")
     t.append(spark.range(5))
-    assert t.fs.createNewFile(t._path(f"{t.folder}/claim-2"))  # another writer is at work, or died
+    slow = t.manifest()
+    t.append(spark.range(5))  # another writer was faster
     with pytest.raises(RuntimeError):
-        t.append(spark.range(5))
-    assert t.read().count() == 5
-    t.recover()
-    t.append(spark.range(5))
-    assert t.version() == 2 and t.read().count() == 10
+        t.commit(slow, slow["schema"], [])
+    assert t.version() == 2 and t.read().count() == 10 and t.read(1).count() == 5
+    assert not [p for p in (tmp_path / "t").iterdir() if p.name.startswith(".manifest") and not p.name.endswith(".crc")]
+
+
+def test_sharding_many_versions(spark, tmp_path):
+    """Manifests hold differences; a plain model of tiers says what is merged."""
+    t = ShardedTable(spark, f"file://{tmp_path}/t", fanout=3, floor=1)
+    model = []
+    for k in range(20):
+        t.append(spark.range(k, k + 1).coalesce(1))
+        model.append(t.manifest()["shards"][-1]["bytes"])
+        assert sorted(s["bytes"] for s in t.manifest()["shards"]) == sorted(model) and t.manifest(k + 1)["version"] == k + 1
+        if k % 5 == 4:
+            tiers = Counter(t.tier(b) for b in model)
+            merged = [b for b in model if tiers[t.tier(b)] >= 3]
+            before = t.version()
+            assert t.compact() >= before + bool(merged) and not t.runs(t.manifest()["shards"])
+            break
+    assert sorted(r.id for r in t.read().collect()) == list(range(5)) and t.read(3).count() == 3
+
+
+def test_sharding_awkward_tables(spark, tmp_path):
+    out = shard_documents(empty(spark), f"file://{tmp_path}/a")
+    assert out.columns == [*empty(spark).columns, "shard", "shard_bytes", "version"] and out.count() == 0
+    docs = awkward(spark)
+    for name in ("_arrival", "arrival", "shard", "version", "a b"):
+        docs = docs.withColumn(name, F.lit("x"))
+    out = shard_documents(docs, f"file://{tmp_path}/b")
+    assert sorted(out.columns) == sorted([*docs.columns, "shard_bytes"]) and out.where("_arrival = 'x' and arrival = 'x' and `a b` = 'x' and shard <> 'x'").count() == docs.count()
+
+
+def test_events_of_pages(spark):
+    pages = spark.createDataFrame([(i, f"http://{'www.' * (i % 2)}h{i % 40}.example.com/{'abc'[i % 3]}/x") for i in range(300)] + [(300, None), (301, "none")], "page_id long, url string")
+    rows = page_events(pages).collect()
+    assert {r.action for r in rows} == {"add", "remove"} and len({r.list for r in rows}) == 5 and any("/" in r.key for r in rows)
+    assert sorted(rows) == sorted(page_events(pages.repartition(7).unionByName(pages)).collect()) and page_events(pages.limit(0)).count() == 0
+    often = Counter((r.list, r.key) for r in rows)
+    assert max(often.values()) == 3 and intervals(page_events(pages)).count() > len(often)
 
 
 EVENTS = [("l", "bad.com", "2024-01-10", "add"), ("l", "bad.com", "2024-02-01", "remove"), ("l", "bad.com", "2024-03-01", "add"), ("m", "ok.org/x/y", "2024-01-01", "add"), ("m", "ok.org/x/y", "2024-01-01", "add"), ("n", "same.day", "2024-01-05", "add"), ("n", "same.day", "2024-01-05", "remove")]
