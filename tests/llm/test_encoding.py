@@ -51,6 +51,20 @@ def test_long_words_equal_the_library(encoders, alphabet):
     assert encoders[2].encode([text])[0].tolist() == encoders[3].encode(text)
 
 
+def test_another_tokenizer_goes_through_the_library(tmp_path):
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    made, library = ChunkEncoder(str(tmp_path / "cased.json")), Tokenizer.from_file(str(tmp_path / "cased.json"))
+    texts = ["The Cat's  HAT, 12", "", "É\tx"]
+    flat, counts = made.encode(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert flat.tolist() == sum(want, []) and counts.tolist() == list(map(len, want)) and want[0] != Tokenizer.from_file(WORD).encode(texts[0], add_special_tokens=False).ids
+
+
 def test_a_full_cache_changes_nothing():
     fresh = lambda words: (np.array([ord(c) for w in words for c in w], dtype=np.uint32), np.array([len(w) for w in words]))
     small, large = WordCache(str.split, fresh, words=2), WordCache(str.split, fresh)
