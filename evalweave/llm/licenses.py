@@ -1,11 +1,14 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, confirmed against templates.
 
-Paragraphs are the lines of a text. Those that hold a cue word — every template has one in most of its n-grams' neighbourhood, and
-confirmation asks for one — are cut into words ``[a-z0-9.]+`` and their distinct 1- to 3-grams. A logistic regression gives each licence family a score; "unknown" is one of its classes,
-trained on paragraphs that talk about licences without granting one, and a family needs a posterior of at least ``least``, the calibrated threshold: the smallest at which
-held-out variants show no false family. A predicted family counts when the paragraph and one of its templates share at least ``CONFIRM`` of the smaller one's 2-grams.
+Paragraphs are the lines of a text and, for notices that are wrapped, up to :data:`WRAP` lines on end that no blank line parts. They are cut into words ``[a-z0-9.]+`` and their distinct 1- to 3-grams.
+A logistic regression gives each licence family a score; "unknown" is one of its classes,
+trained on paragraphs that talk about licences without granting one, on denied grants and on names of other licences. A family needs a posterior of at least ``least``, the calibrated threshold: the smallest at which
+none of the texts in :data:`UNSEEN` and of the held-out variants, with which it isn't trained, is taken for a family that it isn't. A predicted family counts when the paragraph has at least ``CONFIRM`` of the weight of one of its templates'
+2-grams; those that only one family uses weigh double, and those with a cue (a part of "licence", "copyright", ...) as much as it takes that no paragraph is confirmed without them.
 
-The model is small and fixed by the templates (about a thousand n-grams), trained on the driver; its weights are whole numbers, so that sums don't depend on their order. Scanning is DataFrame
+Paragraphs without a cue word are left out, which loses no positive: in every template the 2-grams without a cue word hold less than ``CONFIRM`` of its weight (:func:`cue_is_safe`, a test), so that such a paragraph can't be confirmed.
+
+The model is small and fixed by the templates (some thousand n-grams), trained on the driver; its weights are whole numbers, so that sums don't depend on their order. Scanning is DataFrame
 operations only: distinct paragraphs are scored once, however often they repeat, and join back.
 
 Cases: null and empty texts have no licence; a null doc_id is a document like others; rows that repeat a doc_id are one document with the paragraphs of all of them; equal scores
@@ -17,7 +20,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,25 +28,30 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.common import written
 
-CUE = "licen[cs]|copyright|rights reserved|public domain|creative commons|permission|redistribut|warrant|cc[- ]by|cc0|spdx"
-CONFIRM = 0.6
+#: Parts of words, and a word; a paragraph without any of them is no notice.
+CUES = ["licen", "copyright", "reserved", "domain", "commons", "permission", "redistribut", "warrant", "cc0", "spdx"]
+CUE_WORD = "cc"
+CUE_WORD_AT = "(^|[^a-z0-9.])cc([^a-z0-9]|$)"
+CUE = "|".join([*CUES, CUE_WORD_AT])
+CONFIRM = 0.7
+WRAP = 4
 UNKNOWN = "unknown"
 
 #: Wording of licence notices, by family.
 TEMPLATES = {
     "agpl": ["this program is free software licensed under the gnu affero general public license version 3", "you can redistribute it under the terms of the gnu affero general public license", "spdx license identifier agpl 3.0 or later", "license agpl 3.0", "license agplv3", "licensed under agpl 3.0", "licensed under the agplv3"],
-    "apache": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "you may obtain a copy of the license at http www.apache.org licenses license 2.0", "spdx license identifier apache 2.0", "license apache 2.0", "license apache license 2.0", "licensed under apache 2.0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license", "use of this source code is governed by a bsd style license", "spdx license identifier bsd 3 clause", "spdx license identifier bsd 2 clause", "license bsd 3 clause", "license bsd 2 clause", "licensed under the bsd 3 clause license", "licensed under bsd 3 clause"],
+    "apache": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "you may obtain a copy of the license at http www.apache.org licenses license 2.0", "spdx license identifier apache 2.0", "license apache 2.0", "license apache license 2.0", "licensed under apache 2.0", "licensed under apache license 2.0", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"],
+    "bsd": ["redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice", "released under the bsd license", "use of this source code is governed by a bsd style license", "spdx license identifier bsd 3 clause", "spdx license identifier bsd 2 clause", "license bsd 3 clause", "license bsd 2 clause", "licensed under the bsd 3 clause license", "licensed under bsd 3 clause"],
     "cc-by": ["this work is licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "this work is licensed under a creative commons attribution 3.0 unported license", "spdx license identifier cc by 4.0", "license cc by 4.0", "licensed under cc by 3.0", "license cc by 3.0", "licensed under the cc by 3.0 license", "licensed under the cc by 4.0 license"],
     "cc-by-nc": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc sa 4.0", "licensed under cc by nc nd 4.0", "this work is licensed under a creative commons attribution noncommercial 3.0 unported license", "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license", "this work is licensed under a creative commons attribution noncommercial sharealike 3.0 unported license", "this work is licensed under a creative commons attribution noncommercial noderivatives 4.0 international license", "this work is licensed under a creative commons attribution noncommercial noderivatives 3.0 unported license", "spdx license identifier cc by nc 4.0", "license cc by nc 4.0", "license cc by nc sa 4.0"],
     "cc-by-sa": ["licensed under cc by sa 4.0", "text is available under the creative commons attribution sharealike license", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "this work is licensed under a creative commons attribution sharealike 3.0 unported license", "text is available under the creative commons attribution sharealike 4.0 license", "spdx license identifier cc by sa 4.0", "license cc by sa 4.0", "licensed under cc by sa 3.0"],
     "cc-by-nd": ["licensed under cc by nd 4.0", "licensed under cc by nd 3.0", "this work is licensed under a creative commons attribution noderivatives 4.0 international license", "this work is licensed under a creative commons attribution noderivatives 3.0 unported license", "this work is licensed under a creative commons attribution noderivs 3.0 unported license", "spdx license identifier cc by nd 4.0", "license cc by nd 4.0"],
-    "cc0": ["this work is dedicated to the public domain", "to the extent possible under law the author has waived all copyright and related rights to this work cc0 1.0 universal", "spdx license identifier cc0 1.0", "license cc0 1.0", "licensed under cc0 1.0", "licensed under the cc0 1.0 license"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gnu general public license version 2 or later gpl license", "spdx license identifier gpl 3.0 or later", "spdx license identifier gpl 2.0 only", "license gpl 3.0", "license gplv3", "licensed under gpl 3.0", "licensed under the gplv3", "license gpl 2.0", "license gplv2"],
+    "cc0": ["this work is dedicated to the public domain", "waived all copyright and related rights to this work", "cc0 1.0 universal", "spdx license identifier cc0 1.0", "license cc0 1.0", "licensed under cc0 1.0", "licensed under the cc0 1.0 license"],
+    "gpl": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license as published by the free software foundation", "released under the gnu general public license version 2 or later gpl license", "spdx license identifier gpl 3.0 or later", "spdx license identifier gpl 2.0 only", "license gpl 3.0", "license gplv3", "licensed under gpl 3.0", "licensed under the gplv3", "license gpl 2.0", "license gplv2"],
     "lgpl": ["this library is licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license lgpl license", "spdx license identifier lgpl 2.1 or later", "spdx license identifier lgpl 3.0", "license lgpl 2.1", "license lgpl 3.0", "license lgplv3", "licensed under lgpl 3.0", "licensed under the lgpl 2.1 license", "licensed under the lgpl 2.1 or later license"],
-    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "spdx license identifier mit", "license mit", "license mit license", "licensed under mit"],
+    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "spdx license identifier mit", "license mit", "license mit license", "licensed under mit"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0", "license mpl 2.0", "licensed under mpl 2.0"],
-    "proprietary": ["all rights reserved", "copyright all rights reserved", "no part of this publication may be reproduced without the prior written permission of the publisher"],
+    "proprietary": ["all rights reserved", "copyright all rights reserved", "may be reproduced without the prior written permission of the publisher"],
 }
 #: Paragraphs with cue words that grant nothing.
 NO_GRANT = [
@@ -54,7 +62,18 @@ NO_GRANT = [
     "the ministry plans to redistribute land to small farmers", "the plate on the license of the old truck was red", "a broadcasting license was granted to the station", "the license fee for television rose again this year",
     "spdx license identifier zlib", "spdx license identifier unlicense", "spdx license identifier isc", "license zlib", "license see the file", "license unknown", "license none 2.0", "license 3.0 draft",
     "she renewed her driving license and mit researchers went home", "the apache people asked for permission to fish", "the license plate was by the door",
+    "he said the apache license plate was released under the roof", "all rights reserved seats", "two rights reserved seats in the hall", "reserved seats and all rights of way", "licensed under the eclipse public license version 2.0",
+    "license epl 2.0", "spdx license identifier epl 2.0", "released under the isc license", "licensed under the zlib license", "licensed under the terms of the european union public licence version 1.2", "released under the artistic license 2.0",
+    "the work is licensed to a publisher", "the general public licensed the radio", "mit students released a licensed copy", "the creative commons attribution office", "the public domain is a concept of law", "this license is not valid", "no license is granted",
+]
+#: Names of licences and sentences that only calibrate the threshold.
+UNSEEN = [
+    "licensed under the open font license version 1.1", "license ofl 1.1", "spdx license identifier bsl 1.0", "released under the boost software license version 1.0", "licensed under the microsoft public license", "license wtfpl",
+    "licensed under the common public license version 1.0", "licensed under the academic free license version 3.0", "this work is licensed under the open data commons attribution license", "licensed under the cecill 2.1 license",
+    "the apache tribe was granted a license to fish under the treaty", "the mit museum needs a license for the exhibition", "mozilla made a licensed version of the public browser", "he has not released the source code under any license",
+    "the domain is public and all work on it is dedicated", "copyright law reserves some rights", "the author has not waived all copyright", "you may not redistribute it under any terms", "a copy of the license hangs at the bar",
 ]
+DENIABLE = {"licensed", "released", "dedicated", "available", "granted", "permitted", "governed", "subject", "waived"}
 FILLER = "the of and a to in is it for on this that with as are be by from at or file project author team data page text copyright 2019 2021 contributors code site book article notes".split()
 
 
@@ -77,6 +96,34 @@ def naming() -> set[str]:
     return {w for w in set().union(*found) if sum(w in f for f in found) <= 2}
 
 
+def denied(sentence: str) -> str | None:
+    """The sentence with its grant denied, where it has a verb for that."""
+    words = words_of(sentence)
+    return " ".join(x for w in words for x in (["not", w] if w in DENIABLE else [w])) if DENIABLE & set(words) else None
+
+
+@lru_cache(maxsize=1)
+def template_weights() -> list[dict[str, int]]:
+    """The 2-grams of each template: 2 where only its family uses them, else 1, and so many times that as it takes for those with a cue that the others don't suffice."""
+    users: dict[str, set[str]] = {}
+    for f, s in template_list():
+        for g in bigrams_of(words_of(s)):
+            users.setdefault(g, set()).add(f)
+    out = []
+    for _, s in template_list():
+        base, times = {g: 1 + (len(users[g]) == 1) for g in bigrams_of(words_of(s))}, 1
+        cue = {g for g in base if re.search(CUE, g)}
+        while sum(v for g, v in base.items() if g not in cue) >= CONFIRM * sum(v * (times if g in cue else 1) for g, v in base.items()):
+            times += 1
+        out.append({g: v * (times if g in cue else 1) for g, v in base.items()})
+    return out
+
+
+def cue_is_safe() -> bool:
+    """Does every template lose more than it may with the 2-grams that hold a cue? Each cue lies in one word."""
+    return all(sum(v for g, v in w.items() if not re.search(CUE, g)) < CONFIRM * sum(w.values()) for w in template_weights())
+
+
 def variants(sentence: str, rng: random.Random, n: int) -> list[list[str]]:
     """A notice within other words, with a word that names no family dropped now and then."""
     out = [words_of(sentence)]
@@ -92,10 +139,11 @@ def trained() -> dict:
     rng = random.Random(7)
     families = [UNKNOWN, *sorted(TEMPLATES)]
     samples = [(families.index(f), w) for f in families[1:] for s in TEMPLATES[f] for w in variants(s, rng, 14)]
-    for s in NO_GRANT:
+    refused = [d for x in TEMPLATES.values() for s in x if (d := denied(s))]
+    for s in [*NO_GRANT, *refused]:
         samples += [(0, w) for w in variants(s, rng, 14)]
     rng.shuffle(samples)
-    vocabulary = sorted(set().union(*[grams_of(words_of(s)) for x in [*TEMPLATES.values(), NO_GRANT] for s in x]))
+    vocabulary = sorted(set().union(*[grams_of(words_of(s)) for x in [*TEMPLATES.values(), NO_GRANT, refused] for s in x]))
     at = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(samples), len(vocabulary)))
     for i, (_, w) in enumerate(samples):
@@ -110,26 +158,37 @@ def trained() -> dict:
         w -= 2.0 * (x[~held].T @ g + 2e-4 * w)
         b -= 2.0 * g.sum(axis=0)
     w, b = np.rint(w * 1000).astype(int), np.rint(b * 1000).astype(int)
-    z = (x[held] @ w + b) / 1000
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    wrong = (p.argmax(axis=1) != y[held].argmax(axis=1)) & (p.argmax(axis=1) > 0)
-    least = max([0.5, *(math.ceil(v * 100 + 1) / 100 for v in p[wrong].max(axis=1))])
+    aside = [(f, words) for (f, words), h in zip(samples, held, strict=True) if h] + [(0, v) for s in UNSEEN for v in variants(s, rng, 9)]
+    least, weights, place = 0.5, template_weights(), [families.index(f) for f, _ in template_list()]
+    for truth, words in aside:
+        z = (b + sum((w[at[g]] for g in grams_of(words) if g in at), np.zeros(len(families)))) / 1000
+        k, own = int(z.argmax()), bigrams_of(words)
+        share = max([sum(v for g, v in t.items() if g in own) / sum(t.values()) for t, f in zip(weights, place, strict=True) if f == k], default=0.0)
+        if k and k != truth and share >= CONFIRM:
+            least = max(least, math.ceil(100 / float(np.exp(z - z.max()).sum()) + 1) / 100)
     return {"families": families, "bias": b.tolist(), "weights": {g: w[i].tolist() for g, i in at.items()}, "least": min(least, 0.95)}
 
 
 def gram_rows() -> list[tuple[str, str, int, int]]:
     """(gram, kind, place, value): kind w has a class and its weight, kind t a template's number and 1."""
     rows = [(g, "w", k, v) for g, values in trained()["weights"].items() for k, v in enumerate(values) if v]
-    return rows + [(g, "t", t, 1) for t, (_, s) in enumerate(template_list()) for g in sorted(bigrams_of(words_of(s)))]
+    return rows + [(g, "t", t, v) for t, w in enumerate(template_weights()) for g, v in sorted(w.items())]
 
 
 def template_list() -> list[tuple[str, str]]:
     return [(f, s) for f in sorted(TEMPLATES) for s in TEMPLATES[f]]
 
 
+def has_cue(text: Column) -> Column:
+    """A plain search for each cue: the whole table goes through it."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in CUES]) | (F.contains(text, F.lit(CUE_WORD)) & text.rlike(CUE_WORD_AT))
+
+
 def paragraphs(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(text, "\n"), lambda p: F.lower(p).rlike(CUE)))
+    """Distinct lines, and up to :data:`WRAP` of them on end within a block, that hold a cue."""
+    lines = F.split(text, "\n")
+    run = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(lines) - (k - 1))), lambda i: F.when(F.forall(F.slice(lines, i, k), lambda p: F.trim(p) != "") | F.lit(k == 1), F.array_join(F.slice(lines, i, k), " ")))
+    return F.array_distinct(F.filter(F.concat(*[run(k) for k in range(1, WRAP + 1)]), lambda p: p.isNotNull() & has_cue(F.lower(p))))
 
 
 def grams(words: Column) -> Column:
@@ -145,12 +204,11 @@ def classify(distinct: DataFrame) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(gram_rows(), "gram string, kind string, place int, value int"))  # some thousand rows, fixed by the templates
     words = F.expr(r"regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9.]*[a-z0-9]', 0)")
     cut = distinct.withColumn("gs", grams(words))
-    cut = cut.withColumn("pairs", F.greatest(F.lit(1), F.size(F.filter("gs", lambda g: g.rlike("^[^ ]+ [^ ]+$")))))
-    hits = cut.select("p", "pairs", F.explode("gs").alias("gram")).join(table, "gram").groupBy("p", "pairs", "kind", "place").agg(F.sum("value").alias("value"))
+    hits = cut.select("p", F.explode("gs").alias("gram")).join(table, "gram").groupBy("p", "kind", "place").agg(F.sum("value").alias("value"))
     z = [F.coalesce(F.max(F.when((F.col("kind") == "w") & (F.col("place") == k), F.col("value"))), F.lit(0)) + model["bias"][k] for k in range(len(families))]
-    size = [len(bigrams_of(words_of(s))) for _, s in templates]
-    share = lambda family: F.greatest(F.lit(0.0), *[F.coalesce(F.max(F.when((F.col("kind") == "t") & (F.col("place") == t), F.col("value"))), F.lit(0)) / F.least(F.lit(size[t]), F.col("pairs")) for t, (f, _) in enumerate(templates) if f == family])
-    rows = hits.groupBy("p", "pairs").agg(F.array(*z).alias("z"), F.array(F.lit(0.0), *[share(f) for f in families[1:]]).alias("shares"))
+    size = [sum(w.values()) for w in template_weights()]
+    share = lambda family: F.greatest(F.lit(0.0), *[F.coalesce(F.max(F.when((F.col("kind") == "t") & (F.col("place") == t), F.col("value"))), F.lit(0)) / F.lit(size[t]) for t, (f, _) in enumerate(templates) if f == family])
+    rows = hits.groupBy("p").agg(F.array(*z).alias("z"), F.array(F.lit(0.0), *[share(f) for f in families[1:]]).alias("shares"))
     best = F.array_position("z", F.array_max("z")).cast("int")
     total = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp((v - F.array_max("z")) / 1000.0))
     rows = rows.select("p", best.alias("best"), F.round(1 / total, 6).alias("score"), F.element_at("shares", best).alias("share"))
@@ -162,8 +220,8 @@ def classify(distinct: DataFrame) -> DataFrame:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs with cue words, n_confirmed, licenses (families in order, joined by commas), score (of the surest confirmed one, else 0)."""
     ids = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    # written once: few lines have a cue, and reading them again is cheaper than scanning every text again
-    found = written(ids.where(F.lower("text").rlike(CUE)).select("doc_id", F.explode(paragraphs(F.col("text"))).alias("p")).distinct(), "paragraphs")
+    # written once: few paragraphs have a cue, and reading them again is cheaper than scanning every text again
+    found = written(ids.where(has_cue(F.lower("text"))).select("doc_id", F.explode(paragraphs(F.col("text"))).alias("p")).distinct(), "paragraphs")
     scored = classify(found.select("p").distinct())
     # a line that a third of all documents hold is a hot key of this join; Spark splits it at run time
     named = found.join(scored, "p", "left").groupBy("doc_id").agg(
@@ -183,19 +241,20 @@ def licenses_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(g)}, '{k}', {i}, {v})" for g, k, i, v in gram_rows())
     classes = ", ".join(f"({k}, {quoted(f)}, {b})" for k, (f, b) in enumerate(zip(model["families"], model["bias"], strict=True)))
-    sizes = ", ".join(f"({t}, {model['families'].index(f)}, {len(bigrams_of(words_of(s)))})" for t, (f, s) in enumerate(templates))
+    sizes = ", ".join(f"({t}, {model['families'].index(f)}, {sum(template_weights()[t].values())})" for t, (f, _) in enumerate(templates))
     return f"""
 with grams(gram, kind, place, value) as (values {values}), classes(k, family, bias) as (values {classes}), templates(t, k, size) as (values {sizes}),
-cut as (select distinct doc_id, p from (select doc_id, unnest(string_split(text, chr(10))) as p from documents) where regexp_matches(lower(p), '{CUE}')),
+lines as (select doc_id, string_split(text, chr(10)) as l from documents where regexp_matches(lower(text), '{CUE}')),
+runs as (select doc_id, l[i : i + k - 1] as r, k from (select doc_id, l, k, unnest(range(1, len(l) - k + 2)) as i from lines, (select unnest(range(1, {WRAP + 1})) as k))),
+cut as (select distinct doc_id, array_to_string(r, ' ') as p from runs where (k = 1 or len(list_filter(r, lambda x: trim(x) = '')) = 0) and regexp_matches(lower(array_to_string(r, ' ')), '{CUE}')),
 words as (select p, regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9.]*[a-z0-9]') as w from (select distinct p from cut)),
 places as (select p, w, n, unnest(range(1, len(w) - n + 2)) as i from words, (values (1), (2), (3)) sizes(n)),
 own as (select distinct p, n, array_to_string(w[i : i + n - 1], ' ') as gram from places),
-pairs as (select p, greatest(1, count(*) filter (n = 2)) as pairs from own group by p),
 hits as (select p, kind, place, sum(value) as value from own join grams using (gram) group by all),
 z as (select p, k, family, bias + coalesce((select value from hits h where h.p = q.p and h.kind = 'w' and h.place = k), 0) as z from (select distinct p from hits) q, classes),
 top as (select p, max(z) as m from z group by p),
 scored as (select z.p, round(1.0 / sum(exp((z - m) / 1000.0)), 6) as score, min(k) filter (z = m) as k from z join top on z.p = top.p group by z.p),
-shared as (select h.p, t.k, max(h.value / least(t.size, pairs)::double) as share from hits h join templates t on h.kind = 't' and h.place = t.t join pairs on pairs.p = h.p group by h.p, t.k),
+shared as (select h.p, t.k, max(h.value / t.size::double) as share from hits h join templates t on h.kind = 't' and h.place = t.t group by h.p, t.k),
 sure as (select s.p, c.family, s.score from scored s join classes c on c.k = s.k join shared h on h.p = s.p and h.k = s.k where s.k > 0 and s.score >= {model["least"]} and share >= {CONFIRM}),
 named as (select doc_id, count(*) as n_paragraphs, count(family) as n_confirmed, coalesce(string_agg(distinct family, ',' order by family), '') as licenses, coalesce(max(score), 0) as score from cut left join sure on cut.p = sure.p group by doc_id)
 select d.doc_id, coalesce(n_paragraphs, 0)::bigint as n_paragraphs, coalesce(n_confirmed, 0)::bigint as n_confirmed, coalesce(licenses, '') as licenses, coalesce(score, 0)::double as score

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.llm.language_id import fit, identify, predict
-from evalweave.llm.licenses import CONFIRM, CUE, TEMPLATES, bigrams_of, scan_licenses, template_list, trained, words_of
+from evalweave.llm.licenses import CONFIRM, CUE, TEMPLATES, bigrams_of, cue_is_safe, scan_licenses, template_list, trained, words_of
 from evalweave.llm.mixing import mix_sources, rates
 from evalweave.llm.shards import ShardedTable, shard_documents
 from evalweave.llm.url_lists import apply_lists, host_of, intervals, list_events, page_events
@@ -43,6 +43,21 @@ def test_full_and_short_notices_of_each_family(spark):
     assert [(text, got[i][0]) for i, (_, text) in enumerate(notices)] == [(text, f) for f, text in notices]
 
 
+def test_licences_that_are_not_granted(spark):
+    none = ["Licensed under the Eclipse Public License version 2.0.", "He said the apache license plate was released under the mit roof.", "All of this work is not licensed under the GNU General Public License version 3.", "They have all rights reserved seats.",
+            "Released under the ISC License.", "Licensed under the zlib license", "The software is not released under the MIT License.", "This work is not dedicated to the public domain."]
+    wrapped = [("apache", "Unless required by law or agreed to in writing,\nsoftware distributed under the License is distributed on\nan AS IS BASIS, WITHOUT WARRANTIES OR\nCONDITIONS OF ANY KIND."),
+               ("cc-by-sa", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."), ("", "Released under the\n\nMIT License"), ("mit", "x\nReleased under the\n MIT License")]
+    got = licences(spark, [*none, *[t for _, t in wrapped], "SPDX-License-Identifier: MIT"])
+    assert [(t, got[i][0]) for i, t in enumerate(none)] == [(t, "") for t in none]
+    assert [(t, got[i][0]) for i, (_, t) in enumerate(wrapped, len(none))] == [(t, f) for f, t in wrapped]
+    assert got[len(none) + len(wrapped)][0] == "mit"
+
+
+def test_no_template_can_be_confirmed_without_a_cue():
+    assert cue_is_safe() and 0.5 <= trained()["least"] < 1
+
+
 def test_licence_rows(spark):
     docs = documents(spark, ["All rights reserved."] * 2)
     docs = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
