@@ -40,10 +40,19 @@ def bucket_ratio(risk: Column, ratios: tuple[float, float, float] = (0.25, 0.50,
     return F.when(risk < 1 / 3, ratios[0]).when(risk < 2 / 3, ratios[1]).otherwise(ratios[2])
 
 
-def effective_ratio(mode: Column, ratio: Column, risk: Column) -> Column:
-    """The ratio by budget mode; a missing risk counts as one half."""
-    risk = F.coalesce(risk, F.lit(0.5))
-    return F.when(mode == "adaptive", adaptive_ratio(risk)).when(mode == "bucket", bucket_ratio(risk)).when(mode == "full", F.lit(1.0)).otherwise(ratio)
+def removal_fraction(n: Column, kept: Column) -> Column:
+    """The share of tokens that a budget removes; 0 without tokens."""
+    return F.when(n > 0, 1 - F.greatest(F.lit(0), F.least(n, kept)) / n).otherwise(0.0)
+
+
+def effective_ratio(mode: Column, ratio: Column, risk: Column, sensitivity: Column | None = None) -> Column:
+    """The ratio by budget mode (fixed, risk_adaptive, risk_bucket, sensitivity_policy, full); a missing risk counts as one half, a missing sensitivity as the fixed ratio, and an unknown mode is an error."""
+    risk, sensitivity = F.coalesce(risk, F.lit(0.5)), F.coalesce(sensitivity, ratio) if sensitivity is not None else ratio
+    known = {"fixed": ratio, "risk_adaptive": adaptive_ratio(risk), "risk_bucket": bucket_ratio(risk), "sensitivity_policy": sensitivity, "full": F.lit(1.0)}
+    out = F.when(F.lit(False), ratio)
+    for name, value in known.items():
+        out = out.when(mode == name, value)
+    return out.otherwise(F.raise_error(F.concat(F.lit("no budget mode "), F.coalesce(mode, F.lit("null")))).cast("double"))
 
 
 def harmonic(a: Column, b: Column) -> Column:
@@ -59,7 +68,8 @@ def softmax(values: Column, temperature: float = 1.0) -> Column:
 
 def normalised_entropy(weights: Column) -> Column:
     h = F.aggregate(weights, F.lit(0.0), lambda a, p: a + F.when(p > 0, -p * F.ln(p)).otherwise(0.0))
-    return F.when(F.size(weights) > 1, h / F.ln(F.size(weights).cast("double"))).otherwise(0.0)
+    some = F.size(F.filter(weights, lambda p: p > 0))
+    return F.when(some > 1, h / F.ln(some.cast("double"))).otherwise(0.0)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -104,6 +104,15 @@ def question_for(relation: Column, subject: Column, target: Column) -> Column:
 
 def paraphrases(subject: Column, relation: Column, target: Column) -> Column:
     """Wordings of one question for agreement between them."""
-    r = F.replace(relation, F.lit("_"), F.lit(" "))
-    forms = ["Is the %s %s the %s?", "Can you see the %s %s the %s?", "Is it true that the %s is %s the %s?", "Answer yes or no: the %s is %s the %s."]
-    return F.array(*[F.format_string(f, subject, r, target) for f in forms])
+    return reworded(question_for(relation, subject, target))
+
+
+#: Wordings around a question, with its first letter lowered or as it is.
+WORDINGS = ("According to the image, {low}?", "Look at the image carefully. {core}?", "Answer yes or no using only visual evidence: {low}?", "Based on what is visible, is it true that {low}?")
+
+
+def reworded(question: Column) -> Column:
+    core = F.regexp_replace(question, "[ ?]+$", "")
+    low = F.concat(F.lower(F.substring(core, 1, 1)), F.substr(core, F.lit(2)))
+    parts = lambda w: [low if p == "{low}" else core if p == "{core}" else F.lit(p) for p in re.split(r"(\{\w+\})", w) if p]
+    return F.array(*[F.concat(*parts(w)) for w in WORDINGS])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from collections.abc import Callable
 
@@ -10,13 +11,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Characters that are read for one another.
-CONFUSABLE = {"0": "O", "1": "l", "2": "Z", "5": "S", "6": "G", "8": "B", "B": "8", "G": "6", "I": "1", "O": "0", "S": "5", "Z": "2", "l": "1"}
-ARTICLES = r"\b(a|an|the)\b"
+#: What a character is misread as, by its lower case.
+CONFUSABLE = {
+    "0": "O 8 6", "1": "I l 7", "2": "Z 3", "3": "8 5", "4": "A 9", "5": "S 6", "6": "8 5", "7": "1 T", "8": "B 3 0", "9": "8 4", "a": "o e u", "b": "h d 8", "c": "e o", "d": "b cl", "e": "c a o", "f": "t l",
+    "g": "q 9", "h": "b n", "i": "l 1", "j": "i", "k": "h", "l": "1 I i", "m": "rn n", "n": "h m", "o": "0 a e", "p": "b q", "q": "g p", "r": "n", "s": "5 S", "t": "f l", "u": "v n", "v": "u y", "w": "vv m",
+    "x": "k", "y": "v", "z": "2 s",
+}
+PUNCTUATION = string.punctuation
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def ascii_fold(text: Column) -> Column:
@@ -25,8 +30,13 @@ def ascii_fold(text: Column) -> Column:
 
 
 def answer_form(text: Column) -> Column:
-    """Lower case without punctuation and articles, white space squeezed."""
-    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), ARTICLES, " "))
+    """Lower case without ASCII punctuation, then without articles, white space squeezed; letters of any script stay."""
+    return squeeze(F.regexp_replace(plain_form(text), r"(?U)\b(a|an|the)\b", " "))
+
+
+def plain_form(text: Column) -> Column:
+    """:func:`answer_form` with its articles."""
+    return squeeze(F.translate(F.lower(text), PUNCTUATION, ""))
 
 
 def _unicode(form: str, fold: bool, strip: str | None) -> Callable:
@@ -60,6 +70,7 @@ NORMALISERS: dict[str, Callable[[Column], Column]] = {
     "ascii": _unicode("NFKC", True, "ascii"),
     "ascii_only": ascii_fold,
     "answer": answer_form,
+    "plain_answer": plain_form,
 }
 
 
@@ -71,8 +82,8 @@ def anls(a: Column, b: Column, most: float = 0.5) -> Column:
 
 
 def soft_accuracy(prediction: Column, answers: Column) -> Column:
-    """Mean over the answers left out one by one of min(1, matches among the others / 3)."""
-    n = F.size(answers)
+    """Mean over the answers left out one by one of min(1, matches among the others / 3), all in :func:`answer_form`."""
+    n, prediction, answers = F.size(answers), answer_form(prediction), F.transform(answers, answer_form)
     hits = F.size(F.filter(answers, lambda a: a == prediction))
     left_out = F.transform(answers, lambda a: F.least(F.lit(1.0), (hits - F.when(a == prediction, 1).otherwise(0)) / 3.0))
     return F.when(n > 0, F.aggregate(left_out, F.lit(0.0), lambda s, x: s + x) / n).otherwise(0.0)
@@ -100,8 +111,9 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def contains_normalised(text: Column, target: Column) -> Column:
-    t = ascii_fold(target)
-    return (t != "") & F.contains(ascii_fold(text), t)
+    """Does the text contain the target, both lowered and without anything but letters and digits of any script?"""
+    fold = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    return (fold(target) != "") & F.contains(fold(text), fold(target))
 
 
 def usable_token(text: Column, least: int = 4, most: int = 18, punctuation: float = 0.35) -> Column:
@@ -133,23 +145,34 @@ def changed_classes(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(pairs, lambda k: k.isNotNull())))
 
 
-def near_misses(word: Column) -> Column:
-    """Distinct one-edit decoys: confusable substitutions, the next letter or digit, single deletions of words of 4 or more."""
+def replacements(char: Column, unicode_safe: bool = True) -> Column:
+    """What a character may be replaced by: its confusables, then the next letter or digit; upper case stays upper. ``unicode_safe`` leaves letters and digits outside ASCII alone."""
+    low = F.lower(char)
+    known = F.create_map(*[x for k, v in CONFUSABLE.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
+    letter, digit = ("^[A-Za-z]$", "^[0-9]$") if unicode_safe else (r"^\p{L}$", "^[0-9]$")
+    following = F.when(char.rlike(letter), F.when(low == "z", "a").otherwise(F.chr(F.ascii(low) + 1))).when(char.rlike(digit), ((char.try_cast("int") + 1) % 10).cast("string"))
+    made = F.array_compact(F.concat(F.coalesce(F.element_at(known, low), F.array().cast("array<string>")), F.array(following)))
+    return F.when(char.rlike(r"^\p{Lu}$"), F.transform(made, F.upper)).otherwise(made)
+
+
+def near_misses(word: Column, present: Column | None = None, unicode_safe: bool = True) -> Column:
+    """Distinct decoys in order: each character replaced by each of its :func:`replacements`, then, of words of 4 or more, without each letter or digit.
+
+    ``present`` holds lowered words that a decoy must not equal.
+    """
     places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word)))
-    pairs = F.create_map(*[F.lit(x) for kv in CONFUSABLE.items() for x in kv])
-    swap = lambda i, c: F.concat(F.substring(word, 1, i - 1) if isinstance(i, int) else F.substr(word, F.lit(1), i - 1), c, F.substr(word, i + 1))
     at = lambda i: F.substr(word, i, F.lit(1))
-    confused = F.transform(places, lambda i: swap(i, F.element_at(pairs, at(i))))
-    following = F.transform(places, lambda i: F.when(at(i).rlike("^[a-yA-Y0-8]$"), swap(i, F.chr(F.ascii(at(i)) + 1))))
-    shorter = F.when(F.length(word) >= 4, F.transform(places, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))))
-    every = F.concat(confused, following, F.coalesce(shorter, F.array().cast("array<string>")))
-    return F.array_distinct(F.filter(every, lambda w: w.isNotNull() & (w != word)))
+    swapped = F.flatten(F.transform(places, lambda i: F.transform(replacements(at(i), unicode_safe), lambda c: F.concat(F.substr(word, F.lit(1), i - 1), c, F.substr(word, i + 1)))))
+    shorter = F.transform(F.filter(places, lambda i: at(i).rlike(r"^[\p{L}\p{N}]$")), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+    every = F.concat(F.when(F.length(word) > 0, swapped).otherwise(F.array().cast("array<string>")), F.when(F.length(word) >= 4, shorter).otherwise(F.array().cast("array<string>")))
+    fresh = F.filter(every, lambda w: w != word)
+    return F.array_distinct(fresh if present is None else F.filter(fresh, lambda w: ~F.array_contains(present, F.lower(w))))
 
 
 def yes_no(text: Column) -> Column:
-    """True for yes, false for no, null for anything else."""
-    t = F.lower(F.trim(text))
-    return F.when(t.isin("yes", "true", "1") | t.startswith("yes"), True).when(t.isin("no", "false", "0") | t.startswith("no"), False)
+    """True for yes, y, true, 1 and what begins with yes; false for anything else, null included."""
+    t = F.lower(F.trim(text.cast("string")))
+    return F.coalesce(t.isin("yes", "y", "true", "1") | t.startswith("yes"), F.lit(False))
 
 
 def slug(text: Column) -> Column:

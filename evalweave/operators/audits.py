@@ -60,12 +60,13 @@ def label_agreement(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame
     return out.select(*by, "shared", "only_a", "only_b", F.when(union > 0, F.col("shared") / union).otherwise(0.0).alias("jaccard"), F.when(union > 0, 2 * F.col("shared") / (union + F.col("shared"))).otherwise(0.0).alias("f1"))
 
 
-def tercile_strata(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """"low", "middle", "high" by interpolated terciles; by rank where both cuts coincide."""
+def tercile_strata(rows: DataFrame, value: str, by: list[str], tie: list[str] | None = None) -> DataFrame:
+    """"low", "middle", "high" by interpolated terciles; by rank where both cuts coincide, equal values by ``tie`` or all other columns."""
+    tie = tie or [c for c in rows.columns if c not in (value, *by)]
     cuts = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"), F.count(F.lit(1)).alias("_n"))
     joined = rows.join(cuts, by)
     low, high = F.col("_q")[0], F.col("_q")[1]
-    third = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1) * 3 / F.col("_n"))
+    third = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(value, *tie)) - 1) * 3 / F.col("_n"))
     stratum = F.when(low < high, F.when(F.col(value) <= low, "low").when(F.col(value) <= high, "middle").otherwise("high")).otherwise(F.element_at(F.array(F.lit("low"), F.lit("middle"), F.lit("high")), third.cast("int") + 1))
     return joined.withColumn("stratum", stratum).drop("_q", "_n")
 

@@ -5,11 +5,16 @@ A sample has as many rows as its image has tokens (some thousands); samples are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evalweave.functions.boxes import centre_recall, evidence_coverage, patch_recall
+from evalweave.operators.selectors import SELECTORS, tokens_of
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -39,51 +44,6 @@ def facility_location(v: np.ndarray, saliency: np.ndarray, k: int, alpha: float
     return out
 
 
-def farthest_bonus(xy: np.ndarray, relevance: np.ndarray, uniqueness: np.ndarray, k: int) -> list[int]:
-    """Seven tenths by relevance + 0.6 uniqueness from a shortlist of 3k, the rest with a bonus of 0.4 times the distance to what is picked."""
-    base = relevance + 0.6 * uniqueness
-    order = np.lexsort((np.arange(len(base)), -base))
-    short, k = order[: 3 * k], min(k, len(base))
-    picked = short[: max(1, int(round(0.7 * k)))].tolist()
-    while len(picked) < k:
-        rest = np.array([i for i in short if i not in picked])
-        d2 = ((xy[rest][:, None, :] - xy[picked][None, :, :]) ** 2).sum(axis=2).min(axis=1)
-        gain = base[rest] + 0.4 * np.sqrt(d2)
-        best = np.flatnonzero(gain >= gain.max() - 1e-12)
-        picked.append(int(rest[best].min()))
-    return picked
-
-
-def coverage_greedy(xy: np.ndarray, relevance: np.ndarray, uniqueness: np.ndarray, k: int) -> list[int]:
-    """Relevance + 0.2 uniqueness + 0.3 for each new cell of a square grid."""
-    side = max(1, int(np.ceil(np.sqrt(k))))
-    cell = np.minimum(side - 1, np.floor(xy * side)).astype(int) @ np.array([1, side])
-    seen, free, out = set(), np.ones(len(xy), dtype=bool), []
-    for _ in range(min(k, len(xy))):
-        fresh = np.array([c not in seen for c in cell])
-        j = _argmax(relevance + 0.2 * uniqueness + 0.3 * fresh / side**2, free)
-        free[j] = False
-        seen.add(int(cell[j]))
-        out.append(j)
-    return out
-
-
-def hybrid(xy: np.ndarray, relevance: np.ndarray, anchors: np.ndarray, k: int) -> list[int]:
-    """Half by relevance, a quarter nearest to the anchors, the rest farthest from what is picked."""
-    k, index = min(k, len(xy)), np.arange(len(xy))
-    picked = np.lexsort((index, -relevance))[: max(1, round(0.5 * k))].tolist()
-    near = ((xy[:, None, :] - anchors[None, :, :]) ** 2).sum(axis=2).min(axis=1) if len(anchors) else np.zeros(len(xy))
-    picked += [int(i) for i in np.lexsort((index, -relevance, near)) if i not in picked][: round(0.25 * k)]
-    free = np.ones(len(xy), dtype=bool)
-    free[picked] = False
-    while len(picked) < k:
-        d2 = ((xy[:, None, :] - xy[picked][None, :, :]) ** 2).sum(axis=2).min(axis=1)
-        j = _argmax(d2, free)
-        free[j] = False
-        picked.append(j)
-    return picked[:k]
-
-
 def orthogonal(v: np.ndarray, text: np.ndarray, k: int, alpha: float = 0.5, beta: float = 0.5) -> list[int]:
     """Directions that earlier picks do not span, mixed with length and agreement with the text's mean (Gram-Schmidt)."""
     u = unit(v)
@@ -164,20 +124,59 @@ def vectors_of(rows: pd.DataFrame, column: str) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in rows[column]])
 
 
-#: Selectors by name; each takes one sample's tokens and k.
-SELECTORS: dict[str, Callable[[pd.DataFrame, int], list[int]]] = {
+#: Selectors that look at vectors; those of :mod:`evalweave.operators.selectors` look at boxes and scores.
+VECTOR_SELECTORS: dict[str, Callable[[pd.DataFrame, int], list[int]]] = {
     "facility_location": lambda r, k: facility_location(vectors_of(r, "vec"), r["saliency"].to_numpy(float), k),
-    "rise": lambda r, k: farthest_bonus(r[["x", "y"]].to_numpy(float), r["relevance"].to_numpy(float), r["uniqueness"].to_numpy(float), k),
-    "coverage_greedy": lambda r, k: coverage_greedy(r[["x", "y"]].to_numpy(float), r["relevance"].to_numpy(float), r["uniqueness"].to_numpy(float), k),
-    "hybrid": lambda r, k: hybrid(r[["x", "y"]].to_numpy(float), r["relevance"].to_numpy(float), r.loc[r["anchor"], ["x", "y"]].to_numpy(float), k),
     "orthogonal": lambda r, k: orthogonal(vectors_of(r, "vec"), np.zeros((0, len(r["vec"].iloc[0]))), k),
     "anchor_novelty": lambda r, k: anchors_then_novelty(vectors_of(r, "vec"), r["relevance"].to_numpy(float), k),
-    "topk": lambda r, k: np.lexsort((np.arange(len(r)), -r["relevance"].to_numpy(float)))[:k].tolist(),
-    "bottomk": lambda r, k: np.lexsort((np.arange(len(r)), r["relevance"].to_numpy(float)))[:k].tolist(),
+    "dominant_contextual": lambda r, k: [i for part in dominant_and_contextual(vectors_of(r, "vec"), r["saliency"].to_numpy(float), k)[:2] for i in part],
 }
 
 
 def run_selector(tokens: DataFrame, name: str, k: int, sample: str = "sample_id", index: str = "idx") -> DataFrame:
+    """(sample, index, step) of the tokens that a named selector keeps."""
+    if name in VECTOR_SELECTORS:
+        return select_per_sample(tokens, sample, index, lambda rows: VECTOR_SELECTORS[name](rows, k))
     if name not in SELECTORS:
-        raise ValueError(f"no selector {name}; there are {sorted(SELECTORS)}")
-    return select_per_sample(tokens, sample, index, lambda rows: SELECTORS[name](rows, k))
+        raise ValueError(f"no selector {name}; there are {sorted([*SELECTORS, *VECTOR_SELECTORS])}")
+    return select_per_sample(tokens, sample, index, lambda rows: SELECTORS[name](tokens_of(rows, f"{name}:{rows[sample].iloc[0]}"), k))
+
+
+def sweep(tokens: DataFrame, names: list[str], ratios: list[float], sample: str = "sample_id", index: str = "idx") -> DataFrame:
+    """(sample, selector, keep_ratio, n, kept): every selector at every budget on a sample's tokens, which are read once; kept holds indices in order."""
+    fields = {f.name: f.dataType.simpleString() for f in tokens.schema}
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(index).reset_index(drop=True)
+        out, places = [], rows[index].to_numpy()
+        for name in names:
+            t = tokens_of(rows, f"{name}:{rows[sample].iloc[0]}")
+            for ratio in ratios:
+                k = max(1, min(t.n, math.ceil(t.n * ratio)))
+                out.append((rows[sample].iloc[0], name, ratio, t.n, sorted(places[SELECTORS[name](t, k)].tolist())))
+        return pd.DataFrame(out, columns=[sample, "selector", "keep_ratio", "n", "kept"])
+
+    return tokens.groupBy(sample).applyInPandas(one, f"`{sample}` {fields[sample]}, selector string, keep_ratio double, n int, kept array<{fields[index]}>")
+
+
+def sweep_coverage(swept: DataFrame, tokens: DataFrame, regions: DataFrame, sample: str = "sample_id", index: str = "idx") -> DataFrame:
+    """Each mask of :func:`sweep` with the evidence it keeps: ecr, whether it is one half at least, centre and patch recall, removed share."""
+    boxes = tokens.select(sample, index, F.struct("x1", "y1", "x2", "y2").alias("box")).groupBy(sample).agg(F.sort_array(F.collect_list(F.struct(index, "box"))).alias("b"))
+    boxes = boxes.select(sample, F.transform("b", lambda s: s["box"]).alias("boxes"), F.transform("b", lambda s: s[index]).alias("ids"))
+    rows = swept.join(boxes, sample).join(regions, sample, "left")
+    places = F.transform("kept", lambda i: (F.array_position("ids", i) - 1).cast("int"))
+    kept = F.transform(F.col("places"), lambda i: F.col("boxes")[i])
+    rows = rows.withColumn("places", places).withColumn("kept_boxes", kept).withColumn("evidence", F.coalesce("regions", F.slice("boxes", 1, 0)))
+    rows = rows.withColumn("ecr", evidence_coverage(F.col("kept_boxes"), F.col("evidence")))
+    return rows.select(
+        sample, "selector", "keep_ratio", "n", "kept", F.size("kept").alias("kept_count"), (1 - F.size("kept") / F.col("n")).alias("removed"), (F.size("evidence") > 0).alias("has_evidence"), "ecr",
+        (F.col("ecr") >= 0.5).cast("double").alias("ecr_half"), centre_recall(F.col("kept_boxes"), F.col("evidence")).alias("centre_recall"), patch_recall(F.col("boxes"), F.col("evidence"), F.col("places")).alias("patch_recall"),
+    )
+
+
+def sweep_summary(covered: DataFrame) -> DataFrame:
+    """Means by selector and budget; those of evidence over samples that have some, 0 without any."""
+    some = lambda c: F.coalesce(F.avg(F.when(F.col("has_evidence"), F.col(c))), F.lit(0.0)).alias(f"mean_{c}")
+    return covered.groupBy("selector", "keep_ratio").agg(
+        F.count(F.lit(1)).alias("samples"), F.count_if("has_evidence").alias("with_evidence"), F.avg("kept_count").alias("mean_kept"), F.avg("removed").alias("mean_removed"), *map(some, ("ecr", "ecr_half", "centre_recall", "patch_recall"))
+    )

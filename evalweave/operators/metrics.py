@@ -1,6 +1,6 @@
 """Rank, selective-risk, threshold, agreement and calibration metrics, grouped by any keys.
 
-Every metric aggregates equal scores before it orders them, or orders inside its groups. ``by`` may be empty for one overall row.
+Metrics that order rows do so by buckets (:mod:`evalweave.operators.ordered`), others sum equal scores first; no task sees a whole group. ``by`` may be empty for one overall row.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import maths
-from evalweave.functions.ranks import average_rank
+from evalweave.operators.ordered import ordered_ranks, running
 
 TINY = 1e-12
 
@@ -29,23 +29,21 @@ def ratio(part: Column, whole: Column) -> Column:
 def auc(rows: DataFrame, score: str, label: str, by: list[str], one_class: float = 0.5) -> DataFrame:
     """ROC AUC with ties at half; ``one_class`` where only one class occurs. Equal scores are summed before the running count."""
     points = rows.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(_window(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    points = points.withColumn("wins", F.col("p") * (below + F.col("q") / 2.0))
+    points = running(points, by, score, [], {"_upto": F.col("q")})
+    points = points.withColumn("wins", F.col("p") * (F.col("_upto") - F.col("q") / 2.0))
     out = points.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum("wins").alias("wins"))
     value = F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("wins") / (F.col("positives") * F.col("negatives"))).otherwise(one_class)
     return out.select(*by, "positives", "negatives", value.alias("auc"))
 
 
 def average_precision(rows: DataFrame, score: str, label: str, order: str, by: list[str]) -> DataFrame:
-    w = _window(by).orderBy(F.col(score).desc(), F.col(order))
-    ranked = rows.withColumn("rn", F.row_number().over(w)).withColumn("hits", F.sum(F.col(label).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = running(rows.select(*by, score, label, order), by, score, [F.col(order)], {"hits": F.col(label).cast("long")}, descending=True)
     return ranked.groupBy(*by).agg(mean_or_zero(F.when(F.col(label).cast("int") == 1, F.col("hits") / F.col("rn"))).alias("ap"))
 
 
 def ranked_errors(rows: DataFrame, risk: str, error: str, order: str, by: list[str]) -> DataFrame:
     """Rows with their place by ascending risk and the running error before and with them."""
-    w = _window(by).orderBy(risk, order)
-    return rows.withColumn("rn", F.row_number().over(w)).withColumn("cum", F.sum(F.col(error).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.count(F.lit(1)).over(_window(by)))
+    return running(rows, by, risk, [F.col(order)], {"cum": F.col(error).cast("double")})
 
 
 def aurc(rows: DataFrame, risk: str, error: str, order: str, by: list[str]) -> DataFrame:
@@ -156,7 +154,8 @@ def pearson(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_rx", average_rank(x, by)).withColumn("_ry", average_rank(y, by))
+    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = ordered_ranks(ranked, by, {x: "_rx", y: "_ry"})
     return pearson(ranked, "_rx", "_ry", by)
 
 
@@ -166,7 +165,8 @@ def partial_spearman(rows: DataFrame, x: str, y: str, controls: list[str], by: l
     Correlations are sums, so one aggregate gives the matrix; the partial correlation follows from it by recursion over the controls.
     """
     names = [x, y, *controls]
-    ranked = rows.where(" and ".join(f"`{n}` is not null" for n in names)).withColumns({f"_r{i}": average_rank(n, by) for i, n in enumerate(names)})
+    ranked = rows.where(" and ".join(f"`{n}` is not null" for n in names)).select(*by, *names)
+    ranked = ordered_ranks(ranked, by, {name: f"_r{i}" for i, name in enumerate(names)})
     m = len(names)
     out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"_r{i}", f"_r{j}").alias(f"c{i}_{j}") for i in range(m) for j in range(i + 1, m)])
     value: dict[tuple[int, int], Column] = {(i, j): F.col(f"c{i}_{j}") for i in range(m) for j in range(i + 1, m)}
@@ -180,7 +180,8 @@ def partial_spearman(rows: DataFrame, x: str, y: str, controls: list[str], by: l
 
 
 def fixed_effect_correlation(rows: DataFrame, x: str, y: str, first: str, second: str) -> DataFrame:
-    """Correlation of x and y without their means over either key: means by aggregates, which join back; no window over everything."""
+    """Correlation of the ranks of x and y without the ranks' means over either key: ranks from counted values, means by aggregates, which join back."""
+    rows = ordered_ranks(rows.select(first, second, x, y), [], {x: "_rx", y: "_ry"}).select(first, second, F.col("_rx").alias(x), F.col("_ry").alias(y))
     means = lambda key, tag: rows.groupBy(key).agg(F.avg(x).alias(f"x{tag}"), F.avg(y).alias(f"y{tag}"))
     grand = rows.agg(F.avg(x).alias("x0"), F.avg(y).alias("y0"))
     flat = rows.join(means(first, 1), first).join(means(second, 2), second).crossJoin(F.broadcast(grand))  # grand is one row
@@ -204,9 +205,8 @@ def screen_features(rows: DataFrame, features: list[str], label: str, by: list[s
 
 def tail_rate(rows: DataFrame, score: str, label: str, order: str, by: list[str], fraction: float, top: bool = True) -> DataFrame:
     """Mean label of the highest (lowest) fraction of the scores, at least one row; the size rounds half to even."""
-    first = F.col(score).desc() if top else F.col(score).asc()
-    ranked = rows.withColumn("_n", F.count(F.lit(1)).over(_window(by))).withColumn("_rn", F.row_number().over(_window(by).orderBy(first, order)))
-    kept = ranked.where(F.col("_rn") <= F.greatest(F.lit(1), F.bround(F.col("_n") * fraction)))
+    ranked = running(rows.select(*by, score, label, order), by, score, [F.col(order)], {}, descending=top)
+    kept = ranked.where(F.col("rn") <= F.greatest(F.lit(1), F.bround(F.col("n") * fraction)))
     return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("tail"), F.avg(F.col(label).cast("double")).alias("rate"))
 
 
@@ -215,11 +215,12 @@ def quantiles(rows: DataFrame, value: str, by: list[str], q: float) -> DataFrame
 
     Only the rows at the wanted places leave the ranked groups.
     """
-    w = _window(by)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, F.count(F.lit(1)).over(w).alias("_n"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"))
-    n, at = F.col("_n"), lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
+    ranked = running(rows.where(F.col(value).isNotNull()).select(*by, value), by, value, [], {}).withColumn("_i", F.col("rn") - 1)
+    n, at = F.col("n"), lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
+    place = (n - 1) * q
+    low, high = at(F.floor(place)), at(F.ceil(place))
     return ranked.groupBy(*by).agg(
-        F.percentile(value, F.lit(q)).alias("linear"), at(F.least(n - 1, F.floor(n * q))).alias("truncated"), at(F.floor((n - 1) * q)).alias("truncated_inner"), at(F.bround((n - 1) * q)).alias("nearest")
+        (low + (high - low) * F.max(place - F.floor(place))).alias("linear"), at(F.least(n - 1, F.floor(n * q))).alias("truncated"), at(F.floor((n - 1) * q)).alias("truncated_inner"), at(F.bround((n - 1) * q)).alias("nearest")
     )
 
 

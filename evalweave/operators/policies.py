@@ -43,7 +43,8 @@ def upper_bounds(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def feasible_or_relaxed(rows: DataFrame, feasible: Column, cost: str, error: str, keys: list[str]) -> DataFrame:
     """The cheapest feasible candidate; without one the candidate of least error."""
-    key = F.when(feasible, F.struct(F.lit(0), F.col(cost), F.col(error))).otherwise(F.struct(F.lit(1), F.col(error), F.col(cost)))
+    order = lambda late, first, then: F.struct(F.lit(late).alias("late"), F.col(first).alias("first"), F.col(then).alias("then"))
+    key = F.when(feasible, order(0, cost, error)).otherwise(order(1, error, cost))
     return rows.agg(F.min_by(F.struct(*keys, cost, error), key).alias("b"), F.max(feasible.cast("int")).alias("f")).select("b.*", (F.col("f") == 1).alias("feasible"))
 
 

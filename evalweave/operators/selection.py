@@ -36,20 +36,30 @@ def centre_k(rows: DataFrame, by: list[str], x: str, y: str, index: str, k: int)
     return rows.withColumn("d2", d2).withColumn("place", _place(rows, by, [F.col("d2"), F.col(index)])).where(F.col("place") <= k)
 
 
-def grid_k(rows: DataFrame, by: list[str], x: str, y: str, index: str, k: int, score: str | None = None, share: float = 1.0) -> DataFrame:
-    """The row nearest to each centre of the first cells of a square grid, distinct, then filled up to k.
+def grid_places(rows: DataFrame, by: list[str], x: str, y: str, index: str, k: Column, score: str | None = None, share: float = 1.0) -> DataFrame:
+    """``rows`` with ``place``: the first k of a group are its choice. k may differ from group to group.
 
-    Without ``score`` the fill goes by (y, x, index); with it, only ``share`` of k is grid and the fill goes by score.
+    Of the first cells of a square grid each gives, of the rows that lie in it, the one nearest to its centre; empty cells are made up for by (y, x, index). Without ``score`` that goes on to k;
+    with it, only ``share`` of k is grid and the rest goes by score.
     """
-    cells_wanted = max(1, min(k, round(share * k)))
-    side = int(-(-(cells_wanted**0.5) // 1))
-    centres = [((c % side + 0.5) / side, (c // side + 0.5) / side) for c in range(cells_wanted)]
-    # per group one minimum per cell: a partial aggregate, no cross join
-    nearest = [F.min(F.struct((F.pow(F.col(x) - cx, 2) + F.pow(F.col(y) - cy, 2)).alias("d2"), F.col(index).alias("i")))["i"] for cx, cy in centres]
-    picked = rows.groupBy(*by).agg(F.array_distinct(F.array(*nearest)).alias("_picked"))
-    fill = [F.col(y), F.col(x)] if score is None else [F.col(score).desc()]
-    joined = rows.join(picked, by).withColumn("_late", (~F.array_contains("_picked", F.col(index))).cast("int"))
-    return joined.withColumn("place", _place(joined, by, [F.col("_late"), *fill, F.col(index)])).where(F.col("place") <= k).drop("_picked", "_late")
+    wanted = F.greatest(F.lit(1), F.least(k, F.bround(F.lit(share) * k))).cast("int")
+    side = F.ceil(F.sqrt(F.col("_g").cast("double"))).cast("int")
+    line = lambda v: F.greatest(F.lit(0), F.least(F.col("_side") - 1, F.floor(F.col(v) * F.col("_side")))).cast("int")
+    placed = rows.withColumn("_g", wanted).withColumn("_side", side).withColumn("_cx", line(x)).withColumn("_cy", line(y)).withColumn("_cell", F.col("_cy") * F.col("_side") + F.col("_cx"))
+    far = F.pow(F.col(x) - (F.col("_cx") + 0.5) / F.col("_side"), 2) + F.pow(F.col(y) - (F.col("_cy") + 0.5) / F.col("_side"), 2)
+    placed = placed.withColumn("_near", _place(placed, [*by, "_cell"], [far, F.col(index)]))
+    late = ((F.col("_near") > 1) | (F.col("_cell") >= F.col("_g"))).cast("int")
+    placed = placed.withColumn("_grid", _place(placed, by, [late, F.col(y), F.col(x), F.col(index)]))
+    if score is None:
+        placed = placed.withColumn("place", F.col("_grid"))
+    else:
+        placed = placed.withColumn("place", _place(placed, by, [(F.col("_grid") > F.col("_g")).cast("int"), F.col(score).desc(), F.col(index)]))
+    return placed.drop("_g", "_side", "_cx", "_cy", "_cell", "_near", "_grid")
+
+
+def grid_k(rows: DataFrame, by: list[str], x: str, y: str, index: str, k: int, score: str | None = None, share: float = 1.0) -> DataFrame:
+    """The k rows of :func:`grid_places`."""
+    return grid_places(rows, by, x, y, index, F.lit(k), score, share).where(F.col("place") <= k)
 
 
 def soft_top_k(rows: DataFrame, by: list[str], relevance: str, bonus: Column, index: str, k: int, beta: float = 0.5) -> DataFrame:
@@ -93,7 +103,7 @@ def stratified_sample(rows: DataFrame, stratum: str, identifier: str, size: int,
     quota = quota.select(F.col(stratum).alias("_s"), F.least(F.col("n"), F.col("base") + (F.col("place") <= F.col("missing")).cast("int")).alias("quota"))
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(stratum), F.col(identifier).cast("string")).cast("binary"), 256)
     placed = rows.withColumn("place", _place(rows, [stratum], [digest, F.col(identifier)])).where(F.col("place") <= size)
-    return placed.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("place") <= F.col("quota")).drop("_s")
+    return placed.join(quota, F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("place") <= F.col("quota")).drop("_s")
 
 
 def first_by_id(rows: DataFrame, identifier: str, order: str) -> DataFrame:
@@ -126,16 +136,16 @@ def clean_indices(indices: Column, n: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(F.raise_error(F.lit("no valid index")).cast("array<int>"))
 
 
-def saturation_ratio(rows: DataFrame, by: list[str], relevance: str, x: str, y: str, ratios: tuple[float, ...] = (0.3, 0.5, 0.7), mass: float = 0.72, cells: float = 0.75, temperature: float = 0.12, least: float = 0.02, side: int = 4) -> DataFrame:
-    """The smallest ratio whose top rows hold enough softmax mass and enough cells of enough mass, else the largest."""
+def saturation_ratio(rows: DataFrame, by: list[str], relevance: str, x: str, y: str, index: str = "idx", ratios: tuple[float, ...] = (0.3, 0.5, 0.7), mass: float = 0.72, cells: float = 0.75, temperature: float = 0.12, least: float = 0.02, side: int = 4, share: float = 0.5) -> DataFrame:
+    """The smallest ratio whose grid-and-top rows hold enough softmax mass and lie in enough of the cells of at least ``least`` mass, else the largest."""
     w = Window.partitionBy(*by)
     e = F.exp((F.col(relevance) - F.max(relevance).over(w)) / temperature)
-    cell = F.least(F.lit(side - 1), F.floor(F.col(y) * side)) * side + F.least(F.lit(side - 1), F.floor(F.col(x) * side))
-    p = rows.withColumn("e", e).withColumn("p", F.col("e") / F.sum("e").over(w)).withColumn("cell", cell)
-    p = p.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc(relevance))))
-    tried = p.withColumn("ratio", F.explode(F.array(*map(F.lit, ratios))))
-    kept = tried.withColumn("kept", (F.col("place") <= keep_count(F.col("n"), F.col("ratio"))).cast("double"))
-    per_cell = kept.groupBy(*by, "ratio", "cell").agg(F.sum(F.col("p")).alias("m"), F.sum(F.col("p") * F.col("kept")).alias("k"))
-    per_ratio = per_cell.groupBy(*by, "ratio").agg(F.sum("k").alias("mass"), (F.count_if((F.col("m") >= least) & (F.col("k") >= least)) / F.greatest(F.lit(1), F.count_if(F.col("m") >= least))).alias("covered"))
+    line = lambda v: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor(F.col(v) * side)))
+    p = rows.withColumn("e", e).withColumn("p", F.col("e") / F.sum("e").over(w)).withColumn("cell", line(y) * side + line(x)).withColumn("n", F.count(F.lit(1)).over(w))
+    tried = p.withColumn("ratio", F.explode(F.array(*map(F.lit, sorted(ratios))))).withColumn("k", keep_count(F.col("n"), F.col("ratio")))
+    kept = grid_places(tried, [*by, "ratio"], x, y, index, F.col("k"), relevance, share).withColumn("kept", F.col("place") <= F.col("k"))
+    per_cell = kept.groupBy(*by, "ratio", "cell").agg(F.sum("p").alias("m"), F.sum(F.when(F.col("kept"), F.col("p")).otherwise(0.0)).alias("kept_mass"), F.max("kept").alias("seen"))
+    active = F.col("m") >= least
+    per_ratio = per_cell.groupBy(*by, "ratio").agg(F.sum("kept_mass").alias("mass"), F.when(F.count_if(active) > 0, F.count_if(active & F.col("seen")) / F.count_if(active)).otherwise(1.0).alias("covered"))
     passed = (F.col("mass") >= mass) & (F.col("covered") >= cells)
     return per_ratio.groupBy(*by).agg(F.coalesce(F.min(F.when(passed, F.col("ratio"))), F.lit(max(ratios))).alias("ratio"), F.max(F.when(F.col("ratio") == max(ratios), F.col("mass"))).alias("mass_at_largest"))

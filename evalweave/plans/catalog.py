@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
 from evalweave.functions import hashing, maths, ranks, text
-from evalweave.operators import audits, greedy, joins, masks, metrics, policies, resampling, selection
+from evalweave.operators import audits, greedy, joins, masks, metrics, policies, probes, resampling, selection, selectors
 from evalweave.plans import inputs
-from evalweave.plans.inputs import BOX_ROWS, RUNS, SCORED, TOKENS, table
+from evalweave.plans.inputs import BOX_ROWS, PROBE_ROWS, RUNS, SCORED, TOKENS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,14 +124,18 @@ def centre_select(spark, sf):
     return selection.centre_k(inputs.tokens(spark, sf), ["sample_id"], "x", "y", "idx", 5).select("sample_id", "idx", "place")
 
 
+def _grid_places(source: str, keys: str, out: str, score: str | None, share: float) -> str:
+    """CTEs from ``source`` (x, y, idx, k and the score) to ``out``, which has the place of each row by :func:`selection.grid_places`."""
+    last = "gplace" if score is None else f"row_number() over (partition by {keys} order by (gplace > g)::int, {score} desc, idx)"
+    return f"""{out}_g as (select *, greatest(1, least(k, round_even({share}::double * k, 0)))::int as g from {source}), {out}_s as (select *, ceil(sqrt(g::double))::int as side from {out}_g),
+{out}_c as (select *, greatest(0, least(side - 1, floor(x * side)))::int as cx, greatest(0, least(side - 1, floor(y * side)))::int as cy from {out}_s),
+{out}_n as (select *, row_number() over (partition by {keys}, cy * side + cx order by power(x - (cx + 0.5::double) / side, 2) + power(y - (cy + 0.5::double) / side, 2), idx) as near from {out}_c),
+{out}_p as (select *, row_number() over (partition by {keys} order by (near > 1 or cy * side + cx >= g)::int, y, x, idx) as gplace from {out}_n), {out} as (select *, {last} as place from {out}_p)"""
+
+
 def _grid_sql(k: int) -> str:
-    side = int(-(-(k**0.5) // 1))
-    cells = ", ".join(f"({c}, {(c % side + 0.5) / side!r}::double, {(c // side + 0.5) / side!r}::double)" for c in range(k))
-    return f"""with {TOKENS}, cells(c, cx, cy) as (values {cells}),
-near as (select sample_id, c, arg_min(idx, (power(x - cx, 2) + power(y - cy, 2), idx)) as idx from tokens, cells group by 1, 2),
-picked as (select distinct sample_id, idx from near),
-p as (select t.*, row_number() over (partition by t.sample_id order by (k.idx is null)::int, y, x, t.idx) as place from tokens t left join picked k on k.sample_id = t.sample_id and k.idx = t.idx)
-select sample_id, idx, place::int as place from p where place <= {k}"""
+    return f"""with {TOKENS}, wanted as (select *, {k} as k from tokens), {_grid_places("wanted", "sample_id", "placed", None, 1.0)}
+select sample_id, idx, place::int as place from placed where place <= {k}"""
 
 
 @query(_grid_sql(6))
@@ -139,6 +143,12 @@ def grid_select(spark, sf):
     return selection.grid_k(inputs.tokens(spark, sf), ["sample_id"], "x", "y", "idx", 6).select("sample_id", "idx", "place")
 
 
+@query(f"""with {TOKENS}, wanted as (select *, 9 as k from tokens), {_grid_places("wanted", "sample_id", "placed", "relevance", 0.5)}
+select sample_id, idx, place::int as place from placed where place <= 9""")
+def grid_topk_select(spark, sf):
+    return selection.grid_k(inputs.tokens(spark, sf), ["sample_id"], "x", "y", "idx", 9, score="relevance", share=0.5).select("sample_id", "idx", "place")
+
+
 @query(f"""with {TOKENS}, s as (select *, max(relevance) over w as hi, min(relevance) over w as lo from tokens window w as (partition by sample_id)),
 t as (select *, case when hi - lo > 1e-12 then (relevance - lo) / (hi - lo) else 0 end + 0.5::double * (label = 0)::int as soft from s)
 select sample_id, idx, place::int as place, round(soft, 9) as soft from (select *, row_number() over (partition by sample_id order by soft desc, idx) as place from t) where place <= 8""")
@@ -174,7 +184,12 @@ def worst_examples(spark, sf):
     return selection.examples(table(spark, sf, "events"), ["user_id", "event_type"], [F.col("value").desc(), F.col("event_id")], 1).select("user_id", "event_type", "event_id", "place")
 
 
-@query()
+@query(f"""with {TOKENS}, e as (select *, exp((relevance - max(relevance) over (partition by sample_id)) / 0.12::double) as e, count(*) over (partition by sample_id) as n from tokens),
+p as (select *, e / sum(e) over (partition by sample_id) as p, (greatest(0, least(3, floor(y * 4))) * 4 + greatest(0, least(3, floor(x * 4))))::int as cell from e),
+tried as (select *, greatest(1, least(n, ceil(n * ratio)))::int as k from p, (values (0.3::double), (0.5::double), (0.7::double)) r(ratio)), {_grid_places("tried", "sample_id, ratio", "placed", "relevance", 0.5)},
+cells as (select sample_id, ratio, cell, sum(p) as m, coalesce(sum(p) filter (place <= k), 0) as kept, max((place <= k)::int) as seen from placed group by 1, 2, 3),
+r as (select sample_id, ratio, sum(kept) as mass, case when count(*) filter (m >= 0.02) > 0 then count(*) filter (m >= 0.02 and seen = 1)::double / count(*) filter (m >= 0.02) else 1 end as covered from cells group by 1, 2)
+select sample_id, coalesce(min(ratio) filter (mass >= 0.72 and covered >= 0.75), 0.7::double) as ratio, round(max(mass) filter (ratio = 0.7::double), 9) as mass_at_largest from r group by 1""")
 def saturation_budget(spark, sf):
     return rounded(selection.saturation_ratio(inputs.tokens(spark, sf), ["sample_id"], "relevance", "x", "y"))
 
@@ -198,7 +213,7 @@ def md5_split_counts(spark, sf):
 @query(f"""with {RUNS} select flag, count(*) as n, round(avg(rv - lv), 9) as mean_difference, count(*) filter (rv - lv > 1e-12) as wins, count(*) filter (rv - lv < -1e-12) as losses, count(*) filter (abs(rv - lv) <= 1e-12) as ties from runs group by flag""")
 def paired_delta_winloss(spark, sf):
     left, right = inputs.run(spark, sf, "left"), inputs.run(spark, sf, "right")
-    both = joins.paired(left, right, ["cluster", "line"], "value", equal=["flag"]).join(left.select("cluster", "line", "flag"), ["cluster", "line"])
+    both = joins.paired(left, right, ["cluster", "line"], "value", equal=["flag"])
     return rounded(resampling.paired_summary(both, "difference", ["flag"]))
 
 
@@ -216,53 +231,75 @@ def cluster_mean_delta(spark, sf):
     return rounded(means.agg(F.count(F.lit(1)).alias("clusters"), F.avg("value").alias("mean"), F.count_if(F.col("value") > 1e-9).alias("above")))
 
 
+DRAWS = resampling.DRAWS
+
+
+def _u(*parts: str) -> str:
+    """The uniform number of a key and the replicate b."""
+    return hashing.replicate_uniform_sql(*hashing.key_seeds_sql(*parts), "b")
+
+
 def _w(*parts: str) -> str:
-    return hashing.poisson_weight_sql(*parts)
+    return hashing.poisson_of_sql("u") if not parts else hashing.poisson_of_sql(_u(*parts))
+
+
+_R = f"r as (select unnest(range(1, {DRAWS + 1}))::bigint as b)"
+
 
+def _seeded(source: str, out: str, *keys: tuple[str, ...]) -> str:
+    """CTEs that make a row of ``source`` a row a replicate b, with u (and v) from the key's digest, which is made once."""
+    seeds = ", ".join(f"{a} as a{i}, {b} as b{i}" for i, k in enumerate(keys) for a, b in [hashing.key_seeds_sql(*k)])
+    u = ", ".join(f"{hashing.replicate_uniform_sql(f'a{i}', f'b{i}', 'b')} as {n}" for i, n in zip(range(len(keys)), "uv", strict=False))
+    return f"{out}_s as (select *, {seeds} from {source}), {out} as (select *, {u} from {out}_s, r)"
 
-@query(f"""with m as (select event_type, user_id, avg(value) as v from events group by 1, 2), r as (select unnest(range(1, 101)) as b),
-d as (select event_type, b, {_w("'0'", "b::varchar", "user_id::varchar")} as w, v from m, r), x as (select event_type, b, sum(w * v) / sum(w) as mean from d where w > 0 group by 1, 2),
-q as (select event_type, quantile_cont(mean, 0.025) as lo, quantile_cont(mean, 0.975) as hi from x group by 1)
+
+@query(f"""with m as (select event_type, user_id, avg(value) as v from events group by 1, 2), {_R}, {_seeded("m", "d", ("'0'", "user_id::varchar"))}, dw as (select event_type, b, {_w()} as w, v from d),
+x as (select event_type, b, sum(w * v) / sum(w) as mean from dw where w > 0 group by 1, 2), q as (select event_type, quantile_cont(mean, 0.025) as lo, quantile_cont(mean, 0.975) as hi from x group by 1)
 select m.event_type, count(*) as clusters, round(avg(v), 9) as mean, round(any_value(lo), 9) as low, round(any_value(hi), 9) as high from m join q using (event_type) group by 1""")
 def hash_bootstrap_ci(spark, sf):
-    return rounded(resampling.bootstrap_mean(table(spark, sf, "events"), "user_id", "value", ["event_type"], n=100))
+    return rounded(resampling.bootstrap_mean(table(spark, sf, "events"), "user_id", "value", ["event_type"]))
 
 
-@query(f"""with c as (select event_type, user_id, avg(value) as v from events group by 1, 2), r as (select unnest(range(1, 101)) as b),
-d as (select b, {_w("'0'", "'first'", "b::varchar", "event_type")} * {_w("'0'", "'second'", "b::varchar", "user_id::varchar")} as w, v from c, r),
-x as (select b, sum(w * v) / sum(w) as mean from d where w > 0 group by b)
+@query(f"""with c as (select event_type, user_id, avg(value) as val from events group by 1, 2), {_R}, {_seeded("c", "d", ("'0'", "'first'", "event_type"), ("'0'", "'second'", "user_id::varchar"))},
+dw as (select b, {hashing.poisson_of_sql("u")} * {hashing.poisson_of_sql("v")} as w, val from d), x as (select b, sum(w * val) / sum(w) as mean from dw where w > 0 group by b)
 select count(*) as draws, round(quantile_cont(mean, 0.025), 9) as low, round(quantile_cont(mean, 0.975), 9) as high from x""")
 def two_stage_bootstrap_ci(spark, sf):
-    return rounded(resampling.two_stage_bootstrap(table(spark, sf, "events"), "event_type", "user_id", "value", n=100))
+    return rounded(resampling.two_stage_bootstrap(table(spark, sf, "events"), "event_type", "user_id", "value"))
 
 
-@query(f"""with {RUNS}, c as (select cluster, avg(rv - lv) as d from runs group by cluster), p as (select count(*) as n, avg(d) as m from c), r as (select unnest(range(1, 101)) as b),
-f as (select b, sum(case when {hashing.uniform_sql("'0'", "b::varchar", "cluster::varchar")} < 0.5 then d else -d end) as t from c, r where d <> 0 group by b)
-select any_value(n) as n, round(any_value(m), 9) as mean, round((count(*) filter (abs(t / n) >= abs(m) - 1e-12) + 1)::double / 101, 9) as p from f, p""")
+@query(f"""with {RUNS}, c as (select cluster, avg(rv - lv) as d from runs group by cluster), p as (select count(*) as n, avg(d) as m from c), {_R}, nz as (select * from c where d <> 0), {_seeded("nz", "s", ("'0'", "cluster::varchar"))},
+f as (select b, sum(case when u < 0.5 then d else -d end) as t from s group by b)
+select any_value(n) as n, round(any_value(m), 9) as mean, round((count(*) filter (abs(t / n) >= abs(m) - 1e-12) + 1)::double / {DRAWS + 1}, 9) as p from f, p""")
 def sign_flip_permutation(spark, sf):
     both = joins.paired(inputs.run(spark, sf, "left"), inputs.run(spark, sf, "right"), ["cluster", "line"], "value", strict=False)
-    return rounded(resampling.sign_flip(resampling.cluster_means(both, "cluster", "difference", []), "cluster", "value", [], n=100))
-
-
-#: Replicates of the whole queries, and the same in the SQL of the ones that draw 100.
-DRAWS = 1000
-_drawn = lambda name: SQL[name].replace("range(1, 101)", f"range(1, {DRAWS + 1})").replace("/ 101", f"/ {DRAWS + 1}")
+    return rounded(resampling.sign_flip(resampling.cluster_means(both, "cluster", "difference", []), "cluster", "value", []))
 
 
-@query(_drawn("hash_bootstrap_ci"))
-def hash_bootstrap_ci_1000(spark, sf):
-    return rounded(resampling.bootstrap_mean(table(spark, sf, "events"), "user_id", "value", ["event_type"], n=DRAWS))
+@query(f"""with {SCORED}, c as (select source, score, sum(toxic)::bigint as p, sum(1 - toxic)::bigint as q from scored group by 1, 2), {_R}, {_seeded("c", "d", ("'0'", "source"))},
+t as (select 0 as b, score, sum(p)::double as p, sum(q)::double as q from c group by score union all select b, score, sum({_w()} * p), sum({_w()} * q) from d where {_w()} > 0 group by 1, 2),
+k as (select b, p, q, coalesce(sum(q) over (partition by b order by score rows between unbounded preceding and 1 preceding), 0) as below from t), a as (select b, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) as auc from k group by b)
+select round(max(auc) filter (b = 0), 9) as auc, count(auc) filter (b > 0) as draws, round(quantile_cont(auc, 0.025) filter (b > 0 and auc is not null), 9) as low, round(quantile_cont(auc, 0.975) filter (b > 0 and auc is not null), 9) as high from a""")
+def auc_bootstrap_ci(spark, sf):
+    return rounded(resampling.bootstrap_auc(inputs.scored(spark, sf), "source", "score", "toxic"))
 
 
-@query(_drawn("two_stage_bootstrap_ci"))
-def two_stage_bootstrap_ci_1000(spark, sf):
-    return rounded(resampling.two_stage_bootstrap(table(spark, sf, "events"), "event_type", "user_id", "value", n=DRAWS))
+@query(f"""with {SCORED}, c as (select source, quality as x, toxic as y, count(*) as m from scored group by 1, 2, 3), {_R}, {_seeded("c", "d", ("'0'", "source"))},
+t as (select 0 as b, x, y, sum(m)::double as n from c group by 2, 3 union all select b, x, y, sum(m * {_w()}) from d where {_w()} > 0 group by 1, 2, 3), n as (select b, sum(n) as n, sum(n) filter (x = y) as same from t group by 1),
+l as (select b, x as label, sum(n) as nx from t group by 1, 2), g as (select b, y as label, sum(n) as ny from t group by 1, 2), e as (select b, sum(nx * ny) as e from l join g using (b, label) group by 1),
+k as (select n.b, coalesce(same, 0) / n as po, coalesce(e, 0) / (n * n) as pe from n left join e on e.b = n.b), v as (select b, case when abs(1 - pe) < 1e-12 then (po >= 1 - 1e-12)::int else (po - pe) / (1 - pe) end as kappa from k)
+select round(max(kappa) filter (b = 0), 9) as kappa, round(quantile_cont(kappa, 0.025) filter (b > 0), 9) as low, round(quantile_cont(kappa, 0.975) filter (b > 0), 9) as high from v""")
+def kappa_bootstrap_ci(spark, sf):
+    return rounded(resampling.bootstrap_kappa(inputs.scored(spark, sf), "source", "quality", "toxic"))
 
 
-@query(_drawn("sign_flip_permutation"))
-def sign_flip_permutation_1000(spark, sf):
-    both = joins.paired(inputs.run(spark, sf, "left"), inputs.run(spark, sf, "right"), ["cluster", "line"], "value", strict=False)
-    return rounded(resampling.sign_flip(resampling.cluster_means(both, "cluster", "difference", []), "cluster", "value", [], n=DRAWS))
+@query(f"""with c as (select o_custkey, count(*)::double as m, sum(o_totalprice) as x, sum(o_shippriority_like) as y, sum(o_totalprice * o_totalprice) as xx, sum(o_shippriority_like * o_shippriority_like) as yy, sum(o_totalprice * o_shippriority_like) as xy
+  from (select o_custkey, o_totalprice / 1000 as o_totalprice, (o_orderkey % 97)::double as o_shippriority_like from orders) group by 1), {_R}, {_seeded("c", "d", ("'0'", "o_custkey::varchar"))},
+t as (select b, sum(w * m) as m, sum(w * x) as x, sum(w * y) as y, sum(w * xx) as xx, sum(w * yy) as yy, sum(w * xy) as xy from (select *, {_w()} as w from d) where w > 0 group by b),
+v as (select (xy - x * y / m) / sqrt((xx - x * x / m) * (yy - y * y / m)) as r from t where xx - x * x / m > 1e-12 and yy - y * y / m > 1e-12)
+select (select round(corr(o_totalprice / 1000, (o_orderkey % 97)::double), 7) from orders) as r, round(quantile_cont(r, 0.025), 7) as low, round(quantile_cont(r, 0.975), 7) as high from v""")
+def correlation_bootstrap_ci(spark, sf):
+    rows = table(spark, sf, "orders").select("o_custkey", (F.col("o_totalprice") / 1000).alias("x"), (F.col("o_orderkey") % 97).cast("double").alias("y"))
+    return rounded(resampling.bootstrap_correlation(rows, "o_custkey", "x", "y"), 7)
 
 
 @query(f"""with {SCORED}, c as (select source, sum(toxic)::bigint as k, count(*) as n from scored group by 1), z as (select *, k::double / n as p, 1.959963984540054::double as z from c)
@@ -317,7 +354,8 @@ def spearman_by_flag(spark, sf):
     return rounded(metrics.spearman(rows, "l_quantity", "l_discount", ["grp"]), 7)
 
 
-@query("""with m as (select user_id, event_type, avg(value) as x, count(*)::double as y from events group by 1, 2), u as (select user_id, avg(x) as x1, avg(y) as y1 from m group by 1), t as (select event_type, avg(x) as x2, avg(y) as y2 from m group by 1), g as (select avg(x) as x0, avg(y) as y0 from m)
+@query("""with c as (select user_id, event_type, avg(value) as x, count(*)::double as y from events group by 1, 2),
+m as (select user_id, event_type, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0::double as x, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0::double as y from c), u as (select user_id, avg(x) as x1, avg(y) as y1 from m group by 1), t as (select event_type, avg(x) as x2, avg(y) as y2 from m group by 1), g as (select avg(x) as x0, avg(y) as y0 from m)
 select count(*) as n, round(corr(x - x1 - x2 + x0, y - y1 - y2 + y0), 7) as r from m join u using (user_id) join t using (event_type), g""")
 def two_way_fe_corr(spark, sf):
     cells = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("x"), F.count(F.lit(1)).cast("double").alias("y"))
@@ -380,7 +418,7 @@ def transition_matrix(spark, sf):
 @query(f"""with {RUNS} select flag, count(*) as n, count(*) filter (rv > 20 and not lv > 20) as wins, count(*) filter (lv > 20 and not rv > 20) as losses, count(*) filter (lv > 20 and rv > 20) as both_right, count(*) filter (not lv > 20 and not rv > 20) as both_wrong from runs group by 1""")
 def win_loss_by_key(spark, sf):
     left, right = inputs.run(spark, sf, "left"), inputs.run(spark, sf, "right")
-    both = joins.paired(left, right, ["cluster", "line"], "value", strict=False).join(left.select("cluster", "line", "flag"), ["cluster", "line"])
+    both = joins.paired(left, right, ["cluster", "line"], "value", strict=False, equal=["flag"])
     return audits.outcomes(both, F.col("left") > 20, F.col("right") > 20, ["flag"])
 
 
@@ -441,35 +479,17 @@ def levenshtein_anls(spark, sf):
 _BENCH = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))"
 
 
-@query(f"""with t as (select distinct item_id, unnest({_BENCH}) as token from benchmark), rare as (select token from t group by token having count(*) <= 2), d as (select doc_id, unnest({_BENCH}) as token from documents)
-select doc_id, count(*) as hits from d join rare using (token) group by 1""")
-def contamination_collision(spark, sf):
-    rare = joins.inverted_index(table(spark, sf, "benchmark"), "item_id", text.words(F.col("text"))).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n <= 2")
-    return joins.collisions(table(spark, sf, "documents"), "doc_id", text.words(F.col("text")), rare)
-
-
 @query(f"""with t as (select distinct unnest({_BENCH}) as token from benchmark), d as (select distinct doc_id, unnest({_BENCH}) as token from documents)
 select doc_id, count(*) as hits from d join t using (token) group by 1""")
-def contamination_collision_all(spark, sf):
-    """Every token of the benchmark; :func:`contamination_collision` takes those of at most two items, as its SQL does."""
+def contamination_collision(spark, sf):
     every = joins.inverted_index(table(spark, sf, "benchmark"), "item_id", text.words(F.col("text")))
     return joins.collisions(table(spark, sf, "documents"), "doc_id", text.words(F.col("text")), every)
 
 
-@query(f"""with s as (select item_id, {_BENCH} as w from benchmark) select a.item_id as a, b.item_id as b, round(case when len(a.w) + len(b.w) > 0 then len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) else 0 end, 9) as jaccard,
-round(case when len(a.w) > 0 then len(list_intersect(a.w, b.w))::double / len(a.w) else 0 end, 9) as contained from s a join s b on b.item_id = a.item_id + 1""")
-def token_jaccard(spark, sf):
-    s = table(spark, sf, "benchmark").select("item_id", F.array_distinct(text.words(F.col("text"))).alias("w"))
-    b = s.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("w").alias("v"))
-    both = s.select(F.col("item_id").alias("a"), "w").join(b, "a")
-    return rounded(both.select("a", "b", text.jaccard(F.col("w"), F.col("v")).alias("jaccard"), text.containment(F.col("w"), F.col("v")).alias("contained")))
-
-
 @query(f"""with t as (select distinct item_id, unnest({_BENCH}) as token from benchmark), d as (select distinct doc_id, unnest({_BENCH}) as token from documents), tn as (select item_id, count(*) as n from t group by 1), dn as (select doc_id, count(*) as n from d group by 1),
 s as (select doc_id, item_id, count(*) as shared from d join t using (token) group by 1, 2)
 select s.doc_id, s.item_id, shared, round(shared::double / (dn.n + tn.n - shared), 9) as jaccard, round(shared::double / dn.n, 9) as doc_contained, round(shared::double / tn.n, 9) as item_contained from s join dn on dn.doc_id is not distinct from s.doc_id join tn on tn.item_id = s.item_id""")
-def token_jaccard_documents(spark, sf):
-    """Documents against benchmark items, every pair that shares a token; :func:`token_jaccard` compares adjacent items only, as its SQL does."""
+def token_jaccard(spark, sf):
     return rounded(joins.shared_tokens(table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id", text.words(F.col("text"))))
 
 
@@ -477,19 +497,18 @@ def token_jaccard_documents(spark, sf):
 ALIASES = [("brass", "copper alloy"), ("copper", "metal"), ("economy brass", "cheap alloy"), ("nickel", "metal"), ("promo", "offer"), ("standard", "plain"), ("steel", "iron alloy"), ("tin", "metal")]
 
 
-@query(f"""with a(alias, category) as (values {", ".join(f"('{x}', '{y}')" for x, y in ALIASES)}), h as (select p_partkey, category, row_number() over (partition by p_partkey order by (lower(p_type) <> alias)::int, -length(alias), alias, category) as place from part join a on contains(lower(p_type), alias))
+@query(f"""with a(alias, category) as (values {", ".join(f"('{x}', '{y}')" for x, y in ALIASES)}), h as (select p_partkey, category, row_number() over (partition by p_partkey order by (lower(p_type) <> alias)::int, -length(alias), alias, category) as place from part join a on contains(' ' || lower(p_type) || ' ', ' ' || alias || ' '))
 select p.p_partkey, h.category from part p left join h on h.p_partkey = p.p_partkey and place = 1""")
 def longest_alias_match(spark, sf):
     aliases = spark.createDataFrame(ALIASES, "alias string, category string")
     return joins.longest_alias(table(spark, sf, "part"), "p_type", aliases).select("p_partkey", "category")
 
 
-@query("""select distinct c_custkey, s_suppkey from customer c join supplier s on (c.c_nationkey = s.s_nationkey and c.c_custkey % 10 = 0 and s.s_suppkey % 5 = 0) or floor(c.c_acctbal) = floor(s.s_acctbal)""")
+@query("""select distinct c_custkey, s_suppkey from customer c join supplier s on c.c_nationkey = s.s_nationkey or floor(c.c_acctbal) = floor(s.s_acctbal)""")
 def multi_key_or_join(spark, sf):
-    nation = lambda n, own, m: F.when(F.col(own) % m == 0, F.col(n))
     return joins.any_key(
         table(spark, sf, "customer"), table(spark, sf, "supplier"), "c_custkey", "s_suppkey",
-        [("nation", nation("c_nationkey", "c_custkey", 10), nation("s_nationkey", "s_suppkey", 5)), ("balance", F.floor("c_acctbal"), F.floor("s_acctbal"))],
+        [("nation", F.col("c_nationkey"), F.col("s_nationkey")), ("balance", F.floor("c_acctbal"), F.floor("s_acctbal"))],
     )
 
 
@@ -509,12 +528,27 @@ def risk_tags(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(tags, ",").alias("tags"), family.alias("family"))
 
 
-@query()
+def _near_sql() -> str:
+    known = "map {" + ", ".join(f"'{k}': {v.split()!r}" for k, v in text.CONFUSABLE.items()) + "}"
+    return f"""with names as (select distinct split_part(p_name, ' ', 1) as word from part), places as (select word, unnest(range(1, length(word) + 1)) as i from names),
+chars as (select word, i, substr(word, i, 1) as c, lower(substr(word, i, 1)) as l from places),
+made as (select *, list_concat(coalesce({known}[l], []), case when regexp_full_match(c, '[A-Za-z]') then [case when l = 'z' then 'a' else chr(ascii(l) + 1) end] when regexp_full_match(c, '[0-9]') then [((c::int + 1) % 10)::varchar] else [] end) as m from chars),
+swaps as (select word, substr(word, 1, i - 1) || case when c <> l then upper(r) else r end || substr(word, i + 1) as candidate from (select *, unnest(m) as r from made)),
+cuts as (select word, substr(word, 1, i - 1) || substr(word, i + 1) as candidate from chars where length(word) >= 4 and regexp_full_match(c, '[A-Za-z0-9]'))
+select distinct word, candidate from (select * from swaps union all select * from cuts) where candidate <> word"""
+
+
+@query(_near_sql())
 def near_miss_candidates(spark, sf):
     names = table(spark, sf, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word")).distinct()
     return names.select("word", F.explode(text.near_misses(F.col("word"))).alias("candidate"))
 
 
+@query("""select doc_id, sha256(nfc_normalize(regexp_replace(text, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g'))) as nfc, sha256(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) as ascii_only from documents""")
+def nfc_forms(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", *[F.sha2(text.NORMALISERS[n](F.col("text")).cast("binary"), 256).alias(n) for n in ("nfc", "ascii_only")])
+
+
 @query()
 def unicode_normalise(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -571,18 +605,19 @@ def facility_location_greedy(spark, sf):
 
 
 @query()
-def rise_greedy(spark, sf):
-    return greedy.run_selector(inputs.tokens(spark, sf), "rise", 8)
+def selector_sweep(spark, sf):
+    """Every selector at three budgets, with the evidence that it keeps."""
+    boxed = inputs.token_boxes(spark, sf)
+    swept = greedy.sweep(boxed, list(selectors.SELECTORS), [0.15, 0.5, 1.0])
+    covered = greedy.sweep_coverage(swept, boxed, inputs.token_regions(boxed))
+    return rounded(greedy.sweep_summary(covered))
 
 
 @query()
-def coverage_greedy(spark, sf):
-    return greedy.run_selector(inputs.tokens(spark, sf), "coverage_greedy", 8)
-
-
-@query()
-def hybrid_greedy(spark, sf):
-    return greedy.run_selector(inputs.tokens(spark, sf), "hybrid", 8)
+def selector_masks(spark, sf):
+    """The tokens that every selector keeps at a quarter of the budget."""
+    swept = greedy.sweep(inputs.token_boxes(spark, sf), list(selectors.SELECTORS), [0.25])
+    return swept.select("sample_id", "selector", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
 
 
 @query()
@@ -707,3 +742,50 @@ def random_regions(spark, sf):
     rows = inputs.boxes(spark, sf).select("l_orderkey", F.col("evidence")[0].alias("b")).where("b.x2 - b.x1 < 1 and b.y2 - b.y1 < 1")
     out = masks.random_region(rows, "l_orderkey", "b")
     return rounded(out.select("l_orderkey", "region.x1", "region.y1", "region_iou"))
+
+
+# probe profiles
+
+
+def _profile_sql() -> str:
+    at = lambda p: f"max(m) filter (probe = '{p}') as {p}"
+    names = ["orig", *inputs.PROBE_NAMES[:11]]
+    side = lambda x: f"(case when orig >= 0 then {x} else -({x}) end)"
+    moved = lambda p: f"case when {p} is null then 0 else abs({side('orig')} - {side(p)}) end"
+    return f"""{PROBE_ROWS}, wide as (select sample_id, any_value(family) as family, any_value(target) filter (probe = 'orig') as target, {", ".join(map(at, names))}, coalesce(list(m) filter (starts_with(probe, 'prompt_sc_')), []) as sc, count(*) as probes from last_rows group by 1),
+base as (select *, (orig >= 0) = (target = 'yes') as correct, {side("orig")} as support_orig, list_concat([{side("orig")}], list_transform(sc, lambda x: {side("x")})) as supports, case when text_only is null then 0 else orig - text_only end as visual_lift,
+  abs({side("orig")} - {side("coalesce(flip_mapped, orig)")}) as v_eq, abs({side("orig")} - {side("coalesce(flip_unmapped, orig)")}) as wrong_mapping, {moved("vertical_flip_mapped")} as v_vflip, {moved("vertical_flip_unmapped")} as wrong_vflip,
+  {moved("inverse_role")} as v_inverse, {moved("role_reversal")} as wrong_inverse, least(greatest(0, orig), greatest(0, coalesce(role_reversal, 0))) as role_contra, 1 / (1 + exp(-orig)) as yes from wide where orig is not null),
+profile as (select sample_id, family, orig as margin, correct, (not correct)::int::double as error, target = 'no' and orig >= 0 as hallucination, support_orig, -support_orig as confidence_risk, -(yes * ln(yes)) - (1 - yes) * ln(1 - yes) as entropy_risk,
+  -list_min(supports) as prompt_sc_risk, -list_sum(supports) / len(supports) as prompt_sc_mean_risk, len(list_filter(sc, lambda x: (x >= 0) <> (orig >= 0)))::double / greatest(1, len(sc)) as disagreement,
+  coalesce({side("text_only")}, 0) as text_prior, visual_lift, -{side("visual_lift")} as visual_lift_risk, v_eq, wrong_mapping, greatest(0, v_eq - wrong_mapping) as e_spec, greatest(0, v_vflip - wrong_vflip) as e_vflip, greatest(0, v_inverse - wrong_inverse) as e_inverse,
+  coalesce(greatest({side("text_only")}, {side("subject_masked")}, {side("object_masked")}), 0) as v_rem, case when crop is null then 0 else abs({side("orig")} - {side("crop")}) + ((crop >= 0) <> (orig >= 0))::int end as v_pres,
+  least(greatest(0, orig), greatest(0, coalesce(contra, 0))) as v_contra, role_contra, case family when 'left_right' then greatest(0, v_eq - wrong_mapping) when 'vertical' then greatest(greatest(0, v_vflip - wrong_vflip), role_contra)
+  when 'topology' then greatest(greatest(0, v_inverse - wrong_inverse), role_contra) when 'depth' then greatest(greatest(0, v_inverse - wrong_inverse), role_contra) when 'interaction' then role_contra else 0 end as structural_risk, probes as probe_count from base)"""
+
+
+_PROFILE = ["margin", "error", "support_orig", "confidence_risk", "entropy_risk", "prompt_sc_risk", "prompt_sc_mean_risk", "disagreement", "text_prior", "visual_lift", "visual_lift_risk", "v_eq", "wrong_mapping", "e_spec", "e_vflip", "e_inverse", "v_rem", "v_pres", "v_contra", "role_contra", "structural_risk"]
+
+
+def _profiles(spark, sf) -> DataFrame:
+    return probes.sample_profile(inputs.probe_rows(spark, sf), family=F.col("family"))
+
+
+@query(f"""with {_profile_sql()} select sample_id, family, correct, hallucination, probe_count, {", ".join(f"case when round({c}, 9) = 0 then 0.0 else round({c}, 9) end::double as {c}" for c in _PROFILE)} from profile""")
+def probe_profile(spark, sf):
+    unsigned = lambda c: F.when(F.round(c, 9) == 0, 0.0).otherwise(F.round(c, 9)).alias(c)
+    return _profiles(spark, sf).select("sample_id", "family", "correct", "hallucination", "probe_count", *map(unsigned, _PROFILE))
+
+
+_PARTS = sorted({c for cs in probes.RISK_FAMILIES.values() for c in cs})
+_part = lambda c: f"case when n > 1 then ({c}_r - 1) / (n - 1) else 0 end"
+_on = lambda c: f"case when {c}_s > 1e-8" + (" and wrong_mapping_s > 1e-8" if c == "e_spec" else "") + f" and n > 1 then ({c}_r - 1) / (n - 1) else 0 end"
+
+
+@query(f"""with {_profile_sql()}, k as (select sample_id, count(*) over () as n, {", ".join(f"rank() over (order by round({c}, 9)) + (count(*) over (partition by round({c}, 9)) - 1) / 2.0::double as {c}_r, max({c}) over () - min({c}) over () as {c}_s" for c in [*_PARTS, "wrong_mapping"])} from profile)
+select sample_id, round({" + ".join(_part(c) for c in probes.RISK_FAMILIES["base"])}, 9) as base, round({" + ".join(_part(c) for c in probes.RISK_FAMILIES["base"][1:])}, 9) as base_wo_v_eq,
+{", ".join(f"round(list_avg([{', '.join(_on(c) for c in probes.RISK_FAMILIES[f])}]), 9) as {f}_mean, round(list_max([{', '.join(_on(c) for c in probes.RISK_FAMILIES[f])}]), 9) as {f}_max, round(list_avg(list_reverse_sort([{', '.join(_on(c) for c in probes.RISK_FAMILIES[f])}])[1:2]), 9) as {f}_top" for f in ("gated", "profile", "lift"))},
+round(list_avg(list_reverse_sort([{", ".join(_on(c) for c in probes.RISK_FAMILIES["gated"] if c != "e_spec")}])[1:2]), 9) as gated_wo_e_spec from k""")
+def ranked_risks(spark, sf):
+    out = probes.ranked_risks(_profiles(spark, sf).select("sample_id", *[F.round(c, 9).alias(c) for c in [*_PARTS, "wrong_mapping"]]))
+    return rounded(out.select("sample_id", "base", "base_wo_v_eq", *[f"{f}_{how}" for f in ("gated", "profile", "lift") for how in ("mean", "max", "top")], "gated_wo_e_spec"))

@@ -60,5 +60,45 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Half the width of a token's box.
+HALF = 1 / 16
+
+
+def token_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`tokens` with boxes around their places and, the same for all tokens of a sample, the boxes of its first two anchors as evidence."""
+    t = tokens(spark, sf_dir)
+    t = t.withColumns({"x1": F.col("x") - HALF, "y1": F.col("y") - HALF, "x2": F.col("x") + HALF, "y2": F.col("y") + HALF})
+    return t.join(token_regions(t), "sample_id", "left")
+
+
+def token_regions(boxed: DataFrame) -> DataFrame:
+    found = F.sort_array(F.collect_list(F.when(F.col("anchor"), F.struct("idx", F.struct("x1", "y1", "x2", "y2").alias("box")))))
+    return boxed.groupBy("sample_id").agg(F.transform(F.slice(found, 1, 2), lambda s: s["box"]).alias("regions"))
+
+
+PROBE_NAMES = ["flip_mapped", "flip_unmapped", "vertical_flip_mapped", "vertical_flip_unmapped", "inverse_role", "role_reversal", "text_only", "subject_masked", "object_masked", "crop", "contra", "prompt_sc_1", "prompt_sc_2"]
+FAMILY_NAMES = ["left_right", "vertical", "topology", "proximity", "depth", "interaction"]
+
+
+def probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as scored probes of a sample: the first line is the orig probe."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id"), F.col("l_linenumber").alias("ord")).agg(F.max("l_quantity").alias("q"), F.max("l_partkey").alias("k"), F.max("l_returnflag").alias("flag"))
+    name = F.element_at(F.array(*map(F.lit, PROBE_NAMES)), ((F.col("k") + F.col("ord")) % len(PROBE_NAMES) + 1).cast("int"))
+    margin = (F.col("q") - 25.5) / 10 * F.when(F.col("k") % 3 == 0, -1).otherwise(1)
+    family = F.element_at(F.array(*map(F.lit, FAMILY_NAMES)), (F.col("sample_id") % len(FAMILY_NAMES) + 1).cast("int"))
+    rows = lines.select("sample_id", "ord", F.when(F.col("ord") == 1, "orig").otherwise(name).alias("probe"), margin.alias("margin"), F.when(F.col("flag") == "R", "no").otherwise("yes").alias("target_answer"), family.alias("family"))
+    return rows.withColumn("predicted", F.when(F.col("margin") >= 0, "yes").otherwise("no")).withColumn("correct", F.col("predicted") == F.col("target_answer"))
+
+
+def _names(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+PROBE_ROWS = f"""lines as (select l_orderkey as sample_id, l_linenumber as ord, max(l_quantity) as q, max(l_partkey) as k, max(l_returnflag) as flag from lineitem group by 1, 2),
+probe_rows as (select sample_id, ord, case when ord = 1 then 'orig' else {_names(PROBE_NAMES)}[((k + ord) % {len(PROBE_NAMES)} + 1)::int] end as probe, (q - 25.5::double) / 10 * (case when k % 3 = 0 then -1 else 1 end) as margin,
+  case when flag = 'R' then 'no' else 'yes' end as target, {_names(FAMILY_NAMES)}[(sample_id % {len(FAMILY_NAMES)} + 1)::int] as family from lines),
+last_rows as (select sample_id, probe, arg_max(margin, ord) as m, arg_max(target, ord) as target, any_value(family) as family from probe_rows group by 1, 2)"""
+
+
 TOKENS = """tokens as (select vec_id // 64 as sample_id, vec_id % 64 as idx, greatest(-0.5::double, least(0.499::double, embedding[1]::double)) + 0.5::double as x, greatest(-0.5::double, least(0.499::double, embedding[2]::double)) + 0.5::double as y,
   embedding[3]::double as relevance, abs(embedding[4]::double) as uniqueness, label from embeddings)"""

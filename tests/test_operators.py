@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
 from evalweave.functions import hashing, maths, relations, text
-from evalweave.operators import audits, evidence, greedy, joins, masks, metrics, policies, probes, resampling, selection
+from evalweave.operators import audits, evidence, greedy, joins, masks, metrics, ordered, policies, probes, resampling, selection, selectors
 from evalweave.sources import annotations, tables
 from evalweave.streaming.resume import run_incremental, shard
 
@@ -87,18 +87,28 @@ def test_normalisers_and_text(spark):
     s = spark.createDataFrame([("7", ["7", "7", "8"])], "p string, a array<string>").select(text.soft_accuracy(F.col("p"), F.col("a")))
     assert abs(one(s) - (1 / 3 + 1 / 3 + 2 / 3) / 3) < 1e-12
     yes = spark.createDataFrame([("Yes, it is",), (" no ",), ("maybe",)], "t string").select(text.yes_no(F.col("t"))).collect()
-    assert [r[0] for r in yes] == [True, False, None]
+    assert [r[0] for r in yes] == [True, False, False]
+    forms = spark.createDataFrame([("  Don't a café_x, the  an END!",)], "t string").select(text.answer_form(F.col("t")), text.plain_form(F.col("t"))).first()
+    assert tuple(forms) == ("dont caféx end", "dont a caféx the an end")
+    soft = spark.createDataFrame([("The Cat.", ["cat", "CAT!", "dog", "a cat"])], "p string, a array<string>").select(text.soft_accuracy(F.col("p"), F.col("a")))
+    assert abs(one(soft) - (3 * 2 / 3 + 1) / 4) < 1e-12
+    has = spark.createDataFrame([("На ВОКЗАЛ, туда", "вокзал"), ("café", "CAFÉ!"), ("x", ""), ("ab", "b c")], "t string, w string").select(text.contains_normalised(F.col("t"), F.col("w"))).collect()
+    assert [r[0] for r in has] == [True, True, False, False]
     assert one(spark.createDataFrame([([1, 2, 1, 2, 1], [1, 2])], "a array<int>, b array<int>").select(text.subsequence_at(F.col("a"), F.col("b")))) == [0, 2]
     assert one(spark.createDataFrame([("A1b", "A2c")], "x string, y string").select(text.changed_classes(F.col("x"), F.col("y")))) == ["digit", "letter"]
 
 
 def test_near_misses_against_python(spark):
+    def one_for(c):
+        low = c.lower()
+        out = text.CONFUSABLE.get(low, "").split() + (["a" if low == "z" else chr(ord(low) + 1)] if c.isascii() and c.isalpha() else [str((int(c) + 1) % 10)] if c.isascii() and c.isdigit() else [])
+        return [r.upper() for r in out] if c.isupper() else out
+
     def want(w):
-        out = {w[:i] + text.CONFUSABLE[c] + w[i + 1 :] for i, c in enumerate(w) if c in text.CONFUSABLE}
-        out |= {w[:i] + chr(ord(c) + 1) + w[i + 1 :] for i, c in enumerate(w) if c.isascii() and c.isalnum() and c not in "zZ9"}
-        return (out | ({w[:i] + w[i + 1 :] for i in range(len(w))} if len(w) >= 4 else set())) - {w}
+        out = {w[:i] + r + w[i + 1 :] for i, c in enumerate(w) for r in one_for(c)}
+        return (out | ({w[:i] + w[i + 1 :] for i in range(len(w)) if w[i].isalnum()} if len(w) >= 4 else set())) - {w}
 
-    words = ["B0Sl", "zZ9", "abc", "hello", "é1", ""]
+    words = ["B0Sl", "zZ9", "abc", "hello", "é1", "", "Dm-w"]
     got = {r.w: set(r.c) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", text.near_misses(F.col("w")).alias("c")).collect()}
     assert got == {w: want(w) for w in words}
 
@@ -133,12 +143,12 @@ def test_boxes(spark):
 
 def tokens(spark, n=16):
     rng = np.random.default_rng(2)
-    return pd.DataFrame({"sample_id": 1, "idx": range(n), "x": (np.arange(n) % 4 + 0.5) / 4, "y": (np.arange(n) // 4 + 0.5) / 4, "relevance": rng.random(n), "uniqueness": rng.random(n), "saliency": rng.random(n) + 0.1, "anchor": [i in (5, 6) for i in range(n)], "vec": [v.tolist() for v in rng.normal(size=(n, 5))]})
+    return pd.DataFrame({"sample_id": 1, "idx": range(n), "x": (np.arange(n) % 4 + 0.5) / 4, "y": (np.arange(n) // 4 + 0.5) / 4, "relevance": rng.random(n), "uniqueness": rng.random(n), "saliency": rng.random(n) + 0.1, "anchor": [i in (5, 6) for i in range(n)], "x1": np.arange(n) % 4 / 4, "y1": np.arange(n) // 4 / 4, "x2": (np.arange(n) % 4 + 1) / 4, "y2": (np.arange(n) // 4 + 1) / 4, "vec": [v.tolist() for v in rng.normal(size=(n, 5))]})
 
 
 def test_selectors_give_k_distinct_tokens(spark):
     df = spark.createDataFrame(tokens(spark))
-    for name in greedy.SELECTORS:
+    for name in [*selectors.SELECTORS, *greedy.VECTOR_SELECTORS]:
         for k in (1, 5, 16, 20):
             got = [r.idx for r in greedy.run_selector(df, name, k).orderBy("step").collect()]
             assert len(got) == len(set(got)) == min(k, 16), name
@@ -185,10 +195,14 @@ def test_strict_pairing(spark):
     b = spark.createDataFrame([(2, 0.0), (1, 0.0)], "k int, v double")
     r = resampling.paired_summary(joins.paired(b, a, ["k"], "v"), "difference", []).first()
     assert (r.mean_difference, r.wins, r.losses, r.ties) == (0.5, 1, 0, 1)
-    with pytest.raises(ValueError, match="different keys"):
-        joins.paired(a, b.limit(1), ["k"], "v")
-    with pytest.raises(ValueError, match="repeat"):
-        joins.paired(a, b.unionByName(b), ["k"], "v")
+    with pytest.raises(Exception, match="different keys"):
+        joins.paired(a, b.limit(1), ["k"], "v").collect()
+    with pytest.raises(Exception, match="repeat"):
+        joins.paired(a, b.unionByName(b), ["k"], "v").collect()
+    with pytest.raises(Exception, match="differ in"):
+        joins.paired(a.withColumn("c", F.lit(1)), b.withColumn("c", F.col("k")), ["k"], "v", equal=["c"]).collect()
+    loose = joins.paired(a.withColumn("c", F.lit(1)), b.limit(1).withColumn("c", F.lit(1)), ["k"], "v", strict=False, equal=["c"]).collect()
+    assert [(r.k, r.c) for r in loose] == [(2, 1)]
 
 
 def test_resampling_is_repeatable_and_covers(spark):
@@ -291,7 +305,13 @@ def test_probe_profile(spark):
     losses = [("s", "orig", 0.2, 1.2, 1), ("s", "orig", 0.1, 2.1, 2), ("s", "flip_mapped", 1.0, 0.5, 3), ("s", "prompt_sc_1", 0.0, 1.0, 4), ("s", "prompt_sc_2", 1.0, 0.0, 5), ("u", "crop", 0.0, 1.0, 6)]
     scores = probes.score_probes(spark.createDataFrame([(*r, "no") for r in losses], "sample_id string, probe string, yes_loss double, no_loss double, ord int, target_answer string"))
     r = probes.sample_profile(scores).collect()
-    assert len(r) == 1 and r[0].margin == 2.0 and r[0].hallucination and r[0].disagreement == 0.5 and abs(r[0].v_eq - 1.5) < 1e-12 and r[0].wrong_mapping == 0 and r[0].text_prior == 0
+    assert len(r) == 1 and r[0].margin == 2.0 and r[0].hallucination and r[0].disagreement == 0.5 and abs(r[0].v_eq - 2.5) < 1e-12 and r[0].wrong_mapping == 0 and r[0].text_prior == 0
+    turned = [("a", "orig", 2.0), ("a", "flip_mapped", -2.0), ("a", "text_only", -1.0), ("a", "crop", -1.0), ("a", "contra", 3.0)]
+    t = probes.sample_profile(spark.createDataFrame([(s, p, m, "yes" if m >= 0 else "no", True, "yes", k) for k, (s, p, m) in enumerate(turned)], "sample_id string, probe string, margin double, predicted string, correct boolean, target_answer string, ord int"), family=F.lit("left_right")).first()
+    assert (t.v_eq, t.text_prior, t.v_rem, t.v_pres, t.v_contra, t.visual_lift, t.visual_lift_risk, t.structural_risk, t.error) == (4.0, -1.0, -1.0, 4.0, 2.0, 3.0, -3.0, 4.0, 0.0)
+    rows = [("s", True, 1.0, 0.5), ("s", False, 2.0, 0.0), ("t", True, 1.0, None), ("u", False, 0.7, 0.0)]
+    e = {r.sample_id: r for r in probes.relation_evidence(spark.createDataFrame(rows, "sample_id string, is_base boolean, img double, text double")).collect()}
+    assert (e["s"].evidence_margin, e["s"]["rank"], e["t"]["rank"], e["t"].evidence_margin, e["u"].evidence_margin, e["u"]["rank"]) == (-1.5, 2, 0, 0.0, -0.7, 2)
     with pytest.raises(Exception, match="margin or both"):
         probes.score_probes(spark.createDataFrame([("s", None, 1.0, "no")], "sample_id string, yes_loss double, no_loss double, target_answer string")).collect()
 
@@ -347,3 +367,112 @@ def test_rollup_levels(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", None), ("b", "x")], "t string, r string")
     got = {(r.t, r.r, r.level): r.n for r in audits.scopes(rows, ["t", "r"], [F.count(F.lit(1)).alias("n")]).collect()}
     assert got == {("<all>", "<all>", 0): 3, ("a", "<all>", 1): 2, ("b", "<all>", 1): 1, ("a", "x", 2): 1, ("a", "<empty>", 2): 1, ("b", "x", 2): 1}
+
+
+def grid(n=4):
+    return np.array([(c / n, r / n, (c + 1) / n, (r + 1) / n) for r in range(n) for c in range(n)])
+
+
+def some_tokens(regions=(), **relevance):
+    scores = np.zeros(16)
+    for k, v in relevance.items():
+        scores[int(k[1:])] = v
+    return selectors.Tokens(grid(), scores, np.zeros(16), np.array(regions, dtype=float).reshape(-1, 4))
+
+
+def test_selectors_on_a_grid_of_sixteen():
+    kept = lambda f, *a, **k: sorted(f(*a, **k))
+    corner, far, tiny = (0.0, 0.0, 0.25, 0.25), (0.75, 0.75, 1.0, 1.0), (0.60, 0.60, 0.65, 0.65)
+    assert kept(selectors.SELECTORS["center"], some_tokens(), 4) == [5, 6, 9, 10]
+    assert kept(selectors.protected_relation_hybrid, some_tokens([corner, far], t5=1.0), 2, core=1.0, around=0.0) == [0, 15]
+    assert kept(selectors.protected_relation_hybrid, some_tokens([(0, 0, 1, 1)]), 2, core=1.0, around=0.0) == [0, 1]
+    assert 15 in kept(selectors.protected_relation_hybrid, some_tokens([(0, 0, 0.75, 0.75), far]), 2, core=1.0, around=0.0)
+    assert kept(selectors.protected_top, some_tokens([corner], t5=1.0, t6=0.9), 3) == [0, 5, 6]
+    assert kept(selectors.protected_centre_top, some_tokens([tiny], t5=1.0, t6=0.9), 3) == [5, 6, 10]
+    assert kept(selectors.soft_evidence_top, some_tokens([tiny], t5=1.0, t6=0.9, t10=0.1), 2) == [5, 6] and kept(selectors.soft_evidence_top, some_tokens([tiny], t5=1.0, t6=0.9, t10=0.1), 3) == [5, 6, 10]
+    spatial = kept(selectors.spatial_aware, some_tokens([corner, (0.75, 0.0, 1.0, 0.25)]), 6, around=0.35)
+    assert {0, 3} <= set(spatial) and {1, 2} & set(spatial) and len(spatial) == 6 and max(spatial) >= 12
+    assert kept(selectors.spatial_aware, some_tokens(), 4) == kept(selectors.SELECTORS["grid"], some_tokens(), 4)
+    assert kept(selectors.coverage_greedy, some_tokens([tiny], t5=1.0, t10=0.9), 1, evidence=2.0, grid=0.0, unique=0.0) == [10]
+    spread = kept(selectors.coverage_greedy, some_tokens(t0=1.0, t1=0.9, t2=0.8, t3=0.7), 4, grid=6.0, unique=0.0)
+    assert 0 in spread and max(spread) >= 8
+    soft = kept(selectors.hybrid(selectors.soft_corridor()), some_tokens([corner, (0.75, 0.0, 1.0, 0.25)], t0=1.0, t1=0.9, t2=0.8, t3=0.7), 8)
+    assert set(range(4)) <= set(soft) and len(soft) == 8
+    around = kept(selectors.SELECTORS["hybrid"], some_tokens(t0=1.0, t1=0.8), 4)
+    assert {0, 1} <= set(around) and max(around) >= 10
+    risen = kept(selectors.rise, selectors.Tokens(grid(), np.array([1.0] + [0.1] * 15), np.zeros(16)), 4, dominant=0.25, spread=1.0)
+    assert 0 in risen and max(risen) >= 10 and len(risen) == 4
+    assert selectors.parse("grid, topk") == ["grid", "topk"] and selectors.parse(None) == ["random", "grid", "center"]
+    with pytest.raises(ValueError):
+        selectors.parse("none")
+
+
+def test_sweep_and_its_summary(spark):
+    t = tokens(spark)
+    df = spark.createDataFrame(t.drop(columns="vec")).withColumn("regions", F.array(bx.box(F.lit(0.0), F.lit(0.0), F.lit(0.25), F.lit(0.25))))
+    swept = greedy.sweep(df, ["topk", "protected_topk"], [0.25, 1.0])
+    covered = greedy.sweep_coverage(swept, df, df.groupBy("sample_id").agg(F.first("regions").alias("regions"))).collect()
+    at = {(r.selector, r.keep_ratio): r for r in covered}
+    assert at["topk", 1.0].ecr == 1.0 and at["topk", 1.0].removed == 0 and at["protected_topk", 0.25].kept_count == 4 and at["protected_topk", 0.25].ecr == 1.0 and at["protected_topk", 0.25].patch_recall == 1.0
+    means = {(r.selector, r.keep_ratio): r for r in greedy.sweep_summary(spark.createDataFrame(covered)).collect()}
+    assert means["protected_topk", 0.25].mean_ecr_half == 1.0 and means["topk", 0.25].samples == 1
+
+
+def test_places_and_ranks_without_whole_groups(spark):
+    rng = random.Random(4)
+    data = [(i, rng.choice("ab") if i % 3 else None, rng.choice([None, 0.5, 1.0, 2.0, rng.random()])) for i in range(300)]
+    df = spark.createDataFrame(data, "i int, g string, v double")
+    for down in (False, True):
+        got = {r.i: (r.rn, r.n, r.s) for r in ordered.running(df, ["g"], "v", ["i"], {"s": F.lit(1)}, descending=down).collect()}
+        for g in ("a", "b", None):
+            own = sorted([(v is not None, v or 0.0, i) for i, h, v in data if h == g], key=lambda t: ((t[0], t[1]) if not down else (-t[0], -t[1]), t[2]))
+            assert [got[i] for *_, i in own] == [(k, len(own), k) for k in range(1, len(own) + 1)]
+    some = df.where("v is not null")
+    ranked = {r.i: r.r for r in ordered.ordered_ranks(some, [], {"v": "r"}).collect()}
+    want = pd.Series({i: v for i, _, v in data if v is not None}).rank()
+    assert ranked == want.to_dict()
+    plan = metrics.aurc(some.withColumn("e", F.lit(1)), "v", "e", "i", [])._jdf.queryExecution().executedPlan().toString()
+    assert "i#" in plan and metrics.aurc(some.withColumn("e", F.lit(1)), "v", "e", "i", []).first().aurc == 1.0
+
+
+def test_scalar_forms(spark):
+    get = lambda *c: tuple(spark.range(1).select(*c).first())
+    assert get(maths.effective_ratio(F.lit("risk_adaptive"), F.lit(0.3), F.lit(1.0)), maths.effective_ratio(F.lit("risk_bucket"), F.lit(0.3), F.lit(None).cast("double")), maths.effective_ratio(F.lit("fixed"), F.lit(0.3), F.lit(0.9)), maths.effective_ratio(F.lit("sensitivity_policy"), F.lit(0.3), F.lit(0.9), F.lit(0.6))) == (0.70, 0.50, 0.3, 0.6)
+    with pytest.raises(Exception, match="no budget mode"):
+        get(maths.effective_ratio(F.lit("other"), F.lit(0.3), F.lit(0.9)))
+    assert get(maths.normalised_entropy(F.array(F.lit(0.5), F.lit(0.5), F.lit(0.0))), maths.normalised_entropy(F.array(F.lit(1.0), F.lit(0.0))), maths.removal_fraction(F.lit(10), F.lit(4)), maths.removal_fraction(F.lit(0), F.lit(4))) == (1.0, 0.0, 0.6, 0.0)
+    assert get(maths.harmonic(F.lit(1.0), F.lit(0.5)), maths.finite(F.lit("x")), maths.finite(F.lit("2.5")), maths.fixed(F.lit(-0.0001)), maths.fixed(F.lit(1.23456))) == (2 / 3, 0.0, 2.5, "0.000", "1.235")
+    assert abs(get(maths.logit(F.lit(0.75)))[0] - math.log(3)) < 1e-12 and get(maths.softmax(F.array(F.lit(1.0), F.lit(1.0))))[0] == [0.5, 0.5]
+    assert get(text.slug(F.lit("A b_C")), text.usable_token(F.lit("a.b-c")), text.usable_token(F.lit("abcd")), text.edit_kind(F.lit("abc"), F.lit("abd")), text.edit_kind(F.lit("abc"), F.lit("ab"))) == ("a-b-c", False, True, "substitution", "deletion")
+    asked = get(relations.paraphrases(F.lit("cup"), F.lit("left_of"), F.lit("box")))[0]
+    assert asked[0] == "According to the image, is the cup left of the box?" and asked[1] == "Look at the image carefully. Is the cup left of the box?" and len(asked) == 4
+    assert get(text.best_score(F.lit("The Cat!"), F.array(F.lit("dog"), F.lit("cat")), "exact"), text.best_score(F.lit("abcd"), F.array(F.lit("abce"), F.lit("x"))))  == (1.0, 0.75)
+    assert get(policies.stable_answer(F.lit("a"), F.lit("a"), F.lit("b")), policies.stable_answer(F.lit("a"), F.lit("c"), F.lit("b"))) == ("a", "b")
+    best = spark.createDataFrame([("k", 1.0, 2.0), ("k", 9.0, 1.0)], "k string, v double, a double")
+    assert joins.best_of(best, ["k"], "v", F.col("a"), "v").first().v == 1.0
+    gaps = spark.createDataFrame([("p", True, 0.1), ("p", False, 0.5), ("q", True, 0.0)], "p string, ok boolean, g double")
+    assert [r.p for r in policies.worst_gap(gaps, "p", F.col("ok"), "g").orderBy("place").collect()] == ["q", "p"]
+    grids = spark.createDataFrame([("a", 3.0, 0.1, False), ("b", 2.0, 0.3, True), ("c", 1.0, 0.4, True)], "k string, c double, e double, f boolean")
+    assert policies.feasible_or_relaxed(grids, F.col("f"), "c", "e", ["k"]).first().k == "c" and policies.feasible_or_relaxed(grids, F.lit(False), "c", "e", ["k"]).first().k == "a"
+
+
+def test_aliases_match_whole_words(spark):
+    rows = spark.createDataFrame([("carpeting",), ("A dining-table!",), ("big table top",), ("Tin",), (None,), ("hot  dog stand",)], "t string")
+    aliases = spark.createDataFrame([("tin", "metal"), ("table", "furniture"), ("dining table", "room"), ("dog", "animal"), ("hot dog", "food")], "alias string, category string")
+    got = {r.t: r.category for r in joins.longest_alias(rows, "t", aliases).collect()}
+    assert got == {"carpeting": None, "A dining-table!": "room", "big table top": "furniture", "Tin": "metal", None: None, "hot  dog stand": "food"}
+
+
+def test_intervals_of_other_statistics(spark):
+    rng = random.Random(2)
+    rows = [(c, x := rng.gauss(0, 1), x + rng.gauss(0, 1), int(x + rng.gauss(0, 1) > 0)) for c in range(60) for _ in range(4)]
+    df = spark.createDataFrame(rows, "c int, x double, y double, l int")
+    r = resampling.bootstrap_correlation(df, "c", "x", "y", n=300).first()
+    assert r.low < r.r < r.high and r.high - r.low < 0.4 and abs(r.r - np.corrcoef([x[1] for x in rows], [x[2] for x in rows])[0, 1]) < 1e-9
+    a = resampling.bootstrap_auc(df, "c", "x", "l", n=200).first()
+    assert a.low < a.auc < a.high and a.draws == 200 and abs(a.auc - one(metrics.auc(df, "x", "l", []).select("auc"))) < 1e-12
+    k = resampling.bootstrap_kappa(df.withColumn("p", (F.col("x") > 0).cast("int")), "c", "p", "l", n=200).first()
+    assert k.low < k.kappa < k.high
+    u = spark.range(500).select("id", *[x.alias(n) for n, x in zip("ab", hashing.key_seeds(0, F.col("id")), strict=True)]).select("id", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("r"), "a", "b").select("id", "r", hashing.replicate_uniform(F.col("a"), F.col("b"), F.col("r")).alias("u")).toPandas()
+    wide = u.pivot(index="id", columns="r", values="u").corr().to_numpy()
+    assert abs(u.u.mean() - 0.5) < 0.01 and abs(u.u.var() - 1 / 12) < 0.003 and np.abs(wide - np.eye(40)).max() < 0.25
