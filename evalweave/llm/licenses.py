@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, confirmed against templates.
 
-Paragraphs are the lines of a text and, for notices that are wrapped, up to :data:`WRAP` lines on end that no blank line parts. They are cut into words ``[a-z0-9.]+`` and their distinct 1- to 3-grams.
+Paragraphs are the lines of a text and, for notices that are wrapped, up to :data:`WRAP` lines on end that no blank line parts, all but the last of at most :data:`WRAP_CHARS` characters. They are cut into words ``[a-z0-9.]+`` and their distinct 1- to 3-grams.
 A logistic regression gives each licence family a score; "unknown" is one of its classes,
 trained on paragraphs that talk about licences without granting one, on denied grants and on names of other licences. A family needs a posterior of at least ``least``, the calibrated threshold: the smallest at which
 none of the texts in :data:`UNSEEN` and of the held-out variants, with which it isn't trained, is taken for a family that it isn't. A predicted family counts when the paragraph has at least ``CONFIRM`` of the weight of one of its templates'
@@ -34,7 +34,9 @@ CUE_WORD = "cc"
 CUE_WORD_AT = "(^|[^a-z0-9.])cc([^a-z0-9]|$)"
 CUE = "|".join([*CUES, CUE_WORD_AT])
 CONFIRM = 0.7
+#: A notice may be wrapped over so many lines, of which all but the last have at most so many characters.
 WRAP = 4
+WRAP_CHARS = 120
 UNKNOWN = "unknown"
 
 #: Wording of licence notices, by family.
@@ -184,11 +186,21 @@ def has_cue(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in CUES]) | (F.contains(text, F.lit(CUE_WORD)) & text.rlike(CUE_WORD_AT))
 
 
-def paragraphs(text: Column) -> Column:
-    """Distinct lines, and up to :data:`WRAP` of them on end within a block, that hold a cue."""
-    lines = F.split(text, "\n")
-    run = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(lines) - (k - 1))), lambda i: F.when(F.forall(F.slice(lines, i, k), lambda p: F.trim(p) != "") | F.lit(k == 1), F.array_join(F.slice(lines, i, k), " ")))
-    return F.array_distinct(F.filter(F.concat(*[run(k) for k in range(1, WRAP + 1)]), lambda p: p.isNotNull() & has_cue(F.lower(p))))
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, p): each document's distinct lines with a cue, and the runs of wrapped lines around them."""
+    # column by column, so that a text is cut into lines once
+    rows = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    rows = rows.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: has_cue(F.lower(F.element_at("lines", i)))))
+
+    def run(i: Column, k: int, before: int) -> Column:
+        first = i - before
+        inside = (first >= 1) & (first + (k - 1) <= F.size("lines"))
+        block = F.slice("lines", F.greatest(F.lit(1), first), k)
+        wrapped = F.forall(block, lambda p: F.trim(p) != "") & F.forall(F.slice(block, 1, k - 1), lambda p: F.length(p) <= WRAP_CHARS)
+        return F.when(inside & wrapped if k > 1 else inside, F.array_join(block, " "))
+
+    every = F.flatten(F.transform("at", lambda i: F.array(*[run(i, k, before) for k in range(1, WRAP + 1) for before in range(k)])))
+    return rows.select("doc_id", F.explode(F.array_distinct(F.array_compact(every))).alias("p"))
 
 
 def grams(words: Column) -> Column:
@@ -203,7 +215,7 @@ def classify(distinct: DataFrame) -> DataFrame:
     families, templates = model["families"], template_list()
     table = F.broadcast(spark.createDataFrame(gram_rows(), "gram string, kind string, place int, value int"))  # some thousand rows, fixed by the templates
     words = F.expr(r"regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9.]*[a-z0-9]', 0)")
-    cut = distinct.withColumn("gs", grams(words))
+    cut = distinct.withColumn("words", words).withColumn("gs", grams(F.col("words")))
     hits = cut.select("p", F.explode("gs").alias("gram")).join(table, "gram").groupBy("p", "kind", "place").agg(F.sum("value").alias("value"))
     z = [F.coalesce(F.max(F.when((F.col("kind") == "w") & (F.col("place") == k), F.col("value"))), F.lit(0)) + model["bias"][k] for k in range(len(families))]
     size = [sum(w.values()) for w in template_weights()]
@@ -221,7 +233,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_paragraphs with cue words, n_confirmed, licenses (families in order, joined by commas), score (of the surest confirmed one, else 0)."""
     ids = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     # written once: few paragraphs have a cue, and reading them again is cheaper than scanning every text again
-    found = written(ids.where(has_cue(F.lower("text"))).select("doc_id", F.explode(paragraphs(F.col("text"))).alias("p")).distinct(), "paragraphs")
+    found = written(paragraphs(ids.where(has_cue(F.lower("text")))).distinct(), "paragraphs")
     scored = classify(found.select("p").distinct())
     # a line that a third of all documents hold is a hot key of this join; Spark splits it at run time
     named = found.join(scored, "p", "left").groupBy("doc_id").agg(
@@ -246,7 +258,7 @@ def licenses_sql() -> str:
 with grams(gram, kind, place, value) as (values {values}), classes(k, family, bias) as (values {classes}), templates(t, k, size) as (values {sizes}),
 lines as (select doc_id, string_split(text, chr(10)) as l from documents where regexp_matches(lower(text), '{CUE}')),
 runs as (select doc_id, l[i : i + k - 1] as r, k from (select doc_id, l, k, unnest(range(1, len(l) - k + 2)) as i from lines, (select unnest(range(1, {WRAP + 1})) as k))),
-cut as (select distinct doc_id, array_to_string(r, ' ') as p from runs where (k = 1 or len(list_filter(r, lambda x: trim(x) = '')) = 0) and regexp_matches(lower(array_to_string(r, ' ')), '{CUE}')),
+cut as (select distinct doc_id, array_to_string(r, ' ') as p from runs where (k = 1 or (len(list_filter(r, lambda x: trim(x) = '')) = 0 and len(list_filter(r[1 : k - 1], lambda x: length(x) > {WRAP_CHARS})) = 0)) and regexp_matches(lower(array_to_string(r, ' ')), '{CUE}')),
 words as (select p, regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9.]*[a-z0-9]') as w from (select distinct p from cut)),
 places as (select p, w, n, unnest(range(1, len(w) - n + 2)) as i from words, (values (1), (2), (3)) sizes(n)),
 own as (select distinct p, n, array_to_string(w[i : i + n - 1], ' ') as gram from places),
