@@ -200,7 +200,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         return F.when(inside & wrapped if k > 1 else inside, F.array_join(block, " "))
 
     every = F.flatten(F.transform("at", lambda i: F.array(*[run(i, k, before) for k in range(1, WRAP + 1) for before in range(k)])))
-    return rows.select("doc_id", F.explode(F.array_distinct(F.array_compact(every))).alias("p"))
+    # outer: an inner explode makes Spark test the array's size before, where it is made anew for every line
+    return rows.select("doc_id", F.explode_outer(F.array_distinct(F.array_compact(every))).alias("p")).where("p is not null")
 
 
 def grams(words: Column) -> Column:
@@ -216,7 +217,7 @@ def classify(distinct: DataFrame) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(gram_rows(), "gram string, kind string, place int, value int"))  # some thousand rows, fixed by the templates
     words = F.expr(r"regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9.]*[a-z0-9]', 0)")
     cut = distinct.withColumn("words", words).withColumn("gs", grams(F.col("words")))
-    hits = cut.select("p", F.explode("gs").alias("gram")).join(table, "gram").groupBy("p", "kind", "place").agg(F.sum("value").alias("value"))
+    hits = cut.select("p", F.explode_outer("gs").alias("gram")).join(table, "gram").groupBy("p", "kind", "place").agg(F.sum("value").alias("value"))
     z = [F.coalesce(F.max(F.when((F.col("kind") == "w") & (F.col("place") == k), F.col("value"))), F.lit(0)) + model["bias"][k] for k in range(len(families))]
     size = [sum(w.values()) for w in template_weights()]
     share = lambda family: F.greatest(F.lit(0.0), *[F.coalesce(F.max(F.when((F.col("kind") == "t") & (F.col("place") == t), F.col("value"))), F.lit(0)) / F.lit(size[t]) for t, (f, _) in enumerate(templates) if f == family])
