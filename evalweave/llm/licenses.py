@@ -50,7 +50,7 @@ TEMPLATES = {
     "cc-by-nd": ["licensed under cc by nd 4.0", "licensed under cc by nd 3.0", "this work is licensed under a creative commons attribution noderivatives 4.0 international license", "this work is licensed under a creative commons attribution noderivatives 3.0 unported license", "this work is licensed under a creative commons attribution noderivs 3.0 unported license", "spdx license identifier cc by nd 4.0", "license cc by nd 4.0"],
     "cc0": ["this work is dedicated to the public domain", "waived all copyright and related rights to this work", "cc0 1.0 universal", "spdx license identifier cc0 1.0", "license cc0 1.0", "licensed under cc0 1.0", "licensed under the cc0 1.0 license"],
     "gpl": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license as published by the free software foundation", "released under the gnu general public license version 2 or later gpl license", "spdx license identifier gpl 3.0 or later", "spdx license identifier gpl 2.0 only", "license gpl 3.0", "license gplv3", "licensed under gpl 3.0", "licensed under the gplv3", "license gpl 2.0", "license gplv2"],
-    "lgpl": ["this library is licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license lgpl license", "spdx license identifier lgpl 2.1 or later", "spdx license identifier lgpl 3.0", "license lgpl 2.1", "license lgpl 3.0", "license lgplv3", "licensed under lgpl 3.0", "licensed under the lgpl 2.1 license", "licensed under the lgpl 2.1 or later license"],
+    "lgpl": ["this library is licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license lgpl license", "spdx license identifier lgpl 2.1 or later", "spdx license identifier lgpl 3.0", "license lgpl 2.1", "license lgpl 3.0", "license lgplv3", "licensed under lgpl 3.0", "licensed under lgpl 2.1", "licensed under the lgpl 2.1 license", "licensed under the lgpl 2.1 or later license"],
     "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "spdx license identifier mit", "license mit", "license mit license", "licensed under mit"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0", "license mpl 2.0", "licensed under mpl 2.0"],
     "proprietary": ["all rights reserved", "copyright all rights reserved", "may be reproduced without the prior written permission of the publisher"],
