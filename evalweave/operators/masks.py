@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
-from evalweave.functions.hashing import uniform
+from evalweave.functions.hashing import key_seeds, replicate_uniform, uniform
 from evalweave.operators.joins import refuse
 
 
@@ -63,8 +63,11 @@ def random_region(rows: DataFrame, sample: str, box: str, most: float = 0.1, tri
     b = F.col(box)
     w, h = b["x2"] - b["x1"], b["y2"] - b["y1"]
     # column by column, so that each hashed number is made once
-    t = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda k: F.struct(k.alias("k"), (uniform(seed, F.col(sample), k, "x") * (1 - w)).alias("x"), (uniform(seed, F.col(sample), k, "y") * (1 - h)).alias("y")))
-    tried = rows.withColumn("_t", t)
+    first, second = key_seeds(seed, F.col(sample))
+    tried = rows.withColumn("_a", first).withColumn("_b", second)
+    number = lambda k: replicate_uniform(F.col("_a"), F.col("_b"), k)
+    t = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda k: F.struct(k.alias("k"), (number(k * 2) * (1 - w)).alias("x"), (number(k * 2 + 1) * (1 - h)).alias("y")))
+    tried = tried.withColumn("_t", t)
     tried = tried.withColumn("_m", F.transform("_t", lambda s: F.struct(bx.iou(bx.box(s["x"], s["y"], s["x"] + w, s["y"] + h), b).alias("iou"), s["k"].alias("k"), bx.box(s["x"], s["y"], s["x"] + w, s["y"] + h).alias("region"))))
     best = F.coalesce(F.get(F.filter("_m", lambda m: m["iou"] <= most), F.lit(0)), F.array_min("_m"))
     return tried.withColumn("_m", best).select(*rows.columns, F.col("_m.region").alias("region"), F.col("_m.iou").alias("region_iou"))

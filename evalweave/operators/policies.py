@@ -9,6 +9,10 @@ from evalweave.functions.maths import upper_bound
 from evalweave.operators.metrics import ratio
 
 
+#: Policies that one grid may hold: every row meets each of them.
+MOST_POLICIES = 10_000
+
+
 def three_way(risk: Column, low: Column, high: Column, budgets: tuple[float, float, float]) -> Column:
     base, mid, top = budgets
     return F.when(risk >= high, top).when(risk >= low, mid).otherwise(base)
@@ -19,6 +23,8 @@ def policy_grid(rows: DataFrame, grid: DataFrame, keys: list[str], correct: Colu
 
     Objective: accuracy - w0 * max(0, rate - target) - w1 * cost. Rows meet the broadcast grid and leave as one partial sum per policy.
     """
+    if grid.limit(MOST_POLICIES + 1).count() > MOST_POLICIES:
+        raise ValueError(f"a grid of more than {MOST_POLICIES} policies")
     scored = rows.crossJoin(F.broadcast(grid)).groupBy(*keys, split).agg(
         F.avg(correct.cast("double")).alias("accuracy"), ratio(F.count_if(false_positive), F.count_if(eligible)).alias("hfpr"), F.avg(cost).alias("cost")
     )

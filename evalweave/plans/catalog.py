@@ -731,7 +731,20 @@ def spatial_overlap_join(spark, sf):
     return rounded(out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum("area").alias("area")))
 
 
-@query()
+def _deletion_sql() -> str:
+    u = hashing.uniform_sql("'0'", "k::varchar", "i::varchar")
+    shuffled = lambda a: f"list_transform(list_sort(list_transform({a}, lambda i: {{'u': {u}, 'i': i}})), lambda s: s.i)"
+    lines = lambda c: f"coalesce(list_sort(list_distinct(list(l_linenumber::int) filter ({c}))), [])"
+    variants = {"selected": "kept", "delete_evidence": "list_filter(kept, lambda i: not list_contains(evidence, i))", "delete_control": "list_filter(kept, lambda i: not list_contains(mixed[1 : len(inside)], i))", "restore_evidence": "list_concat(kept, missing)", "restore_control": "list_concat(kept, others[1 : len(missing)])"}
+    parts = " union all ".join(f"select k as l_orderkey, '{n}' as variant, coalesce(array_to_string(list_sort({a}), ','), '') as indices from o" for n, a in variants.items())
+    return f"""with r as (select l_orderkey as k, {lines("l_quantity > 20")} as kept, {lines("l_discount > 0.05")} as evidence from lineitem group by 1),
+m as (select *, list_filter(kept, lambda i: list_contains(evidence, i)) as inside, list_filter(kept, lambda i: not list_contains(evidence, i)) as outside, list_filter(evidence, lambda i: not list_contains(kept, i)) as missing,
+  list_filter(range(0, 10), lambda i: not list_contains(kept, i::int) and not list_contains(evidence, i::int)) as spare from r),
+o as (select *, {shuffled("outside")} as mixed, list_transform({shuffled("spare")}, lambda i: i::int) as others from m)
+{parts}"""
+
+
+@query(_deletion_sql())
 def deletion_variants(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 20, F.col("l_linenumber").cast("int")))).alias("kept"), F.array_sort(F.collect_set(F.when(F.col("l_discount") > 0.05, F.col("l_linenumber").cast("int")))).alias("evidence"), F.lit(10).alias("total"))
     return masks.deletion_variants(rows, "l_orderkey", "kept", "evidence", "total").select("l_orderkey", "variant", F.array_join("indices", ",").alias("indices"))
