@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,20 +75,29 @@ def mean_best_iou(a: Column, b: Column) -> Column:
     return F.when(F.size(a) > 0, F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(a)).otherwise(0.0)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once: a lambda's variable, where the expression itself would be computed at each of its uses."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def union_area(boxes: Column) -> Column:
     """Exact area of a union: over the strips between neighbouring x edges, merged y intervals of the boxes that cover the strip."""
-    solid = F.filter(boxes, lambda b: area(b) > 0)
-    xs = F.array_sort(F.array_distinct(F.concat(F.transform(solid, lambda b: b["x1"]), F.transform(solid, lambda b: b["x2"]))))
-    left, right = F.slice(xs, F.lit(1), F.greatest(F.lit(0), F.size(xs) - 1)), F.slice(xs, F.lit(2), F.greatest(F.lit(0), F.size(xs) - 1))
+    edges = lambda solid: F.array_sort(F.array_distinct(F.concat(F.transform(solid, lambda b: b["x1"]), F.transform(solid, lambda b: b["x2"]))))
 
-    def covered(x1: Column, x2: Column) -> Column:
-        spans = F.array_sort(F.transform(F.filter(solid, lambda b: (b["x1"] <= x1) & (b["x2"] >= x2)), lambda b: F.struct(b["y1"].alias("lo"), b["y2"].alias("hi"))))
+    def covered(solid: Column, x1: Column, x2: Column) -> Column:
+        spans = F.transform(F.filter(solid, lambda b: (b["x1"] <= x1) & (b["x2"] >= x2)), lambda b: F.struct(b["y1"].alias("lo"), b["y2"].alias("hi")))
         start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("top"))
         step = lambda a, s: F.struct((a["sum"] + F.greatest(F.lit(0.0), s["hi"] - F.greatest(s["lo"], a["top"]))).alias("sum"), F.greatest(a["top"], s["hi"]).alias("top"))
         return F.aggregate(spans, start, step)["sum"]
 
-    strips = F.zip_with(left, right, lambda x1, x2: (x2 - x1) * covered(x1, x2))
-    return F.coalesce(F.aggregate(strips, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    def strips(solid: Column, xs: Column) -> Column:
+        right = F.slice(xs, F.lit(2), F.greatest(F.lit(0), F.size(xs) - 1))
+        return F.transform(right, lambda x2, i: (x2 - F.get(xs, i)) * covered(solid, F.get(xs, i), x2))
+
+    # boxes in the order of their lower edges, so that a strip's spans are in order as they are found
+    by_y = F.array_sort(F.transform(F.filter(boxes, lambda b: area(b) > 0), lambda b: F.struct(b["y1"].alias("y1"), b["y2"].alias("y2"), b["x1"].alias("x1"), b["x2"].alias("x2"))))
+    whole = bound(by_y, lambda solid: bound(edges(solid), lambda xs: F.aggregate(strips(solid, xs), F.lit(0.0), lambda s, x: s + x)))
+    return F.coalesce(whole, F.lit(0.0))
 
 
 def clipped(boxes: Column, regions: Column) -> Column:
@@ -98,8 +109,8 @@ def clipped(boxes: Column, regions: Column) -> Column:
 
 def evidence_coverage(kept: Column, evidence: Column) -> Column:
     """The share of the evidence's union that kept boxes cover; 0 without evidence or kept boxes."""
-    whole = union_area(evidence)
-    return F.when(whole > 0, F.least(F.lit(1.0), union_area(clipped(kept, evidence)) / whole)).otherwise(0.0)
+    share = lambda whole: F.when(whole > 0, F.least(F.lit(1.0), union_area(clipped(kept, evidence)) / whole)).otherwise(0.0)
+    return bound(union_area(evidence), share)
 
 
 def token_grid(rows: int, columns: int) -> Column:

@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
 from evalweave.functions import hashing, maths, ranks, text
 from evalweave.operators import audits, greedy, joins, masks, metrics, policies, probes, resampling, selection, selectors
-from evalweave.plans import inputs
+from evalweave.plans import inputs, reports  # noqa: F401  (reports registers its queries as well)
 from evalweave.plans.inputs import BOX_ROWS, PROBE_ROWS, RUNS, SCORED, TOKENS, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if there is any."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+from evalweave.plans.register import QUERIES, SQL, query, rounded, union_sql  # noqa: F401
 
 
 # rank and selective-risk metrics
@@ -575,15 +555,8 @@ def box_iou_patch_recall(spark, sf):
     return rounded(rows.select("l_orderkey", bx.mean_best_iou(F.col("kept"), F.col("evidence")).alias("mean_iou"), F.size(bx.touched(F.col("kept"), F.col("evidence"))).alias("touched")))
 
 
-def _union_sql(boxes: str, key: str, x1: str, y1: str, x2: str, y2: str, out: str) -> str:
-    """Union area by coordinate compression: cells between neighbouring edges that some box covers."""
-    return f"""{out}_x as (select {key}, v, lead(v) over (partition by {key} order by v) as w from (select {key}, {x1} as v from {boxes} union select {key}, {x2} from {boxes})),
-{out}_y as (select {key}, v, lead(v) over (partition by {key} order by v) as w from (select {key}, {y1} as v from {boxes} union select {key}, {y2} from {boxes})),
-{out} as (select x.{key}, sum((x.w - x.v) * (y.w - y.v)) as area from {out}_x x join {out}_y y on x.{key} = y.{key} where x.w is not null and y.w is not null and exists (select 1 from {boxes} b where b.{key} = x.{key} and b.{x1} <= x.v and b.{x2} >= x.w and b.{y1} <= y.v and b.{y2} >= y.w) group by 1)"""
-
-
 @query(f"""with {BOX_ROWS}, evidence as (select l_orderkey, ex1, ey1, ex2, ey2 from box_rows), cut as (select a.l_orderkey, greatest(a.x1, b.ex1) as x1, greatest(a.y1, b.ey1) as y1, least(a.x2, b.ex2) as x2, least(a.y2, b.ey2) as y2 from box_rows a join box_rows b on a.l_orderkey = b.l_orderkey where least(a.x2, b.ex2) > greatest(a.x1, b.ex1) and least(a.y2, b.ey2) > greatest(a.y1, b.ey1)),
-{_union_sql("evidence", "l_orderkey", "ex1", "ey1", "ex2", "ey2", "ue")}, {_union_sql("cut", "l_orderkey", "x1", "y1", "x2", "y2", "uc")}
+{union_sql("evidence", "l_orderkey", "ex1", "ey1", "ex2", "ey2", "ue")}, {union_sql("cut", "l_orderkey", "x1", "y1", "x2", "y2", "uc")}
 select ue.l_orderkey, round(ue.area, 6) as evidence_area, round(least(1, coalesce(uc.area, 0) / ue.area), 6) as ecr from ue left join uc on uc.l_orderkey = ue.l_orderkey""")
 def union_area_ecr(spark, sf):
     rows = inputs.boxes(spark, sf)
