@@ -15,6 +15,7 @@ ROLE_FIELDS = {
     "subject": ["subject_bbox", "bbox_subject", "subject_box", "subjectBox", "subj_bbox", "subj_box"],
     "object": ["object_bbox", "bbox_object", "object_box", "objectBox", "obj_bbox", "obj_box"],
 }
+BOX_FIELDS = "bbox|box|region|rect|bounds"
 POLYGON_FIELDS = "points|polygon|vertices"
 
 
@@ -23,22 +24,31 @@ def _named(text: Column, field: str) -> Column:
 
 
 def parsed_box(text: Column) -> Column:
-    """A box from text: four numbers with or without brackets, corners x1..y2, x, y, w, h, or a polygon's points (their bounds), also nested in an object.
+    """A box from text: four numbers with or without brackets, corners x1..y2, or x, y, w, h; of an object with a box field what that holds, of one with a polygon the bounds of its points.
 
     Null for null, for text without four numbers and for text that holds letters outside field names.
     """
-    numbers = F.transform(F.regexp_extract_all(F.regexp_replace(text, r"""["'][^"']*["']\s*:""", " "), F.lit(f"({_NUMBER})"), 1), lambda n: n.try_cast("double"))
+    inner = F.regexp_extract(text, rf"""["'](?:{BOX_FIELDS})["']\s*:\s*(\[[^\]]*\]|\{{[^}}]*\}}|"[^"]*")""", 1)
+    points = F.regexp_extract(text, rf"""["'](?:{POLYGON_FIELDS})["']\s*:\s*(\[(?:[^\[\]]|\[[^\[\]]*\])*\])""", 1)
+    polygon = lambda ns: box(F.array_min(_every_other(ns, 0)), F.array_min(_every_other(ns, 1)), F.array_max(_every_other(ns, 0)), F.array_max(_every_other(ns, 1)))
+    return F.when(inner != "", bound(inner, _plain_box)).when(points != "", bound(_numbers(points), lambda ns: F.when(F.size(ns) >= 2, polygon(ns)))).otherwise(_plain_box(text))
+
+
+def _numbers(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.regexp_replace(text, r"""["'][^"']*["']\s*:""", " "), F.lit(f"({_NUMBER})"), 1), lambda n: n.try_cast("double"))
+
+
+def _every_other(numbers: Column, odd: int) -> Column:
+    return F.filter(numbers, lambda _, i: i % 2 == odd)
+
+
+def _plain_box(text: Column) -> Column:
     corner = box(*[_named(text, c) for c in ("x1", "y1", "x2", "y2")])
     x, y, w, h = (_named(text, c) for c in ("x", "y", "w", "h"))
     every = lambda cs: ~F.greatest(*[c.isNull() for c in cs])
-    at = lambda odd: F.filter(numbers, lambda _, i: i % 2 == odd)
-    polygon = box(F.array_min(at(0)), F.array_min(at(1)), F.array_max(at(0)), F.array_max(at(1)))
     plain = ~F.regexp_replace(text, r"""["'][^"']*["']\s*:|\d[eE]""", "").rlike("[A-Za-z]")
-    return (
-        F.when(every([corner[c] for c in ("x1", "y1", "x2", "y2")]), corner).when(every([x, y, w, h]), box(x, y, x + w, y + h))
-        .when(text.rlike(rf"""["']({POLYGON_FIELDS})["']\s*:""") & (F.size(numbers) >= 2), polygon)
-        .when((F.size(numbers) >= 4) & plain, box(*[F.get(numbers, F.lit(i)) for i in range(4)]))
-    )
+    four = bound(_numbers(text), lambda ns: F.when(F.size(ns) >= 4, box(*[F.get(ns, F.lit(i)) for i in range(4)])))
+    return F.when(every([corner[c] for c in ("x1", "y1", "x2", "y2")]), corner).when(every([x, y, w, h]), box(x, y, x + w, y + h)).when(plain, four)
 
 
 def evidence_regions(fields: dict[str, str], width: Column, height: Column) -> Column:

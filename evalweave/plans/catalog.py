@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
 from evalweave.functions import hashing, maths, ranks, text
-from evalweave.operators import audits, greedy, joins, masks, metrics, policies, probes, resampling, selection, selectors
+from evalweave.operators import audits, greedy, joins, masks, metrics, policies, probes, resampling, selection, selectors, traces
 from evalweave.plans import inputs, reports  # noqa: F401  (reports registers its queries as well)
 from evalweave.plans.inputs import BOX_ROWS, PROBE_ROWS, RUNS, SCORED, TOKENS, table
 from evalweave.plans.register import QUERIES, SQL, query, rounded, union_sql  # noqa: F401
@@ -240,6 +240,15 @@ def hash_bootstrap_ci(spark, sf):
     return rounded(resampling.bootstrap_mean(table(spark, sf, "events"), "user_id", "value", ["event_type"]))
 
 
+@query(f"""with e as (select user_id, 'u' || (user_id % 2)::varchar as pol, avg(value) filter (event_type = 'click') as l, avg(value) filter (event_type = 'view') as r from events group by 1),
+s as (select user_id, unnest(['all', pol]) as scope, l - r as val from e where l is not null and r is not null), {_R}, {_seeded("s", "d", ("'0'", "user_id::varchar"))}, dw as (select scope, b, {_w()} as w, val from d), x as (select scope, b, sum(w * val) / sum(w) as mean from dw where w > 0 group by 1, 2),
+q as (select scope, quantile_cont(mean, 0.025) as lo, quantile_cont(mean, 0.975) as hi, least(1, 2 * least(avg((mean <= 0)::int), avg((mean >= 0)::int))) as p from x group by 1)
+select s.scope, count(*) as n, round(avg(val), 9) as mean, round(quantile_cont(val, 0.5), 9) as median, round(avg((val > 0)::int), 9) as above, round(any_value(lo), 9) as low, round(any_value(hi), 9) as high, round(any_value(q.p), 9) as p from s join q on q.scope = s.scope group by 1""")
+def arm_comparison(spark, sf):
+    arms = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("support")).withColumn("pol", F.concat(F.lit("u"), (F.col("user_id") % 2).cast("string")))
+    return rounded(traces.compare_arms(arms, "click", "view", "user_id", "event_type", "pol"))
+
+
 @query(f"""with c as (select event_type, user_id, avg(value) as val from events group by 1, 2), {_R}, {_seeded("c", "d", ("'0'", "'first'", "event_type"), ("'0'", "'second'", "user_id::varchar"))},
 dw as (select b, {hashing.poisson_of_sql("u")} * {hashing.poisson_of_sql("v")} as w, val from d), x as (select b, sum(w * val) / sum(w) as mean from dw where w > 0 group by b)
 select count(*) as draws, round(quantile_cont(mean, 0.025), 9) as low, round(quantile_cont(mean, 0.975), 9) as high from x""")
