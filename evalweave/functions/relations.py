@@ -98,8 +98,38 @@ def focus_terms(question: Column, most: int = 8) -> Column:
     return F.when(F.size(first) > 0, F.slice(first, 1, most)).otherwise(F.array(F.trim(question)))
 
 
-def question_for(relation: Column, subject: Column, target: Column) -> Column:
-    return F.concat(F.lit("Is the "), subject, F.lit(" "), F.replace(relation, F.lit("_"), F.lit(" ")), F.lit(" the "), target, F.lit("?"))
+#: What stands between subject and object in a question; all but "contain" are asked with "Is".
+ASKED = {
+    "left_of": "to the left of", "right_of": "to the right of", "above": "above", "below": "below", "on": "on", "inside": "inside", "contains": "contain", "near": "near", "far": "far from",
+    "in_front_of": "in front of", "behind": "behind", "holding": "holding", "facing": "facing", "occluding": "occluding",
+}
+#: Names that stand for none.
+NO_NAME = ["", "none", "null", "nan"]
+
+
+def clean_name(name: Column) -> Column:
+    """A name, trimmed; empty for null and for words that stand for none."""
+    own = F.trim(F.coalesce(name.cast("string"), F.lit("")))
+    return F.when(F.lower(own).isin(*NO_NAME), "").otherwise(own)
+
+
+def question_for(relation: Column, subject: Column, target: Column, question: Column | None = None) -> Column:
+    """The yes/no question of a relation between two names; without both names, or for a relation without a wording, the sample's own question, its left and right turned the relation's way."""
+    words = F.element_at(F.create_map(*[F.lit(x) for pair in ASKED.items() for x in pair]), relation)
+    a, b = clean_name(subject), clean_name(target)
+    own = F.trim(F.coalesce(question, F.lit(""))) if question is not None else F.lit("")
+    turned = F.when(relation == "left_of", F.regexp_replace(own, r"(?i)\bright\b", "left")).when(relation == "right_of", F.regexp_replace(own, r"(?i)\bleft\b", "right")).otherwise(own)
+    made = F.concat(F.when(relation == "contains", "Does ").otherwise("Is "), a, F.lit(" "), words, F.lit(" "), b, F.lit("?"))
+    return F.coalesce(F.when((a != "") & (b != ""), made), turned)
+
+
+def boxed_question(relation: Column) -> Column:
+    phrase = F.replace(relation, F.lit("_"), F.lit(" "))
+    return F.concat(F.lit(BOXED[0]), phrase, F.lit(BOXED[1]))
+
+
+#: The question about two marked boxes, around the relation's phrase.
+BOXED = ("In the image, a red box labeled A marks one object and a blue box labeled B marks another object. Is the red-boxed A object ", " the blue-boxed B object? Answer yes or no.")
 
 
 def paraphrases(subject: Column, relation: Column, target: Column) -> Column:

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
-from evalweave.functions import features, geometry
-from evalweave.operators import annotation, traces
+from evalweave.functions import features, geometry, relations
+from evalweave.operators import annotation, probes, traces
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
 
@@ -248,3 +248,26 @@ def test_empty_tables(spark):
     assert traces.budget_summary(none, "k", "n", []).first()[:] == (0, 0, 0, 0, 0, 0) and traces.probe_cost(none, []).first().samples == 0
     assert traces.compare_arms(none, "a", "b", n=5).count() == 0 and traces.equivalence(none, none, "sample_id", ["v"]).count() == 0
     assert traces.unused(spark.createDataFrame([(None,), (1,)], "k int"), spark.createDataFrame([(None,), (1,)], "k int"), "k").count() == 1
+
+
+def test_probe_modes(spark):
+    kind = "id string, relation string, answer boolean, subject string, object string, subject_bbox array<double>, object_bbox array<double>, question string"
+    rows = spark.createDataFrame([("s", "right_of", True, "cup", "box", [0.0], [1.0], None), ("t", "below", False, "a", None, None, None, "is it on the Left?"), ("u", "on", True, "a", "b", None, None, None)], kind)
+    table = relations.relation_table(spark)
+    run = lambda mode: {(r.id, r.probe): r for r in probes.expand_probes(rows, table, mode=mode).collect()}
+    names = lambda got, k: {p for i, p in got if i == k}
+    got = run("recap")
+    assert names(got, "s") == {"orig", "text_only"} | {f"recap_{v}__{c}" for v in ("img", "text") for c in ("claim__left_of", "anti__right_of")}
+    claim = got["s", "recap_img__claim__left_of"]
+    assert (claim.subject, claim.question, claim.target, claim.role, claim.probe_count) == ("box", "Is box to the left of cup?", True, "claim", 6)
+    assert "recap_img__claim__below" in names(got, "t") and got["u", "recap_text__support__above"].weight == 0.5
+    got = run("rec_profile")
+    assert names(got, "s") == {"orig", "contra", "text_only", "flip_mapped", "flip_unmapped"} | {f"rec_{v}__{c}" for v in ("img", "text") for c in ("left_of", "right_of")}
+    got = run("prompt_sc")
+    assert names(got, "s") == {"orig", *[f"prompt_sc_{i}" for i in range(1, 5)]} and got["s", "prompt_sc_1"].question == "According to the image, is cup to the right of box?" and got["t", "orig"].question == "is it on the Left?"
+    got = run("orig_text_crop_boxed")
+    assert names(got, "s") == {"orig", "text_only", "crop", "boxed"} and names(got, "t") == {"orig", "text_only"} and "object right of the blue-boxed" in got["s", "boxed"].question
+    assert names(run("profile_fast"), "u") == {"orig", "contra", "inverse_role", "role_reversal"} - ({"inverse_role", "role_reversal"} if not table.where("relation = 'on'").first().inverse else set())
+    with pytest.raises(ValueError, match="no probe mode"):
+        run("other")
+    assert probes.expand_probes(rows.where("false"), table, mode="recap").count() == 0
