@@ -84,12 +84,12 @@ near as (select * from box_rows a where exists (select 1 from cut where cut.l_or
 
 
 @query(f"""with {BOX_ROWS}, {_CUT}, {union_sql("evidence", "l_orderkey", "ex1", "ey1", "ex2", "ey2", "ue")}, {union_sql("cut", "l_orderkey", "x1", "y1", "x2", "y2", "uc")}, {union_sql("near", "l_orderkey", "x1", "y1", "x2", "y2", "un")}
-select ue.l_orderkey, round(least(1, coalesce(uc.area / un.area, 0)), 6) as local_precision, case when ue.l_orderkey % 2 = 0 and round(least(1, coalesce(uc.area, 0) / ue.area), 9) >= 0.5 then 1.0::double else 0.0::double end as attributed
+select ue.l_orderkey, round(least(1, coalesce(uc.area / un.area, 0)), 9) as local_precision, case when ue.l_orderkey % 2 = 0 and round(least(1, coalesce(uc.area, 0) / ue.area), 9) >= 0.5 then 1.0::double else 0.0::double end as attributed
 from ue left join uc on uc.l_orderkey = ue.l_orderkey left join un on un.l_orderkey = ue.l_orderkey""")
 def local_provenance(spark, sf):
     kept, evidence = F.col("kept"), F.col("evidence")
     gate = geometry.attributed_accuracy(F.col("l_orderkey") % 2 == 0, F.round(bx.evidence_coverage(kept, evidence), 9))
-    return rounded(inputs.boxes(spark, sf).select("l_orderkey", geometry.local_precision(kept, evidence).alias("local_precision"), gate.alias("attributed")), 6)
+    return rounded(inputs.boxes(spark, sf).select("l_orderkey", geometry.local_precision(kept, evidence).alias("local_precision"), gate.alias("attributed")), 9)
 
 
 @query(f"""with {BOX_ROWS}, evidence as (select l_orderkey, ex1, ey1, ex2, ey2 from box_rows), {union_sql("evidence", "l_orderkey", "ex1", "ey1", "ex2", "ey2", "ue")},
@@ -97,11 +97,11 @@ e as (select *, row_number() over (partition by l_orderkey order by ex1, ey1, ex
 p as (select a.l_orderkey, a.n, (a.ex2 - a.ex1) * (a.ey2 - a.ey1) as sa, coalesce((b.ex2 - b.ex1) * (b.ey2 - b.ey1), 0) as oa, (a.ex1 + a.ex2) / 2 - (b.ex1 + b.ex2) / 2 as dx, (a.ey1 + a.ey2) / 2 - (b.ey1 + b.ey2) / 2 as dy,
   greatest(0, greatest(a.ex1, b.ex1) - least(a.ex2, b.ex2)) as hg, greatest(0, greatest(a.ey1, b.ey1) - least(a.ey2, b.ey2)) as vg, b.r is not null as two from e a left join e b on b.l_orderkey = a.l_orderkey and b.r = 2 where a.r = 1),
 q as (select *, case when sa > 0 and oa > 0 then least(sa, oa) else greatest(sa, oa) end as low, greatest(sa, oa) as high from p)
-select q.l_orderkey, round(area, 6) as evidence_area, round(sa, 6) as subject_area, round(oa, 6) as object_area, round(low, 6) as min_object_area, round(high, 6) as max_object_area, round(case when low > 0 then high / greatest(1e-12, low) else 0 end, 6) as area_imbalance,
- round(case when two then sqrt(dx * dx + dy * dy) else 0 end, 6) as center_distance, round(case when two then hg else 0 end, 6) as horizontal_gap, round(case when two then vg else 0 end, 6) as vertical_gap, n::double as evidence_region_count from q join ue on ue.l_orderkey = q.l_orderkey""")
+select q.l_orderkey, round(area, 9) as evidence_area, round(sa, 9) as subject_area, round(oa, 9) as object_area, round(low, 9) as min_object_area, round(high, 9) as max_object_area, round(case when low > 0 then high / greatest(1e-12, low) else 0 end, 9) as area_imbalance,
+ round(case when two then sqrt(dx * dx + dy * dy) else 0 end, 9) as center_distance, round(case when two then hg else 0 end, 9) as horizontal_gap, round(case when two then vg else 0 end, 9) as vertical_gap, n::double as evidence_region_count from q join ue on ue.l_orderkey = q.l_orderkey""")
 def box_pair_geometry(spark, sf):
     found = geometry.box_features(F.col("evidence"))
-    return rounded(inputs.boxes(spark, sf).select("l_orderkey", *[c.alias(n) for n, c in found.items()]), 6)
+    return rounded(inputs.boxes(spark, sf).select("l_orderkey", *[c.alias(n) for n, c in found.items()]), 9)
 
 
 _REGIONS = f"""{TOKENS}, tb as (select *, x - {HALF}::double as x1, y - {HALF}::double as y1, x + {HALF}::double as x2, y + {HALF}::double as y2 from tokens),
@@ -184,12 +184,12 @@ def _traces(spark, sf) -> tuple[DataFrame, DataFrame]:
   from (select *, row_number() over () as r from ev) e join kp k on k.l_orderkey = e.l_orderkey group by e.l_orderkey, e.r, 2, 3, 4, 5),
 cr as (select l_orderkey, avg(hit::double) as centre_recall from centre group by 1),
 hit as (select a.l_orderkey, avg((a.i % 2 = 0)::int::double) as patch_recall from tk a where exists (select 1 from ev b where a.l_orderkey = b.l_orderkey and least(a.x2, b.ex2) > greatest(a.x1, b.ex1) and least(a.y2, b.ey2) > greatest(a.y1, b.ey1)) group by 1)
-select sample_id, sample_id % 3 <> 0 as has_evidence, case when sample_id % 3 <> 0 then round(ecr, 6) end as ecr, case when sample_id % 3 <> 0 then round(centre_recall, 6) end as evidence_center_recall,
- case when sample_id % 3 <> 0 then round(coalesce(patch_recall, 0), 6) end as evidence_patch_recall from cov left join cr on cr.l_orderkey = sample_id left join hit on hit.l_orderkey = sample_id""")
+select sample_id, sample_id % 3 <> 0 as has_evidence, case when sample_id % 3 <> 0 then round(ecr, 9) end as ecr, case when sample_id % 3 <> 0 then round(centre_recall, 9) end as evidence_center_recall,
+ case when sample_id % 3 <> 0 then round(coalesce(patch_recall, 0), 9) end as evidence_patch_recall from cov left join cr on cr.l_orderkey = sample_id left join hit on hit.l_orderkey = sample_id""")
 def trace_backfill(spark, sf):
     t, probes = _traces(spark, sf)
     out, _ = traces.enriched(t, probes.where("sample_id % 3 <> 0"))
-    return rounded(out.select("sample_id", "has_evidence", "ecr", "evidence_center_recall", "evidence_patch_recall"), 6)
+    return rounded(out.select("sample_id", "has_evidence", "ecr", "evidence_center_recall", "evidence_patch_recall"), 9)
 
 
 @query(f"""with {_TRACES}, cells as (select l_orderkey, count(*)::int as full_tokens, sum((i % 2 = 0)::int)::int as kept_tokens, median((x2 - x1) * (y2 - y1)) as cell from tk group by 1),
