@@ -256,11 +256,11 @@ def test_probe_modes(spark):
     table = relations.relation_table(spark)
     run = lambda mode: {(r.id, r.probe): r for r in probes.expand_probes(rows, table, mode=mode).collect()}
     names = lambda got, k: {p for i, p in got if i == k}
-    got = run("recap")
-    assert names(got, "s") == {"orig", "text_only"} | {f"recap_{v}__{c}" for v in ("img", "text") for c in ("claim__left_of", "anti__right_of")}
-    claim = got["s", "recap_img__claim__left_of"]
+    got = run("graph")
+    assert names(got, "s") == {"orig", "text_only"} | {f"graph_{v}__{c}" for v in ("img", "text") for c in ("claim__left_of", "anti__right_of")}
+    claim = got["s", "graph_img__claim__left_of"]
     assert (claim.subject, claim.question, claim.target, claim.role, claim.probe_count) == ("box", "Is box to the left of cup?", True, "claim", 6)
-    assert "recap_img__claim__below" in names(got, "t") and got["u", "recap_text__support__above"].weight == 0.5
+    assert "graph_img__claim__below" in names(got, "t") and got["u", "graph_text__support__above"].weight == 0.5
     got = run("rec_profile")
     assert names(got, "s") == {"orig", "contra", "text_only", "flip_mapped", "flip_unmapped"} | {f"rec_{v}__{c}" for v in ("img", "text") for c in ("left_of", "right_of")}
     got = run("prompt_sc")
@@ -270,4 +270,4 @@ def test_probe_modes(spark):
     assert names(run("profile_fast"), "u") == {"orig", "contra", "inverse_role", "role_reversal"} - ({"inverse_role", "role_reversal"} if not table.where("relation = 'on'").first().inverse else set())
     with pytest.raises(ValueError, match="no probe mode"):
         run("other")
-    assert probes.expand_probes(rows.where("false"), table, mode="recap").count() == 0
+    assert probes.expand_probes(rows.where("false"), table, mode="graph").count() == 0
