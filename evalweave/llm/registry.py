@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import scratch, table
+from evalweave.llm.filter_audit import audit_documents, audit_sql
 from evalweave.llm.jaccard_join import jaccard_groups
 from evalweave.llm.language_id import identify
 from evalweave.llm.learned_partitions import search
@@ -67,9 +68,13 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_lists(pages, page_events(pages)).withColumn("fetch_day", F.col("fetch_day").cast("string"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_jaccard_join, op4_token_files, op5_language_id, op6_sentencepiece, op7_sharding, op8_exact_top_k, op9_learned_partitions, op10_url_lists)}
+    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_jaccard_join, op4_token_files, op5_language_id, op6_sentencepiece, op7_sharding, op8_exact_top_k, op9_learned_partitions, op10_url_lists, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses_sql(), "op2_mix_sources": mix_sql(), "op8_exact_top_k": top_k_sql(), "op10_url_lists": lists_sql()}
+    return {"op1_license_scan": licenses_sql(), "op2_mix_sources": mix_sql(), "op8_exact_top_k": top_k_sql(), "op10_url_lists": lists_sql(), "op13_filter_audit": audit_sql()}
