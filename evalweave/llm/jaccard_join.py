@@ -382,12 +382,11 @@ def linked_sets(docs: DataFrame, percent: int, width: int, id_col: str, text_col
     return main, names, groups
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; see the module."""
-    main, names, linked = linked_sets(docs, percent, width, id_col, text_col)
+def named_groups(main: DataFrame, names: DataFrame, linked: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``main``, named by the smallest doc_id; texts of one doc_id are one group."""
     several = main.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b <> high").select("doc_id", "b")
     several = main.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
-    if several.limit(1).count():  # texts of one doc_id
+    if several.limit(1).count():
         linked = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(several))
     lowest = names.join(linked, "node").groupBy("component").agg(F.min("low").alias("component_id"))
     named = names.join(linked, "node", "left").join(lowest, "component", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
@@ -395,6 +394,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, width: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; see the module."""
+    return named_groups(*linked_sets(docs, percent, width, id_col, text_col))
+
+
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """One document of each group of links stays: the one with the smallest doc_id (null comes last), among texts of one id by the text's hash; all of its columns are kept.
 

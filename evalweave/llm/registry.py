@@ -15,6 +15,7 @@ from evalweave.llm.language_id import identify
 from evalweave.llm.learned_partitions import search
 from evalweave.llm.licenses import licenses_sql, scan_licenses
 from evalweave.llm.maxscore import top_k, top_k_sql
+from evalweave.llm.minhash_forest import minhash_groups
 from evalweave.llm.mixing import mix_sources, mix_sql
 from evalweave.llm.pieces import digests, encode_pieces
 from evalweave.llm.shards import shard_documents
@@ -68,12 +69,16 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_lists(pages, page_events(pages)).withColumn("fetch_day", F.col("fetch_day").cast("string"))
 
 
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(table(spark, sf_dir, "documents"), percent=85, width=3)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_jaccard_join, op4_token_files, op5_language_id, op6_sentencepiece, op7_sharding, op8_exact_top_k, op9_learned_partitions, op10_url_lists, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_jaccard_join, op4_token_files, op5_language_id, op6_sentencepiece, op7_sharding, op8_exact_top_k, op9_learned_partitions, op10_url_lists, op12_minhash_forest, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
