@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalweave.llm.alignment import align_tokens
 from evalweave.llm.common import scratch, table
 from evalweave.llm.filter_audit import audit_documents, audit_sql
 from evalweave.llm.jaccard_join import jaccard_groups
@@ -23,6 +24,7 @@ from evalweave.llm.token_files import token_files
 from evalweave.llm.url_lists import apply_lists, fetch_day, lists_sql, page_events
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -69,6 +71,10 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_lists(pages, page_events(pages)).withColumn("fetch_day", F.col("fetch_day").cast("string"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_groups(table(spark, sf_dir, "documents"), percent=85, width=3)
 
@@ -78,7 +84,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_jaccard_join, op4_token_files, op5_language_id, op6_sentencepiece, op7_sharding, op8_exact_top_k, op9_learned_partitions, op10_url_lists, op12_minhash_forest, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_jaccard_join, op4_token_files, op5_language_id, op6_sentencepiece, op7_sharding, op8_exact_top_k, op9_learned_partitions, op10_url_lists, op11_token_alignment, op12_minhash_forest, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
