@@ -213,10 +213,16 @@ def tail_rate(rows: DataFrame, score: str, label: str, order: str, by: list[str]
 def quantiles(rows: DataFrame, value: str, by: list[str], q: float) -> DataFrame:
     """The four definitions in use: linear, sorted[int(q n)], sorted[int(q (n - 1))], sorted[round-half-even(q (n - 1))].
 
-    Only the rows at the wanted places leave the ranked groups.
+    Equal values are counted first; the values that cover the wanted places leave the groups.
     """
-    ranked = running(rows.where(F.col(value).isNotNull()).select(*by, value), by, value, [], {}).withColumn("_i", F.col("rn") - 1)
-    n, at = F.col("n"), lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
+    points = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
+    ranked = running(points, by, value, [], {"_upto": F.col("_m")})
+    whole = ranked.groupBy(*by).agg(F.max("_upto").alias("_size")).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], "_size")  # a row a group
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    ranked = ranked.join(whole, same) if by else ranked.crossJoin(F.broadcast(whole))
+    n, at = F.col("_size"), lambda i: F.max(F.when((F.col("_upto") - F.col("_m") <= i) & (i < F.col("_upto")), F.col(value)))
     place = (n - 1) * q
     low, high = at(F.floor(place)), at(F.ceil(place))
     return ranked.groupBy(*by).agg(

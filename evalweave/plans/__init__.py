@@ -1 +1,3 @@
-"""Query catalogue: operators applied to tables."""
+"""The query catalogue; importing the package registers every module's queries."""
+
+from evalweave.plans import catalog, rollups  # noqa: F401
