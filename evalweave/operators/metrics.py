@@ -210,6 +210,21 @@ def tail_rate(rows: DataFrame, score: str, label: str, order: str, by: list[str]
     return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("tail"), F.avg(F.col(label).cast("double")).alias("rate"))
 
 
+def linear_quantiles(rows: DataFrame, value: str, qs: list[float]) -> DataFrame:
+    """One row: _cuts, the distinct linear quantiles of a column in ascending order. Equal values are counted first; each counted value knows which of the wanted places it covers."""
+    points = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    ranked = running(points, [], "_v", [], {"_upto": F.col("_m")})
+    whole = points.agg(F.sum("_m").alias("_size"))
+    at = lambda place: (F.col("_upto") - F.col("_m") <= place) & (place < F.col("_upto"))
+    found = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_size") - 1) * q).alias("place")) for i, q in enumerate(qs)])
+    ends = F.flatten(F.transform(found, lambda w: F.array(F.struct(w["i"].alias("i"), (F.ceil(w["place"]) - w["place"]).alias("low"), F.floor(w["place"]).alias("p")), F.struct(w["i"].alias("i"), F.lit(None).cast("double").alias("low"), F.ceil(w["place"]).alias("p")))))
+    parts = ranked.crossJoin(F.broadcast(whole)).select("_v", F.inline(F.filter(ends, lambda e: at(e["p"]))))  # whole is one row
+    low, high = F.max(F.when(F.col("low").isNotNull(), F.col("_v"))), F.max(F.when(F.col("low").isNull(), F.col("_v")))
+    share = F.max("low")  # of the lower value; 0 where the place is whole, and both values are one
+    each = parts.groupBy("i").agg((high + (low - high) * share).alias("q"))
+    return each.agg(F.sort_array(F.collect_set("q")).alias("_cuts"))
+
+
 def quantiles(rows: DataFrame, value: str, by: list[str], q: float) -> DataFrame:
     """The four definitions in use: linear, sorted[int(q n)], sorted[int(q (n - 1))], sorted[round-half-even(q (n - 1))].
 

@@ -50,16 +50,21 @@ def cuts(rows: DataFrame, key: Column, kinds: list[str], by: list[str], bucket_r
     return found.select(*names, every.alias("_cuts"))
 
 
+def places_below(cuts: str, key: Column, equal: bool = False) -> Column:
+    """How many of the sorted array of ``cuts`` lie below the key, or below it or at it; by binary search."""
+    size = F.size(cuts)
+    half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    below = lambda c: c <= key if equal else c < key
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(below(F.get(cuts, half(s))), F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(size + F.lit(1.0))).cast("int"))
+    return F.coalesce(F.when(size > 0, F.aggregate(turns, F.struct(F.lit(0).alias("lo"), size.alias("hi")), step)["lo"]), F.lit(0))
+
+
 def bucketed(rows: DataFrame, key: Column, kinds: list[str], by: list[str], bucket_rows: int) -> DataFrame:
     """``rows`` with ``_bucket``, 0 first in the order: the number of cuts below the row's key."""
     found = F.broadcast(cuts(rows, key, kinds, by, bucket_rows))
     joined = rows.join(found, _same(kinds, [f"_k{i}" for i in range(len(kinds))]), "left") if kinds else rows.crossJoin(found)
-    size = F.size("_cuts")
-    half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get("_cuts", half(s)) < key, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
-    turns = F.sequence(F.lit(0), F.ceil(F.log2(size + F.lit(1.0))).cast("int"))
-    at = F.aggregate(turns, F.struct(F.lit(0).alias("lo"), size.alias("hi")), step)["lo"]
-    return joined.select(*rows.columns, F.coalesce(F.when(size > 0, at), F.lit(0)).alias("_bucket"))
+    return joined.select(*rows.columns, places_below("_cuts", key).alias("_bucket"))
 
 
 def running(rows: DataFrame, by: list[str], order: str, ties: list[str | Column], sums: dict[str, Column], descending: bool = False, kinds: list[str] | None = None) -> DataFrame:
@@ -73,11 +78,11 @@ def running(rows: DataFrame, by: list[str], order: str, ties: list[str | Column]
     totals = marked.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_count"), *[F.sum(c).alias(f"_t{c}") for c in own])
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
     whole = Window.partitionBy(*by)
-    offsets = totals.select(*[F.col(c).alias(f"_g_{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"), F.sum("_count").over(whole).alias("n"), *[F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_o{c}") for c in own])
+    offsets = totals.select(*[F.col(c).alias(f"_g_{i}") for i, c in enumerate(by)], F.col("_bucket").alias("__bucket"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"), F.sum("_count").over(whole).alias("n"), *[F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_o{c}") for c in own])
     place = Window.partitionBy(*by, "_bucket").orderBy("_key")
     sofar = place.rowsBetween(Window.unboundedPreceding, 0)
     placed = marked.withColumns({"_rn": F.row_number().over(place), **{f"_c{c}": F.sum(c).over(sofar) for c in own}})
-    placed = placed.join(offsets, _same(["_bucket", *by], ["_b", *[f"_g_{i}" for i in range(len(by))]]))
+    placed = placed.join(offsets, _same(["_bucket", *by], ["__bucket", *[f"_g_{i}" for i in range(len(by))]]))
     return placed.select(*rows.columns, (F.col("_rn") + F.col("_before")).alias("rn"), "n", *[(F.col(f"_c{c}") + F.col(f"_o{c}")).alias(name) for name, c in zip(sums, own, strict=True)])
 
 

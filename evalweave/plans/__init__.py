@@ -1,3 +1,3 @@
 """The query catalogue; importing the package registers every module's queries."""
 
-from evalweave.plans import catalog, rollups  # noqa: F401
+from evalweave.plans import budgets, catalog, rollups  # noqa: F401

@@ -368,11 +368,14 @@ o as (select *, accuracy - 1.0::double * greatest(0, hfpr - 0.2::double) - 0.1::
 select o.lo, o.hi, split, round(accuracy, 9) as accuracy, round(hfpr, 9) as hfpr, round(cost, 9) as cost, round(objective, 9) as objective, (b.lo is not null) as chosen from o left join b on b.lo = o.lo and b.hi = o.hi""")
 def policy_grid_select(spark, sf):
     rows = inputs.scored(spark, sf).withColumn("split", hashing.stable_split(F.col("id")))
-    grid = spark.createDataFrame([(a, b) for a in (0.2, 0.4) for b in (0.6, 0.8)], "lo double, hi double")
-    cut = policies.three_way(F.col("risk"), F.col("lo"), F.col("hi"), (0.0, 0.1, 0.3))
-    cost = policies.three_way(F.col("risk"), F.col("lo"), F.col("hi"), (0.3, 0.5, 0.7))
-    yes, target = F.col("margin") >= cut, F.col("toxic") == 1
-    return rounded(policies.policy_grid(rows, grid, ["lo", "hi"], yes == target, cost, "split", yes & ~target, ~target))
+    budgets = F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.lit(k).alias("budget")) for c, k in ((0.0, 0.3), (0.1, 0.5), (0.3, 0.7))]))
+    rows = rows.select("*", budgets.alias("b")).select("*", "b.*")
+    yes, target = F.col("margin") >= F.col("cut"), F.col("toxic") == 1
+    found = policies.policy_sweep(rows, policies.fixed_cuts(spark, [0.2, 0.4, 0.6, 0.8]), [(0.3, 0.5, 0.7)], "split", "risk", "budget", yes == target, yes & ~target, ~target)
+    out = found.where("lo in (0.2, 0.4) and hi in (0.6, 0.8)")
+    best = out.where("split = 'dev'").orderBy(F.round("objective", 9).desc(), "lo", "hi").limit(1).select("lo", "hi", F.lit(True).alias("first"))  # of four policies
+    out = out.join(F.broadcast(best), ["lo", "hi"], "left")
+    return rounded(out.select("lo", "hi", "split", "accuracy", "hfpr", F.col("keep").alias("cost"), "objective", F.coalesce("first", F.lit(False)).alias("chosen")))
 
 
 @query("""with s as (select l_orderkey, l_linenumber / 7.0::double as budget, sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey rows between unbounded preceding and current row) as score, sum(l_quantity) over (partition by l_orderkey) as total from lineitem)

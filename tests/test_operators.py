@@ -231,17 +231,28 @@ def test_skyline_against_pairs(spark):
     assert got == {i for i, c, q in data if not any(a <= c and b >= q and (a < c or b > q) for _, a, b in data)}
 
 
-def test_logistic_descent_matches_numpy(spark):
+@pytest.mark.parametrize("balanced", [False, True])
+def test_newton_ends_where_plain_descent_does(spark, balanced):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(120, 2))
-    y = (x @ [1.5, -1] + rng.normal(size=120) > 0).astype(int)
-    w, b = policies.logistic_gd(spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y})), ["a", "b"], "y", steps=8, rate=0.5)
-    z = (x - x.mean(axis=0)) / x.std(axis=0)
-    v, c = np.zeros(2), 0.0
-    for _ in range(8):
-        e = 1 / (1 + np.exp(-(z @ v + c))) - y
-        v, c = v - 0.5 * (z.T @ e / 120 + 0.01 * v), c - 0.5 * e.mean()
-    assert np.allclose(w, v) and abs(b - c) < 1e-9
+    x = np.column_stack([rng.normal(size=300), 100 * rng.normal(size=300) + 7, np.full(300, 2.0)])
+    y = (x[:, :2] @ [1.5, -0.01] + rng.normal(size=300) > 0.8).astype(int)
+    rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})).repartition(3)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"newton-{balanced}"))
+    spark.sparkContext.setJobGroup(f"newton-{balanced}", "")
+    got = policies.logistic_newton(rows, ["a", "b", "c"], "y", l2=0.02, balanced=balanced)
+    ran = jobs()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    sd = np.where(x.std(axis=0) < 1e-6, 1.0, x.std(axis=0))
+    z, w = np.column_stack([np.ones(300), (x - x.mean(axis=0)) / sd]), np.zeros(4)
+    g = np.where(y > 0, 150 / y.sum(), 150 / (300 - y.sum())) if balanced else np.ones(300)
+    for _ in range(5000):
+        grad = z.T @ ((1 / (1 + np.exp(-z @ w)) - y) * g) / 300
+        grad[1:] += 0.02 * w[1:]
+        w -= 0.3 * grad
+    assert ran <= 20
+    assert np.allclose([got[k] for k in ("bias", "a", "b", "c")], w, atol=1e-6)
+    with pytest.raises(ValueError):
+        policies.logistic_newton(rows.where("y = 1"), ["a"], "y")
 
 
 def test_probe_expansion(spark):
