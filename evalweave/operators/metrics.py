@@ -159,34 +159,43 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return pearson(ranked, "_rx", "_ry", by)
 
 
+def partial_of(table: DataFrame, keep: list[str], value: dict[tuple[int, int], Column], m: int) -> DataFrame:
+    """``keep`` and r, the partial correlation of columns 0 and 1 given columns 2 to m - 1, from the correlations of all pairs, by recursion over the controls; a control without variation has null correlations and drops out."""
+    name = lambda i, j: f"_c{min(i, j)}_{max(i, j)}"
+    table = table.select(*keep, *[c.alias(name(*ij)) for ij, c in value.items()])
+    for z in range(2, m):
+        r = lambda i, j: F.col(name(i, j))
+        left = [(i, j) for i in range(m) for j in range(i + 1, m) if z not in (i, j) and (i < 2 or i > z) and (j < 2 or j > z)]
+        table = table.select(*keep, *[F.when(r(i, z).isNull() | r(j, z).isNull(), r(i, j)).otherwise((r(i, j) - r(i, z) * r(j, z)) / F.sqrt((1 - r(i, z) * r(i, z)) * (1 - r(j, z) * r(j, z)))).alias(name(i, j)) for i, j in left])
+    return table.select(*keep, F.col(name(0, 1)).alias("r"))
+
+
 def partial_spearman(rows: DataFrame, x: str, y: str, controls: list[str], by: list[str]) -> DataFrame:
     """Correlation of the ranks of x and y after least squares on the ranks of the controls; NaN with fewer than five rows.
 
-    Correlations are sums, so one aggregate gives the matrix; the partial correlation follows from it by recursion over the controls.
+    Correlations are sums, so one aggregate gives the matrix, and the partial correlation follows from it.
     """
     names = [x, y, *controls]
     ranked = rows.where(" and ".join(f"`{n}` is not null" for n in names)).select(*by, *names)
     ranked = ordered_ranks(ranked, by, {name: f"_r{i}" for i, name in enumerate(names)})
     m = len(names)
     out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"_r{i}", f"_r{j}").alias(f"c{i}_{j}") for i in range(m) for j in range(i + 1, m)])
-    value: dict[tuple[int, int], Column] = {(i, j): F.col(f"c{i}_{j}") for i in range(m) for j in range(i + 1, m)}
-    for z in range(2, m):  # a control without variation has null correlations and drops out
-        r = lambda i, j: value[min(i, j), max(i, j)]
-        value = {
-            (i, j): F.when(r(i, z).isNull() | r(j, z).isNull(), r(i, j)).otherwise((r(i, j) - r(i, z) * r(j, z)) / F.sqrt((1 - r(i, z) * r(i, z)) * (1 - r(j, z) * r(j, z))))
-            for i in range(m) for j in range(i + 1, m) if z not in (i, j) and (i < 2 or i > z) and (j < 2 or j > z)
-        }
-    return out.select(*by, "n", F.when(F.col("n") >= 5, F.coalesce(value[0, 1], F.lit(float("nan")))).otherwise(float("nan")).alias("r"))
+    found = partial_of(out, [*by, "n"], {(i, j): F.col(f"c{i}_{j}") for i in range(m) for j in range(i + 1, m)}, m)
+    return found.withColumn("r", F.when(F.col("n") >= 5, F.coalesce("r", F.lit(float("nan")))).otherwise(float("nan")))
 
 
-def fixed_effect_correlation(rows: DataFrame, x: str, y: str, first: str, second: str) -> DataFrame:
-    """Correlation of the ranks of x and y without the ranks' means over either key: ranks from counted values, means by aggregates, which join back."""
+def fixed_effect_residuals(rows: DataFrame, x: str, y: str, first: str, second: str) -> DataFrame:
+    """first, _x, _y: the ranks of x and y without the ranks' means over either key; ranks from counted values, means by aggregates, which join back."""
     rows = ordered_ranks(rows.select(first, second, x, y), [], {x: "_rx", y: "_ry"}).select(first, second, F.col("_rx").alias(x), F.col("_ry").alias(y))
     means = lambda key, tag: rows.groupBy(key).agg(F.avg(x).alias(f"x{tag}"), F.avg(y).alias(f"y{tag}"))
     grand = rows.agg(F.avg(x).alias("x0"), F.avg(y).alias("y0"))
     flat = rows.join(means(first, 1), first).join(means(second, 2), second).crossJoin(F.broadcast(grand))  # grand is one row
-    flat = flat.select(*[(F.col(v) - F.col(f"{t}1") - F.col(f"{t}2") + F.col(f"{t}0")).alias(f"_{t}") for v, t in ((x, "x"), (y, "y"))])
-    return pearson(flat, "_x", "_y", [])
+    return flat.select(first, *[(F.col(v) - F.col(f"{t}1") - F.col(f"{t}2") + F.col(f"{t}0")).alias(f"_{t}") for v, t in ((x, "x"), (y, "y"))])
+
+
+def fixed_effect_correlation(rows: DataFrame, x: str, y: str, first: str, second: str) -> DataFrame:
+    """Correlation of the ranks of x and y without the ranks' means over either key."""
+    return pearson(fixed_effect_residuals(rows, x, y, first, second), "_x", "_y", [])
 
 
 def metric_table(rows: DataFrame, risks: list[str], error: str, order: str, by: list[str]) -> DataFrame:

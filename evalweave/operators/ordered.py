@@ -57,7 +57,8 @@ def places_below(cuts: str, key: Column, equal: bool = False) -> Column:
     below = lambda c: c <= key if equal else c < key
     step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(below(F.get(cuts, half(s))), F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
     turns = F.sequence(F.lit(0), F.ceil(F.log2(size + F.lit(1.0))).cast("int"))
-    return F.coalesce(F.when(size > 0, F.aggregate(turns, F.struct(F.lit(0).alias("lo"), size.alias("hi")), step)["lo"]), F.lit(0))
+    one = F.when(below(F.get(cuts, F.lit(0))), 1).otherwise(0)  # compiled, as there is nothing to search
+    return F.coalesce(F.when(size == 1, one).when(size > 0, F.aggregate(turns, F.struct(F.lit(0).alias("lo"), size.alias("hi")), step)["lo"]), F.lit(0))
 
 
 def bucketed(rows: DataFrame, key: Column, kinds: list[str], by: list[str], bucket_rows: int) -> DataFrame:
@@ -86,9 +87,13 @@ def running(rows: DataFrame, by: list[str], order: str, ties: list[str | Column]
     return placed.select(*rows.columns, (F.col("_rn") + F.col("_before")).alias("rn"), "n", *[(F.col(f"_c{c}") + F.col(f"_o{c}")).alias(name) for name, c in zip(sums, own, strict=True)])
 
 
-def ordered_ranks(rows: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
-    """``rows`` with the 1-based rank of each numeric column of ``names`` in its group, under its name, ties at the mean of their places: equal values are counted first, those of all columns in one plan."""
-    points = rows.unpivot(by, list(names), "_column", "_value").groupBy(*by, "_column", "_value").agg(F.count(F.lit(1)).alias("_m"))
+def ordered_ranks(rows: DataFrame, by: list[str], names: dict[str, str], weight: str | None = None) -> DataFrame:
+    """``rows`` with the 1-based rank of each numeric column of ``names`` in its group, under its name, ties at the mean of their places: equal values are counted first, those of all columns in one plan.
+
+    A row of a whole ``weight`` above 0 ranks as that many equal rows.
+    """
+    long = rows.unpivot([*by, weight] if weight else by, list(names), "_column", "_value")
+    points = long.groupBy(*by, "_column", "_value").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_m"))
     ranked = running(points, [*by, "_column"], "_value", [], {"_upto": F.col("_m")}, kinds=["_column"])
     out = rows
     for value, name in names.items():
