@@ -180,17 +180,29 @@ def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(fits).where(distance * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b", "n_a", "n_b")
 
 
-def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, percent: int, width: int) -> DataFrame:
-    """Pairs (a, b) whose exact sets link.
-
-    One text of each node in a pair is fetched, and goes to each star that the node is a leaf of; a centre's text goes once to each of the tasks that its leaves are dealt to.
-    """
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = nodes.select("node", "h1", "h2").join(ends, "node", "left_semi")
+def node_texts(nodes: DataFrame, ends: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, text) of the nodes of ``ends``, one text each, written."""
+    wanted = nodes.select("node", "h1", "h2").join(ends.select("node").distinct(), "node", "left_semi")
     text = columns([text_col])[0]
     rows = docs.select(*text_hashes(text), F.coalesce(text, F.lit("")).alias("text"))
     # a text that many documents repeat: one of them for each partial sum
-    texts = written(rows.join(ends, ["h1", "h2"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    return written(rows.join(wanted, ["h1", "h2"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+
+def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) whose exact sets link; one text of each node in a pair is fetched."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    texts = node_texts(nodes, ends, docs, text_col)
+    links = confirmed(pairs, texts, percent, width)
+    discard(texts)
+    return links
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) whose exact sets link, written.
+
+    A leaf's text goes to each star that it is a leaf of; a centre's text goes once to each of the tasks that its leaves are dealt to.
+    """
     salts = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / F.lit(SALT_SHINGLES)).cast("int").alias("salts"))
     leaves = pairs.select("a", "b").join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     right = leaves.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "salt", F.lit(1).alias("leaf"), "b", "text")
@@ -213,11 +225,9 @@ def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: s
                             found_b.append(b[k])
             yield pa.RecordBatch.from_pydict({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = left.unionByName(right).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "leaf")
-    links = written(placed.mapInArrow(compared, "a long, b long"), "links")
-    discard(texts)
-    return links
+    return written(placed.mapInArrow(compared, "a long, b long"), "links")
 
 
 def likely_forest(comp: np.ndarray, a: np.ndarray, b: np.ndarray, worth: np.ndarray) -> np.ndarray:
@@ -402,7 +412,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """One document of each group of links stays: the one with the smallest doc_id (null comes last), among texts of one id by the text's hash; all of its columns are kept.
 
-    Documents without words stay. Rows that repeat both id and text are one document; the one that sorts first stays. Rows that share an id but not a group all stay.
+    Documents without words stay. Rows that repeat both id and text are one document; the one whose row has the smallest digest stays. Rows that share an id but not a group all stay.
     """
     main, names, linked = linked_sets(docs, percent, width, id_col, text_col, also=True)
     discard(names)
@@ -419,7 +429,8 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = marked.join(others.where("not stays").select(*key).distinct(), [none, own, h1, h2], "left_anti")
     again = others.where("stays").select(*key).groupBy(none, own, h1, h2).count().where("count > 1").drop("count")
     if again.limit(1).count():  # rows that repeat id and text
-        order = Window.partitionBy(none, own, h1, h2).orderBy(*columns(taken))
+        # by a digest of the row, as columns of some types don't sort
+        order = Window.partitionBy(none, own, h1, h2).orderBy(F.md5(F.to_json(F.struct(*columns(taken))).cast("binary")))
         place = free_name("place", kept.columns)
         one = kept.join(again, [none, own, h1, h2], "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
         kept = kept.join(again, [none, own, h1, h2], "left_anti").unionByName(one)

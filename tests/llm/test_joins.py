@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evalweave.llm import jaccard_join
+from evalweave.llm import components, jaccard_join
 from evalweave.llm.components import connected_components
 from evalweave.llm.jaccard_join import Bands, distinct_documents, jaccard_groups, sketches
 from evalweave.llm.shingles import shingle_sets
@@ -124,7 +124,9 @@ def test_long_texts_in_pieces():
             assert next(shingle_sets(pa.array([text]), step_bytes=size))[1][0].tolist() == whole.tolist()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_a_task", [20, 1 << 18])
+def test_components(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(components, "TASK_EDGES", edges_a_task)
     edges = [(i, i + 1) for i in range(200)] + [(500, 500), (900, 901), (901, 900)] + [(2000, i) for i in range(2001, 2300)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect())
     assert got == {i: 0 for i in range(201)} | {900: 900, 901: 900} | {i: 2000 for i in range(2000, 2300)}
