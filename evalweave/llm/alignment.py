@@ -2,7 +2,7 @@
 
 A is a byte-level BPE that reads a space and the text, B a SentencePiece BPE that puts the space in front itself, so that both cover the same bytes. A whole Arrow batch is one string of bytes, each document at an
 offset of its own. The ends of A's and of B's tokens are counted by place, once; places that hold an end cut the batch into links (one A token and one B token that overlap, each such pair once), and places that hold both cut it into groups.
-Running sums over the places say which token a link belongs to and which group; their values at the documents' ends recover what belongs to each document. (A text longer than :data:`WINDOW` bytes is counted window by window.)
+Running sums over the places say which token a link belongs to and which group; their values at the documents' ends recover what belongs to each document. (Window by window of :data:`WINDOW` bytes, so that counts per byte never grow with the batch or the text.)
 
 Pair counts, how many documents hold a pair linked, need the whole corpus and go back to every document:
 
@@ -39,8 +39,10 @@ from evalweave.llm.words_bpe import byte_letters
 
 #: Characters that are tokenized at a time.
 PIECE_CHARS = 1 << 20
-#: Bytes whose ends are counted at a time; batches are smaller unless one text is longer.
-WINDOW = 1 << 23
+#: Bytes whose ends are counted at a time.
+WINDOW = 1 << 21
+#: Tokens whose bytes are compared with the text at a time.
+CHECKED = 1 << 17
 #: Pairs of a batch in a row.
 REQUEST = 4096
 
@@ -194,9 +196,12 @@ class Aligner:
             fits &= np.bincount(np.repeat(docs, n), weights=table.length[ids], minlength=len(texts)).astype(np.int64) == size
         for table, ids, n in ((self.a, a, n_a), (self.b, b, n_b)):
             want = np.frombuffer(b"".join(r for r, ok in zip(raw, fits.tolist(), strict=True) if ok), dtype=np.uint8)
-            wrong = np.flatnonzero(table.joined(ids[np.repeat(fits, n)]) != want)
-            if len(wrong):
-                fits[np.unique(np.searchsorted(_ends(np.where(fits, size, 0)), wrong, side="right"))] = False
+            own, ends, at = ids[np.repeat(fits, n)], _ends(np.where(fits, size, 0)), 0
+            for first in range(0, len(own), CHECKED):  # few tokens' bytes at a time
+                made = table.joined(own[first : first + CHECKED])
+                wrong = np.flatnonzero(made != want[at : at + len(made)])
+                fits[np.unique(np.searchsorted(ends, at + wrong, side="right"))] = False
+                at += len(made)
         a, b, n_a, n_b, size = a[np.repeat(fits, n_a)], b[np.repeat(fits, n_b)], n_a * fits, n_b * fits, size * fits
         place, is_a, is_b = self._places(_ends(self.a.length[a]), _ends(self.b.length[b]))
         cut = is_a & is_b

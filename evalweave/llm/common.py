@@ -80,6 +80,12 @@ def free_name(base: str, taken: list[str]) -> str:
     return base
 
 
+def others(names: list[str], outputs: list[str]) -> list[str]:
+    """The names that no output replaces; Spark compares names without case."""
+    low = {c.lower() for c in outputs}
+    return [c for c in names if c.lower() not in low]
+
+
 def columns(names: list[str]) -> list:
     """The named columns, whatever characters the names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in names]

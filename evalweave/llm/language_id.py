@@ -4,16 +4,19 @@ Words are runs of letters and marks, lowered. At each character of an unseen wor
 ends marked) that ends there and is known gives its log frequencies; the word's score is their mean, so that it weighs like a known word. A text's language has the largest sum;
 its score is the posterior of the mean log frequencies, sharpened by at most ``EVIDENCE`` words.
 
-The model is fitted on a bounded sample of labelled documents, whole texts, from documents that are not held out: about ``sample_docs`` a language, chosen by id hash, and about ``total_docs`` in all, dealt evenly among
+The model is fitted on a bounded sample of labelled documents, whole texts, from documents that are not held out: about ``sample_docs`` a language, chosen by id hash, and about ``total_docs`` in all and :data:`TOTAL_BYTES` bytes, dealt evenly among
 the languages, but ``LEAST_DOCS`` of each or all that it has; that bound is what limits the model, which holds every word and n-gram of the sample and is gathered and broadcast. It stores, for each of them, only the languages that have it; the others' log frequency is one number a
 language and length. Every language takes part, however many there are. Language, source and id are never an input of a prediction.
 
+A text of more than :data:`PIECE` characters is looked at piece by piece, cut at white space, with the same result but for the order of sums.
+
 Cases: null texts and texts without a letter are "und" with score 0; without any labelled document every text is "und"; a row without lang teaches nothing;
 a row without doc_id counts as held out; ties go to the language that sorts first; repeated rows get equal predictions; other columns are not read, and ride along whatever their names, but for those named as the two outputs, which are replaced.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import columns, free_name, ragged, small_batches, steps, written
+from evalweave.llm.common import columns, others, ragged, small_batches, steps, written
 from evalweave.llm.shingles import mix, powers
 
 SAMPLE_DOCS = 2000
@@ -34,6 +37,11 @@ LONGEST = 5
 EVIDENCE = 20
 BITS = 20
 STEP = 1 << 19
+#: Bytes of text that the sample holds in all, about, dealt evenly among the languages.
+TOTAL_BYTES = 256 << 20
+#: Characters of a text that are looked at together; words are never cut.
+PIECE = 1 << 19
+SPACE = re.compile(r"\s")
 
 _tables: list[np.ndarray] = []
 
@@ -48,6 +56,15 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _tables[0], _tables[1], _tables[2]
 
 
+def text_pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about PIECE characters that end at white space, which is in no word; a longer stretch without any is a piece of its own."""
+    at = 0
+    while len(text) - at > PIECE and (found := SPACE.search(text, at + PIECE)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 class Words:
     """The words of some texts, and the hashes of their spans."""
 
@@ -87,8 +104,10 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     """(lang, text) of the bounded sample."""
     doc_id, text, lang = columns([id_col, text_col, lang_col])
     rows = docs.select(doc_id.alias("id"), text.alias("text"), lang.alias("lang")).where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).where("lang is not null and text is not null")
-    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")  # a row a language
-    share = F.greatest(F.lit(float(LEAST_DOCS)), F.least(F.lit(float(sample_docs)), F.lit(float(total_docs)) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))) / F.col("n")
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "languages")  # a row a language
+    langs = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    most = F.least(F.lit(float(sample_docs)), F.lit(float(total_docs)) / langs, F.lit(float(TOTAL_BYTES)) / langs / F.greatest(F.lit(1), F.col("bytes")) * F.col("n"))
+    share = F.greatest(F.lit(float(LEAST_DOCS)), most) / F.col("n")
     place = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     shares = counts.select("lang", share.alias("share"))
     shares = F.broadcast(shares) if counts.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS else shares
@@ -100,10 +119,11 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, langs = batch.column("text"), np.array(batch.column("lang").to_pylist(), dtype=object)
         for at, end in steps(texts, STEP):
-            words = Words(texts.slice(at, end - at).to_pylist())
+            own = texts.slice(at, end - at).to_pylist()
+            parts = [[p] for p in text_pieces(own[0])] if len(own) == 1 else [own]
             names, code = np.unique(langs[at:end].astype(str), return_inverse=True)
-            of = code[words.text]
-            for n in range(LONGEST + 1):
+            for words, n in ((w, n) for w in map(Words, parts) for n in range(LONGEST + 1)):
+                of = code[words.text]
                 if n:
                     lengths = words.last - words.first
                     fit = np.flatnonzero(lengths >= n)
@@ -161,7 +181,16 @@ class Model:
         total += np.bincount(np.repeat(text, size) * langs + lang[at], weights=np.repeat(weight, size) * more[at], minlength=count * langs).reshape(count, langs)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log frequency of each text's words in each language, and the number of words."""
+        """Mean log frequency of each text's words in each language, and the number of words. A long text is looked at piece by piece, so that arrays per character never grow with it."""
+        if len(texts) == 1 and len(texts[0]) > PIECE:
+            total, count = np.zeros((1, len(self.langs))), np.zeros(1, np.int64)
+            for piece in text_pieces(texts[0]):
+                mean, n = self._scores([piece])
+                total, count = total + mean * n[:, None], count + n
+            return total / np.maximum(count, 1)[:, None], count
+        return self._scores(texts)
+
+    def _scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = Words(texts)
         row = self.find(0, words.hashes())
         total = np.zeros((len(texts), len(self.langs)))
@@ -204,8 +233,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """The carried columns of ``docs`` with the predicted language and its score."""
     small_batches(docs.sparkSession)
-    kept = [c for c in (docs.columns if carry is None else carry) if c not in (lang_name, score_name)]
-    schema = docs.select(*columns(kept)).schema.add(lang_name, "string").add(score_name, "double")
+    kept = others(docs.columns if carry is None else carry, [lang_name, score_name])
+    # plain names inside, as PySpark can't hand columns with a backtick in their name to Python
+    plain = [f"c{i}" for i in range(len(kept))]
+    carried = docs.select(*[c.alias(n) for c, n in zip(columns(kept), plain, strict=True)], columns([text_col])[0].alias("text"))
+    schema = carried.drop("text").schema.add("lang", "string").add("score", "double")
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +254,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", carry: list[s
                     count, best, score = np.zeros(last - first, np.int64), np.zeros(last - first, np.int64), np.zeros(last - first)
                 names = [own.langs[b] if c else "und" for b, c in zip(best.tolist(), count.tolist(), strict=True)]
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(count > 0, score, 0.0))], names=[*kept, lang_name, score_name])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(count > 0, score, 0.0))], names=[*plain, "lang", "score"])
 
-    return docs.select(*columns(kept), columns([text_col])[0].alias(free_name("text", kept))).mapInArrow(predicted, schema)
+    return carried.mapInArrow(predicted, schema).toDF(*kept, lang_name, score_name)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import columns
+from evalweave.llm.common import columns, others
 
 #: Sources up to which the rate table, one row a source, is broadcast; beyond it Spark joins it by shuffling.
 BROADCAST_SOURCES = 10_000
@@ -87,7 +87,7 @@ def mix_sources(
 ) -> DataFrame:
     """``docs`` repeated to the target mix in a random order; ``copy_name`` counts a document's copies from 0, ``key_name`` is the order."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in (copy_name, key_name)]
+    kept = others(docs.columns, [copy_name, key_name])
     found = rates(docs, weights, alpha, epochs, source_col)
     few = docs.select(*columns([source_col])).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES if weights is None else len(weights) <= BROADCAST_SOURCES
     found = found.filter("rate > 0").select("_source", "full", "rest_cdf", "full_cdf")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalweave.llm.common import list_column, small_batches, steps
+from evalweave.llm.common import columns, list_column, others, small_batches, steps
 from evalweave.llm.word_cache import WordCache
 
 SPACE = "▁"
@@ -275,18 +275,23 @@ def encoder(model_path: str) -> PieceEncoder:
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, end: bool = True) -> DataFrame:
     """``docs`` with the ids of each text and, if ``decoded_col`` is named, the text that they decode to.
 
-    A column of the same name as an output is replaced.
+    Columns of the same name as an output, whatever its case, are replaced.
     """
     small_batches(docs.sparkSession)
     named = [c for c in (ids_col, decoded_col) if c]
-    rest = [f for f in docs.schema.fields if f.name not in named]
-    schema = T.StructType([*rest, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
+    free = others(docs.columns, named)
+    rest = [f for f in docs.schema.fields if f.name in free]
+    # plain names inside, as PySpark can't hand columns with a backtick in their name to Python
+    plain = [f"c{i}" for i in range(len(rest))]
+    schema = T.StructType([*[T.StructField(n, f.dataType, f.nullable) for n, f in zip(plain, rest, strict=True)], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *([T.StructField("decoded", T.StringType())] if decoded_col else [])])
     kept = [f.name for f in rest]
+    where = next((n for n, c in zip(plain, kept, strict=True) if c.lower() == text_col.lower()), "text")
+    carried = [c.alias(n) for c, n in zip(columns(kept), plain, strict=True)] + ([columns([text_col])[0].alias("text")] if where == "text" else [])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            texts = batch.column(batch.schema.get_field_index(where))
             for first, last in steps(texts):
                 flat, counts = own.encode([t or "" for t in texts.slice(first, last - first).to_pylist()])
                 if end:
@@ -297,33 +302,36 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_
                     both[put] = flat
                     flat, counts = both, counts + 1
                 part = batch.slice(first, last - first)
-                arrays = [part.column(part.schema.get_field_index(c)) for c in kept]
+                arrays = [part.column(part.schema.get_field_index(c)) for c in plain]
                 arrays.append(list_column(flat.astype(np.int32), counts, pa.int32()))
                 if decoded_col:
                     cut = np.cumsum(counts).tolist()
                     ids = flat.tolist()
                     arrays.append(pa.array(own.decode([ids[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]), type=pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *named])
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in ([*kept] if text_col in kept else [*kept, text_col])]).mapInArrow(encoded, schema)
+    return docs.select(*carried).mapInArrow(encoded, schema).toDF(*kept, *named)
 
 
 def decode_pieces(ids: DataFrame, model_path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """``ids`` with the text of each list of ids; null stays null."""
     small_batches(ids.sparkSession)
-    rest = [f for f in ids.schema.fields if f.name != decoded_col]
-    schema = T.StructType([*rest, T.StructField(decoded_col, T.StringType())])
+    free = others(ids.columns, [decoded_col])
+    rest = [f for f in ids.schema.fields if f.name in free]
+    plain = [f"c{i}" for i in range(len(rest))]
+    schema = T.StructType([*[T.StructField(n, f.dataType, f.nullable) for n, f in zip(plain, rest, strict=True)], T.StructField("decoded", T.StringType())])
+    where = next(n for n, f in zip(plain, rest, strict=True) if f.name.lower() == ids_col.lower())
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                lists = part.column(part.schema.get_field_index(ids_col)).to_pylist()
+                lists = part.column(part.schema.get_field_index(where)).to_pylist()
                 texts = iter(own.decode([x for x in lists if x is not None]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else next(texts) for x in lists], type=pa.string())], schema=pa.schema([*part.schema, pa.field(decoded_col, pa.string())]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else next(texts) for x in lists], type=pa.string())], schema=pa.schema([*part.schema, pa.field("decoded", pa.string())]))
 
-    return ids.select(*[F.col(f"`{f.name}`") for f in rest]).mapInArrow(decoded, schema)
+    return ids.select(*[c.alias(n) for c, n in zip(columns([f.name for f in rest]), plain, strict=True)]).mapInArrow(decoded, schema).toDF(*[f.name for f in rest], decoded_col)
 
 
 def digests(encoded: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> list:

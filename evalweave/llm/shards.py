@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from evalweave.llm.common import columns, free_name
+from evalweave.llm.common import columns, free_name, others
 
 FLOOR_BYTES = 1 << 20
 TARGET_BYTES = 64 << 20
@@ -187,7 +187,7 @@ def shard_documents(docs: DataFrame, folder: str, arrivals: int = 8, id_col: str
     """Append ``docs`` in ``arrivals`` runs dealt by id hash, compact, and read the last version: its rows with shard (file), shard_bytes and version."""
     spark = docs.sparkSession
     out = ShardedTable(spark, folder)
-    kept = [c for c in docs.columns if c not in ("shard", "shard_bytes", "version")]
+    kept = others(docs.columns, ["shard", "shard_bytes", "version"])
     arrival = free_name("arrival", docs.columns)
     out.append_runs(docs.select(*columns(kept), F.pmod(F.xxhash64(*columns([id_col])), F.lit(arrivals)).alias(arrival)), arrival)
     version = out.compact()
@@ -195,4 +195,5 @@ def shard_documents(docs: DataFrame, folder: str, arrivals: int = 8, id_col: str
     rows = out.read(version)
     if not out.manifest(version)["shards"]:
         return rows.select(*columns(kept), F.lit(None).cast("string").alias("shard"), F.lit(None).cast("long").alias("shard_bytes"), F.lit(version).alias("version"))
-    return rows.select(*columns(kept), F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).alias("version"))
+    file = rows.metadataColumn("_metadata")  # the file's own, whatever columns documents have
+    return rows.select(*columns(kept), file.getField("file_name").alias("shard"), file.getField("file_size").alias("shard_bytes"), F.lit(version).alias("version"))

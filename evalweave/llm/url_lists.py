@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import columns, written
+from evalweave.llm.common import columns, others, written
 
 #: Intervals up to which a list is broadcast.
 BROADCAST_INTERVALS = 20_000
@@ -36,7 +36,7 @@ def page_events(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """
     url = columns([url_col])[0]
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    first = F.filter(F.split(path, "/"), lambda s: s != "")[0]
+    first = F.get(F.filter(F.split(path, "/"), lambda s: s != ""), F.lit(0))  # null where there is no path
     hosts = pages.select(host_of(url).alias("host"), first.alias("first")).where("host is not null").distinct()
     parent = F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1)  # where two labels are left
     keys = hosts.select(F.explode(F.array(F.col("host"), parent, F.concat_ws("/", "host", "first"))).alias("key")).where("key <> ''").distinct()
@@ -55,8 +55,9 @@ def page_events(pages: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def intervals(events: DataFrame) -> DataFrame:
-    """(list, key, valid_from, valid_to): half-open; valid_to is null while the entry is in force."""
-    days = events.where("list is not null and key is not null and day is not null").groupBy("list", "key", "day").agg(F.max(F.when(F.col("action") == "remove", 1).otherwise(0)).alias("removed"))
+    """(list, key, valid_from, valid_to): half-open; valid_to is null while the entry is in force. Hosts of keys are lowered, as those of captures are."""
+    low = F.concat(F.lower(F.regexp_extract("key", "^[^/]*", 0)), F.regexp_extract("key", "/.*$", 0))
+    days = events.where("list is not null and key is not null and day is not null").withColumn("key", low).groupBy("list", "key", "day").agg(F.max(F.when(F.col("action") == "remove", 1).otherwise(0)).alias("removed"))
     until = F.lead("day").over(Window.partitionBy("list", "key").orderBy("day"))
     return days.withColumn("until", until).where("removed = 0").select("list", "key", F.col("day").alias("valid_from"), F.col("until").alias("valid_to"))
 
@@ -84,7 +85,7 @@ def apply_lists(captures: DataFrame, events: DataFrame, url_col: str = "url", ti
     valid = written(valid, "intervals")
     few = valid.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS
     valid = F.broadcast(valid) if few else valid
-    kept = [c for c in captures.columns if c not in ("lists", "entries", "keep")]
+    kept = others(captures.columns, ["lists", "entries", "keep"])
     asked = captures.select(columns([url_col])[0].alias("u"), columns([time_col])[0].alias("t")).where("u is not null and t is not null").distinct()
     asked = asked.select("u", "t", F.explode(keys_of(F.col("u"))).alias("key"))
     found = asked.join(valid, "key").where((F.col("valid_from") <= F.col("t")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))
