@@ -73,22 +73,45 @@ def normal_relation(text: Column) -> Column:
     return F.coalesce(F.element_at(known, t), t)
 
 
-def parse_caption(caption: Column) -> Column:
-    """struct<relation, subject, object> at the longest phrase that the caption has; null without one."""
+def parse_caption(caption: Column, hint: Column | None = None) -> Column:
+    """struct<relation, subject, object> at the longest phrase that the caption has; null without one.
+
+    With the ``hint`` of a relation (not empty), only its own phrases count, or its name where it has none; a caption without any of them has the relation and empty names.
+    """
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(caption), "^[\"']+|[\"']+$", ""), r"\s+", " "), r"[ .!?]+$", "")
     squeeze = lambda t: F.regexp_replace(F.regexp_replace(t, "^[ ,;:]+|[ ,;:]+$", ""), r"\s+", " ")
     article = lambda t: F.trim(F.regexp_replace(t, r"(?i)^(the|a|an)\s+", ""))
+
+    def names(left: Column, right: Column, relation: Column) -> Column:
+        subject = article(F.trim(F.regexp_replace(squeeze(left), r"(?i)\b(is|are|was|were|be|being)$", "")))
+        target = article(F.trim(F.regexp_replace(squeeze(right), r"(?i)^(is|are|was|were|be|being)\b", "")))
+        return F.struct(relation.alias("relation"), subject.alias("subject"), target.alias("object"))
+
+    hint = None if hint is None else F.coalesce(hint, F.lit(""))
     out = None
     for phrase in sorted(PHRASES, key=len, reverse=True):
         pattern = rf"(?i)^(.*?)\b{re.escape(phrase)}\b(.*)$"
-        left, right = F.regexp_extract(clean, pattern, 1), F.regexp_extract(clean, pattern, 2)
-        subject = article(F.trim(F.regexp_replace(squeeze(left), r"(?i)\b(is|are|was|were|be|being)$", "")))
-        target = article(F.trim(F.regexp_replace(squeeze(right), r"(?i)^(is|are|was|were|be|being)\b", "")))
-        found = F.struct(F.lit(PHRASES[phrase]).alias("relation"), subject.alias("subject"), target.alias("object"))
-        out = F.when(clean.rlike(pattern), found) if out is None else out.when(clean.rlike(pattern), found)
+        found = names(F.regexp_extract(clean, pattern, 1), F.regexp_extract(clean, pattern, 2), F.lit(PHRASES[phrase]))
+        there = clean.rlike(pattern) if hint is None else ((hint == "") | (hint == PHRASES[phrase])) & clean.rlike(pattern)
+        out = F.when(there, found) if out is None else out.when(there, found)
+    if hint is not None:
+        own = F.concat(F.lit(r"(?i)^(.*?)\b\Q"), F.replace(hint, F.lit("_"), F.lit(" ")), F.lit(r"\E\b(.*)$"))
+        unknown = (hint != "") & ~hint.isin(*sorted(set(PHRASES.values())))
+        out = out.when(unknown & F.rlike(clean, own), names(*[F.call_function("regexp_extract", clean, own, F.lit(k)) for k in (1, 2)], hint))
+        out = out.when(hint != "", F.struct(hint.alias("relation"), F.lit("").alias("subject"), F.lit("").alias("object")))
     return out
 
 
+def family_column(relation: Column) -> Column:
+    """The family of a relation; other for those of none."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for f, members in FAMILIES.items() for m in members for x in (m, f)]), relation), F.lit("other"))
+
+
+def allowed(relation: Column, relations: list[str] | None = None, families: list[str] | None = None) -> Column:
+    """Whether a relation is one of the allowed ones and of an allowed family; an empty list allows all."""
+    return (relation.isin(*relations) if relations else F.lit(True)) & (family_column(relation).isin(*families) if families else F.lit(True))
+
+
 def focus_terms(question: Column, most: int = 8) -> Column:
     """The first distinct words that aren't stop words or single letters, in their spelling; the question itself without any."""
     words = F.regexp_extract_all(question, F.lit(r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"), F.lit(0))

@@ -128,3 +128,54 @@ def pixel_box(b: Column, width: Column, height: Column) -> Column:
     x1 = F.greatest(F.lit(0), F.least(width - 1, F.bround(b["x1"] * width).cast("int")))
     y1 = F.greatest(F.lit(0), F.least(height - 1, F.bround(b["y1"] * height).cast("int")))
     return F.struct(x1.alias("x1"), y1.alias("y1"), F.greatest(x1 + 1, F.least(width, F.bround(b["x2"] * width).cast("int"))).alias("x2"), F.greatest(y1 + 1, F.least(height, F.bround(b["y2"] * height).cast("int"))).alias("y2"))
+
+
+#: Tokens that one word of a bitmap holds.
+WORD = 64
+
+
+def bitmaps(kept: DataFrame, by: list[str], index: str) -> DataFrame:
+    """(by, word, bits): the indices of each mask as words of a bitmap; words without an index have no row."""
+    return kept.groupBy(*by, F.floor(F.col(index) / WORD).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(`{index}` % {WORD}))")).alias("bits"))
+
+
+def mask_shape(kept: DataFrame, by: list[str], index: str, total: Column, parts: int = 10) -> DataFrame:
+    """(by, kept, mean_index, std_index, span, gap_mean, gap_max, runs, entropy, covered, edge, centre) of each mask, from one ordered pass; indices count from 0 to ``total`` - 1, as shares of total - 1.
+
+    Entropy is over tenths, in units of the largest; edge and centre are the shares of indices in the outer tenths and the middle fifth.
+    """
+    rows = kept.select(*by, F.col(index).alias("_i"), total.alias("_n")).where("_i >= 0 and _i < _n").distinct()
+    gap = F.col("_i") - F.lag("_i").over(Window.partitionBy(*by).orderBy("_i"))
+    denom = F.greatest(F.lit(1), F.col("_n") - 1)
+    rows = rows.withColumns({"_gap": gap, "_at": F.col("_i") / denom, "_part": F.least(F.lit(parts - 1), F.floor(F.col("_i") * parts / F.col("_n"))).cast("int"), "_denom": denom})
+    tenths = [F.count_if(F.col("_part") == p) for p in range(parts)]
+    every = F.count(F.lit(1))
+    entropy = sum((F.when(t > 0, -(t / every) * F.ln(t / every + 1e-12)).otherwise(0.0) for t in tenths[1:]), F.when(tenths[0] > 0, -(tenths[0] / every) * F.ln(tenths[0] / every + 1e-12)).otherwise(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return rows.groupBy(*by).agg(
+        every.alias("kept"), F.avg("_at").alias("mean_index"), F.stddev_pop("_at").alias("std_index"), ((F.max("_i") - F.min("_i")) / F.max("_denom")).alias("span"), zero(F.avg(F.col("_gap") / F.col("_denom"))).alias("gap_mean"),
+        zero(F.max(F.col("_gap") / F.col("_denom"))).alias("gap_max"), (F.count_if(F.col("_gap") > 1) + 1).alias("runs"), (entropy / F.ln(F.lit(float(parts)))).alias("entropy"), (sum((t > 0).cast("int") for t in tenths) / parts).alias("covered"),
+        F.avg(((F.col("_at") <= 0.10) | (F.col("_at") >= 0.90)).cast("double")).alias("edge"), F.avg(F.col("_at").between(0.40, 0.60).cast("double")).alias("centre"),
+    )
+
+
+def cross_budget_features(kept: DataFrame, sample: str, budget: str, index: str, total: Column, budgets: list[float]) -> DataFrame:
+    """A row per sample: how its masks at rising ``budgets`` (three) differ: Jaccard similarities, shares of new indices, gains of entropy, and changes of the edge and centre shares from the first to the last.
+
+    Masks are bitmaps: a sample and word has one row with the words of all budgets, and sets are counted as bits. A sample without a mask at some budget has an empty one there.
+    """
+    low, mid, high = budgets
+    words = bitmaps(kept.where(F.col(budget).isin(budgets)), [sample, budget], index)
+    at = {n: F.coalesce(F.max(F.when(F.col(budget) == b, F.col("bits"))), F.lit(0).cast("long")).alias(n) for n, b in (("l", low), ("m", mid), ("h", high))}
+    words = words.groupBy(sample, "word").agg(*at.values())
+    count = lambda e: F.sum(F.bit_count(e)).cast("long")
+    both, either = lambda a, b: F.col(a).bitwiseAND(F.col(b)), lambda a, b: F.col(a).bitwiseOR(F.col(b))
+    jaccard = lambda a, b: (count(both(a, b)) / F.greatest(F.lit(1), count(either(a, b))))
+    fresh = lambda a, b: F.coalesce((count(F.col(b)) - count(both(a, b))) / F.nullif(count(F.col(b)), F.lit(0).cast("long")), F.lit(0.0))
+    sets = words.groupBy(sample).agg(jaccard("l", "m").alias("jaccard_low_mid"), jaccard("m", "h").alias("jaccard_mid_high"), jaccard("l", "h").alias("jaccard_low_high"), fresh("l", "m").alias("new_low_mid"), fresh("m", "h").alias("new_mid_high"))
+    shapes = mask_shape(kept.where(F.col(budget).isin(budgets)), [sample, budget], index, total)
+    of = lambda b, c: F.coalesce(F.max(F.when(F.col(budget) == b, F.col(c))), F.lit(0.0))
+    moved = shapes.groupBy(sample).agg(
+        (of(mid, "entropy") - of(low, "entropy")).alias("entropy_gain_low_mid"), (of(high, "entropy") - of(mid, "entropy")).alias("entropy_gain_mid_high"), (of(high, "edge") - of(low, "edge")).alias("edge_delta"), (of(high, "centre") - of(low, "centre")).alias("centre_delta"),
+    )
+    return sets.join(moved, sample)

@@ -273,3 +273,22 @@ def decoys(rows: DataFrame, key: str, answer: str, kind: str, seed: int = 0) ->
     out = out.crossJoin(F.broadcast(pool.agg(*ends("_a"))))  # one row
     other = lambda c: F.when(~F.lower(c).eqNullSafe(F.col("_low")), F.col(c))
     return out.select(key, F.coalesce(*[other(c) for c in ("_next", "_k_first", "_k_last", "_a_first", "_a_last")]).alias("decoy"))
+
+
+#: Means of a trace summary: the fields that may hold a value, the first there is; whether only traces with evidence count.
+TRACE_MEANS = {
+    "full_sequence_tokens": (["full_sequence_tokens"], False), "pruned_sequence_tokens": (["pruned_sequence_tokens"], False), "full_visual_tokens": (["full_visual_tokens"], False), "kept_visual_tokens": (["kept_visual_tokens"], False),
+    "removal_fraction": (["removal_fraction"], False), "ecr": (["ecr"], True), "anchor_ecr": (["anchor_ecr", "ecr"], True), "evidence_center_recall": (["evidence_center_recall"], True), "evidence_patch_recall": (["evidence_patch_recall"], True),
+    **{f"{c}_ms": ([f"mean_{c}_ms", f"{c}_ms"], False) for c in ("vision", "target_text", "score_compute", "selector", "prune_materialize", "prune_overhead", "language")}, "forward_ms": (["mean_forward_ms"], False),
+}
+
+
+def trace_summary(traces: DataFrame, by: list[str], evidence: str = "has_evidence") -> DataFrame:
+    """(by, traces, mean_keep_ratio, then a mean for each of :data:`TRACE_MEANS`): a missing field or value counts as 0, the keep ratio only where there are tokens, coverage and recalls only where there is evidence; a mean over nothing is 0. Without keys, no traces give one row of zeros."""
+    have = set(traces.columns)
+    value = lambda names: F.coalesce(*[F.col(n).cast("double") for n in names if n in have], F.lit(0.0))
+    some = F.coalesce(F.col(evidence).cast("boolean"), F.lit(False)) if evidence in have else F.lit(False)
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    full, kept = value(["full_visual_tokens"]), value(["kept_visual_tokens"])
+    means = [mean(F.when(some, value(names)) if only else value(names)).alias(f"mean_{n}") for n, (names, only) in TRACE_MEANS.items()]
+    return traces.groupBy(*by).agg(F.count(F.lit(1)).alias("traces"), mean(F.when(full > 0, kept / full)).alias("mean_keep_ratio"), *means)
