@@ -165,8 +165,9 @@ def partial_of(table: DataFrame, keep: list[str], value: dict[tuple[int, int], C
     table = table.select(*keep, *[c.alias(name(*ij)) for ij, c in value.items()])
     for z in range(2, m):
         r = lambda i, j: F.col(name(i, j))
+        left_over = lambda i, j: F.greatest(F.lit(0.0), 1 - r(i, j) * r(i, j))  # null in the end where a control says everything
         left = [(i, j) for i in range(m) for j in range(i + 1, m) if z not in (i, j) and (i < 2 or i > z) and (j < 2 or j > z)]
-        table = table.select(*keep, *[F.when(r(i, z).isNull() | r(j, z).isNull(), r(i, j)).otherwise((r(i, j) - r(i, z) * r(j, z)) / F.sqrt((1 - r(i, z) * r(i, z)) * (1 - r(j, z) * r(j, z)))).alias(name(i, j)) for i, j in left])
+        table = table.select(*keep, *[F.when(r(i, z).isNull() | r(j, z).isNull(), r(i, j)).when(left_over(i, z) * left_over(j, z) > 1e-18, (r(i, j) - r(i, z) * r(j, z)) / F.sqrt(left_over(i, z) * left_over(j, z))).alias(name(i, j)) for i, j in left])
     return table.select(*keep, F.col(name(0, 1)).alias("r"))
 
 

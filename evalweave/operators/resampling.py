@@ -32,7 +32,7 @@ def drawn(units: DataFrame, keys: dict[str, list], n: int, names: dict[str, str]
 
 def weighted(units: DataFrame, cluster: str, n: int, seed: int) -> DataFrame:
     """``units`` once a replicate, with the number of times w that it draws their cluster; w may be 0, as a filter would make the number anew."""
-    return drawn(units, {"u": [seed, F.col(cluster)]}, n).withColumn("w", poisson_of(F.col("u"))).drop("u")
+    return drawn(units, {"_u": [seed, F.col(cluster)]}, n).withColumn("w", poisson_of(F.col("_u"))).drop("_u")
 
 
 def weighted_mean() -> Column:
