@@ -44,10 +44,6 @@ def distinct_boxes(boxes: Column) -> Column:
     return F.filter(boxes, lambda b, i: F.array_position(keys, key(b)) == i + 1)
 
 
-def polygon_box(xs: Column, ys: Column) -> Column:
-    return box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
-
-
 def holds_centre(b: Column, region: Column) -> Column:
     x, y = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
     return (x >= region["x1"]) & (x <= region["x2"]) & (y >= region["y1"]) & (y <= region["y2"])

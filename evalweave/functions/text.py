@@ -197,3 +197,20 @@ def ladder(rules: list[tuple[str, Column]], default: str) -> Column:
     for name, c in rules[1:]:
         out = out.when(c, name)
     return out.otherwise(default)
+
+
+def target_positions(ids: Column, candidates: Column, pieces: Column, target: Column) -> Column:
+    """0-based places of a target among a prompt's tokens, ascending: all places of the first of the candidate id lists that occurs in the prompt's ids, each occurrence; else of the tokens whose ``pieces`` of the decoded prompt overlap the target's first place in it, its case ignored where it isn't found as it is.
+
+    ``candidates`` are the target's ids as it may be written (alone, after a space, in quotes). Empty without a place.
+    """
+    none = F.array().cast("array<int>")
+    starts = lambda c: F.when((F.size(c) > 0) & (F.size(c) <= F.size(ids)), F.filter(F.sequence(F.lit(1), F.size(ids) - F.size(c) + 1), lambda i: F.slice(ids, i, F.size(c)) == c)).otherwise(none)
+    places = lambda c: F.flatten(F.transform(starts(c), lambda i: F.sequence(i - 1, i + F.size(c) - 2)))
+    found = F.get(F.filter(F.transform(candidates, places), lambda p: F.size(p) > 0), F.lit(0))
+    whole = F.array_join(pieces, "")
+    at = F.when(F.position(target, whole) > 0, F.position(target, whole)).otherwise(F.position(F.lower(target), F.lower(whole)))
+    ends = F.transform(pieces, lambda p, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)))
+    hit = lambda first: F.filter(F.transform(ends, lambda e, i: F.when((e >= first) & (e - F.length(F.get(pieces, i)) < first - 1 + F.length(target)) & (F.length(F.get(pieces, i)) > 0), i)), lambda i: i.isNotNull())
+    decoded = F.when((at > 0) & (F.length(target) > 0), hit(at)).otherwise(none)
+    return F.array_sort(F.array_distinct(F.coalesce(found, decoded)))

@@ -69,3 +69,21 @@ def fill_missing_role(records: DataFrame, role: str, source: str, sample: str =
 
 def reuse_is_valid(records: DataFrame, original: str, reused: str, by: list[str], tolerance: float = 1e-8) -> DataFrame:
     return records.groupBy(*by).agg(F.coalesce(F.every(F.abs(F.col(original) - F.col(reused)) <= tolerance), F.lit(True)).alias("valid"))
+
+
+def ablation_risks(candidates: DataFrame, sample: str = "sample_id", predicted: str = "predicted") -> DataFrame:
+    """A row per sample: what its evidence risk would be with parts left out, from candidates (role, img, text, weight): claim, anti, pair, image pair, text pair, claim image, claim text; and the pair's and the evidence margin and the number of support candidates.
+
+    Candidates without an image margin don't count; a missing text margin is 0; anti values are the largest, 0 without any. Without an anti or support candidate all risks and the evidence margin are 0. Risks support the predicted answer.
+    """
+    rows = candidates.where("img is not null").withColumn("text", F.coalesce("text", F.lit(0.0))).withColumn("delta", F.col("img") - F.col("text"))
+    of = lambda role, c: F.coalesce(F.max(F.when(F.col("role") == role, F.col(c))), F.lit(0.0))
+    parts = [of(role, c).alias(f"{role}_{c}") for role in ("claim", "anti") for c in ("img", "text", "delta")]
+    penalty = F.coalesce(F.sum(F.when(F.col("role") == "support", F.coalesce("weight", F.lit(0.0)) * F.greatest(F.lit(0.0), -F.col("delta")))), F.lit(0.0))
+    found = rows.groupBy(sample).agg(*parts, penalty.alias("_penalty"), F.count_if(F.col("role") == "support").alias("supports"), F.count_if(F.col("role").isin("anti", "support")).alias("_contrast"))
+    out = candidates.groupBy(sample).agg(F.max(predicted).alias(predicted)).join(found, sample, "left").na.fill(0).withColumns({f"{c}_pair": F.col(f"claim_{c}") - F.col(f"anti_{c}") for c in ("img", "text", "delta")})
+    yes, some = F.lower(predicted) == "yes", F.col("_contrast") > 0
+    for_it = lambda c: F.when(some, signed_support(F.col(c), yes)).otherwise(0.0)
+    risks = {"claim_delta": -for_it("claim_delta"), "anti_delta": for_it("anti_delta"), "pair_delta": -for_it("delta_pair"), "img_pair": -for_it("img_pair"), "text_pair": -for_it("text_pair"), "claim_img": -for_it("claim_img"), "claim_text_prior": for_it("claim_text")}
+    margin = F.when(some, F.col("delta_pair") - F.col("_penalty")).otherwise(0.0)
+    return out.select(sample, *[(c + 0.0).alias(f"{k}_risk") for k, c in risks.items()], F.col("delta_pair").alias("pair_margin"), margin.alias("evidence_margin"), "supports")

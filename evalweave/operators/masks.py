@@ -48,14 +48,15 @@ def deletion_variants(rows: DataFrame, sample: str, kept: str, evidence: str, to
     return rows.select(sample, F.explode(parts).alias("v")).select(sample, "v.*")
 
 
-def perturbed(box: Column, key: Column, jitter: float, scale: float, seed: int = 0) -> Column:
-    """A box moved by up to ``jitter`` of its size and scaled by 1 +- ``scale``, by hashed numbers, within 0..1."""
+def perturbed(box: Column, key: Column, jitter: float, scale: float, seed: int = 0, drop: float = 0.0) -> Column:
+    """A box moved by up to ``jitter`` of its size and scaled by 1 +- ``scale``, by hashed numbers, within 0..1; null, as if it hadn't been found, for a share ``drop`` of the keys, and where no area is left."""
     u = lambda name: uniform(seed, key, name) * 2 - 1
     w, h = box["x2"] - box["x1"], box["y2"] - box["y1"]
     cx, cy = (box["x1"] + box["x2"]) / 2 + u("x") * jitter * w, (box["y1"] + box["y2"]) / 2 + u("y") * jitter * h
     w, h = w * (1 + u("w") * scale) / 2, h * (1 + u("h") * scale) / 2
     clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    return bx.box(clip(cx - w), clip(cy - h), clip(cx + w), clip(cy + h))
+    out = bx.box(clip(cx - w), clip(cy - h), clip(cx + w), clip(cy + h))
+    return F.when((uniform(seed, key, "drop") >= drop) & (bx.area(out) > 0), out)
 
 
 def random_region(rows: DataFrame, sample: str, box: str, most: float = 0.1, tries: int = 200, seed: int = 0) -> DataFrame:
@@ -111,11 +112,6 @@ def require_blank(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows
 
 
-def require_ids(requested: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    refuse(requested.join(found.select(key), key, "left_anti"), "requested ids are missing")
-    return requested.join(found, key)
-
-
 def grid_of(tokens: Column, aspect: Column) -> Column:
     """The factor pair (rows, columns) of the token count whose shape is nearest to width / height."""
     pairs = F.transform(F.filter(F.sequence(F.lit(1), tokens), lambda r: tokens % r == 0), lambda r: F.struct(F.abs(F.ln((tokens / r) / r) - F.ln(aspect)).alias("d"), r.alias("rows"), (tokens / r).cast("int").alias("columns")))

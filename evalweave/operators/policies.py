@@ -129,11 +129,6 @@ def skyline(rows: DataFrame, by: list[str], low: str, high: str) -> DataFrame:
     return rows.join(front, [*by, low, high], "left_semi")
 
 
-def cascade_cost(base: float, chosen: Column) -> Column:
-    """A cascade pays the base, and the chosen budget where it goes beyond it."""
-    return F.lit(base) + F.when(chosen > base, chosen).otherwise(0.0)
-
-
 def stable_answer(first: Column, second: Column, fallback: Column) -> Column:
     """Two budgets that agree settle the answer, else the fallback does."""
     return F.when(first.eqNullSafe(second), first).otherwise(fallback)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.hashing import key_seeds, poisson_of, replicate_uniform
-from evalweave.operators.ordered import running
 
 #: Replicates where nothing else is asked for.
 DRAWS = 1000
@@ -48,12 +47,6 @@ def percentiles(value: str, low: float = 0.025, high: float = 0.975) -> list[Col
     return [F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high")]
 
 
-def truncated_index(value: str, q: float) -> Column:
-    """draws[int(q * n)] of the sorted draws."""
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, F.least(F.size(values), F.floor(F.size(values) * q).cast("int") + 1))
-
-
 def spread(point: DataFrame, draws: DataFrame, value: str, by: list[str]) -> DataFrame:
     """A point estimate with the percentiles of its draws, a row a replicate."""
     ends = draws.groupBy(*by).agg(*percentiles(value))
@@ -87,17 +80,6 @@ def sign_flip(rows: DataFrame, unit: str, difference: str, by: list[str], n: int
     return out.select(*by, "n", "mean", ((F.coalesce("exceed", F.lit(n)) + 1) / F.lit(n + 1)).alias("p"))
 
 
-def bootstrap_auc(rows: DataFrame, cluster: str, score: str, label: str, n: int = DRAWS, seed: int = 0) -> DataFrame:
-    """ROC AUC with a percentile interval over resampled clusters; draws of a single class don't count."""
-    cells = rows.groupBy(cluster, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    point = cells.groupBy(score).agg(F.sum("p").alias("p"), F.sum("q").alias("q")).withColumn("replicate", F.lit(0))
-    sums = weighted(cells, cluster, n, seed).groupBy("replicate", score).agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("q")).alias("q"))
-    ranked = running(point.select("replicate", score, "p", "q").unionByName(sums.select("replicate", score, "p", "q")), ["replicate"], score, [], {"upto": F.col("q")})
-    each = ranked.groupBy("replicate").agg((F.sum(F.col("p") * (F.col("upto") - F.col("q") / 2.0)) / F.when(F.sum("p") * F.sum("q") > 0, F.sum("p") * F.sum("q"))).alias("auc")).where("auc is not null")
-    real = F.when(F.col("replicate") > 0, F.col("auc"))
-    return each.agg(F.max(F.when(F.col("replicate") == 0, F.col("auc"))).alias("auc"), F.count(real).alias("draws"), F.percentile(real, F.lit(0.025)).alias("low"), F.percentile(real, F.lit(0.975)).alias("high"))
-
-
 def kappa_of(cells: DataFrame, a: str, b: str, by: list[str], n: Column) -> DataFrame:
     """Cohen's kappa of weighted label pairs; 1 or 0 where chance agreement is 1."""
     cells = cells.groupBy(*by, a, b).agg(F.sum(n).alias("_n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
 from evalweave.functions import hashing, maths, ranks, text
-from evalweave.operators import audits, greedy, joins, masks, metrics, policies, probes, resampling, selection, selectors, traces
+from evalweave.operators import audits, greedy, joins, masks, metrics, policies, probes, replicates, resampling, selection, selectors, traces
 from evalweave.plans import inputs, reports  # noqa: F401  (reports registers its queries as well)
 from evalweave.plans.inputs import BOX_ROWS, PROBE_ROWS, RUNS, SCORED, TOKENS, table
 from evalweave.plans.register import QUERIES, SQL, query, rounded, union_sql  # noqa: F401
@@ -269,7 +269,7 @@ t as (select 0 as b, score, sum(p)::double as p, sum(q)::double as q from c grou
 k as (select b, p, q, coalesce(sum(q) over (partition by b order by score rows between unbounded preceding and 1 preceding), 0) as below from t), a as (select b, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) as auc from k group by b)
 select round(max(auc) filter (b = 0), 9) as auc, count(auc) filter (b > 0) as draws, round(quantile_cont(auc, 0.025) filter (b > 0 and auc is not null), 9) as low, round(quantile_cont(auc, 0.975) filter (b > 0 and auc is not null), 9) as high from a""")
 def auc_bootstrap_ci(spark, sf):
-    return rounded(resampling.bootstrap_auc(inputs.scored(spark, sf), "source", "score", "toxic"))
+    return rounded(replicates.bootstrap_auc(inputs.scored(spark, sf), "source", "score", "toxic"))
 
 
 @query(f"""with {SCORED}, c as (select source, quality as x, toxic as y, count(*) as m from scored group by 1, 2, 3), {_R}, {_seeded("c", "d", ("'0'", "source"))},

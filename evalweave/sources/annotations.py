@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.functions.boxes import box, distinct_boxes, normalised
-
-
-def first_filled(columns: list[str], available: list[str]) -> Column:
-    """The first array among the columns that has elements."""
-    found = [F.when(F.size(c) > 0, F.col(c)) for c in columns if c in available]
-    return F.coalesce(*found) if found else F.lit(None)
+from evalweave.functions.boxes import box, normalised
 
 
 def xywh(b: Column) -> Column:
     return box(b[0], b[1], b[0] + b[2], b[1] + b[3])
 
 
-def region_samples(rows: DataFrame, regions: list[str], width: str = "width", height: str = "height") -> DataFrame:
-    """Rows with ``regions``: normalised, distinct boxes of the first filled alias; elements are ``struct<text, bbox: array[x, y, w, h]>``."""
-    raw = first_filled(regions, rows.columns)
-    boxes = F.transform(raw, lambda r: normalised(xywh(r["bbox"]), F.col(width), F.col(height)))
-    return rows.withColumn("regions", distinct_boxes(F.filter(F.coalesce(boxes, F.array()), lambda b: b.isNotNull()))) if regions else rows
-
-
 def token_regions(images: DataFrame, annotations: DataFrame, least_area: float = 0.0, most: int | None = None) -> DataFrame:
     """One row per image with its tokens in annotation order: ``array<struct<text, box>>``.
 
@@ -53,7 +38,3 @@ def caption_options(rows: DataFrame, options: str, identifier: str) -> DataFrame
     """One row per caption option; the first is the right one."""
     out = rows.select("*", F.posexplode(options).alias("option", "caption")).drop(options)
     return out.withColumn("answer", F.col("option") == 0).withColumn("group_id", F.col(identifier)).withColumn(identifier, F.concat_ws(":", F.col(identifier), F.col("option").cast("string")))
-
-
-def union_splits(frames: dict[str, DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("split", F.lit(k)) for k, f in frames.items()])

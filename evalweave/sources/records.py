@@ -163,3 +163,48 @@ def caption_samples(records: DataFrame, source: str, split: str, left_right_only
         F.concat(F.lit("Is this statement true? "), F.col("source_caption")).alias("question"), "source_caption", "source_relation", F.col("_p.subject").alias("subject"), F.col("_p.object").alias("object"), "relation",
         F.when(F.col("_t"), "yes").otherwise("no").alias("answer"), F.when(F.col("_t"), "positive").otherwise("negative").alias("binary_polarity"), F.lit("none").alias("bbox_source"), get(F.col("_r"), "$.reference_frame", "string").alias("reference_frame"),
     )
+
+
+def export_box(item: Column, export: Column, source: Column, xywh: bool = True) -> Column:
+    """struct<x, y, w, h> of an external box item (a VARIANT) in the pixels of an exported image, to two digits; null for an item without four numbers or without an area inside.
+
+    Items are objects with x, y, w, h or with corners, objects with a box or a polygon below a field, or lists of four numbers: a corner and a size (``xywh``) or two corners. Numbers up to 1.5 are shares of the image; others are pixels of the ``source`` image, or of the
+    export where its size isn't known. Sizes are struct<width, height>.
+    """
+    inner = F.coalesce(*[F.try_variant_get(item, f"$.{n}", "variant") for n in BOX_FIELDS if n != "region"])
+    polygon = F.coalesce(*[F.try_variant_get(item, f"$.{n}", "variant") for n in POLYGON_FIELDS])
+    at = lambda v, *names: [F.try_variant_get(v, f"$.{n}" if isinstance(n, str) else f"$[{n}]", "double") for n in names]
+    every = lambda cs: ~F.greatest(*[c.isNull() for c in cs])
+    corners = lambda cs: box(cs[0], cs[1], cs[2], cs[3])
+    sized = lambda cs: box(cs[0], cs[1], cs[0] + cs[2], cs[1] + cs[3])
+    most = lambda cs: F.greatest(*map(F.abs, cs))
+    parsed = lambda b, top: F.struct(b.alias("b"), (top <= 1.5).alias("share"))
+
+    def plain(v: Column) -> Column:
+        one, two, four = at(v, "x", "y", "w", "h"), at(v, "x1", "y1", "x2", "y2"), at(v, 0, 1, 2, 3)
+        return F.when(every(one), parsed(sized(one), most(one))).when(every(two), parsed(corners(two), most(two))).when(every(four), parsed(sized(four) if xywh else corners(four), most(four)))
+
+    own = bound(plain(item), lambda p: p)
+    bounds = bound(_points_box(polygon), lambda b: F.when(b.isNotNull(), parsed(b, most([b[c] for c in ("x1", "y1", "x2", "y2")]))))
+    found = F.coalesce(own, F.when(inner.isNotNull(), bound(inner, plain)), bounds)
+    ew, eh = export["width"].cast("double"), export["height"].cast("double")
+    sx, sy = (F.coalesce(F.nullif(source[n].cast("double"), F.lit(0.0)), e) for n, e in (("width", ew), ("height", eh)))
+
+    def scaled(p: Column) -> Column:
+        fx, fy = F.when(p["share"], ew).otherwise(ew / sx), F.when(p["share"], eh).otherwise(eh / sy)
+        x1, x2, y1, y2 = p["b"]["x1"] * fx, p["b"]["x2"] * fx, p["b"]["y1"] * fy, p["b"]["y2"] * fy
+        clip = lambda v, top: F.greatest(F.lit(0.0), F.least(top, v))
+        x, y = clip(F.least(x1, x2), ew), clip(F.least(y1, y2), eh)
+        w, h = clip(F.abs(x2 - x1), ew - x), clip(F.abs(y2 - y1), eh - y)
+        return F.when((w > 0) & (h > 0), F.struct(*[F.round(v, 2).alias(n) for v, n in ((x, "x"), (y, "y"), (w, "w"), (h, "h"))]))
+
+    return F.when((ew > 0) & (eh > 0), bound(found, lambda p: F.when(p.isNotNull(), scaled(p))))
+
+
+def relabelled(splits: dict[str, DataFrame], prefix: str, constants: dict[str, object], key: str = "id") -> DataFrame:
+    """The rows of all splits, with their split, ids behind a prefix and the split's name, and constant columns over what the rows say; a column that some splits lack is null there."""
+    out = None
+    for name, rows in splits.items():
+        own = rows.withColumn("split", F.lit(name)).withColumn(key, F.concat_ws("-", F.lit(prefix), F.lit(name), F.col(key).cast("string"))).withColumns({c: F.lit(v) for c, v in constants.items()})
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out

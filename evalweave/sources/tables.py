@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -78,9 +76,7 @@ def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """A report of one row as a pretty-printed object on the driver's disk."""
-    found = rows.limit(2).toJSON().collect()
-    if len(found) != 1:
+    """A report of one row as a pretty-printed object, its fields sorted, in whatever store the path names."""
+    if rows.limit(2).count() != 1:
         raise ValueError("a report has one row")
-    with open(path, "w") as f:
-        json.dump(json.loads(found[0]), f, indent=2, sort_keys=True)
+    rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"pretty": "true"})).coalesce(1).write.text(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
 from evalweave.functions import hashing, maths, relations, text
-from evalweave.operators import audits, evidence, greedy, joins, masks, metrics, ordered, policies, probes, resampling, selection, selectors
+from evalweave.operators import audits, evidence, greedy, joins, masks, metrics, ordered, policies, probes, replicates, resampling, selection, selectors
 from evalweave.sources import annotations, tables
 from evalweave.streaming.resume import run_incremental, shard
 
@@ -480,7 +480,7 @@ def test_intervals_of_other_statistics(spark):
     df = spark.createDataFrame(rows, "c int, x double, y double, l int")
     r = resampling.bootstrap_correlation(df, "c", "x", "y", n=300).first()
     assert r.low < r.r < r.high and r.high - r.low < 0.4 and abs(r.r - np.corrcoef([x[1] for x in rows], [x[2] for x in rows])[0, 1]) < 1e-9
-    a = resampling.bootstrap_auc(df, "c", "x", "l", n=200).first()
+    a = replicates.bootstrap_auc(df, "c", "x", "l", n=200).first()
     assert a.low < a.auc < a.high and a.draws == 200 and abs(a.auc - one(metrics.auc(df, "x", "l", []).select("auc"))) < 1e-12
     k = resampling.bootstrap_kappa(df.withColumn("p", (F.col("x") > 0).cast("int")), "c", "p", "l", n=200).first()
     assert k.low < k.kappa < k.high
