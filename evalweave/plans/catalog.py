@@ -480,7 +480,7 @@ def contamination_collision(spark, sf):
 
 @query(f"""with t as (select distinct item_id, unnest({_BENCH}) as token from benchmark), d as (select distinct doc_id, unnest({_BENCH}) as token from documents), tn as (select item_id, count(*) as n from t group by 1), dn as (select doc_id, count(*) as n from d group by 1),
 s as (select doc_id, item_id, count(*) as shared from d join t using (token) group by 1, 2)
-select s.doc_id, s.item_id, shared, round(shared::double / (dn.n + tn.n - shared), 9) as jaccard, round(shared::double / dn.n, 9) as doc_contained, round(shared::double / tn.n, 9) as item_contained from s join dn on dn.doc_id is not distinct from s.doc_id join tn on tn.item_id = s.item_id""")
+select s.doc_id, s.item_id, shared, round(shared::double / (dn.n + tn.n - shared), 9) as jaccard, round(shared::double / dn.n, 9) as doc_contained, round(shared::double / tn.n, 9) as item_contained from s join dn on dn.doc_id is not distinct from s.doc_id join tn on tn.item_id = s.item_id where shared >= ceil(round(tn.n * 0.5::double, 9))""")
 def token_jaccard(spark, sf):
     return rounded(joins.shared_tokens(table(spark, sf, "documents"), "doc_id", table(spark, sf, "benchmark"), "item_id", text.words(F.col("text"))))
 
@@ -496,11 +496,11 @@ def longest_alias_match(spark, sf):
     return joins.longest_alias(table(spark, sf, "part"), "p_type", aliases).select("p_partkey", "category")
 
 
-@query("""select distinct c_custkey, s_suppkey from customer c join supplier s on c.c_nationkey = s.s_nationkey or floor(c.c_acctbal) = floor(s.s_acctbal)""")
+@query("""select distinct c_custkey, s_suppkey from customer c join supplier s on (c.c_nationkey = s.s_nationkey and floor(c.c_acctbal / 20) = floor(s.s_acctbal / 20)) or floor(c.c_acctbal) = floor(s.s_acctbal)""")
 def multi_key_or_join(spark, sf):
     return joins.any_key(
         table(spark, sf, "customer"), table(spark, sf, "supplier"), "c_custkey", "s_suppkey",
-        [("nation", F.col("c_nationkey"), F.col("s_nationkey")), ("balance", F.floor("c_acctbal"), F.floor("s_acctbal"))],
+        [("nation and range", F.concat_ws(":", "c_nationkey", F.floor(F.col("c_acctbal") / 20)), F.concat_ws(":", "s_nationkey", F.floor(F.col("s_acctbal") / 20))), ("balance", F.floor("c_acctbal"), F.floor("s_acctbal"))],
     )
 
 

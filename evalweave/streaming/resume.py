@@ -9,18 +9,14 @@ from pyspark.sql.types import StructType
 
 
 def run_incremental(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, score: Callable[[DataFrame], DataFrame], key: str) -> None:
-    """Score what has newly arrived in ``source`` (JSON lines) and append it to ``target`` (Parquet), without keys that are done.
+    """Score what has newly arrived in ``source`` (JSON lines) and add it to ``target`` (Parquet, a folder a batch), without keys that are done.
 
-    The checkpoint makes the file list exactly-once; the anti-join makes a replayed batch harmless.
+    The checkpoint holds the files that were read and, in the state store, the keys that were seen, a task's keys in its own partition; so a batch touches the keys that it brings and never reads the target. A replayed batch writes its own folder anew.
     """
     def one(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates([key])
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            rows = rows.join(spark.read.parquet(target).select(key), key, "left_anti")
-        score(rows).write.mode("append").parquet(target)
+        score(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(one)
+    stream = spark.readStream.schema(schema).json(source).dropDuplicates([key]).writeStream.foreachBatch(one)
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
