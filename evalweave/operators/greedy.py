@@ -5,8 +5,8 @@ A sample has as many rows as its image has tokens (some thousands); samples are
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.boxes import centre_recall, evidence_coverage, patch_recall
-from evalweave.operators.selectors import SELECTORS, tokens_of
+from evalweave.functions.maths import keep_count
+from evalweave.operators import staged
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -124,7 +125,7 @@ def vectors_of(rows: pd.DataFrame, column: str) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in rows[column]])
 
 
-#: Selectors that look at vectors; those of :mod:`evalweave.operators.selectors` look at boxes and scores.
+#: Selectors that look at vectors; those of :mod:`evalweave.operators.staged` look at boxes and scores.
 VECTOR_SELECTORS: dict[str, Callable[[pd.DataFrame, int], list[int]]] = {
     "facility_location": lambda r, k: facility_location(vectors_of(r, "vec"), r["saliency"].to_numpy(float), k),
     "orthogonal": lambda r, k: orthogonal(vectors_of(r, "vec"), np.zeros((0, len(r["vec"].iloc[0]))), k),
@@ -134,29 +135,20 @@ VECTOR_SELECTORS: dict[str, Callable[[pd.DataFrame, int], list[int]]] = {
 
 
 def run_selector(tokens: DataFrame, name: str, k: int, sample: str = "sample_id", index: str = "idx") -> DataFrame:
-    """(sample, index, step) of the tokens that a named selector keeps."""
+    """(sample, index, step) of the tokens that a named selector keeps; those that look at boxes and scores are plans (:mod:`evalweave.operators.staged`)."""
     if name in VECTOR_SELECTORS:
         return select_per_sample(tokens, sample, index, lambda rows: VECTOR_SELECTORS[name](rows, k))
-    if name not in SELECTORS:
-        raise ValueError(f"no selector {name}; there are {sorted([*SELECTORS, *VECTOR_SELECTORS])}")
-    return select_per_sample(tokens, sample, index, lambda rows: SELECTORS[name](tokens_of(rows, f"{name}:{rows[sample].iloc[0]}"), k))
+    if name not in staged.NAMES:
+        raise ValueError(f"no selector {name}; there are {sorted([*staged.NAMES, *VECTOR_SELECTORS])}")
+    return staged.select(tokens, name, sample, index, F.lit(k))
 
 
 def sweep(tokens: DataFrame, names: list[str], ratios: list[float], sample: str = "sample_id", index: str = "idx") -> DataFrame:
-    """(sample, selector, keep_ratio, n, kept): every selector at every budget on a sample's tokens, which are read once; kept holds indices in order."""
-    fields = {f.name: f.dataType.simpleString() for f in tokens.schema}
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(index).reset_index(drop=True)
-        out, places = [], rows[index].to_numpy()
-        for name in names:
-            t = tokens_of(rows, f"{name}:{rows[sample].iloc[0]}")
-            for ratio in ratios:
-                k = max(1, min(t.n, math.ceil(t.n * ratio)))
-                out.append((rows[sample].iloc[0], name, ratio, t.n, sorted(places[SELECTORS[name](t, k)].tolist())))
-        return pd.DataFrame(out, columns=[sample, "selector", "keep_ratio", "n", "kept"])
-
-    return tokens.groupBy(sample).applyInPandas(one, f"`{sample}` {fields[sample]}, selector string, keep_ratio double, n int, kept array<{fields[index]}>")
+    """(sample, selector, keep_ratio, n, kept): every selector at every budget on a sample's tokens; kept holds indices in order. A selector is one plan over all budgets."""
+    tried = tokens.select("*", F.explode(F.array(*map(F.lit, ratios))).alias("keep_ratio"))
+    sizes = tokens.groupBy(sample).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    kept = [staged.select(tried, name, sample, index, keep_count(F.col("_n"), F.col("keep_ratio")), by=[sample, "keep_ratio"]).groupBy(sample, "keep_ratio").agg(F.sort_array(F.collect_list(index)).alias("kept")).withColumn("selector", F.lit(name)) for name in names]
+    return reduce(DataFrame.unionByName, kept).join(sizes, sample).select(sample, "selector", "keep_ratio", "n", "kept")
 
 
 def sweep_coverage(swept: DataFrame, tokens: DataFrame, regions: DataFrame, sample: str = "sample_id", index: str = "idx") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
 from evalweave.functions import hashing, maths, ranks, text
-from evalweave.operators import audits, greedy, joins, masks, metrics, policies, probes, replicates, resampling, selection, selectors, traces
+from evalweave.operators import audits, greedy, joins, masks, metrics, policies, probes, replicates, resampling, selection, staged, traces
 from evalweave.plans import inputs, reports  # noqa: F401  (reports registers its queries as well)
 from evalweave.plans.inputs import BOX_ROWS, PROBE_ROWS, RUNS, SCORED, TOKENS, table
 from evalweave.plans.register import QUERIES, SQL, query, rounded, union_sql  # noqa: F401
@@ -593,7 +593,7 @@ def facility_location_greedy(spark, sf):
 def selector_sweep(spark, sf):
     """Every selector at three budgets, with the evidence that it keeps."""
     boxed = inputs.token_boxes(spark, sf)
-    swept = greedy.sweep(boxed, list(selectors.SELECTORS), [0.15, 0.5, 1.0])
+    swept = greedy.sweep(boxed, staged.NAMES, [0.15, 0.5, 1.0])
     covered = greedy.sweep_coverage(swept, boxed, inputs.token_regions(boxed))
     return rounded(greedy.sweep_summary(covered))
 
@@ -601,7 +601,7 @@ def selector_sweep(spark, sf):
 @query()
 def selector_masks(spark, sf):
     """The tokens that every selector keeps at a quarter of the budget."""
-    swept = greedy.sweep(inputs.token_boxes(spark, sf), list(selectors.SELECTORS), [0.25])
+    swept = greedy.sweep(inputs.token_boxes(spark, sf), staged.NAMES, [0.25])
     return swept.select("sample_id", "selector", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
 
 

@@ -1,4 +1,4 @@
-"""Token selectors by name. A selector is a list of stages: each puts the tokens in an order and takes the first of them that are still free, up to its quota.
+"""Token selectors by name, as loops over one sample: what the plans of evalweave.operators.staged are held against. A selector is a list of stages: each puts the tokens in an order and takes the first of them that are still free, up to its quota.
 
 Orders are arrays over one sample's tokens; only the farthest-point and the coverage stage go token by token. What a stage can't fill is left to the
 next ones, and at last to relevance and distance. With a budget of all tokens, all are kept.
@@ -297,11 +297,3 @@ def tokens_of(rows: pd.DataFrame, salt: str = "") -> Tokens:
     regions = rows["regions"].iloc[0] if "regions" in rows and len(rows) else None
     boxes = np.array([[r[c] for c in ("x1", "y1", "x2", "y2")] for r in regions], dtype=float).reshape(-1, 4) if regions is not None else np.zeros((0, 4))
     return Tokens(rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["relevance"].to_numpy(float), rows["uniqueness"].to_numpy(float), boxes, salt)
-
-
-def parse(names: str | list[str] | None) -> list[str]:
-    """Known names from a list or a text with commas."""
-    found = ["random", "grid", "center"] if names is None else [n.strip() for n in (names.split(",") if isinstance(names, str) else names) if n.strip()]
-    if not found or set(found) - set(SELECTORS):
-        raise ValueError(f"selectors are {list(SELECTORS)}")
-    return found

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import boxes as bx
 from evalweave.functions import hashing, maths, relations, text
-from evalweave.operators import audits, evidence, greedy, joins, masks, metrics, ordered, policies, probes, replicates, resampling, selection, selectors
+from evalweave.operators import audits, evidence, greedy, joins, masks, metrics, ordered, policies, probes, replicates, resampling, selection, staged
 from evalweave.sources import annotations, tables
 from evalweave.streaming.resume import run_incremental, shard
 
+from . import selector_loops as selectors
+
 
 def one(df, *columns):
     r = df.first()
@@ -148,7 +150,7 @@ def tokens(spark, n=16):
 
 def test_selectors_give_k_distinct_tokens(spark):
     df = spark.createDataFrame(tokens(spark))
-    for name in [*selectors.SELECTORS, *greedy.VECTOR_SELECTORS]:
+    for name in ["topk", "rise", *greedy.VECTOR_SELECTORS]:  # the others are held against loops elsewhere
         for k in (1, 5, 16, 20):
             got = [r.idx for r in greedy.run_selector(df, name, k).orderBy("step").collect()]
             assert len(got) == len(set(got)) == min(k, 16), name
@@ -413,9 +415,9 @@ def test_selectors_on_a_grid_of_sixteen():
     assert {0, 1} <= set(around) and max(around) >= 10
     risen = kept(selectors.rise, selectors.Tokens(grid(), np.array([1.0] + [0.1] * 15), np.zeros(16)), 4, dominant=0.25, spread=1.0)
     assert 0 in risen and max(risen) >= 10 and len(risen) == 4
-    assert selectors.parse("grid, topk") == ["grid", "topk"] and selectors.parse(None) == ["random", "grid", "center"]
+    assert staged.parse("grid, topk") == ["grid", "topk"] and staged.parse(None) == ["random", "grid", "center"]
     with pytest.raises(ValueError):
-        selectors.parse("none")
+        staged.parse("none")
 
 
 def test_sweep_and_its_summary(spark):
