@@ -111,12 +111,13 @@ class Stages:
 
     def take(self, quota: Column, order: Callable[[DataFrame], Order]) -> Stages:
         """The first free tokens in the order, as many as the quota says and the budget leaves; ``quota`` may look at _taken."""
+        names = self.rows.columns
         rows = self.rows.withColumn("_taken", F.count("_step").over(self.own())).withColumn("_limit", F.greatest(F.lit(0), F.least(quota, F.col("_k") - F.col("_taken"))).cast("int"))
         rows, keys, some = order(rows)
-        rows = rows.withColumn("_free", F.col("_step").isNull() & F.coalesce(some, F.lit(False)))
-        place = F.row_number().over(Window.partitionBy(*self.by, "_free").orderBy(*keys, self.index))
-        step = F.when(F.col("_free") & (place <= F.col("_limit")), F.col("_taken") + place).otherwise(F.col("_step"))
-        self.rows = rows.withColumn("_step", step.cast("int")).select(*self.rows.columns)
+        free = F.col("_step").isNull() & F.coalesce(some, F.lit(False))
+        place = F.row_number().over(Window.partitionBy(*self.by, free).orderBy(*keys, self.index))
+        step = F.when(free & (place <= F.col("_limit")), F.col("_taken") + place).otherwise(F.col("_step"))
+        self.rows = rows.select(*[c for c in names if c != "_step"], step.cast("int").alias("_step")).select(*names)
         return self
 
     # folds over a sample's tokens
@@ -240,8 +241,7 @@ class Stages:
         return self.folded(steps)
 
     def finished(self) -> DataFrame:
-        """(by, index, step) of what is kept; what is still missing goes by relevance and distance."""
-        self.take(self.k, self.relevance_and_distance)
+        """(by, index, step) of what is kept."""
         return self.rows.where("_step is not null").select(*self.by, self.index, F.col("_step").alias("step"))
 
 
@@ -280,7 +280,7 @@ def select(tokens: DataFrame, name: str, sample: str, index: str, keep: Column,
     elif name == "coverage_greedy":
         s.coverage()
     elif name in contexts:
-        s.take(cored, s.relevance).take(second, contexts[name]).farthest(k - cored - second)
+        s.take(cored, s.relevance).take(second, contexts[name]).farthest(k - cored - second).take(k, s.relevance_and_distance)
     elif name == "soft_relboost":
         s.take(cored, s.relevance)
         rows, keys, ringed = s.ring(s.rows.withColumns({"_taken": F.count("_step").over(s.own()), "_limit": second}))
@@ -290,10 +290,10 @@ def select(tokens: DataFrame, name: str, sample: str, index: str, keep: Column,
         # the last places of the ring's share go to the corridor, and back to the ring where there is none
         s.take(left - F.least(left, F.greatest(F.lit(1), F.bround(F.lit(0.15) * left))), around_it)
         s.take(left, lambda rows: (lambda found: (found[0], found[1], found[2] & F.col("_ringed")))(s.corridor(rows)))
-        s.take(left, around_it).farthest(k - cored - second)
+        s.take(left, around_it).farthest(k - cored - second).take(k, s.relevance_and_distance)
     elif name == "protected_rel_hybrid":
         s.region_turns(protected).take(F.when(some, 0).otherwise(cored), s.relevance)
-        s.take(F.when(some, _rounded(around, k)).otherwise(second), s.corridor_then_ring).farthest(F.when(some, k).otherwise(k - cored - second))
+        s.take(F.when(some, _rounded(around, k)).otherwise(second), s.corridor_then_ring).farthest(F.when(some, k).otherwise(k - cored - second)).take(k, s.relevance_and_distance)
     elif name == "protected_topk":
         s.region_turns(protected).take(k, s.relevance)
     elif name == "protected_center_topk":
