@@ -83,7 +83,9 @@ def conformal_selection(rows: DataFrame, task: str, split: str, risk: str, low_s
     n = F.col("wn")
     mean = F.col("l") / n
     rate = (n - F.col("n")) / n
-    cand = cand.select("task", "t", upper_bound(mean, F.greatest(F.lit(0.0), (F.col("ll") - F.col("l") * mean) / (n - 1)), n).alias("upper"), (F.lit(low) + F.lit(high) * rate).alias("cost"), ((F.col("a") + F.col("wb") - F.col("b")) / n).alias("score"))
+    # what is left of sums that cancel is no variance
+    spread = F.when(F.col("ll") - F.col("l") * mean > 1e-13 * F.col("ll"), F.col("ll") - F.col("l") * mean).otherwise(0.0)
+    cand = cand.select("task", "t", upper_bound(mean, spread / F.greatest(F.lit(1), n - 1), n).alias("upper"), (F.lit(low) + F.lit(high) * rate).alias("cost"), ((F.col("a") + F.col("wb") - F.col("b")) / n).alias("score"))
     eps = F.explode(F.array(*map(F.lit, epsilons))).alias("epsilon")
     r9 = lambda c: F.round(c, 9)
     cheap = r9("cost") < high

@@ -48,11 +48,16 @@ def correlation_grid(spark, sf):
     return rounded(correlations.correlation_grid(_rows(spark, sf), ["lang"], "id", _PREDICTORS, _OUTCOMES), 7)
 
 
+def _partial_sql(ab: str, az: str, bz: str) -> str:
+    left = f"greatest(0, 1 - {az} * {az}) * greatest(0, 1 - {bz} * {bz})"
+    return f"case when {az} is null or {bz} is null then {ab} when {left} > 1e-18 then ({ab} - {az} * {bz}) / sqrt({left}) end"
+
+
 @query(f"""with {SCORED}, base as (select id, lang, score as x, confidence as y, n_chars as z, risk as v from scored), {_with_replicates("base")},
 ranked as (select lang, b, w, {", ".join(f"{_rank_sql(c, 'lang, b')} as r{c}" for c in "xyzv")} from drawn),
 c as (select lang, b, {", ".join(f"{_corr_sql(f'r{p}', f'r{q}')} as {p}{q}" for p, q in ("xy", "xz", "yz", "xv", "yv", "zv"))} from ranked group by 1, 2),
-z as (select lang, b, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) as xy, (xv - xz * zv) / sqrt((1 - xz * xz) * (1 - zv * zv)) as xv, (yv - yz * zv) / sqrt((1 - yz * yz) * (1 - zv * zv)) as yv from c),
-pr as (select lang, b, (xy - xv * yv) / sqrt((1 - xv * xv) * (1 - yv * yv)) as r from z), n as (select lang, count(*) as n from base group by 1)
+z as (select lang, b, {_partial_sql("xy", "xz", "yz")} as xy, {_partial_sql("xv", "xz", "zv")} as xv, {_partial_sql("yv", "yz", "zv")} as yv from c),
+pr as (select lang, b, {_partial_sql("xy", "xv", "yv")} as r from z), n as (select lang, count(*) as n from base group by 1)
 select lang, n, round(max(r) filter (b = 0), 7) as estimate, round(quantile_cont(r, 0.025) filter (b > 0), 7) as low, round(quantile_cont(r, 0.975) filter (b > 0), 7) as high, count(r) filter (b > 0) as draws from pr join n using (lang) group by 1, 2""")
 def partial_spearman_ci(spark, sf):
     return rounded(correlations.partial_spearman_interval(_rows(spark, sf), "score", "confidence", ["n_chars", "risk"], ["lang"], "id"), 7)
@@ -79,7 +84,7 @@ s as (select r.*, case when k < 3 then 'constant' when q1 = q2 then case when pl
 bounds as (select lang, dimension, stratum, min(size) as least, max(size) as most from s group by 1, 2, 3), m as (select * from (select lang, dimension, stratum, id, unnest([{{'metric': 'score', 'value': score}}, {{'metric': 'merit', 'value': merit}}], recursive := true) from s) where value is not null),
 {catalog._R}, {catalog._seeded("m", "d", ("'0'", "id::varchar"))}, x as (select lang, dimension, stratum, metric, b, sum(w * value)::double / sum(w) as mean from (select *, {catalog._w()} as w from d) where w > 0 group by 1, 2, 3, 4, 5),
 e as (select lang, dimension, stratum, metric, quantile_cont(mean, 0.025) as low, quantile_cont(mean, 0.975) as high from x group by 1, 2, 3, 4), p as (select lang, dimension, stratum, metric, count(*) as n, avg(value) as mean from m group by 1, 2, 3, 4)
-select lang, dimension, stratum, least, most, metric, n, round(mean, 9) as mean, round(low, 9) as low, round(high, 9) as high from p join e using (lang, dimension, stratum, metric) join bounds using (lang, dimension, stratum)""")
+select lang, dimension, stratum, round(least, 9) as least, round(most, 9) as most, metric, n, round(mean, 9) as mean, round(low, 9) as low, round(high, 9) as high from p join e using (lang, dimension, stratum, metric) join bounds using (lang, dimension, stratum)""")
 def scale_strata(spark, sf):
     rows = _rows(spark, sf).withColumn("level", F.when(F.col("n_chars") % 3 == 0, 1).otherwise(0))
     return rounded(correlations.scale_table(rows, ["lang"], "id", _DIMENSIONS, ["score", "merit"]))
