@@ -399,7 +399,9 @@ def named_groups(main: DataFrame, names: DataFrame, linked: DataFrame) -> DataFr
     if several.limit(1).count():
         linked = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(several))
     lowest = names.join(linked, "node").groupBy("component").agg(F.min("low").alias("component_id"))
-    named = names.join(linked, "node", "left").join(lowest, "component", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    # nodes without a link have no component, and would meet in the task of null
+    called = linked.join(lowest, "component").select("node", "component_id")
+    named = names.join(called, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
     out = main.join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
