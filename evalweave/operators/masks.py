@@ -60,18 +60,26 @@ def perturbed(box: Column, key: Column, jitter: float, scale: float, seed: int =
 
 
 def random_region(rows: DataFrame, sample: str, box: str, most: float = 0.1, tries: int = 200, seed: int = 0) -> DataFrame:
-    """A box of the same size elsewhere: the first try whose IoU is small enough, else the try of least IoU."""
+    """A box of the same size elsewhere: the first try whose IoU is small enough, else the try of least IoU.
+
+    Tries are made a few at a time, as most rows need one or two; later ones are evaluated only where those before have failed.
+    """
     b = F.col(box)
     w, h = b["x2"] - b["x1"], b["y2"] - b["y1"]
     # column by column, so that each hashed number is made once
     first, second = key_seeds(seed, F.col(sample))
     tried = rows.withColumn("_a", first).withColumn("_b", second)
     number = lambda k: replicate_uniform(F.col("_a"), F.col("_b"), k)
-    t = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda k: F.struct(k.alias("k"), (number(k * 2) * (1 - w)).alias("x"), (number(k * 2 + 1) * (1 - h)).alias("y")))
-    tried = tried.withColumn("_t", t)
-    tried = tried.withColumn("_m", F.transform("_t", lambda s: F.struct(bx.iou(bx.box(s["x"], s["y"], s["x"] + w, s["y"] + h), b).alias("iou"), s["k"].alias("k"), bx.box(s["x"], s["y"], s["x"] + w, s["y"] + h).alias("region"))))
-    best = F.coalesce(F.get(F.filter("_m", lambda m: m["iou"] <= most), F.lit(0)), F.array_min("_m"))
-    return tried.withColumn("_m", best).select(*rows.columns, F.col("_m.region").alias("region"), F.col("_m.iou").alias("region_iou"))
+
+    def made(lo: int, hi: int) -> Column:
+        places = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda k: F.struct(k.alias("k"), (number(k * 2) * (1 - w)).alias("x"), (number(k * 2 + 1) * (1 - h)).alias("y")))
+        regions = F.transform(places, lambda s: F.struct(s["k"].alias("k"), bx.box(s["x"], s["y"], s["x"] + w, s["y"] + h).alias("region")))
+        return F.transform(regions, lambda s: F.struct(bx.iou(s["region"], b).alias("iou"), s["k"].alias("k"), s["region"].alias("region")))
+
+    ends = [e for e in (0, 2, 8, 32) if e < tries] + [tries]
+    fine = [F.get(F.filter(made(lo + 1, hi), lambda m: m["iou"] <= most), F.lit(0)) for lo, hi in zip(ends, ends[1:], strict=False)]
+    tried = tried.withColumn("_m", F.coalesce(*fine, F.array_min(made(1, tries))))
+    return tried.select(*rows.columns, F.col("_m.region").alias("region"), F.col("_m.iou").alias("region_iou"))
 
 
 def spatial_overlaps(boxes: DataFrame, regions: DataFrame, key: str, box_id: str, region_id: str, cells: int = 8) -> DataFrame:
