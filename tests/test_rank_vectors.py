@@ -32,3 +32,10 @@ def test_ranks_of_all_draws_over_many_buckets(spark, monkeypatch, bucket_rows):
                     assert found[f"_p{i}_{j}"] == pytest.approx((w * p * columns[j]).sum(), abs=1e-6)
             keep = np.repeat(np.arange(len(w)), w.astype(int))
             assert found.r == pytest.approx(np.corrcoef(ranks[0][keep], ranks[1][keep])[0, 1], abs=1e-9)
+
+
+def test_rows_are_not_multiplied_by_draws(spark):
+    """No row a unit and draw is made: what replicates explode is sums of tasks."""
+    rows = spark.range(50).selectExpr("id u", "double(id % 7) x", "double(id % 5) y")
+    plan = correlations.partial_spearman_interval(rows, "x", "y", [], [], "u")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") == plan.count("posexplode(") == 1
