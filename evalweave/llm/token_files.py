@@ -132,10 +132,13 @@ def read_token_files(manifest: DataFrame, with_ids: bool = True, chunk_tokens: i
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """Write the files of ``docs`` into the shared folder and read them back, a digest per document."""
+    """Write the files of ``docs`` into the shared folder and read them back, a digest per document.
+
+    The manifest, a row a part, is one file: for a file a part, executors would start three ``chmod`` processes each, as Hadoop's local file system does without its native library.
+    """
     folder = scratch(spark, "token-files")
     manifest = write_token_files(docs, folder, tokenizer_path, end_id)
-    manifest.write.parquet(f"{folder}-manifest")
+    manifest.repartition(1).write.parquet(f"{folder}-manifest")
     return read_token_files(with_bases(spark.read.schema(MANIFEST).parquet(f"{folder}-manifest")), with_ids=False)
 
 

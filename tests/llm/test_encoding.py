@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evalweave.llm.common import scratch
+from evalweave.llm.common import scratch, shared_dir
 from evalweave.llm.pieces import PieceEncoder, decode_pieces, digests, encode_pieces
 from evalweave.llm.token_files import read_token_files, token_files, with_bases, write_token_files
 from evalweave.llm.word_cache import WordCache
@@ -93,6 +94,16 @@ def test_token_files_read_back_ids_and_repeats(spark):
     assert [r.doc_id for r in rows] == [5, 7, 7, 8] and rows[0].ids == [1] and rows[1].ids == rows[2].ids == rows[3].ids
 
 
+def test_the_manifest_of_many_parts_is_one_file(spark):
+    """Each file that an executor writes by Hadoop's local file system costs processes of its own."""
+    folder = Path("/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
+    before = {*folder.glob("token-files-*-manifest")}
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("the text").alias("text"))
+    assert token_files(spark, docs, WORD).count() == 40
+    (made,) = {*folder.glob("token-files-*-manifest")} - before
+    assert len(list(made.glob("part-*"))) == 1 and spark.read.parquet(str(made)).count() == 4
+
+
 def test_token_files_refuse_a_null_id_and_take_an_empty_table(spark):
     assert token_files(spark, empty(spark), WORD).count() == 0
     with pytest.raises(Exception, match="without doc_id"):
