@@ -23,6 +23,9 @@ from evalweave.operators.resampling import DRAWS, bootstrap_correlation, bootstr
 NAN = float("nan")
 #: Groups whose sums a task holds before they leave it.
 MOST_HELD = 128
+#: Replicates of a block, and weights that a task holds at a time.
+REPLICATES = 64
+CELLS = 1 << 20
 
 
 def with_replicates(rows: DataFrame, unit: str, n: int, seed: int) -> DataFrame:
@@ -95,17 +98,72 @@ def rank_vectors(rows: DataFrame, by: list[str], value: str, n: int) -> DataFram
 def cross_products(rows: DataFrame, by: list[str], unit: str, raw: list[str], ranked: list[str], n: int, seed: int) -> tuple[DataFrame, dict[tuple[int, int], Column]]:
     """A row a group and replicate with the weighted sums of the ``raw`` columns, of the ranks of the ``ranked`` ones, and of their products, and the correlation of each pair as a column over it: null without variation.
 
-    A rank is a place in a bucket and what lies in the buckets before. Rows meet the former as vectors and leave a task as sums by group and buckets; the latter is added to those.
+    The rows of a group that a bucket could hold meet once for each block of replicates, and their ranks need no join (:func:`block_sums`); those of a larger group go by :func:`bucket_sums`. One count a group tells them apart.
     """
     a, b = key_seeds(seed, F.col(unit))
     flat = rows.select(*by, a.alias("_a"), b.alias("_b"), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*raw, *ranked])])
+    large = flat.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ordered.BUCKET_ROWS).select(*[F.col(c).alias(f"_g{j}") for j, c in enumerate(by)])
+    if not large.limit(1).count():
+        sums = block_sums(flat, by, raw, ranked, n)
+    elif not by:
+        sums = bucket_sums(flat, by, raw, ranked, n)
+    else:
+        of = ordered._same(by, large.columns)
+        sums = block_sums(flat.join(large, of, "left_anti"), by, raw, ranked, n).unionByName(bucket_sums(flat.join(large, of, "left_semi"), by, raw, ranked, n))
+    s, w, m = lambda i: F.col(f"_s{i}"), F.col("_w"), range(len(raw) + len(ranked))
+    cov = lambda i, j: F.col(f"_p{i}_{j}") - s(i) * s(j) / w
+    some = lambda i: cov(i, i) > 1e-9 * F.greatest(F.lit(1e-9), F.col(f"_p{i}_{i}"))
+    return sums, {(i, j): F.when(some(i) & some(j), cov(i, j) / F.sqrt(cov(i, i) * cov(j, j))) for i in m for j in m if i < j}
+
+
+def _sum_names(size: int) -> list[str]:
+    return ["_w", *[f"_s{i}" for i in range(size)], *[f"_p{i}_{j}" for i in range(size) for j in range(i, size)]]
+
+
+def block_sums(flat: DataFrame, by: list[str], raw: list[str], ranked: list[str], n: int) -> DataFrame:
+    """(by, replicate, sums) of groups that fit a task: a group's rows go to a task for each block of replicates, where a value's ranks are running sums of weights in the order of the values."""
+    kinds, names = dict(flat.dtypes), _sum_names(len(raw) + len(ranked))
+    columns = list(dict.fromkeys([*raw, *ranked]))
+    blocks = flat.sparkSession.range(n // REPLICATES + 1).select(F.col("id").alias("_block"))
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "_block bigint", *(f"{c} array<double>" for c in names)])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        a, b = rows.column("_a").to_numpy(), rows.column("_b").to_numpy()
+        given = {c: rows.column(c).to_numpy() + 0.0 for c in columns}
+        places = []
+        for c in ranked:
+            order = np.argsort(given[c], kind="stable")
+            first = _starts(given[c][order])
+            of = np.empty(len(order), np.int64)  # the number of each row's value
+            of[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+            places.append((order, first, of))
+        start = int(rows.column("_block")[0].as_py()) * REPLICATES
+        wide, out = max(1, CELLS // max(1, len(a))), []
+        for at in range(start, min(n + 1, start + REPLICATES), wide):
+            w = draws(a, b, min(n + 1, start + REPLICATES, at + wide) - 1, at)
+            v = [given[c][:, None] for c in raw]
+            for order, first, of in places:
+                own = np.add.reduceat(w[order], first, axis=0)
+                v.append((np.cumsum(own, axis=0) - (own - 1) / 2)[of])
+            weighed = [w * x for x in v]
+            out.append([w.sum(0), *[x.sum(0) for x in weighed], *[np.einsum("ij,ij->j", weighed[i], np.broadcast_to(v[j], w.shape)) for i in range(len(v)) for j in range(i, len(v))]])
+        vectors = [np.concatenate(parts) for parts in zip(*out, strict=True)]
+        key = rows.select([*by, "_block"]).slice(0, 1).combine_chunks()
+        return pa.Table.from_arrays([*key.columns, *[_lists(x[None]) for x in vectors]], names=[*by, "_block", *names])
+
+    vectors = flat.crossJoin(F.broadcast(blocks)).groupBy(*by, "_block").applyInArrow(summed, schema)
+    return by_replicate(vectors, [*by, "_block"], names).select(*by, (F.col("_block") * REPLICATES + F.col("replicate")).cast("int").alias("replicate"), *names).where("_w > 0")
+
+
+def bucket_sums(flat: DataFrame, by: list[str], raw: list[str], ranked: list[str], n: int) -> DataFrame:
+    """(by, replicate, sums) of groups of any size. A rank is a place in a bucket and what lies in the buckets before. Rows meet the former as vectors and leave a task as sums by group and buckets; the latter is added to those."""
     joined = flat
     for i, c in enumerate(ranked):
         points = rank_vectors(flat.select(*by, "_a", "_b", c), by, c, n).select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(by)], F.col("_value").alias("_k"), F.col("_bucket").alias(f"_b{i}"), F.col("_twice").alias(f"_t{i}"))
         joined = joined.join(points, ordered._same([*by, c], [*[f"_k{j}" for j in range(len(by))], "_k"])).drop(*[f"_k{j}" for j in range(len(by))], "_k")
     cells, size = [f"_b{i}" for i in range(len(ranked))], len(raw) + len(ranked)
     m = range(size)
-    names = ["_w", *[f"_s{i}" for i in m], *[f"_p{i}_{j}" for i in m for j in m if i <= j]]
+    names = _sum_names(size)
     kinds = dict(joined.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*by, *cells]), *(f"{c} array<double>" for c in names)])
 
@@ -140,10 +198,7 @@ def cross_products(rows: DataFrame, by: list[str], unit: str, raw: list[str], ra
     o = lambda i: F.col(f"_o{i}") if i >= len(raw) else F.lit(0.0)
     s, w = lambda i: F.col(f"_s{i}"), F.col("_w")
     every = [F.sum(w).alias("_w"), *[F.sum(s(i) + o(i) * w).alias(f"_s{i}") for i in m], *[F.sum(F.col(f"_p{i}_{j}") + o(i) * s(j) + o(j) * s(i) + o(i) * o(j) * w).alias(f"_p{i}_{j}") for i in m for j in m if i <= j]]
-    sums = each.groupBy(*by, "replicate").agg(*every).where("_w > 0")
-    cov = lambda i, j: F.col(f"_p{i}_{j}") - s(i) * s(j) / w
-    some = lambda i: cov(i, i) > 1e-9 * F.greatest(F.lit(1e-9), F.col(f"_p{i}_{i}"))
-    return sums, {(i, j): F.when(some(i) & some(j), cov(i, j) / F.sqrt(cov(i, i) * cov(j, j))) for i in m for j in m if i < j}
+    return each.groupBy(*by, "replicate").agg(*every).where("_w > 0")
 
 
 def summarised(each: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -39,3 +39,20 @@ def test_rows_are_not_multiplied_by_draws(spark):
     rows = spark.range(50).selectExpr("id u", "double(id % 7) x", "double(id % 5) y")
     plan = correlations.partial_spearman_interval(rows, "x", "y", [], [], "u")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(") == plan.count("posexplode(") == 1
+
+
+@pytest.mark.parametrize("bucket_rows", [100, 1_000_000])
+def test_groups_of_a_bucket_need_no_vectors(spark, monkeypatch, bucket_rows):
+    """Ranks of a group that a task holds come without a join; a larger group beside it still goes by vectors, with the same sums, and more than one block of replicates keeps its numbers."""
+    rows = spark.range(200).selectExpr("if(id < 150, 'large', 'small') g", "id % 90 u", "double(id % 7) x", "double(id % 5) y")
+    sums = lambda: correlations.cross_products(rows, ["g"], "u", ["y"], ["x", "y"], 70, 0)[0]
+    cells = lambda df: {(r.g, r.replicate): r for r in df.collect()}
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 10)
+    want = cells(sums())
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", bucket_rows)
+    found = sums()
+    assert ("_twice" not in found._jdf.queryExecution().optimizedPlan().toString()) == (bucket_rows > 150)
+    got = cells(found)
+    assert set(got) == set(want) and {b for _, b in got} == set(range(71))
+    for k, r in want.items():
+        assert [got[k][c] for c in found.columns if c.startswith(("_w", "_s", "_p"))] == pytest.approx([r[c] for c in found.columns if c.startswith(("_w", "_s", "_p"))], abs=1e-6)
