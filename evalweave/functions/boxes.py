@@ -33,15 +33,15 @@ def normalised(b: Column, width: Column, height: Column) -> Column:
     clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     x = [clip(F.when(pixel, b[c] / width).otherwise(b[c])) for c in ("x1", "x2")]
     y = [clip(F.when(pixel, b[c] / height).otherwise(b[c])) for c in ("y1", "y2")]
-    out = box(F.least(*x), F.least(*y), F.greatest(*x), F.greatest(*y))
-    return F.when((F.greatest(*x) > F.least(*x)) & (F.greatest(*y) > F.least(*y)), out)
+    # bound, as inside of a lambda each use of an expression computes it anew
+    return bound(F.struct(x[0].alias("a"), x[1].alias("b"), y[0].alias("c"), y[1].alias("d")), lambda s: F.when((s["a"] != s["b"]) & (s["c"] != s["d"]), box(F.least(s["a"], s["b"]), F.least(s["c"], s["d"]), F.greatest(s["a"], s["b"]), F.greatest(s["c"], s["d"]))))
 
 
 def distinct_boxes(boxes: Column) -> Column:
     """First of the boxes that agree to a millionth."""
     key = lambda b: F.concat_ws(",", *[F.bround(b[c] * 1e6).cast("long").cast("string") for c in ("x1", "y1", "x2", "y2")])
-    keys = F.transform(boxes, key)
-    return F.filter(boxes, lambda b, i: F.array_position(keys, key(b)) == i + 1)
+    firsts = lambda bs, keys: F.filter(bs, lambda b, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return bound(boxes, lambda bs: bound(F.transform(bs, key), lambda keys: firsts(bs, keys)))
 
 
 def holds_centre(b: Column, region: Column) -> Column:

@@ -42,10 +42,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def _filled(value: Column) -> Column:
     """The items of a list or the values of an object; an empty array for other values that say something, null for those that don't."""
-    items, fields = F.try_variant_get(value, "$", "array<variant>"), F.try_variant_get(value, "$", "map<string,variant>")
-    plain = F.when(items.isNull() & fields.isNull(), F.try_variant_get(value, "$", "string"))
     none = F.array().cast("array<variant>")
-    return F.when(F.size(items) > 0, items).when(F.size(fields) > 0, F.map_values(fields)).when(plain.isNotNull() & ~plain.isin("", "0", "false"), none)
+
+    def read(items: Column, fields: Column) -> Column:
+        plain = F.when(items.isNull() & fields.isNull(), F.try_variant_get(value, "$", "string"))
+        return F.when(F.size(items) > 0, items).when(F.size(fields) > 0, F.map_values(fields)).when(plain.isNotNull() & ~plain.isin("", "0", "false"), none)
+
+    found = bound(F.try_variant_get(value, "$", "array<variant>"), lambda items: bound(F.try_variant_get(value, "$", "map<string,variant>"), lambda fields: read(items, fields)))
+    return F.when(value.isNotNull(), found)
 
 
 def _points_box(points: Column) -> Column:
@@ -58,21 +62,26 @@ def _points_box(points: Column) -> Column:
 
 def _plain_box(value: Column) -> Column:
     """Four numbers, an object of corners or of a corner and a size, pairs of corners, or text with four numbers."""
-    at = lambda n: F.try_variant_get(value, f"$.{n}", "double")
-    four = [F.try_variant_get(value, f"$[{i}]", "double") for i in range(4)]
     every = lambda cs: ~F.greatest(*[c.isNull() for c in cs])
-    corners, sized = [at(n) for n in ("x1", "y1", "x2", "y2")], [at(n) for n in ("x", "y", "w", "h")]
-    wide = [at(n) for n in ("x", "y", "width", "height")]
-    text = F.when(F.try_variant_get(value, "$", "array<variant>").isNull() & F.try_variant_get(value, "$", "map<string,variant>").isNull(), F.try_variant_get(value, "$", "string"))
     xywh = lambda v: box(v[0], v[1], v[0] + v[2], v[1] + v[3])
-    return F.when(every(four), box(*four)).when(every(corners), box(*corners)).when(every(sized), xywh(sized)).when(every(wide), xywh(wide)).when(text.isNotNull(), parsed_box(text)).otherwise(_points_box(value))
+
+    def read(list_: Column, object_: Column) -> Column:
+        four = [F.get(list_, F.lit(i)) for i in range(4)]
+        corners, sized, wide = ([object_[n] for n in names] for names in (("x1", "y1", "x2", "y2"), ("x", "y", "w", "h"), ("x", "y", "width", "height")))
+        text = F.when(list_.isNull() & object_.isNull(), F.try_variant_get(value, "$", "string"))
+        return F.when(every(four), box(*four)).when(every(corners), box(*corners)).when(every(sized), xywh(sized)).when(every(wide), xywh(wide)).when(text.isNotNull(), parsed_box(text)).otherwise(_points_box(value))
+
+    # all numbers by two casts, as each path would search the value anew
+    names = ", ".join(f"{n} double" for n in ("x1", "y1", "x2", "y2", "x", "y", "w", "h", "width", "height"))
+    return bound(F.try_variant_get(value, "$", "array<double>"), lambda list_: bound(F.try_variant_get(value, "$", f"struct<{names}>"), lambda object_: read(list_, object_)))
 
 
 def region_box(item: Column) -> Column:
     """The box of a region in any of its layouts: a plain box, an object with a box below one of BOX_FIELDS or with a polygon below one of POLYGON_FIELDS; null where it has none."""
-    inner = F.coalesce(*[F.try_variant_get(item, f"$.{n}", "variant") for n in BOX_FIELDS])
-    polygon = F.coalesce(*[_points_box(F.try_variant_get(item, f"$.{n}", "variant")) for n in POLYGON_FIELDS])
-    return F.when(inner.isNotNull(), bound(inner, _plain_box)).otherwise(F.coalesce(polygon, _plain_box(item)))
+    fields = F.try_variant_get(item, "$", f"struct<{', '.join(f'{n} variant' for n in [*BOX_FIELDS, *POLYGON_FIELDS])}>")
+    polygon = lambda f: F.coalesce(*[F.when(f[n].isNotNull(), _points_box(f[n])) for n in POLYGON_FIELDS])
+    found = lambda f, inner: F.when(inner.isNotNull(), _plain_box(inner)).otherwise(F.coalesce(polygon(f), _plain_box(item)))
+    return bound(fields, lambda f: bound(F.coalesce(*[f[n] for n in BOX_FIELDS]), lambda inner: found(f, inner)))
 
 
 def image_size(record: Column) -> Column:
@@ -95,10 +104,10 @@ def region_samples(records: DataFrame, dataset: str = "OCR-Regions", image_root:
     answer = first_of(r, ["answer", "answers", "label"])
     several = F.try_variant_get(answer, "$", "array<variant>")
     said = F.when(several.isNotNull(), F.try_variant_get(answer, "$[0]", "string")).otherwise(F.try_variant_get(answer, "$", "string"))
-    items = F.coalesce(*[_filled(get(r, f"$.{f}")) for f in REGION_FIELDS], F.array().cast("array<variant>"))
+    items = F.coalesce(*[bound(get(r, f"$.{f}"), _filled) for f in REGION_FIELDS], F.array().cast("array<variant>"))
     size = image_size(r)
-    boxes = F.transform(items, lambda i: bound(region_box(i), lambda b: F.when(b.isNotNull(), normalised(b, size["width"], size["height"]))))
-    regions = distinct_boxes(F.filter(boxes, lambda b: b.isNotNull()))
+    boxes = lambda z: F.transform(items, lambda i: bound(region_box(i), lambda b: F.when(b.isNotNull(), normalised(b, z["width"], z["height"]))))
+    regions = bound(size, lambda z: distinct_boxes(F.filter(boxes(z), lambda b: b.isNotNull())))
     rows = records.select(
         F.coalesce(first_of(r, ["id", "sample_id"], "string"), F.concat(F.lit("ocr-region-"), F.col(order).cast("string"))).alias("id"), F.coalesce(F.nullif(get(r, "$.dataset", "string"), F.lit("")), F.lit(dataset)).alias("dataset"), F.lit(dataset).alias("source_dataset"),
         image.alias("image"), F.coalesce(get(r, "$.image_id", "string"), F.lit("")).alias("image_id"), text("question", "query", "prompt").alias("question"), F.coalesce(said, F.lit("")).alias("answer"), F.lit("ocr_text").alias("task_family"),

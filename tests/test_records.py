@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evalweave.functions import boxes
 from evalweave.operators import assignments, masks
 from evalweave.sources import records
 
@@ -134,3 +135,12 @@ def test_dense_conflicts_settle(spark):
     assert all(s != t and not set(words.get(s, [])) & set(words.get(t, [])) for s, t in got.items())
     none = assignments.collision_free_derangement(forbidden.where("false"), observed)
     assert none.count() == 0
+
+
+def test_boxes_are_computed_once(spark):
+    """Inside of a lambda nothing is shared: an expression that is named twice is computed twice, for each item and each of its regions."""
+    once = lambda c: str(c).count("needle") == 1
+    assert once(boxes.distinct_boxes(F.col("needle")))
+    scaled = str(boxes.normalised(boxes.box(*[F.col(c) for c in "abcd"]), F.col("needle"), F.lit(1)))
+    assert scaled.count("needle") == 2  # once a corner
+    assert str(records.region_box(F.col("item"))).count("struct<bbox variant") == 1
