@@ -59,6 +59,22 @@ def test_rollup_against_loops(spark, monkeypatch, bucket_rows):
             assert near(r[f"inverted_error_{c}"], np.mean([e[i] for i in down[:k]]))
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rollup_shuffles_no_row_a_risk_and_scope(spark):
+    """Rows are dealt once; what else moves are sums of equal values."""
+    rows, risks = spark.range(20_000).select("id", (F.col("id") % 7 / 7).alias("v"), (F.col("id") % 3 == 0).alias("e")), [f"r{i}" for i in range(6)]
+    before = shuffled_rows(spark)
+    out = sweep.metrics_rollup(rows.withColumns({r: F.col("v") for r in risks}), risks, "id", F.col("e"), F.col("e"), F.lit(True), {"g": F.col("id") % 2}).collect()
+    assert len(out) == 18 and {(r.scope, r.n) for r in out} == {("overall", 20_000), ("g", 10_000)}
+    assert shuffled_rows(spark) - before < 40_000
+
+
 def test_a_value_of_half_of_the_rows_is_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(ordered, "BUCKET_ROWS", 100)
     rows = spark.range(2000).select((F.col("id") % 2).alias("v"), "id")
