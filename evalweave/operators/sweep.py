@@ -22,7 +22,7 @@ from evalweave.operators.metrics import accepted, mean_or_zero, ratio
 COVERAGES = (0.7, 0.8, 0.9)
 EMPTY = "<empty>"
 #: Rows that one bucket should hold; a bucket is in memory with a row for each risk, scope, cohort and value that it has.
-ROWS = 1 << 14
+ROWS = 1 << 15
 #: Sampled rows a bucket, from which cuts are made: they decide how even buckets are, never a result.
 SAMPLES = 8
 FLAGS = ("e", "f", "g", "fg")
